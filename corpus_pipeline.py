@@ -1,12 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each on all that the one before kept, stored as Parquet in between.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontam, line_dedup, ngram_join, packing, quality, work
+from quillspark.llm.work import table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it is trained on labelled documents of the input table."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from all documents but one each; a document that keeps no visible character goes with them."""
+    kept = line_dedup.apply(docs, line_dedup.build(docs))
+    emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return kept.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return ngram_join.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents, each with its sequence and place."""
+    cut = packing.pieces(docs, packing.default_tokenizer())
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
+#: A trained classifier and a tokenizer stand in no SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = work.cut(stage(spark, docs, sf_dir), name)
+    return docs
