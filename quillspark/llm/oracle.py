@@ -26,4 +26,22 @@ SELECT page_id, payload_bytes,
          ((v[1 + (5 * j) // 4] * 16 + coalesce(v[2 + (5 * j) // 4], 0)) // (CAST(pow(2, 3 - (5 * j) % 4) AS BIGINT)) % 32), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, true AS valid FROM n""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+w AS (SELECT doc_id, i, line, off, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM o),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit, off, length(line) AS n, len(ws) AS words, array_to_string(ws, ' ') AS key FROM w WHERE len(ws) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, unit) AS k, first_value(doc_id) OVER (PARTITION BY key ORDER BY doc_id, unit) AS fd,
+             first_value(off) OVER (PARTITION BY key ORDER BY doc_id, unit) AS fa FROM u),
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM r WHERE k > 1)
+SELECT doc_id, CAST(min(off) AS BIGINT) AS "start", CAST(max(off + n) AS BIGINT) AS "end", CAST(sum(words) AS BIGINT) AS words,
+       arg_min(fd, unit) AS kept_doc_id, CAST(arg_min(fa, unit) AS BIGINT) AS kept_start FROM g GROUP BY doc_id, island HAVING sum(words) > 50""",
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+c(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.k, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON v.vec_id = m.a LEFT JOIN n ON v.vec_id = n.a""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, url_filter, warc
+from . import decontam, hnsw_dedup, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, url_filter, warc
 from .work import table
 
 
@@ -38,6 +38,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, packing.default_tokenizer()).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
