@@ -7,6 +7,7 @@ numbers a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     low = edges.groupBy("a").agg(F.min("b").alias("component"))
     roots = low.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return low.select(F.col("a").alias("node"), "component").unionByName(roots)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links a-b that connect what all of them connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            keep.append(i)
+    return a[keep], b[keep]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import work
-from .components import components
+from .components import components, forest
 
 COSINE = 0.98
 SHARD = 4096
@@ -208,24 +208,6 @@ def links_of(g: Graph, exact: np.ndarray, q: np.ndarray, cosine: float = COSINE)
     return [f[(exact[f] @ q[i]) >= cosine] for i, f in enumerate(found)]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some of the links a-b that connect what all of them connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            keep.append(i)
-    return a[keep], b[keep]
-
-
 def dedup(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD) -> DataFrame:
     """embeddings(vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     e = F.col("embedding")
@@ -258,7 +240,7 @@ def dedup(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD
         n = np.array([more["m"][f].sum() for f in found], np.int64)
         a = np.repeat(reps, [len(f) for f in found])
         b = more["rep"][np.concatenate(found)] if found else np.empty(0, np.int64)
-        a, b = _forest(a, b)
+        a, b = forest(a, b)
         hit = n > 0
         return pd.DataFrame({"a": np.concatenate([a, reps[hit]]), "b": np.concatenate([b, reps[hit]]), "n": np.concatenate([np.zeros(len(a), np.int64), n[hit]])})
 

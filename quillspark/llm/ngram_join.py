@@ -1,16 +1,21 @@
 """Exact Jaccard self-join of documents on word shingles, by adaptive multi-match prefixes.
 
 A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle), held as 64-bit hashes.
-All sets are sorted in one global order, rare shingles first, by a count sketch of fixed size over the whole corpus. If two sets
-of similarity t or more exist, their prefixes of length ``n - ceil(t n) + l`` share at least ``l`` shingles. Each document picks its
-own ``l``: a longer prefix costs more postings but lets fewer candidates through, both estimated from the sketch. A pair then needs
-``min(l, l')`` shared prefix shingles before it is verified on the whole sets.
-
-Only what components need is verified, so no group emits all its pairs: equal sets collapse into classes first; within a posting
-list one hub meets the others, links found merge components, and later rounds take more hubs (four times as many each) only for
-lists that still span several components. Every pair of different components that shares a list is met in some round.
-
-Text is read three times (classes and sketch; prefixes; whole sets of candidates), never shuffled.
+All sets are sorted in one global order, rare shingles first, by a count sketch of fixed size over the whole corpus. Two sets of
+similarity t or more overlap in t (m + n) / (1 + t) shingles, so the first ``l`` that they share lie among the first
+``m - ceil(2 t m / (1 + t)) + l`` of the smaller one (its short prefix) and the first ``n - ceil(t n) + l`` of the larger (its long
+one). Each document picks its own ``l``: longer prefixes cost more postings but let fewer candidates through, both estimated from
+the sketch. A pair needs ``min(l, l')`` shared prefix shingles, and as many as its overlap takes beyond the longer of the two
+remainders, before it is verified on the whole sets.
+
+Only what components need is verified, and no group emits its pairs: equal sets collapse into classes first; within a posting
+list one hub meets the others, and the links found merge components. Lists that still span several components join their sets
+into groups, which are compared in blocks: a task gets two blocks of a group, counts all overlaps at once and returns a spanning
+forest of the links. Groups of more than ``GROUP`` sets go on by lists instead, with eight times as many hubs each round. Every
+pair of different components that shares a list is met one way or the other.
+
+Text is read once for classes and sketch, once for prefixes, and once for the whole sets of each step's candidates; it is never
+shuffled.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a null doc_id is returned with a null
 component and links with nothing; repeated rows fall into one class; an empty table gives an empty result; extra columns are
@@ -29,13 +34,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import work
-from .components import components
+from .components import components, forest
 
 WORDS, SIMILARITY = 5, 80
 #: Cells of the count sketch (4 bytes each, fixed) and of one piece of it on the way.
 CELLS, PIECE = 1 << 20, 1 << 12
 #: Longest ``l`` that a document may pick.
 MAX_L = 4
+#: Sets of a block, and of a group that is compared in blocks.
+BLOCK, GROUP = 256, 20_000
 #: Bits of the filter that keeps texts of candidates: eight a candidate within these bounds (8 MB at most).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 
@@ -113,8 +120,8 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its ``l``. seen: for each shingle, how often others are expected to hold it."""
+def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, int, int]:
+    """The long prefix of a set, the length of its short one, and its ``l``. seen: how often others are expected to hold a shingle."""
     n = len(s)
     order = np.lexsort((s, seen))
     need = -(-similarity * n // 100)
@@ -122,7 +129,7 @@ def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tup
     l_ = np.arange(1, min(MAX_L, need) + 1)
     postings = cost[n - need + l_ - 1].astype(float)  # read for this prefix; at most postings / l candidates come of them
     pick = int(l_[np.argmin(postings + (4 + n / 64) * postings / l_)])
-    return s[order[: n - need + pick]], pick
+    return s[order[: n - need + pick]], min(n, n - -(-2 * similarity * n // (100 + similarity)) + pick), pick
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, similarity: int) -> DataFrame:
@@ -132,18 +139,19 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, similarity: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = given.value
         for b in batches:
-            ids, ns, ls, parts = [], [], [], []
+            ids, ns, ks, ls, parts = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), words)
                 if doc is not None and len(s):
-                    p, l_ = prefix(s, seen[_cells(s)], similarity)
+                    p, k, l_ = prefix(s, seen[_cells(s)], similarity)
                     ids.append(doc)
                     ns.append(len(s))
+                    ks.append(k)
                     ls.append(l_)
                     parts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), _lists(parts)], ["doc_id", "n", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ks, pa.int32()), pa.array(ls, pa.int32()), _lists(parts)], ["doc_id", "n", "k", "l", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, l int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, k int, l int, prefix array<long>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -188,12 +196,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those of pairs(a, b) that link: enough shared prefix shingles first, the whole sets after."""
-    p = prefixes.select("doc_id", "l", "prefix")
-    one = p.toDF("a", "l_a", "p_a")
-    two = p.toDF("b", "l_b", "p_b")
-    enough = F.size(F.array_intersect("p_a", "p_b")) >= F.least("l_a", "l_b")
+    """Those of pairs(a, b), a the smaller set, that link: enough shared prefix shingles first, the whole sets after."""
+    one = prefixes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("l").alias("l_a"), F.slice("prefix", F.lit(1), F.col("k")).alias("p_a"))
+    two = prefixes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("prefix").alias("p_b"))
+    shared = F.size(F.array_intersect("p_a", "p_b"))
+    rest = F.greatest(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.size("p_b"))
+    enough = (shared >= F.least("l_a", "l_b")) & ((shared + rest) * (100 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity)
     near = work.cut(pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "candidates")
+    if _empty(near):
+        return near
     ids = work.cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     sets = _sets_of(docs, ids, words)
     both = near.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
@@ -208,6 +219,60 @@ def _empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two, by products of incidence matrices."""
+    both = np.concatenate([*one, *two])
+    sizes = [len(x) for x in [*one, *two]]
+    token, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1  # what one set holds alone is in no intersection
+    row, held = np.repeat(np.arange(len(sizes)), sizes), n[at] > 1
+    row, col = row[held], rank[at][held]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for first in range(0, int(col.max(initial=-1)) + 1, columns):
+        part = (col >= first) & (col < first + columns)
+        m = np.zeros((len(sizes), columns), np.float32)
+        m[row[part], col[part] - first] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out.astype(np.int64)
+
+
+def _in_blocks(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links between different components within groups(doc_id, group, blocks), stored."""
+    sets = _sets_of(docs, groups.select("doc_id"), words)
+    own = groups.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    with_label = own.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    cells = with_label.join(sets, "doc_id").withColumn("other", other)
+    cells = cells.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "shingles")
+
+    def compare(key, pdf):
+        import pandas as pd
+
+        first = (pdf["own"] == key[1]).to_numpy()
+        left = np.flatnonzero(first)
+        right = left if key[1] == key[2] else np.flatnonzero(~first)
+        ids, of = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+        held = [np.asarray(x, np.int64) for x in pdf["shingles"]]
+        n = np.array([len(x) for x in held], np.int64)
+        if not len(left) or not len(right) or len(np.unique(of)) < 2:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        shared = _overlaps([held[x] for x in left], [held[x] for x in right])
+        union = n[left][:, None] + n[right][None, :] - shared
+        x, y = np.nonzero((shared * 100 >= union * similarity) & (of[left][:, None] != of[right][None, :]))
+        a, b = forest(ids[left[x]], ids[right[y]])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return work.cut(cells.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long"), "verified")
+
+
+def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of the lists that hold a hub and span components, with the component of each."""
+    left = left.select("token", "doc", "short").join(labels.select(F.col("node").alias("n_"), "component"), F.col("doc.doc_id") == F.col("n_"), "left")
+    left = left.select("token", "doc", "short", F.coalesce("component", "doc.doc_id").alias("component"))
+    tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("short").alias("any")).filter("lo <> hi and any").select("token")
+    return work.cut(left.join(tokens, "token", "left_semi"), "postings")
+
+
 def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -218,34 +283,44 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     reps = classes.select(F.col("rep").alias("doc_id"))
     prefixes = work.cut(_prefixes(docs, sketch, words, similarity).join(reps, "doc_id", "left_semi"), "prefixes")
 
-    postings = prefixes.select(F.explode("prefix").alias("token"), F.struct("doc_id", "n").alias("doc"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("doc").alias("hub")).filter("k > 1").drop("k")
-    active = work.cut(postings.join(lists, "token").filter("doc.doc_id > hub.doc_id"), "postings")
-    fits = F.least("hub.n", "doc.n") * 100 >= F.greatest("hub.n", "doc.n") * similarity
+    # In a list, sets are met in the order of their size; the smaller of a pair must hold the shingle in its short prefix.
+    postings = prefixes.select(F.posexplode("prefix").alias("at", "token"), F.struct("n", "doc_id").alias("doc"), "k")
+    postings = postings.select("token", "doc", (F.col("at") < F.col("k")).alias("short"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("held"), F.min(F.when(F.col("short"), F.col("doc"))).alias("hub")).filter("held > 1 and hub is not null").drop("held")
+    active = work.cut(postings.join(lists, "token").filter("doc > hub"), "postings")
+    fits = F.col("hub.n") * 100 >= F.col("doc.n") * similarity
     met = work.cut(active.filter(fits).select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct(), "met")
     links = _verify(met, prefixes, docs, words, similarity)
     labels = components(links)
+    left = _open(active, labels)
+    work.drop(active)
+    if not _empty(left):
+        hub = left.groupBy("token").agg(F.min("doc.doc_id").alias("a"))
+        groups = components(left.join(hub, "token").select("a", F.col("doc.doc_id").alias("b"))).toDF("doc_id", "group")
+        blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        groups = work.cut(groups.join(blocks, "group"), "groups")
+        more = _in_blocks(groups.filter(F.col("blocks") <= GROUP // BLOCK), labels, docs, words, similarity)
+        if not _empty(more):
+            links = links.unionByName(more)
+            labels = components(links)
+        large = groups.filter(F.col("blocks") > GROUP // BLOCK).select("doc_id")
+        left = work.cut(left.join(large, F.col("doc.doc_id") == F.col("doc_id"), "left_semi"), "postings")
     hubs = 1
-    while True:
-        # What is left of a list is everything above its last hub; it matters while it spans components.
-        hubs *= 4
-        left = active.select("token", "doc").join(labels.select(F.col("node").alias("n_"), "component"), F.col("doc.doc_id") == F.col("n_"), "left")
-        left = left.select("token", "doc", F.coalesce("component", "doc.doc_id").alias("component"))
-        open_ = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-        left = work.cut(left.join(open_, "token", "left_semi"), "postings")
-        if _empty(left):
-            break
-        top = left.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("doc"))).filter(F.col("r") <= hubs)
+    while not _empty(left):
+        hubs *= 8
+        top = left.filter("short").withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("doc"))).filter(F.col("r") <= hubs)
         top = work.cut(top.select("token", F.col("doc").alias("hub"), F.col("component").alias("of")), "hubs")
-        met_by = left.join(top, "token").filter("hub.doc_id < doc.doc_id and component <> of").filter(fits)
+        met_by = left.join(top, "token").filter("hub < doc and component <> of").filter(fits)
         pairs = met_by.select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct()
         pairs = work.cut(pairs.join(met, ["a", "b"], "left_anti"), "met")
         if not _empty(pairs):
-            links = links.unionByName(_verify(pairs, prefixes, docs, words, similarity))
+            more = _verify(pairs, prefixes, docs, words, similarity)
             met = met.unionByName(pairs)
-            labels = components(links)
-        last = top.groupBy("token").agg(F.max("hub.doc_id").alias("last"))
-        active = work.cut(left.join(last, "token").filter("doc.doc_id > last").select("token", "doc"), "postings")
+            if not _empty(more):
+                links = links.unionByName(more)
+                labels = components(links)
+        last = top.groupBy("token").agg(F.max("hub").alias("last"))
+        left = _open(left.join(last, "token").filter("doc > last"), labels)
 
     label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("label"))
     out = sets.join(label, "digest", "left")
