@@ -1 +1,229 @@
-"""Plans."""
+"""Joins: equi, semi, range, overlap, containment, as-of and argmax joins; every theta join has an equi-key to go by."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import jaccard, r6, tokens, words
+from quillspark.plans.relational import SENTENCES, sentences
+from quillspark.registry import query
+from quillspark.sources.tables import CHUNKS, chunks, table
+
+
+@query("jn_01_users_permissions", "SELECT c_custkey, c_name, string_agg(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, ',' ORDER BY o_orderkey) AS granted FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name")
+def users_permissions(spark, sf) -> DataFrame:
+    """Users with their granted permissions, ordered; the permissions are aggregated before the join."""
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey"))
+    g = o.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ",").alias("granted"))
+    return table(spark, sf, "customer").select("c_custkey", "c_name").join(g, "c_custkey", "left")
+
+
+@query("jn_02_permission_check", "SELECT o_orderkey, c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'")
+def permission_check(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return o.join(table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_mktsegment"), "c_custkey").select("o_orderkey", "c_custkey", "c_mktsegment")
+
+
+@query("jn_03_revoke", "SELECT o_orderkey, CASE WHEN o_custkey = (SELECT max(c_custkey) FROM customer WHERE c_name = 'Customer#000000007' OR c_custkey = 7) THEN 'R' ELSE o_orderstatus END AS status FROM orders")
+def revoke(spark, sf, user: int = 7) -> DataFrame:
+    """An update by a scalar subquery: the permissions of one user are revoked."""
+    who = table(spark, sf, "customer").filter((F.col("c_name") == f"Customer#{user:09d}") | (F.col("c_custkey") == user)).agg(F.max("c_custkey").alias("who"))
+    o = table(spark, sf, "orders").join(F.broadcast(who))  # one row
+    return o.select("o_orderkey", F.when(F.col("o_custkey") == F.col("who"), "R").otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+@query("jn_04_existence", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def existence(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
+
+
+def bulk_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
+    """new, old(id, hash, name, type): how each new file is known: by hash first, else by name and type, else it is new."""
+    by_hash = old.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("hash_id"))
+    by_name = old.groupBy("name", "type").agg(F.min("id").alias("name_id"))
+    j = new.join(by_hash, "hash", "left").join(by_name, ["name", "type"], "left")
+    kind = F.when(F.col("hash_id").isNotNull(), "hash").when(F.col("name_id").isNotNull(), "name").otherwise("new")
+    return j.select("id", kind.alias("kind"), F.coalesce("hash_id", "name_id").alias("existing_id"))
+
+
+@query("jn_05_bulk_duplicates", """WITH f AS (SELECT doc_id AS id, sha256(text) AS hash, source AS name, lang AS type FROM documents), n AS (SELECT * FROM f WHERE id % 3 = 0), o AS (SELECT * FROM f WHERE id % 3 = 1),
+h AS (SELECT hash, min(id) AS hid FROM o GROUP BY hash), m AS (SELECT name, type, min(id) AS nid FROM o GROUP BY name, type),
+j AS (SELECT n.id, hid, nid FROM n LEFT JOIN h ON n.hash = h.hash LEFT JOIN m ON n.name = m.name AND n.type = m.type)
+SELECT id, CASE WHEN hid IS NOT NULL THEN 'hash' WHEN nid IS NOT NULL THEN 'name' ELSE 'new' END AS kind, coalesce(hid, nid) AS existing_id FROM j""")
+def bulk_duplicates_query(spark, sf) -> DataFrame:
+    f = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"), F.col("source").alias("name"), F.col("lang").alias("type"))
+    return bulk_duplicates(f.filter("id % 3 = 0"), f.filter("id % 3 = 1"))
+
+
+@query("jn_06_default_zero", "SELECT d.doc_id, coalesce(l.quality, 0) AS semantic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def default_zero(spark, sf) -> DataFrame:
+    l_ = table(spark, sf, "labels").select("doc_id", "quality")
+    return table(spark, sf, "documents").select("doc_id").join(l_, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("semantic"))
+
+
+#: Numbers in a text with their positions: the entities of the interval joins.
+def entities(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, value: digit runs with their 0-based positions, from piece lengths; no positions are searched again."""
+    parts = F.split("text", r"[0-9]+")
+    found = F.regexp_extract_all("text", F.lit("([0-9]+)"), 1)
+    e = docs.select("doc_id", parts.alias("p"), found.alias("f")).select("doc_id", "p", "f", F.posexplode("f").alias("i", "value"))
+    before = F.aggregate(F.slice("p", 1, F.col("i") + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("f", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + F.length(x))
+    return e.select("doc_id", F.col("i").alias("nth"), before.alias("pos"), "value")
+
+
+ENTITIES = r"""pf AS (SELECT doc_id, regexp_split_to_array(text, '[0-9]+') AS p, regexp_extract_all(text, '[0-9]+') AS f FROM documents),
+ei AS (SELECT doc_id, p, f, unnest(range(len(f))) AS i FROM pf),
+ents AS (SELECT doc_id, CAST(i AS INT) AS nth, CAST(coalesce(list_sum(list_transform(list_slice(p, 1, i + 1), lambda x: length(x))), 0) + coalesce(list_sum(list_transform(list_slice(f, 1, i), lambda x: length(x))), 0) AS INT) AS pos, f[i + 1] AS value FROM ei)"""
+WINDOWS = "win AS (SELECT doc_id, CAST(k AS INT) AS k, CAST(k * 1000 AS INT) AS lo, CAST(least((k + 1) * 1000, n) AS INT) AS hi FROM (SELECT doc_id, length(text) AS n, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS k FROM documents))"
+
+
+def fixed_windows(docs: DataFrame, size: int = 1000) -> DataFrame:
+    n = F.length("text")
+    return docs.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)).alias("k")).select("doc_id", "k", (F.col("k") * size).alias("lo"), F.least((F.col("k") + 1) * size, F.col("n")).alias("hi"))
+
+
+@query("jn_07_entity_in_chunk", f"WITH {ENTITIES}, {WINDOWS} SELECT e.doc_id, e.nth, e.pos, w.k FROM ents e JOIN win w ON e.doc_id = w.doc_id AND w.lo <= e.pos AND e.pos < w.hi")
+def entity_in_chunk(spark, sf) -> DataFrame:
+    """Entities with the chunk that holds their start. Chunks are of one size, so the range condition is an equi-join on its number."""
+    d = table(spark, sf, "documents")
+    e = entities(d).withColumn("k", (F.col("pos") / 1000).cast("int"))
+    w = fixed_windows(d)
+    return e.join(w, ["doc_id", "k"]).filter("lo <= pos and pos < hi").select("doc_id", "nth", "pos", "k")
+
+
+@query("jn_08_zone_overlap", f"WITH {ENTITIES}, {WINDOWS}, z AS (SELECT doc_id, nth, greatest(pos - 100, 0) AS a, pos + 100 AS b FROM ents) SELECT z.doc_id, z.nth, w.k FROM z JOIN win w ON z.doc_id = w.doc_id AND NOT (z.b < w.lo OR z.a > w.hi)")
+def zone_overlap(spark, sf) -> DataFrame:
+    """Zones of 100 characters around entities with the chunks that they touch."""
+    d = table(spark, sf, "documents")
+    z = entities(d).select("doc_id", "nth", F.greatest(F.col("pos") - 100, F.lit(0)).alias("a"), (F.col("pos") + 100).alias("b"))
+    return z.join(fixed_windows(d), "doc_id").filter("not (b < lo or a > hi)").select("doc_id", "nth", "k")
+
+
+@query("jn_09_near_pairs", f"WITH {ENTITIES} SELECT a.doc_id, a.nth AS i, b.nth AS j, CASE WHEN length(a.value) = length(b.value) THEN 'SAME_KIND' ELSE 'NEAR' END AS relation FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.nth < b.nth AND abs(b.pos - a.pos) < 200")
+def near_pairs(spark, sf, within: int = 200) -> DataFrame:
+    """Pairs of entities of a document less than 200 characters apart: cells of that size and their neighbours are joined."""
+    e = entities(table(spark, sf, "documents")).withColumn("cell", F.floor(F.col("pos") / within))
+    a = e.select("doc_id", F.col("nth").alias("i"), F.col("pos").alias("p"), F.col("value").alias("v"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+    b = e.select("doc_id", F.col("nth").alias("j"), F.col("pos").alias("q"), F.col("value").alias("w"), "cell")
+    p = a.join(b, ["doc_id", "cell"]).filter((F.col("i") < F.col("j")) & (F.abs(F.col("q") - F.col("p")) < within))
+    return p.select("doc_id", "i", "j", F.when(F.length("v") == F.length("w"), "SAME_KIND").otherwise("NEAR").alias("relation"))
+
+
+@query("jn_10_first_containing", f"WITH {CHUNKS}, e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents) SELECT e.doc_id, e.value, coalesce(min(c.chunk_index), 0) AS chunk_index FROM e LEFT JOIN chunks c ON c.doc_id = e.doc_id AND contains(c.text, e.value) GROUP BY e.doc_id, e.value")
+def first_containing(spark, sf) -> DataFrame:
+    """Each value with the first chunk of its document that contains it, else the first of all."""
+    d = table(spark, sf, "documents")
+    e = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))).alias("value"))
+    c = chunks(d).select("doc_id", "chunk_index", "text")
+    j = e.join(c, "doc_id").filter(F.contains("text", "value")).groupBy("doc_id", "value").agg(F.min("chunk_index").alias("chunk_index"))
+    return e.join(j, ["doc_id", "value"], "left").select("doc_id", "value", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"))
+
+
+CONCEPTS = ["license", "version", "public"]
+_CONCEPT_VALUES = ", ".join(f"('{c}')" for c in CONCEPTS)
+
+
+@query("jn_11_concept_links", f"WITH {CHUNKS}, c(concept) AS (VALUES {_CONCEPT_VALUES}) SELECT doc_id, chunk_index, concept, CASE WHEN chunk_index = 0 THEN 'DEFINES' ELSE 'EXPLAINS' END AS relation FROM chunks JOIN c ON contains(lower(text), concept)")
+def concept_links(spark, sf) -> DataFrame:
+    """Concepts of a fixed list that a chunk contains: the list is part of the expression, no join is needed."""
+    c = chunks(table(spark, sf, "documents")).withColumn("low", F.lower("text"))
+    hit = F.filter(F.array(*map(F.lit, CONCEPTS)), lambda x: F.contains(F.col("low"), x))
+    return c.select("doc_id", "chunk_index", F.explode(hit).alias("concept")).withColumn("relation", F.when(F.col("chunk_index") == 0, "DEFINES").otherwise("EXPLAINS"))
+
+
+@query("jn_12_last_header", f"WITH {CHUNKS}, h AS (SELECT *, CASE WHEN length(text) < 60 THEN text END AS header FROM chunks) SELECT doc_id, chunk_index, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM h")
+def last_header(spark, sf) -> DataFrame:
+    """As-of join: the last short line at or before each chunk."""
+    h = F.when(F.length("text") < 60, F.col("text"))
+    w = W.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, 0)
+    return chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", F.last(h, ignorenulls=True).over(w).alias("chapter"))
+
+
+_PARENT = f"WITH {CHUNKS}, c AS (SELECT doc_id, chunk_index AS i, length(text) % 7 AS a, CASE WHEN length(text) < 60 THEN 1 ELSE 2 END AS level FROM chunks)"
+
+
+@query("jn_13_best_parent", _PARENT + """, s AS (SELECT k.doc_id, k.i, p.i AS parent, row_number() OVER (PARTITION BY k.doc_id, k.i ORDER BY 0.8 * CAST(k.a = p.a AS INT) + 0.2 * greatest(0, 1 - (k.i - p.i) / 100.0) DESC, p.i) AS r
+FROM c k JOIN c p ON k.doc_id = p.doc_id AND p.level = k.level - 1 AND p.i < k.i) SELECT doc_id, i AS chunk_index, parent FROM s WHERE r = 1""")
+def best_parent(spark, sf) -> DataFrame:
+    """The best earlier chunk one level up: same article first, then nearness. Of each article only the nearest can win."""
+    c = chunks(table(spark, sf, "documents")).select("doc_id", F.col("chunk_index").alias("i"), (F.length("text") % 7).alias("a"), F.when(F.length("text") < 60, 1).otherwise(2).alias("level"))
+    k = c.filter("level = 2")
+    p = c.filter("level = 1").select("doc_id", F.col("i").alias("parent"), F.col("a").alias("b"))
+    s = 0.8 * (F.col("a") == F.col("b")).cast("int") + 0.2 * F.greatest(F.lit(0.0), 1 - (F.col("i") - F.col("parent")) / 100.0)
+    j = k.join(p, "doc_id").filter("parent < i").withColumn("s", s)
+    return j.groupBy("doc_id", F.col("i").alias("chunk_index")).agg(F.min_by("parent", F.struct(-F.col("s"), "parent")).alias("parent"))
+
+
+@query("jn_14_siblings", "SELECT a.n_nationkey AS node, b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def siblings(spark, sf) -> DataFrame:
+    n = table(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("node"))
+    return n.join(n.withColumnRenamed("node", "sibling"), "n_regionkey").filter("node <> sibling").select("node", "sibling")
+
+
+@query("jn_15_nearest_line", f"WITH {CHUNKS}, {WINDOWS}, j AS (SELECT w.doc_id, w.k, c.chunk_index, row_number() OVER (PARTITION BY w.doc_id, w.k ORDER BY abs(w.lo - c.chunk_index * 50), c.chunk_index) AS r FROM win w JOIN chunks c ON w.doc_id = c.doc_id) SELECT doc_id, k, chunk_index AS line FROM j WHERE r = 1")
+def nearest_line(spark, sf) -> DataFrame:
+    """The structure line nearest to each segment, a line counting for 50 characters."""
+    d = table(spark, sf, "documents")
+    j = fixed_windows(d).join(chunks(d).select("doc_id", "chunk_index"), "doc_id")
+    far = F.struct(F.abs(F.col("lo") - F.col("chunk_index") * 50), "chunk_index")
+    return j.groupBy("doc_id", "k").agg(F.min_by("chunk_index", far).alias("line"))
+
+
+_OVERLAP = r"""q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS ws FROM benchmark),
+qw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM q), dw AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS w FROM documents),
+o AS (SELECT item_id, doc_id, n, count(*) AS k FROM qw JOIN dw USING (w) GROUP BY item_id, doc_id, n),
+b AS (SELECT item_id, doc_id, round(k / n::DOUBLE, 6) AS overlap, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, doc_id) AS r FROM o)"""
+
+
+def overlap(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """claims(item_id, text), sources(doc_id, text): shared words of each pair that shares one, joined on the word."""
+    q = claims.select("item_id", F.array_distinct(tokens(F.col("text"), 3)).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    d = sources.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), 3))).alias("w"))
+    return d.join(q, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k"))
+
+
+def _best(spark, sf) -> DataFrame:
+    o = overlap(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+    best = o.groupBy("item_id").agg(F.min_by(F.struct("doc_id", "k", "n"), F.struct(-F.col("k"), "doc_id")).alias("b"))
+    return best.select("item_id", "b.doc_id", r6(F.col("b.k") / F.col("b.n")).alias("overlap"))
+
+
+@query("jn_16_citation_source", f"WITH {_OVERLAP} SELECT item_id, doc_id, overlap, overlap > 0.3 AS found FROM b WHERE r = 1")
+def citation_source(spark, sf) -> DataFrame:
+    """The source that shares most words with each citation, found above 0.3."""
+    return _best(spark, sf).withColumn("found", F.col("overlap") > 0.3)
+
+
+@query("jn_17_claim_support", f"WITH {_OVERLAP} SELECT count(*) AS claims, count(*) FILTER (overlap > 0.3) AS supported, round(avg(overlap), 6) AS mean_overlap FROM b WHERE r = 1")
+def claim_support(spark, sf) -> DataFrame:
+    return _best(spark, sf).agg(F.count("*").alias("claims"), F.count_if(F.col("overlap") > 0.3).alias("supported"), r6(F.avg("overlap")).alias("mean_overlap"))
+
+
+@query("jn_19_definition_article", "SELECT d.doc_id, l.quality AS article FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 WHERE d.lang = 'en'")
+def definition_article(spark, sf) -> DataFrame:
+    l_ = table(spark, sf, "labels").filter("quality = 1").select("doc_id", F.col("quality").alias("article"))
+    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id").join(l_, "doc_id", "left")
+
+
+@query("jn_20_spatial_pairs", "WITH e AS (SELECT vec_id AS id, label AS page, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y FROM embeddings WHERE vec_id < 200) SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.x - b.x) < abs(a.y - b.y) THEN 'above_below' ELSE 'beside' END AS relation FROM e a JOIN e b ON a.page = b.page AND a.id < b.id AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.05")
+def spatial_pairs(spark, sf, near: float = 0.05) -> DataFrame:
+    """Elements of a page that lie close: joined by grid cell and neighbours, so a page with many elements stays cheap."""
+    e = table(spark, sf, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
+    cx, cy = F.floor(F.col("x") / near), F.floor(F.col("y") / near)
+    shift = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = e.select("page", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(shift).alias("c"))
+    b = e.select("page", F.col("id").alias("b"), "x", "y", F.struct(cx.alias("cx"), cy.alias("cy")).alias("c"))
+    dx, dy = F.abs(F.col("ax") - F.col("x")), F.abs(F.col("ay") - F.col("y"))
+    j = a.join(b, ["page", "c"]).filter((F.col("a") < F.col("b")) & (dx < near) & (dy < near))
+    return j.select("a", "b", F.when(dx < dy, "above_below").otherwise("beside").alias("relation"))
+
+
+@query("jn_21_alias_reference", "WITH a(alias, kind) AS (VALUES ('license', 'table'), ('version', 'chart')) SELECT doc_id, alias, kind FROM documents JOIN a ON contains(lower(text), alias)")
+def alias_reference(spark, sf) -> DataFrame:
+    """Elements that texts refer to by an alias; the dictionary is a fixed, small map."""
+    known = F.array(F.struct(F.lit("license").alias("alias"), F.lit("table").alias("kind")), F.struct(F.lit("version").alias("alias"), F.lit("chart").alias("kind")))
+    d = table(spark, sf, "documents").withColumn("low", F.lower("text"))
+    return d.select("doc_id", F.inline(F.filter(known, lambda x: F.contains(F.col("low"), x["alias"]))))
