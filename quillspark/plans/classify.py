@@ -1 +1,143 @@
-"""Plans."""
+"""Rule-based classifiers: rule tables are expressions of fixed size, ties go to the rule listed first."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import r6, tokens
+from quillspark.registry import query
+from quillspark.sources.tables import table
+
+KINDS = {"license": ["license", "licensed", "version"], "english": ["the", "and", "with"], "german": ["der", "und", "mit"], "spanish": ["los", "que", "del"], "french": ["les", "des", "avec"]}
+
+
+def keyword_scores(text: Column, rules: dict[str, list[str]]) -> Column:
+    """(score, -ordinal, name) of the best rule: the share of its keywords that occur."""
+    low = F.lower(text)
+    scored = [F.struct(r6(sum((F.contains(low, F.lit(k)).cast("int") for k in ks[1:]), F.contains(low, F.lit(ks[0])).cast("int")) / len(ks)).alias("score"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(rules.items())]
+    return F.array_max(F.array(*scored))
+
+
+def _sql_scores(rules: dict[str, list[str]], text: str = "text") -> str:
+    one = ["struct_pack(score := round((" + " + ".join(f"CAST(contains(lower({text}), '{k}') AS INT)" for k in ks) + f") / {len(ks)}.0::DOUBLE, 6), o := {-i}, name := '{name}')" for i, (name, ks) in enumerate(rules.items())]
+    return f"list_max([{', '.join(one)}])"
+
+
+@query("cls_01_document_type", f"WITH b AS (SELECT doc_id, {_sql_scores(KINDS)} AS b FROM documents) SELECT doc_id, b.name AS kind, b.score AS score FROM b")
+def document_type(spark, sf) -> DataFrame:
+    b = table(spark, sf, "documents").select("doc_id", keyword_scores(F.col("text"), KINDS).alias("b"))
+    return b.select("doc_id", F.col("b.name").alias("kind"), F.col("b.score").alias("score"))
+
+
+@query("cls_02_domain", f"WITH b AS (SELECT item_id, {_sql_scores(KINDS)} AS b FROM benchmark) SELECT item_id, CASE WHEN b.score > 0 THEN b.name ELSE 'general' END AS domain, b.score AS score FROM b")
+def domain(spark, sf) -> DataFrame:
+    b = table(spark, sf, "benchmark").select("item_id", keyword_scores(F.col("text"), KINDS).alias("b"))
+    return b.select("item_id", F.when(F.col("b.score") > 0, F.col("b.name")).otherwise("general").alias("domain"), F.col("b.score").alias("score"))
+
+
+_MARKS = ["license", "version", "public", "work", "general"]
+
+
+@query("cls_03_is_legal", "WITH h AS (SELECT doc_id, (" + " + ".join(f"CAST(contains(lower(text), '{m}') AS INT)" for m in _MARKS) + ") AS n FROM documents) SELECT doc_id, round(least(n / 5.0::DOUBLE, 1), 6) AS confidence, least(n / 5.0::DOUBLE, 1) > 0.2 AS legal FROM h")
+def is_legal(spark, sf) -> DataFrame:
+    low = F.lower("text")
+    c = F.least(sum((low.contains(m).cast("int") for m in _MARKS[1:]), low.contains(_MARKS[0]).cast("int")) / 5.0, F.lit(1.0))
+    return table(spark, sf, "documents").select("doc_id", r6(c).alias("confidence"), (c > 0.2).alias("legal"))
+
+
+@query("cls_04_context_type", "WITH p AS (SELECT doc_id, strpos(lower(text), 'license') AS p, lower(text) AS t FROM documents), c AS (SELECT doc_id, p, substr(t, greatest(p - 100, 1), 207) AS c FROM p WHERE p > 0) SELECT doc_id, CASE WHEN contains(c, 'apache') THEN 'apache' WHEN contains(c, 'general public') THEN 'gpl' ELSE 'other' END AS kind, (CASE WHEN contains(c, 'apache') THEN 0.9 WHEN contains(c, 'general public') THEN 0.8 ELSE 0.3 END)::DOUBLE AS confidence FROM c")
+def context_type(spark, sf) -> DataFrame:
+    p = F.locate("license", F.lower("text"))
+    c = table(spark, sf, "documents").select("doc_id", p.alias("p"), F.substring(F.lower("text"), F.greatest(p - 100, F.lit(1)), F.lit(207)).alias("c")).filter("p > 0")
+    a, g = F.contains("c", F.lit("apache")), F.contains("c", F.lit("general public"))
+    return c.select("doc_id", F.when(a, "apache").when(g, "gpl").otherwise("other").alias("kind"), F.when(a, 0.9).when(g, 0.8).otherwise(0.3).alias("confidence"))
+
+
+QUERY_TYPES = {"definition": "(is|was|are) ", "procedure": "(to|from|with) ", "numeric": "[0-9]+", "comparison": "(or|and) "}
+
+
+def type_hits(text: Column, rules: dict[str, str]) -> Column:
+    """(hits, -ordinal, name) of the pattern that occurs most often."""
+    low = F.lower(text)
+    return F.array_max(F.array(*[F.struct(F.regexp_count(low, F.lit(p)).cast("long").alias("hits"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, (n, p) in enumerate(rules.items())]))
+
+
+_HITS = "list_max([" + ", ".join(f"struct_pack(hits := len(regexp_extract_all(lower(text), '{p}')), o := {-i}, name := '{n}')" for i, (n, p) in enumerate(QUERY_TYPES.items())) + "])"
+_TYPED = f"b AS (SELECT item_id, text, {_HITS} AS b FROM benchmark)"
+
+
+def typed(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", "text", type_hits(F.col("text"), QUERY_TYPES).alias("b"))
+
+
+@query("cls_05_query_type", f"WITH {_TYPED} SELECT item_id, CASE WHEN b.hits > 0 THEN b.name ELSE 'general' END AS type, b.hits AS hits FROM b")
+def query_type(spark, sf) -> DataFrame:
+    return typed(spark, sf).select("item_id", F.when(F.col("b.hits") > 0, F.col("b.name")).otherwise("general").alias("type"), F.col("b.hits").alias("hits"))
+
+
+@query("cls_06_query_scores", rf"WITH {_TYPED}, s AS (SELECT item_id, b.hits AS h, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS n, len(regexp_extract_all(text, '[,;]')) AS c FROM b) SELECT item_id, round(least(0.5 + 0.1 * h, 1), 6)::DOUBLE AS confidence, round(least(n / 50.0::DOUBLE + 0.1 * c, 1), 6)::DOUBLE AS complexity, round(greatest(0, 1 - n / 20.0::DOUBLE), 6)::DOUBLE AS ambiguity FROM s")
+def query_scores(spark, sf) -> DataFrame:
+    n, c = F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+")), F.regexp_count("text", F.lit("[,;]"))
+    return typed(spark, sf).select(
+        "item_id", r6(F.least(0.5 + 0.1 * F.col("b.hits"), F.lit(1.0))).alias("confidence"),
+        r6(F.least(n / 50.0 + 0.1 * c, F.lit(1.0))).alias("complexity"), r6(F.greatest(F.lit(0.0), 1 - n / 20.0)).alias("ambiguity"),
+    )
+
+
+BOOSTS = {"definition": ("has_definition", 1.5), "procedure": ("has_steps", 1.3), "numeric": ("has_numbers", 1.4), "comparison": ("is_table", 1.2)}
+
+
+@query("cls_07_boosts", f"WITH {_TYPED}, r(type, field, boost) AS (VALUES " + ", ".join(f"('{k}', '{f}', {v}::DOUBLE)" for k, (f, v) in BOOSTS.items()) + ") SELECT item_id, field, boost FROM b JOIN r ON b.b.name = r.type AND b.b.hits > 0")
+def boosts(spark, sf) -> DataFrame:
+    rules = F.create_map(*[x for k, (f, v) in BOOSTS.items() for x in (F.lit(k), F.struct(F.lit(f).alias("field"), F.lit(v).alias("boost")))])
+    return typed(spark, sf).filter("b.hits > 0").select("item_id", rules[F.col("b.name")].alias("r")).select("item_id", "r.field", "r.boost")
+
+
+@query("cls_08_intent", r"WITH m AS (SELECT conv_id, turn, lower(text) AS t, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN n <= 3 THEN 'chat' WHEN contains(t, 'how') THEN 'procedure' WHEN contains(t, 'what') THEN 'definition' WHEN contains(t, '?') THEN 'question' ELSE 'statement' END AS intent, CASE WHEN n < 5 THEN 'simple' WHEN n < 15 THEN 'medium' WHEN n < 40 THEN 'complex' ELSE 'expert' END AS complexity FROM m")
+def intent(spark, sf) -> DataFrame:
+    t, n = F.lower("text"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+"))
+    kind = F.when(n <= 3, "chat").when(t.contains("how"), "procedure").when(t.contains("what"), "definition").when(t.contains("?"), "question").otherwise("statement")
+    level = F.when(n < 5, "simple").when(n < 15, "medium").when(n < 40, "complex").otherwise("expert")
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("intent"), level.alias("complexity"))
+
+
+@query("cls_09_search_mode", "WITH m AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' WHEN contains(lower(text), 'table') THEN 'table' WHEN contains(text, '?') THEN 'question' ELSE 'general' END AS kind FROM conversations) SELECT conv_id, turn, kind, CASE kind WHEN 'numeric' THEN 'numerical' WHEN 'table' THEN 'structured' WHEN 'question' THEN 'balanced' ELSE 'recall' END AS mode FROM m")
+def search_mode(spark, sf) -> DataFrame:
+    t = F.col("text")
+    kind = F.when(t.rlike("[0-9]"), "numeric").when(F.lower(t).contains("table"), "table").when(t.contains("?"), "question").otherwise("general")
+    m = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"))
+    k = F.col("kind")
+    return m.withColumn("mode", F.when(k == "numeric", "numerical").when(k == "table", "structured").when(k == "question", "balanced").otherwise("recall"))
+
+
+@query("cls_10_strategy", "SELECT item_id, CASE WHEN length(text) < 120 THEN 'direct' WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'multi_step' END AS strategy, CASE WHEN length(text) < 120 THEN '1-3' ELSE '1-10' END AS articles FROM benchmark")
+def strategy(spark, sf) -> DataFrame:
+    short = F.length("text") < 120
+    return table(spark, sf, "benchmark").select("item_id", F.when(short, "direct").when(F.col("text").rlike("[0-9]"), "numeric").otherwise("multi_step").alias("strategy"), F.when(short, "1-3").otherwise("1-10").alias("articles"))
+
+
+_IMPORTANCE = "CASE WHEN regexp_matches(lower(text), 'license|version') THEN 'critical' WHEN contains(text, '?') THEN 'high' WHEN role = 'assistant' AND length(text) > 200 THEN 'medium' ELSE 'low' END"
+
+
+def message_importance(text: Column, role: Column) -> Column:
+    return F.when(F.lower(text).rlike("license|version"), "critical").when(text.contains("?"), "high").when((role == "assistant") & (F.length(text) > 200), "medium").otherwise("low")
+
+
+@query("cls_11_importance", f"SELECT conv_id, turn, {_IMPORTANCE} AS importance FROM conversations")
+def importance(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", message_importance(F.col("text"), F.col("role")).alias("importance"))
+
+
+@query("cls_12_expertise", f"WITH s AS (SELECT conv_id, avg(CASE {_IMPORTANCE} WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS m FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT conv_id, round(m, 6) AS score, CASE WHEN m >= 2 THEN 'expert' WHEN m >= 1 THEN 'advanced' WHEN m > 0 THEN 'basic' ELSE 'novice' END AS level FROM s")
+def expertise(spark, sf) -> DataFrame:
+    i = message_importance(F.col("text"), F.col("role"))
+    m = table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.avg(F.when(i == "critical", 3).when(i == "high", 2).when(i == "medium", 1).otherwise(0)).alias("m"))
+    return m.select("conv_id", r6("m").alias("score"), F.when(F.col("m") >= 2, "expert").when(F.col("m") >= 1, "advanced").when(F.col("m") > 0, "basic").otherwise("novice").alias("level"))
+
+
+@query("cls_13_file_type", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.html') THEN 'html' WHEN contains(url, '/feed') OR contains(url, 'source=feed') THEN 'feed' WHEN contains(substr(lower(html), 1, 1000), '<!doctype') THEN 'page' ELSE 'fragment' END AS kind FROM pages")
+def file_type(spark, sf) -> DataFrame:
+    u = F.col("url")
+    kind = F.when(u.rlike(r"\.html"), "html").when(u.contains("/feed") | u.contains("source=feed"), "feed").when(F.substring(F.lower("html"), 1, 1000).contains("<!doctype"), "page").otherwise("fragment")
+    return table(spark, sf, "pages").select("page_id", kind.alias("kind"))
