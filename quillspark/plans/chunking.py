@@ -1 +1,210 @@
-"""Plans."""
+"""Chunkers: one document to many chunks. Column expressions where positions allow it, Python where state is carried along."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import r6
+from quillspark.plans.joins import WINDOWS, fixed_windows
+from quillspark.registry import query
+from quillspark.sources.tables import CHUNKS, chunks, table
+
+
+def per_document(docs: DataFrame, split, schema: str) -> DataFrame:
+    """split(text) -> rows, run on Arrow batches; a document is never divided between tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in split(t or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
+def recursive_split(text: str, size: int = 1000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Pieces of at most ``size`` characters, cut at the coarsest mark that will do, each starting with the end of the one before."""
+    mark = next(m for m in marks if m == "" or m in text)
+    finer = marks[marks.index(mark) + 1 :]
+    out: list[str] = []
+    run: list[str] = []
+
+    def flush() -> None:
+        joined = mark.join(run).strip()
+        if joined:
+            out.append(joined)
+
+    for part in text.split(mark) if mark else list(text):
+        if len(part) > size and finer:
+            flush()
+            run.clear()
+            out.extend(recursive_split(part, size, overlap, finer))
+            continue
+        if run and sum(map(len, run)) + len(mark) * len(run) + len(part) > size:
+            flush()
+            while run and (sum(map(len, run)) + len(mark) * (len(run) - 1) > overlap or sum(map(len, run)) + len(mark) * len(run) + len(part) > size):
+                run.pop(0)
+        run.append(part)
+    flush()
+    return out
+
+
+@query("chk_01_recursive")
+def recursive(spark, sf) -> DataFrame:
+    return per_document(table(spark, sf, "documents"), lambda t: [(i, x) for i, x in enumerate(recursive_split(t))], "doc_id long, chunk_index int, text string")
+
+
+@query("chk_02_header_split", r"WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\n') AS ls FROM documents), l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM p), h AS (SELECT *, sum(CASE WHEN length(line) BETWEEN 1 AND 59 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l) SELECT doc_id, CAST(part AS BIGINT) AS part, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM h GROUP BY doc_id, part")
+def header_split(spark, sf) -> DataFrame:
+    """A chunk runs from one header line to the next."""
+    l_ = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    part = F.sum(F.when(F.length("line").between(1, 59), 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("i"))
+    return l_.withColumn("part", part).groupBy("doc_id", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+#: Levels of the structure cascade, coarse to fine, with the pattern of a header at each; generic pack.
+LEVELS = [("section", r"(?m)^#\s*(.+)$"), ("chapter", r"(?m)^(?=.{1,40}$)(.+)$"), ("article", r"(?m)^(?=.{41,80}$)(.+)$"), ("part", r"(?m)^(\d+)\.\s+")]
+
+
+def cascade(text: str, levels=LEVELS) -> list[tuple]:
+    """(level, path, start, end) of every piece: a header opens a piece that ends at the next header of its level or above."""
+    heads = sorted({(m.start(), k) for k, (_, p) in enumerate(levels) for m in re.finditer(p, text)})
+    out, path = [], [0] * len(levels)
+    for i, (at, k) in enumerate(heads):
+        path[k] += 1
+        path[k + 1 :] = [0] * (len(levels) - k - 1)
+        end = next((a for a, j in heads[i + 1 :] if j <= k), len(text))
+        out.append((levels[k][0], ".".join(map(str, path[: k + 1])), at, end))
+    return out or ([("document", "0", 0, len(text))] if text else [])
+
+
+@query("chk_03_cascade")
+def cascade_query(spark, sf) -> DataFrame:
+    return per_document(table(spark, sf, "documents"), cascade, "doc_id long, level string, path string, start long, end long")
+
+
+@query("chk_04_enrichment", rf"WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, CASE WHEN regexp_matches(text, '(?i)must|shall') THEN 'mandatory' WHEN regexp_matches(text, '(?i)may not') THEN 'prohibited' ELSE 'none' END AS modality, len(regexp_extract_all(text, '[0-9]+')) AS refs, len(regexp_extract_all(text, '%')) AS limits FROM chunks) SELECT doc_id, chunk_index, modality, refs, round(least(2, 1 + CASE WHEN modality <> 'none' THEN 0.5 ELSE 0 END + CASE WHEN limits > 0 THEN 0.3 ELSE 0 END + 0.2 * refs), 6)::DOUBLE AS importance FROM e")
+def enrichment(spark, sf) -> DataFrame:
+    """Modality, references and importance: 1, with 0.5 and 0.3 for modality and limits and 0.2 a reference, at most 2."""
+    t = F.col("text")
+    modality = F.when(t.rlike("(?i)must|shall"), "mandatory").when(t.rlike("(?i)may not"), "prohibited").otherwise("none")
+    refs, limits = F.regexp_count(t, F.lit("[0-9]+")), F.regexp_count(t, F.lit("%"))
+    imp = F.least(F.lit(2.0), 1 + F.when(modality != "none", 0.5).otherwise(0.0) + F.when(limits > 0, 0.3).otherwise(0.0) + 0.2 * refs)
+    return chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", modality.alias("modality"), refs.cast("long").alias("refs"), r6(imp).alias("importance"))
+
+
+def sized(text: str, least: int = 100, best: int = 1000, most: int = 2000) -> list[tuple]:
+    """Lines as segments; too long ones fall to sentences, clauses, words; short ones join the one before."""
+    parts: list[str] = []
+    for line in filter(str.strip, text.split("\n")):
+        for p in [line] if len(line) <= most else _by_size(line, best):
+            if parts and (len(p) < least or len(parts[-1]) < least) and len(parts[-1]) + len(p) < best:
+                parts[-1] += "\n" + p
+            else:
+                parts.append(p)
+    return [(i, p, len(p)) for i, p in enumerate(parts)]
+
+
+def _by_size(text: str, size: int) -> list[str]:
+    for pattern in (r"(?<=[.!?])\s+", r"(?<=[;,])\s+", r"\s+"):
+        bits = re.split(pattern, text)
+        if max(map(len, bits)) <= size:
+            break
+    out = [""]
+    for b in bits:
+        if out[-1] and len(out[-1]) + 1 + len(b) > size:
+            out.append("")
+        out[-1] = f"{out[-1]} {b}".strip()
+    return out
+
+
+@query("chk_05_line_structure")
+def line_structure(spark, sf) -> DataFrame:
+    return per_document(table(spark, sf, "documents"), sized, "doc_id long, chunk_index int, text string, n long")
+
+
+@query("chk_06_segments")
+def segments(spark, sf) -> DataFrame:
+    """The line-structure chunks with their neighbours as relations."""
+    c = line_structure(spark, sf)
+    w = W.partitionBy("doc_id").orderBy("chunk_index")
+    return c.select("doc_id", "chunk_index", "n", F.lag("chunk_index").over(w).alias("previous"), F.lead("chunk_index").over(w).alias("next"))
+
+
+@query("chk_07_article_aware")
+def article_aware(spark, sf) -> DataFrame:
+    """Sized chunks headed by the last short line before them."""
+
+    def split(text: str) -> list[tuple]:
+        head, out = "", []
+        for i, p, n in sized(text, 80, 800, 1200):
+            first = p.split("\n")[0]
+            head = first if len(first) < 60 else head
+            out.append((i, f"{head}\n{p}" if head and first != head else p, n))
+        return out
+
+    return per_document(table(spark, sf, "documents"), split, "doc_id long, chunk_index int, text string, n long")
+
+
+@query("chk_08_rechunk")
+def rechunk(spark, sf) -> DataFrame:
+    """Chunks above 500 characters that hold a number are chunked again; the others stay."""
+    c = article_aware(spark, sf)
+    big = (F.length("text") > 500) & F.col("text").rlike("[0-9]")
+    again = per_document(c.filter(big).select(F.col("doc_id"), "text"), lambda t: [(i, p, n) for i, p, n in sized(t, 50, 400, 500)], "doc_id long, chunk_index int, text string, n long")
+    return c.filter(~big).unionByName(again)
+
+
+@query("chk_09_hierarchy", "WITH RECURSIVE e(child, parent) AS (SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer), h AS (SELECT child, parent, 1 AS depth FROM e WHERE starts_with(parent, 'R') UNION ALL SELECT e.child, e.parent, h.depth + 1 FROM e JOIN h ON e.parent = h.child) SELECT child, parent, depth FROM h")
+def hierarchy(spark, sf) -> DataFrame:
+    """Depth of every node below its root; two levels here, so two joins; a cycle would have no root and no row."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.lit(1).alias("depth"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
+    return n.unionByName(c.join(n.select(F.col("child").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent"))
+
+
+def boundaries(text: str, size: int = 1000, window: int = 200) -> list[tuple]:
+    """Cuts near every ``size`` characters: the best mark in the window, less half a point for each window's distance."""
+    worth = {"\n": 1.0, ".": 0.9, "!": 0.9, "?": 0.9, ";": 0.6, ",": 0.4, " ": 0.2}
+    out, at = [], 0
+    while len(text) - at > size:
+        goal = at + size
+        best = max(range(max(at + 1, goal - window), min(len(text), goal + window)), key=lambda p: (worth.get(text[p - 1], 0) - 0.5 * abs(p - goal) / window, -p))
+        out.append((len(out), best, round(worth.get(text[best - 1], 0) - 0.5 * abs(best - goal) / window, 6)))
+        at = best
+    return out
+
+
+@query("chk_10_boundaries")
+def boundaries_query(spark, sf) -> DataFrame:
+    return per_document(table(spark, sf, "documents"), boundaries, "doc_id long, nth int, position long, quality double")
+
+
+@query("chk_11_priority", rf"WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, len(regexp_extract_all(text, '[0-9]+')) AS a, len(regexp_extract_all(text, '@')) AS b FROM chunks), c AS (SELECT *, least(1, 0.3 * a + 0.2 * b) AS crit FROM n) SELECT doc_id, chunk_index, CASE WHEN a + b >= 3 THEN 'high' WHEN a + b >= 1 THEN 'medium' ELSE 'low' END AS priority, round(crit, 6)::DOUBLE AS criticality, round(1 + crit * 0.5, 2)::DOUBLE AS boost FROM c")
+def priority(spark, sf) -> DataFrame:
+    a, b = F.regexp_count("text", F.lit("[0-9]+")), F.regexp_count("text", F.lit("@"))
+    crit = F.least(F.lit(1.0), 0.3 * a + 0.2 * b)
+    level = F.when(a + b >= 3, "high").when(a + b >= 1, "medium").otherwise("low")
+    return chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", level.alias("priority"), r6(crit).alias("criticality"), F.round(1 + crit * 0.5, 2).alias("boost"))
+
+
+@query("chk_12_fixed_windows", f"WITH {WINDOWS} SELECT w.doc_id, k AS chunk_index, substr(text, lo + 1, hi - lo) AS chunk FROM win w JOIN documents d ON w.doc_id = d.doc_id")
+def fixed(spark, sf, size: int = 1000) -> DataFrame:
+    n = F.ceil(F.length("text") / size).cast("int")
+    d = table(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+    return d.select("doc_id", "chunk_index", F.substring("text", F.col("chunk_index") * size + 1, F.lit(size)).alias("chunk"))
+
+
+@query("chk_13_articles", f"WITH {CHUNKS}, h AS (SELECT doc_id, chunk_index, text, length(text) < 60 AS head FROM chunks), p AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS article FROM h) SELECT doc_id, CAST(article AS BIGINT) AS article, max(CASE WHEN head THEN text END) AS title, coalesce(string_agg(CASE WHEN NOT head THEN text END, chr(10) ORDER BY chunk_index), '') AS body FROM p WHERE article > 0 GROUP BY doc_id, article")
+def articles(spark, sf) -> DataFrame:
+    """Articles with title and body: lines gather under the last header."""
+    head = F.length("text") < 60
+    w = W.partitionBy("doc_id").orderBy("chunk_index")
+    p = chunks(table(spark, sf, "documents")).withColumn("head", head).withColumn("article", F.sum(F.col("head").cast("int")).over(w)).filter("article > 0")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("chunk_index", "text")))), lambda x: x["text"]), "\n")
+    return p.groupBy("doc_id", "article").agg(F.max(F.when(F.col("head"), F.col("text"))).alias("title"), body.alias("body"))

@@ -1 +1,247 @@
-"""Plans."""
+"""Retrieval: inverted index, BM25, vector top-k, hybrid and rank fusion, reranking, answers.
+
+The exploded tokens are the one large table: counts are combined before every shuffle, queries are small and broadcast after a
+bound on their number, rankings are top-k or per-query windows with the document id as last key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import cosine, jaccard, r6, tokens
+from quillspark.plans.relational import NEAREST, nearest_to_one, sentence_score, sentences
+from quillspark.registry import query
+from quillspark.sources.tables import table
+
+K1, B, FLOOR = 1.5, 0.8, 0.25
+_TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)"
+
+
+def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tf: doc_id, term, tf, dl), (df: term, df), (stats: n, avgdl over all documents)."""
+    t = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
+    lengths = t.select("doc_id", F.size("ts").alias("dl"))
+    tf = t.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return tf, tf.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """docs(doc_id, text), queries(item_id, text) -> item_id, doc_id, score. Okapi: repeated query terms count repeatedly, negative
+    idf becomes a share of the mean idf over all terms. Only postings of query terms take part in the join."""
+    tf, df, stats = index(docs)
+    q = queries.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qn"))
+    idf = df.join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = idf.agg(F.avg("raw").alias("mean"))
+    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    wanted = q.join(idf, "term")
+    hit = tf.join(wanted, "term")
+    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hit.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
+BM25 = f"""tk AS (SELECT doc_id, {_TOK} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk),
+tx AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tk), tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM tx GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ri AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, st), mi AS (SELECT avg(raw) AS mean FROM ri), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM ri, mi),
+qx AS (SELECT item_id, unnest({_TOK}) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS qn FROM qx GROUP BY ALL),
+bm AS (SELECT item_id, doc_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.8 + 0.8 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY item_id, doc_id),
+norm AS (SELECT item_id, doc_id, round(CASE WHEN max(score) OVER (PARTITION BY item_id) = min(score) OVER (PARTITION BY item_id) THEN 0 ELSE (score - min(score) OVER (PARTITION BY item_id)) / (max(score) OVER (PARTITION BY item_id) - min(score) OVER (PARTITION BY item_id)) END, 6) AS s FROM bm)"""
+
+
+def normalized(scores: DataFrame) -> DataFrame:
+    """Scores of each query brought to 0..1 (zeros if all are equal), by aggregated bounds."""
+    b = scores.groupBy("item_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    s = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return scores.join(b, "item_id").select("item_id", "doc_id", r6(s).alias("s"))
+
+
+def top(df: DataFrame, k: int, score: str = "s") -> DataFrame:
+    """The best k of each query with their rank; a partial limit keeps k rows a query and task before the shuffle."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(score), "doc_id"))).filter(F.col("rank") <= k)
+
+
+def _scores(spark, sf) -> DataFrame:
+    return normalized(bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query("ret_01_bm25", f"WITH {BM25} SELECT doc_id, s AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM norm WHERE item_id = 0 QUALIFY rank <= 10")
+def bm25_query(spark, sf) -> DataFrame:
+    s = normalized(bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark").filter("item_id = 0")))
+    return top(s, 10).select("doc_id", F.col("s").alias("score"), "rank")
+
+
+@query("top_01_hybrid", f"WITH {BM25} SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5")
+def top_hybrid(spark, sf) -> DataFrame:
+    return top(_scores(spark, sf), 5).select("item_id", "doc_id", "s", "rank")
+
+
+@query("ret_02_knn", f"WITH {NEAREST} SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 10")
+def knn(spark, sf, k: int = 10) -> DataFrame:
+    """Exact nearest neighbours of one vector: one scan, a top-k, no sort of all rows."""
+    best = nearest_to_one(spark, sf).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    return best.select("vec_id", "similarity", F.row_number().over(W.orderBy(F.desc("similarity"), "vec_id")).alias("rank"))
+
+
+_HYBRID = f"""{BM25}, v AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS c FROM embeddings e JOIN (SELECT item_id FROM benchmark) b ON true JOIN embeddings q ON q.vec_id = b.item_id),
+vt AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) <= 50), hy AS (SELECT n.item_id, n.doc_id, n.s, coalesce(vt.c, 0) AS c, round(0.5 * n.s + 0.5 * coalesce(vt.c, 0), 8) AS h FROM norm n LEFT JOIN vt ON n.item_id = vt.item_id AND n.doc_id = vt.doc_id)"""
+
+
+def vector_candidates(spark, sf, k: int = 50) -> DataFrame:
+    """Nearest vectors of each query: the queries (a bounded set) are broadcast against one scan of the vectors."""
+    e = table(spark, sf, "embeddings")
+    q = table(spark, sf, "benchmark").select("item_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
+    s = e.join(F.broadcast(q)).select("item_id", F.col("vec_id").alias("doc_id"), r6(cosine(F.col("embedding"), F.col("q"))).alias("c"))
+    return top(s, k, "c").drop("rank")
+
+
+def hybrid(spark, sf, w: float = 0.5) -> DataFrame:
+    j = _scores(spark, sf).join(vector_candidates(spark, sf), ["item_id", "doc_id"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    return j.withColumn("h", F.round(w * F.col("s") + (1 - w) * F.col("c"), 8))
+
+
+@query("ret_03_hybrid", f"WITH {_HYBRID} SELECT item_id, doc_id, s, c, h, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM hy QUALIFY rank <= 5")
+def hybrid_query(spark, sf) -> DataFrame:
+    return top(hybrid(spark, sf), 5, "h").select("item_id", "doc_id", "s", "c", "h", "rank")
+
+
+@query("ret_04_text_rank", f"WITH tk AS (SELECT doc_id, {_TOK} AS ts FROM documents) SELECT doc_id, round(len(list_filter(ts, lambda w: w IN ('license', 'version', 'public'))) / (1 + ln(1 + len(ts))), 6) AS rank FROM tk WHERE len(list_filter(ts, lambda w: w IN ('license', 'version', 'public'))) > 0")
+def text_rank(spark, sf) -> DataFrame:
+    """Term frequency of the query's words over one plus the log of the length. Stemming has no built-in and is left to the tokens."""
+    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("ts"))
+    n = F.size(F.filter("ts", lambda w: w.isin("license", "version", "public")))
+    return t.filter(n > 0).select("doc_id", r6(n / (1 + F.log(1.0 + F.size("ts")))).alias("rank"))
+
+
+@query("ret_05_feature_scan", rf"WITH f AS (SELECT doc_id, list_distinct({_TOK}) AS ws, ['license', 'version', 'public'] AS q, regexp_matches(text, '[0-9]') AS e, length(text) AS n FROM documents), s AS (SELECT doc_id, len(list_intersect(ws, q)) / len(list_distinct(list_concat(ws, q)))::DOUBLE AS sem, e, n FROM f) SELECT doc_id, round(0.35 * sem + 0.25 * CAST(e AS INT) + 0.15 * CAST(n > 500 AS INT) + 0.10 * least(n / 10000.0::DOUBLE, 1) + 0.08 * 0.5, 6) AS score FROM s")
+def feature_scan(spark, sf) -> DataFrame:
+    """A weighted sum of features in one projection: semantic overlap, entities, context, authority, recency."""
+    q = F.array(*map(F.lit, ["license", "version", "public"]))
+    n = F.length("text")
+    s = 0.35 * jaccard(tokens(F.col("text")), q) + 0.25 * F.col("text").rlike("[0-9]").cast("int") + 0.15 * (n > 500).cast("int") + 0.10 * F.least(n / 10000.0, F.lit(1.0)) + 0.08 * 0.5
+    return table(spark, sf, "documents").select("doc_id", r6(s).alias("score"))
+
+
+@query("ret_06_multi_strategy", f"""WITH {BM25}, u AS (SELECT item_id, doc_id, s FROM norm UNION ALL SELECT item_id, doc_id, 0.95 FROM benchmark JOIN documents ON item_id = doc_id UNION ALL SELECT item_id, doc_id, round(s * 0.9, 6) FROM norm),
+m AS (SELECT item_id, doc_id, max(s) AS s FROM u GROUP BY ALL) SELECT item_id, doc_id, round(least(m.s + CASE WHEN lang = 'en' THEN 0.05 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 0.02 ELSE 0 END, 1), 6) AS score FROM m JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
+def multi_strategy(spark, sf) -> DataFrame:
+    """Branches for meaning, exact id and synonyms; the best of each document with bonuses, capped at 1."""
+    s, d = _scores(spark, sf), table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    exact = table(spark, sf, "benchmark").select("item_id").join(d.select("doc_id"), F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", F.lit(0.95).alias("s"))
+    u = s.unionByName(exact).unionByName(s.select("item_id", "doc_id", r6(F.col("s") * 0.9).alias("s"))).groupBy("item_id", "doc_id").agg(F.max("s").alias("s"))
+    bonus = F.when(F.col("lang") == "en", 0.05).otherwise(0.0) + F.when(F.col("n_chars") > 2000, 0.02).otherwise(0.0)
+    return top(u.join(d, "doc_id").select("item_id", "doc_id", r6(F.least(F.col("s") + bonus, F.lit(1.0))).alias("score")), 10, "score").drop("rank")
+
+
+def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
+    """lists(item_id, doc_id, list, rank) -> item_id, doc_id, rrf, appearances."""
+    return lists.groupBy("item_id", "doc_id").agg(r6(F.sum(1.0 / (k + F.col("rank")))).alias("rrf"), F.count("*").alias("appearances"))
+
+
+_LISTS = f"""{_HYBRID}, ls AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 20 UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) AS rank FROM vt QUALIFY rank <= 20),
+fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, count(*) AS appearances FROM ls GROUP BY ALL)"""
+
+
+def _lists(spark, sf, k: int = 20) -> DataFrame:
+    a = top(_scores(spark, sf), k).select("item_id", "doc_id", "rank")
+    return a.unionByName(top(vector_candidates(spark, sf), k, "c").select("item_id", "doc_id", "rank"))
+
+
+@query("ret_07_rrf", f"WITH {_LISTS} SELECT * FROM fu")
+def rrf_query(spark, sf) -> DataFrame:
+    return rrf(_lists(spark, sf))
+
+
+@query("ret_08_fusion_search", f"WITH {_LISTS} SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM fu QUALIFY rank <= 10")
+def fusion_search(spark, sf) -> DataFrame:
+    return top(rrf(_lists(spark, sf)), 10, "rrf").select("item_id", "doc_id", "rrf", "rank")
+
+
+@query("jn_22_multi_query", f"WITH {BM25} SELECT item_id, count(*) AS candidates, max(s) AS best FROM norm GROUP BY item_id")
+def multi_query(spark, sf) -> DataFrame:
+    """All queries against the corpus in one pass over its postings."""
+    return _scores(spark, sf).groupBy("item_id").agg(F.count("*").alias("candidates"), F.max("s").alias("best"))
+
+
+@query("ret_09_expansion", "SELECT item_id, concat_ws(' | ', text, lower(text), substr(text, 1, 40)) AS query FROM benchmark")
+def expansion(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" | ", "text", F.lower("text"), F.substring("text", 1, 40)).alias("query"))
+
+
+def rerank(candidates: DataFrame, scorer=None, k: int = 5, weight: float = 0.6, longest: int = 4000) -> DataFrame:
+    """candidates(item_id, doc_id, query, text, s): the logit of a scorer through a sigmoid, blended with the first score.
+
+    scorer(query, text) -> logit as a Column; without one, word overlap stands in for a cross-encoder. The text is what a scorer
+    sees; its cut is the model's input limit.
+    """
+    q, t = F.col("query"), F.substring("text", 1, longest)
+    logit = scorer(q, t) if scorer else 4 * jaccard(tokens(q), tokens(t)) - 2
+    s = weight / (1 + F.exp(-logit)) + (1 - weight) * F.col("s")
+    return top(candidates.select("item_id", "doc_id", r6(s).alias("score")), k, "score")
+
+
+_SET = _TOK.replace("text", "{0}")
+
+
+@query("ret_10_rerank", f"""WITH {BM25}, c AS (SELECT item_id, doc_id, s FROM norm QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 20),
+j AS (SELECT c.item_id, c.doc_id, s, {_SET.replace('{0}', 'b.text')} AS q, {_SET.replace('{0}', 'substr(d.text, 1, 4000)')} AS t FROM c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+k AS (SELECT item_id, doc_id, round(0.6 / (1 + exp(-(4 * (len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t)))::DOUBLE) - 2))) + 0.4 * s, 6) AS score FROM j) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 5""")
+def rerank_query(spark, sf) -> DataFrame:
+    c = top(_scores(spark, sf), 20).drop("rank")
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
+    return rerank(c.join(b, "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@query("ret_11_no_rerank", f"WITH {BM25} SELECT item_id, doc_id, s AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5")
+def no_rerank(spark, sf) -> DataFrame:
+    return top(_scores(spark, sf), 5).select("item_id", "doc_id", F.col("s").alias("score"), "rank")
+
+
+@query("ret_12_graph_boost", f"WITH {NEAREST}, r AS (SELECT vec_id, least(1, similarity + 0.5 * 0.1 * (vec_id % 4)) AS f FROM s WHERE similarity >= 0.1) SELECT vec_id, round(f, 6)::DOUBLE AS final FROM r WHERE f >= 0.15 ORDER BY 2 DESC, vec_id LIMIT 10")
+def graph_boost(spark, sf) -> DataFrame:
+    """Similarity lifted by half the graph boost, gated before and after, best ten."""
+    s = nearest_to_one(spark, sf).filter("similarity >= 0.1")
+    f = F.least(F.lit(1.0), F.col("similarity") + 0.5 * 0.1 * (F.col("vec_id") % 4))
+    return s.select("vec_id", r6(f).alias("final")).filter("final >= 0.15").orderBy(F.desc("final"), "vec_id").limit(10)
+
+
+@query("ret_13_post_process", f"WITH {BM25}, p AS (SELECT item_id, doc_id, round(s + CASE WHEN d.n_chars > 1000 THEN 0.1 WHEN d.n_chars > 500 THEN 0.02 ELSE 0 END, 6) AS final, 'source ' || source AS ref FROM norm JOIN documents d USING (doc_id)) SELECT item_id, doc_id, final, ref FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) <= 5")
+def post_process(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.concat(F.lit("source "), "source").alias("ref"))
+    bonus = F.when(F.col("n_chars") > 1000, 0.1).when(F.col("n_chars") > 500, 0.02).otherwise(0.0)
+    return top(_scores(spark, sf).join(d, "doc_id").select("item_id", "doc_id", r6(F.col("s") + bonus).alias("final"), "ref"), 5, "final").drop("rank")
+
+
+@query("ret_14_type_bonus", "SELECT page_id, (CASE WHEN contains(html, '<table') THEN 0.03 WHEN contains(html, '<img') THEN 0.02 ELSE 0.01 END + CASE WHEN page_id % 5 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS bonus FROM pages")
+def type_bonus(spark, sf) -> DataFrame:
+    kind = F.when(F.contains("html", F.lit("<table")), 0.03).when(F.contains("html", F.lit("<img")), 0.02).otherwise(0.01)
+    return table(spark, sf, "pages").select("page_id", F.round(kind + F.when(F.col("page_id") % 5 == 0, 0.05).otherwise(0.0), 2).alias("bonus"))
+
+
+@query("ret_15_answer", f"""WITH {BM25}, c AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5),
+t AS (SELECT c.item_id, c.rank, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1] AS s FROM c JOIN documents USING (doc_id))
+SELECT item_id, string_agg(s, '. ' ORDER BY rank) AS answer FROM t GROUP BY item_id""")
+def answer(spark, sf) -> DataFrame:
+    """The first sentences of the best five texts, in rank order."""
+    c = top(_scores(spark, sf), 5).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    t = c.select("item_id", F.struct("rank", F.get(sentences(F.col("text")), F.lit(0)).alias("s")).alias("x"))
+    return t.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), ". ").alias("answer"))
+
+
+@query("ret_16_definition_lookup", f"WITH {_LISTS} SELECT item_id, doc_id, rrf AS score FROM fu QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) <= 15")
+def definition_lookup(spark, sf) -> DataFrame:
+    """Several query forms, one result a document with its best score, at most fifteen."""
+    return top(rrf(_lists(spark, sf)), 15, "rrf").select("item_id", "doc_id", F.col("rrf").alias("score"))
+
+
+@query("ret_17_query_repair", "SELECT item_id, concat_ws(' ', text, CASE WHEN length(text) < 150 THEN 'in detail' END, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'with numbers' END) AS query FROM benchmark")
+def query_repair(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", "text", F.when(F.length("text") < 150, "in detail"), F.when(~F.col("text").rlike("[0-9]"), "with numbers")).alias("query"))
+
+
+@query("ret_18_threshold", f"WITH {NEAREST}, t AS (SELECT unnest(range(1, 10)) / 10.0::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (similarity >= threshold) AS n FROM t, s GROUP BY threshold) SELECT threshold, n FROM c ORDER BY abs(n - 5), threshold LIMIT 1")
+def threshold(spark, sf, expected: int = 5) -> DataFrame:
+    """Of nine thresholds the one whose number of hits is nearest to the expected; counted in one scan."""
+    s = nearest_to_one(spark, sf).agg(*[F.count_if(F.col("similarity") >= i / 10).alias(f"n{i}") for i in range(1, 10)])
+    t = s.select(F.inline(F.array(*[F.struct(F.lit(i / 10).alias("threshold"), F.col(f"n{i}").alias("n")) for i in range(1, 10)])))
+    return t.orderBy(F.abs(F.col("n") - expected), "threshold").limit(1)
