@@ -1 +1,99 @@
-"""Plans."""
+"""Entity extraction: patterns are parameters; values come from regular expressions of the engine, positions from piece lengths."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.plans.chunking import per_document
+from quillspark.plans.joins import ENTITIES, entities
+from quillspark.registry import query
+from quillspark.sources.tables import CHUNKS, chunks, table
+
+PATTERNS = {"percent": r"[0-9]+(?:[.,][0-9]+)? ?%", "number": r"[0-9]{5,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "version": r"[0-9]+\.[0-9]+"}
+
+
+@query("ner_01_values", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in PATTERNS.items()))
+def values(spark, sf) -> DataFrame:
+    """All values of all patterns from one scan."""
+    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), _as(k)) for k, p in PATTERNS.items()])
+    return table(spark, sf, "documents").select("doc_id", F.inline(found))
+
+
+def _as(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
+@query("ner_01_positions", f"WITH {ENTITIES} SELECT e.doc_id, nth, pos, value, substr(text, greatest(pos - 100, 0) + 1, least(pos, 100) + length(value) + 100) AS context FROM ents e JOIN documents d ON e.doc_id = d.doc_id")
+def positions(spark, sf) -> DataFrame:
+    """Numbers with position and the hundred characters on either side."""
+    d = table(spark, sf, "documents")
+    e = entities(d).join(d.select("doc_id", "text"), "doc_id")
+    p = F.col("pos")
+    return e.select("doc_id", "nth", "pos", "value", F.substring("text", F.greatest(p - 100, F.lit(0)) + 1, F.least(p, F.lit(100)) + F.length("value") + 100).alias("context"))
+
+
+@query("ner_02_references", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+)\.([0-9]+)')) AS m FROM documents) SELECT doc_id, m AS ref, regexp_extract(m, '([0-9]+)\.([0-9]+)', 1) AS article, regexp_extract(m, '([0-9]+)\.([0-9]+)', 2) AS part FROM m")
+def references(spark, sf) -> DataFrame:
+    """References with their groups."""
+    m = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]+)\.([0-9]+)"), 0)).alias("ref"))
+    return m.select("doc_id", "ref", *[F.regexp_extract("ref", r"([0-9]+)\.([0-9]+)", i).alias(n) for i, n in ((1, "article"), (2, "part"))])
+
+
+#: Modality classes in the order in which they are tried, generic pack; the default is the first.
+MODALITY = [("mandatory", "must|shall"), ("prohibited", "may not|never"), ("permitted", "may|can"), ("conditional", "if|when")]
+
+
+def modality(text: Column) -> Column:
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.rlike(p), n) for n, p in MODALITY], F.lit("mandatory"))
+
+
+@query("ner_03_modality", f"WITH {CHUNKS} SELECT doc_id, chunk_index, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in MODALITY) + " ELSE 'mandatory' END AS modality FROM chunks")
+def modality_query(spark, sf) -> DataFrame:
+    return chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", modality(F.col("text")).alias("modality"))
+
+
+@query("ner_04_attach", f"WITH {ENTITIES}, c AS (SELECT e.doc_id, nth, value, substr(text, greatest(pos - 100, 0) + 1, least(pos, 100) + length(value) + 100) AS context FROM ents e JOIN documents d ON e.doc_id = d.doc_id) SELECT doc_id, nth, nullif(regexp_extract(context, '[Vv]ersion ([0-9]+)', 1), '') AS article FROM c")
+def attach(spark, sf) -> DataFrame:
+    """The reference in an entity's context, if there is one."""
+    found = F.nullif(F.regexp_extract("context", "[Vv]ersion ([0-9]+)", 1), F.lit(""))
+    return positions(spark, sf).select("doc_id", "nth", found.alias("article"))
+
+
+def suppress_overlaps(text: str, patterns: list[str]) -> list[tuple]:
+    """Matches of ordered patterns; one that overlaps an earlier pattern's is dropped."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, text):
+            if all(m.end() <= a or m.start() >= b for a, b in taken):
+                taken.append(m.span())
+                out.append((k, m.start(), m.end(), m.group()))
+    return sorted(out, key=lambda x: x[1])
+
+
+@query("ner_05_no_overlap")
+def no_overlap(spark, sf) -> DataFrame:
+    order = [PATTERNS["ip"], PATTERNS["version"], PATTERNS["percent"], r"[0-9]+"]
+    return per_document(table(spark, sf, "documents"), lambda t: suppress_overlaps(t, order), "doc_id long, pattern int, start long, end long, value string")
+
+
+@query("ner_06_rules", "WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[.,;]+'), lambda x: trim(x)), lambda x: length(x) > 5) AS ps FROM benchmark) SELECT item_id, array_to_string(list_filter(ps, lambda x: starts_with(x, 'the')), ' | ') AS conditions, array_to_string(list_filter(ps, lambda x: starts_with(x, 'and') OR starts_with(x, 'th')), ' | ') AS consequences, len(ps) AS n FROM s")
+def rules(spark, sf) -> DataFrame:
+    """Conditions and consequences of a rule: clauses longer than five characters by how they begin."""
+    ps = F.filter(F.transform(F.split(F.lower("text"), "[.,;]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
+    b = table(spark, sf, "benchmark").select("item_id", ps.alias("ps"))
+    first = F.filter("ps", lambda x: F.startswith(x, F.lit("the")))
+    then = F.filter("ps", lambda x: F.startswith(x, F.lit("and")) | F.startswith(x, F.lit("th")))
+    return b.select("item_id", F.array_join(first, " | ").alias("conditions"), F.array_join(then, " | ").alias("consequences"), F.size("ps").cast("long").alias("n"))
+
+
+@query("ner_07_definitions", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([\p{L}]+) is ([\p{L} ]+)')) AS m FROM documents), d AS (SELECT doc_id, lower(regexp_extract(m, '([\p{L}]+) is ', 1)) AS term, regexp_extract(m, ' is ([\p{L} ]+)', 1) AS def FROM m) SELECT term, max(doc_id) AS doc_id, arg_max(def, (doc_id, def)) AS definition FROM d GROUP BY term")
+def definitions(spark, sf) -> DataFrame:
+    """Terms with their definition, merged by lower case, the last one winning."""
+    m = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+) is ([\p{L} ]+)"), 0)).alias("m"))
+    d = m.select("doc_id", F.lower(F.regexp_extract("m", r"([\p{L}]+) is ", 1)).alias("term"), F.regexp_extract("m", r" is ([\p{L} ]+)", 1).alias("def"))
+    return d.groupBy("term").agg(F.max("doc_id").alias("doc_id"), F.max_by("def", F.struct("doc_id", "def")).alias("definition"))

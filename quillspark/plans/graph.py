@@ -23,3 +23,114 @@ def edges(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer").select(F.concat(F.lit("N"), "c_nationkey"), F.concat(F.lit("C"), "c_custkey"), F.lit("CONTAINS"))
     o = table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("O"), "o_orderkey"), F.lit("ORDERED"))
     return n.union(c).union(o)
+
+
+_E = "e AS (SELECT 'R' || n_regionkey AS f, 'N' || n_nationkey AS t, 'CONTAINS' AS type FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'CONTAINS' FROM customer UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'ORDERED' FROM orders)"
+_U = f"{_E}, u AS (SELECT f AS a, t AS b FROM e UNION SELECT t, f FROM e)"
+
+
+@query("flt_09_node_lookup", "SELECT 'C' || c_custkey AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000042' OR c_custkey = 42")
+def node_lookup(spark, sf) -> DataFrame:
+    """Nodes by label and property."""
+    return nodes(spark, sf).filter((F.col("type") == "Customer") & ((F.col("id") == "C42") | (F.col("name") == "Customer#000000042"))).select("id", "name")
+
+
+@query("grf_01_document_nodes", "WITH l AS (SELECT doc_id, source, lang FROM documents) SELECT DISTINCT 'S:' || source AS id, 'Source' AS type, NULL AS parent FROM l UNION ALL SELECT DISTINCT 'L:' || source || '/' || lang, 'Language', 'S:' || source FROM l UNION ALL SELECT 'D:' || doc_id, 'Document', CASE WHEN lang IS NOT NULL THEN 'L:' || source || '/' || lang ELSE 'S:' || source END FROM l")
+def document_nodes(spark, sf) -> DataFrame:
+    """One node a level from each document; the parent is the nearest ancestor that is there."""
+    d = table(spark, sf, "documents")
+    s = F.concat(F.lit("S:"), "source")
+    l_ = F.concat(F.lit("L:"), "source", F.lit("/"), "lang")
+    upper = F.array(F.struct(s.alias("id"), F.lit("Source").alias("type"), F.lit(None).cast("string").alias("parent")), F.struct(l_.alias("id"), F.lit("Language").alias("type"), s.alias("parent")))
+    own = d.select(F.concat(F.lit("D:"), "doc_id").alias("id"), F.lit("Document").alias("type"), F.coalesce(l_, s).alias("parent"))
+    return d.select(F.inline(upper)).filter("id is not null").distinct().unionByName(own)
+
+
+def both_ways(e: DataFrame) -> DataFrame:
+    return e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(e.select(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
+
+
+def within(e: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """start(id) -> id, distance of all nodes at most ``depth`` undirected steps away: one join a step, nodes met before drop out."""
+    u = both_ways(e)
+    found = start.select("id", F.lit(0).alias("distance"))
+    edge = found
+    for k in range(1, depth + 1):
+        step = u.join(edge.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        edge = step.join(found, "id", "left_anti").select("id", F.lit(k).alias("distance"))
+        found = found.unionByName(edge)
+    return found
+
+
+def _walk(start: str, depth: int) -> str:
+    return f"WITH RECURSIVE {_U}, w(id, d) AS (SELECT '{start}', 0 UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < {depth}), m AS (SELECT id, min(d) AS distance FROM w GROUP BY id)"
+
+
+@query("grf_02_one_hop", f"{_walk('N3', 1)} SELECT id, distance FROM m")
+def one_hop(spark, sf) -> DataFrame:
+    return within(edges(spark, sf), spark.createDataFrame([("N3",)], "id string"), 1)
+
+
+@query("grf_03_traverse", f"{_walk('C7', 3)} SELECT id, distance, least(0.8 + 0.05 * (SELECT count(*) FROM m), 1)::DOUBLE AS confidence FROM m")
+def traverse(spark, sf) -> DataFrame:
+    """Nodes up to three steps away, with the confidence that their number gives."""
+    f = within(edges(spark, sf), spark.createDataFrame([("C7",)], "id string"), 3)
+    n = f.agg(F.least(0.8 + 0.05 * F.count("*"), F.lit(1.0)).alias("confidence"))
+    return f.join(F.broadcast(n))
+
+
+@query("grf_04_related", f"{_walk('R1', 2)} SELECT id, distance FROM m WHERE distance > 0 ORDER BY distance, id LIMIT 20")
+def related(spark, sf, k: int = 20) -> DataFrame:
+    f = within(edges(spark, sf), spark.createDataFrame([("R1",)], "id string"), 2)
+    return f.filter("distance > 0").orderBy("distance", "id").limit(k)
+
+
+@query("jn_18_path_join", f"{_walk('N3', 2)} SELECT distance, count(*) AS n FROM m GROUP BY distance")
+def path_join(spark, sf) -> DataFrame:
+    return within(edges(spark, sf), spark.createDataFrame([("N3",)], "id string"), 2).groupBy("distance").agg(F.count("*").alias("n"))
+
+
+def graph_bonus(related: DataFrame) -> DataFrame:
+    """related(key, distance, is_reference) -> key, bonus of at most 0.15."""
+    part = lambda n, each: F.least(F.lit(0.05), each * n)
+    return related.groupBy("key").agg(F.round(part(F.count("*"), 0.01) + part(F.count_if(F.col("distance") == 1), 0.025) + part(F.count_if("is_reference"), 0.03), 6).alias("bonus"))
+
+
+_BONUS = "b AS (SELECT o_custkey AS key, round(least(0.05, 0.01 * count(*)) + least(0.05, 0.025 * count(*) FILTER (o_orderkey % 3 = 1)) + least(0.05, 0.03 * count(*) FILTER (o_orderstatus = 'F')), 6)::DOUBLE AS bonus FROM orders GROUP BY o_custkey)"
+
+
+@query("grf_05_bonus", f"WITH {_BONUS} SELECT key, bonus FROM b")
+def bonus(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 3).alias("distance"), (F.col("o_orderstatus") == "F").alias("is_reference"))
+    return graph_bonus(o)
+
+
+@query("grf_06_enrich", f"WITH {_BONUS} SELECT c_custkey, round(least(c_acctbal / 10000, 1) + coalesce(bonus, 0), 6) AS final FROM customer LEFT JOIN b ON c_custkey = key ORDER BY 2 DESC, c_custkey LIMIT 50")
+def enrich(spark, sf) -> DataFrame:
+    """Results re-sorted by their score and the graph's bonus."""
+    j = table(spark, sf, "customer").select("c_custkey", "c_acctbal").join(bonus(spark, sf).withColumnRenamed("key", "c_custkey"), "c_custkey", "left")
+    final = F.round(F.least(F.col("c_acctbal") / 10000, F.lit(1.0)) + F.coalesce("bonus", F.lit(0.0)), 6)
+    return j.select("c_custkey", final.alias("final")).orderBy(F.desc("final"), "c_custkey").limit(50)
+
+
+@query("grf_07_definition_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '11 x') OR contains(lower(p_type), '11 x') OR contains(lower(p_name), '117') OR contains(lower(p_type), '117')")
+def definition_search(spark, sf, term: str = "11 x", words=("117",)) -> DataFrame:
+    """Entries of which any field holds the term or any of its words longer than two characters."""
+    tests = [F.contains(F.lower(c), F.lit(w)) for c in ("p_name", "p_type") for w in (term, *words)]
+    hit = tests[0]
+    for t in tests[1:]:
+        hit = hit | t
+    return table(spark, sf, "part").filter(hit).select("p_partkey", "p_name")
+
+
+@query("grf_08_constraint_type", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+ ?(?:%|days|EUR)?')) AS v FROM documents) SELECT doc_id, v AS value, CASE WHEN contains(v, '%') THEN 'percentage' WHEN contains(v, 'days') THEN 'temporal' WHEN contains(v, 'EUR') THEN 'monetary' ELSE 'number' END AS kind FROM m")
+def constraint_type(spark, sf) -> DataFrame:
+    v = F.col("value")
+    m = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+ ?(?:%|days|EUR)?"), 0)).alias("value"))
+    return m.withColumn("kind", F.when(v.contains("%"), "percentage").when(v.contains("days"), "temporal").when(v.contains("EUR"), "monetary").otherwise("number"))
+
+
+@query("grf_09_clear", "SELECT 'R' || r_regionkey AS id FROM region WHERE false")
+def clear(spark, sf) -> DataFrame:
+    """An empty graph of the same schema."""
+    return nodes(spark, sf).select("id").limit(0)

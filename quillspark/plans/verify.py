@@ -1 +1,92 @@
-"""Plans."""
+"""Verification of answers against sources, and quality of responses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import r6, tokens, words
+from quillspark.plans.joins import _OVERLAP, _best
+from quillspark.plans.relational import sentences
+from quillspark.registry import query
+from quillspark.sources.tables import table
+
+_KW = r"list_slice(list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)), 1, 50)"
+
+
+@query("ver_01_citations", r"""WITH p AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3))) AS kw, lower(d.text) AS src, (item_id % 5) / 4.0::DOUBLE AS cited FROM benchmark b JOIN documents d ON b.item_id = d.doc_id),
+m AS (SELECT item_id, cited, len(list_filter(list_slice(kw, 1, 50), lambda w: contains(src, w))) / greatest(len(list_slice(kw, 1, 50)), 1)::DOUBLE AS hit FROM p)
+SELECT item_id, cited >= 0.5 AS valid, round(hit, 6) AS content_match, round(0.35 * cited + 0.5 * hit + CASE WHEN cited >= 0.5 AND hit > 0.5 THEN 0.15 ELSE 0 END, 6)::DOUBLE AS confidence FROM m""")
+def citations(spark, sf) -> DataFrame:
+    """Valid with half of the citations there; content match is the share of up to fifty keywords in the source."""
+    kw = F.slice(F.array_sort(F.array_distinct(tokens(F.col("text"), 3))), 1, 50)
+    b = table(spark, sf, "benchmark").select("item_id", kw.alias("kw"), ((F.col("item_id") % 5) / 4.0).alias("cited"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("src"))
+    hit = F.size(F.filter("kw", lambda w: F.contains(F.col("src"), w))) / F.greatest(F.size("kw"), F.lit(1))
+    m = b.join(d, "item_id").select("item_id", "cited", hit.alias("hit"))
+    extra = F.when((F.col("cited") >= 0.5) & (F.col("hit") > 0.5), 0.15).otherwise(0.0)
+    return m.select("item_id", (F.col("cited") >= 0.5).alias("valid"), r6("hit").alias("content_match"), r6(0.35 * F.col("cited") + 0.5 * F.col("hit") + extra).alias("confidence"))
+
+
+@query("ver_02_confidence", f"WITH {_OVERLAP}, c AS (SELECT item_id, 0.25 * CAST(overlap > 0.3 AS INT) + 0.35 * overlap + 0.25 * (item_id % 4) / 3.0::DOUBLE + 0.15 AS s FROM b WHERE r = 1) SELECT item_id, round(s, 6)::DOUBLE AS confidence, CASE WHEN s >= 0.7 THEN 'accept' WHEN s >= 0.4 THEN 'review' ELSE 'reject' END AS advice FROM c")
+def confidence(spark, sf) -> DataFrame:
+    """Citation, claim, consistency and marker factors by .25/.35/.25/.15, with bands."""
+    s = 0.25 * (F.col("overlap") > 0.3).cast("int") + 0.35 * F.col("overlap") + 0.25 * (F.col("item_id") % 4) / 3.0 + 0.15
+    c = _best(spark, sf).select("item_id", s.alias("s"))
+    return c.select("item_id", r6("s").alias("confidence"), F.when(F.col("s") >= 0.7, "accept").when(F.col("s") >= 0.4, "review").otherwise("reject").alias("advice"))
+
+
+@query("ver_03_statements", r"""WITH s AS (SELECT conv_id, turn, list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), 1, 5) AS ss FROM conversations WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM s), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT conv_id, turn, CAST(i AS INT) AS nth, len(list_filter(list_slice(string_split(lower(s), ' '), 1, 3), lambda w: contains(t, w))) > 0 AS supported FROM x JOIN d ON d.doc_id = x.conv_id""")
+def statements(spark, sf) -> DataFrame:
+    """Whether any of the first three words of each of the first five sentences occurs in the result."""
+    c = table(spark, sf, "conversations").filter("role = 'assistant'")
+    s = c.select("conv_id", "turn", F.posexplode(F.slice(sentences(F.col("text")), 1, 5)).alias("nth", "s"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.lower("text").alias("t"))
+    hit = F.exists(F.slice(F.split(F.lower("s"), " "), 1, 3), lambda w: F.contains(F.col("t"), w))
+    return s.join(d, "conv_id").select("conv_id", "turn", "nth", hit.alias("supported"))
+
+
+@query("ver_04_critique", "SELECT conv_id, turn, concat_ws(',', CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN turn % 3 = 0 THEN 'no_sources' END, CASE WHEN NOT contains(lower(text), 'article') THEN 'no_article' END) AS flags FROM conversations WHERE role = 'assistant'")
+def critique(spark, sf) -> DataFrame:
+    flags = F.array_compact(F.array(F.when(F.length(F.trim("text")) == 0, "empty"), F.when(F.col("turn") % 3 == 0, "no_sources"), F.when(~F.contains(F.lower("text"), F.lit("article")), "no_article")))
+    return table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.array_join(flags, ",").alias("flags"))
+
+
+@query("ver_05_definition_check", "SELECT source, CASE WHEN bool_or(contains(lower(text), 'license')) FILTER (r <= 5) THEN 0.7 ELSE 0.2 END::DOUBLE AS confidence FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source")
+def definition_check(spark, sf, term: str = "license") -> DataFrame:
+    """0.7 if the term is in one of the first five results of a group, else 0.2."""
+    from pyspark.sql import Window as W
+
+    d = table(spark, sf, "documents").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("r <= 5")
+    return d.groupBy("source").agg(F.when(F.bool_or(F.contains(F.lower("text"), F.lit(term))), 0.7).otherwise(0.2).alias("confidence"))
+
+
+@query("ver_06_slide_quality", "SELECT page_id, round((least(length(html) / 2000.0::DOUBLE, 1) + least(len(regexp_extract_all(html, 'href=')) / 10.0::DOUBLE, 1) + CAST(contains(html, '<title>') AS INT) + CAST(contains(html, '<p') AS INT)) / 4, 6) AS quality FROM pages")
+def slide_quality(spark, sf) -> DataFrame:
+    """Mean of element, relation, summary and structure scores."""
+    parts = F.array(F.least(F.length("html") / 2000.0, F.lit(1.0)), F.least(F.regexp_count("html", F.lit("href=")) / 10.0, F.lit(1.0)), F.contains("html", F.lit("<title>")).cast("double"), F.contains("html", F.lit("<p")).cast("double"))
+    return table(spark, sf, "pages").select("page_id", r6(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 4).alias("quality"))
+
+
+RULES = [("length", "text", "high", 0.3), ("numbers", "content", "medium", 0.2), ("question", "form", "low", 0.1), ("repeat", "form", "high", 0.3)]
+
+
+@query("ver_07_validation", "WITH i AS (SELECT conv_id, turn, unnest([CASE WHEN length(text) < 30 THEN 'length' END, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'numbers' END, CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN length(text) > 3000 THEN 'repeat' END]) AS issue FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, string_agg(issue, ',' ORDER BY issue) AS issues, round(greatest(0, 1 - sum(CASE issue WHEN 'length' THEN 0.3 WHEN 'numbers' THEN 0.2 WHEN 'question' THEN 0.1 ELSE 0.3 END)), 6)::DOUBLE AS score FROM i WHERE issue IS NOT NULL GROUP BY conv_id, turn")
+def validation(spark, sf) -> DataFrame:
+    """Issues of each response by a rule table, with the score that they leave."""
+    t = F.col("text")
+    tests = {"length": F.length(t) < 30, "numbers": ~t.rlike("[0-9]"), "question": t.contains("?"), "repeat": F.length(t) > 3000}
+    found = F.array_compact(F.array(*[F.when(tests[n], F.struct(F.lit(n).alias("issue"), F.lit(w).alias("w"))) for n, _, _, w in RULES]))
+    c = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", found.alias("f")).filter(F.size("f") > 0)
+    names = F.array_join(F.array_sort(F.transform("f", lambda x: x["issue"])), ",")
+    return c.select("conv_id", "turn", names.alias("issues"), r6(F.greatest(F.lit(0.0), 1 - F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"]))).alias("score"))
+
+
+@query("ver_08_self_critique", "SELECT user_id, round(sum(value / 100 * (1 + event_id % 3)) / sum(1 + event_id % 3) * CASE WHEN count(*) FILTER (value < 1) > 0 THEN 0.8 ELSE 1 END, 6) AS confidence FROM events GROUP BY user_id")
+def self_critique(spark, sf) -> DataFrame:
+    """Weighted mean of critique scores, multiplied by a penalty if one is very low."""
+    w = 1 + F.col("event_id") % 3
+    penalty = F.when(F.count_if(F.col("value") < 1) > 0, 0.8).otherwise(1.0)
+    return table(spark, sf, "events").groupBy("user_id").agg(r6(F.sum(F.col("value") / 100 * w) / F.sum(w) * penalty).alias("confidence"))
