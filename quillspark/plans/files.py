@@ -1 +1,100 @@
-"""Plans."""
+"""File sources, shown on contents made from the corpus tables; ``read_files`` takes any binaryFile scan."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.registry import query
+from quillspark.sources.formats import read_files, repair_name, rtf_column
+from quillspark.sources.tables import table
+
+
+@query("src_01_dispatch", "SELECT 'd' || doc_id || '.txt' AS path, text FROM documents")
+def dispatch(spark, sf) -> DataFrame:
+    """Files by extension to text."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return read_files(d).select("path", "text")
+
+
+def _made(spark, rows: list[tuple[str, bytes]]) -> DataFrame:
+    return spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, t in files.items():
+            z.writestr(n, t)
+    return out.getvalue()
+
+
+@query("src_02_docx")
+def docx(spark, sf) -> DataFrame:
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>One line.</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    return read_files(_made(spark, [("a.docx", _zip({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"}))]))
+
+
+@query("src_03_doc")
+def doc(spark, sf) -> DataFrame:
+    return read_files(_made(spark, [("a.doc", b"\xd0\xcf\x11\xe0 old")]))
+
+
+@query("src_04_rtf", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('{\rtf1\b ' || substr(text, 1, 200) || '\par end}', '\\par[d]?\b ?', chr(10), 'g'), '\\[a-zA-Z]+-?[0-9]* ?', '', 'g'), '[{}]', '', 'g')) AS text FROM documents")
+def rtf(spark, sf) -> DataFrame:
+    t = F.concat(F.lit("{\\rtf1\\b "), F.substring("text", 1, 200), F.lit("\\par end}"))
+    return table(spark, sf, "documents").select("doc_id", rtf_column(t).alias("text"))
+
+
+@query("src_05_csv_text", "SELECT 'c_custkey | c_name' AS header, string_agg(c_custkey || ' | ' || c_name, chr(10) ORDER BY c_custkey) AS body FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)")
+def csv_text(spark, sf, rows: int = 100) -> DataFrame:
+    """A table as text: header and its first hundred rows."""
+    c = table(spark, sf, "customer").orderBy("c_custkey").limit(rows).select("c_custkey", F.concat_ws(" | ", "c_custkey", "c_name").alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n")
+    return c.agg(F.lit("c_custkey | c_name").alias("header"), body.alias("body"))
+
+
+@query("src_06_xlsx")
+def xlsx(spark, sf) -> DataFrame:
+    sheet = '<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>1</v></c></row></sheetData></worksheet>'
+    return read_files(_made(spark, [("a.xlsx", _zip({"xl/sharedStrings.xml": "<sst><si><t>name</t></si></sst>", "xl/worksheets/sheet1.xml": sheet}))]))
+
+
+@query("src_07_pdf")
+def pdf(spark, sf) -> DataFrame:
+    return read_files(_made(spark, [("a.pdf", b"%PDF-1.4\n1 0 obj\nstream\nBT (Page one) Tj ET\nendstream\nendobj")]))
+
+
+@query("src_08_archive")
+def archive(spark, sf) -> DataFrame:
+    return read_files(_made(spark, [("a.zip", _zip({"x.txt": "inside", "y.bin": "?"}))]))
+
+
+@query("src_09_name_repair")
+def name_repair(spark, sf) -> DataFrame:
+    """File names that were read in the wrong charset."""
+    broken = [(n, n.encode("utf-8").decode("cp437")) for n in ("закон.txt", "straße.txt", "plain.txt")]
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(repaired=pdf["broken"].map(repair_name))[["name", "repaired"]]
+
+    return spark.createDataFrame(broken, "name string, broken string").mapInPandas(run, "name string, repaired string")
+
+
+#: Retrieval configurations: the ones that ship with the engine.
+CONFIGS = {"fast": {"k": 5, "bm25_weight": 0.7, "threshold": 0.3}, "balanced": {"k": 10, "bm25_weight": 0.5, "threshold": 0.5}, "precise": {"k": 5, "bm25_weight": 0.4, "threshold": 0.7}, "broad": {"k": 20, "bm25_weight": 0.5, "threshold": 0.2}, "lexical": {"k": 10, "bm25_weight": 1.0, "threshold": 0.0}}
+
+
+@query("src_14_configs", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c['k']}::BIGINT, {c['bm25_weight']}::DOUBLE, {c['threshold']}::DOUBLE)" for n, c in CONFIGS.items()) + ") t(name, k, bm25_weight, threshold)")
+def configs(spark, sf) -> DataFrame:
+    """Named configurations from a JSON map to rows."""
+    one = spark.createDataFrame([(json.dumps(CONFIGS),)], "js string")
+    kind = "map<string, struct<k: bigint, bm25_weight: double, threshold: double>>"
+    return one.select(F.explode(F.from_json("js", kind)).alias("name", "c")).select("name", "c.*")
