@@ -11,8 +11,18 @@ from quillspark.plans.joins import ENTITIES, entities
 from quillspark.registry import query
 from quillspark.sources.tables import CHUNKS, chunks, table
 
-DOC = W.partitionBy("doc_id").orderBy("chunk_index")
-USER = W.partitionBy("user_id").orderBy("event_id")
+
+
+def by_document():
+    return W.partitionBy("doc_id").orderBy("chunk_index")
+
+
+def by_user():
+    return W.partitionBy("user_id").orderBy("event_id")
+
+
+def by_turn():
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -36,14 +46,14 @@ def segment_end(spark, sf) -> DataFrame:
 def previous_parent(spark, sf) -> DataFrame:
     """The previous chunk is the parent if it has the same article; the strict variant asks for an article."""
     a = _chunks(spark, sf).select("doc_id", "chunk_index", F.nullif(F.length("text") % 3, F.lit(0)).alias("art"))
-    p = a.withColumn("pa", F.lag("art").over(DOC)).withColumn("pi", F.lag("chunk_index").over(DOC))
+    p = a.withColumn("pa", F.lag("art").over(by_document())).withColumn("pi", F.lag("chunk_index").over(by_document()))
     loose = F.when(F.col("pi").isNotNull() & F.col("art").eqNullSafe(F.col("pa")), F.col("pi"))
     return p.select("doc_id", "chunk_index", loose.alias("parent"), F.when(F.col("art") == F.col("pa"), F.col("pi")).alias("strict_parent"))
 
 
 @query("win_04_offsets", f"WITH {CHUNKS} SELECT doc_id, chunk_index, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS \"start\", CAST(sum(length(text)) OVER w AS BIGINT) AS \"end\" FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)")
 def offsets(spark, sf) -> DataFrame:
-    end = F.sum(F.length("text")).over(DOC.rowsBetween(W.unboundedPreceding, 0))
+    end = F.sum(F.length("text")).over(by_document().rowsBetween(W.unboundedPreceding, 0))
     return _chunks(spark, sf).select("doc_id", "chunk_index", (end - F.length("text")).alias("start"), end.alias("end"))
 
 
@@ -54,7 +64,7 @@ def inherit(spark, sf) -> DataFrame:
     """Current chapter and article; a new chapter resets the article."""
     n = F.length("text")
     c = _chunks(spark, sf).select("doc_id", "chunk_index", F.when(n < 40, F.col("chunk_index")).alias("c"), F.when(n.between(40, 80), F.col("chunk_index")).alias("a"))
-    c = c.withColumn("chapter", F.last("c", True).over(DOC.rowsBetween(W.unboundedPreceding, 0)))
+    c = c.withColumn("chapter", F.last("c", True).over(by_document().rowsBetween(W.unboundedPreceding, 0)))
     inner = W.partitionBy("doc_id", "chapter").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, 0)
     return c.select("doc_id", "chunk_index", "chapter", F.last("a", True).over(inner).alias("article"))
 
@@ -89,12 +99,12 @@ def merge_zones(spark, sf) -> DataFrame:
 
 @query("win_08_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean_100 FROM events")
 def rolling_mean(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(USER.rowsBetween(-99, 0)), 9).alias("mean_100"))
+    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(by_user().rowsBetween(-99, 0)), 9).alias("mean_100"))
 
 
 @query("win_09_running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM events")
 def running_mean(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(USER.rowsBetween(W.unboundedPreceding, 0)), 9).alias("mean"))
+    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(by_user().rowsBetween(W.unboundedPreceding, 0)), 9).alias("mean"))
 
 
 @query("win_10_exponential_mean", "WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS vs FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(vs, lambda a, v: 0.8 * a + 0.2 * v), 6) AS ema FROM l")
@@ -105,13 +115,10 @@ def exponential_mean(spark, sf, keep: float = 0.8) -> DataFrame:
     return g.select("user_id", r6(ema).alias("ema"))
 
 
-_TURNS = W.partitionBy("conv_id").orderBy("turn")
-
-
 @query("win_11_unresolved", "WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn FROM n WHERE role = 'user' AND contains(text, '?') AND (next IS NULL OR next = 'user')")
 def unresolved(spark, sf) -> DataFrame:
     """Questions followed by another user turn or by the end."""
-    n = table(spark, sf, "conversations").withColumn("next", F.lead("role").over(_TURNS))
+    n = table(spark, sf, "conversations").withColumn("next", F.lead("role").over(by_turn()))
     return n.filter((F.col("role") == "user") & F.contains("text", F.lit("?")) & (F.col("next").isNull() | (F.col("next") == "user"))).select("conv_id", "turn")
 
 
@@ -122,7 +129,7 @@ def topic_flow(spark, sf) -> DataFrame:
     """Of the last ten turns: topics without immediate repeats, the last five."""
     back = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     t = table(spark, sf, "conversations").select("conv_id", "turn", (F.length("text") % 5).cast("long").alias("topic"))
-    t = t.withColumn("r", F.row_number().over(back)).filter("r <= 10").withColumn("before", F.lag("topic").over(_TURNS))
+    t = t.withColumn("r", F.row_number().over(back)).filter("r <= 10").withColumn("before", F.lag("topic").over(by_turn()))
     t = t.filter("before is null or before <> topic").withColumn("q", F.row_number().over(back))
     return t.filter("q <= 5").select("conv_id", "turn", "topic")
 
@@ -136,15 +143,15 @@ def last_n(spark, sf, n: int = 50) -> DataFrame:
 @query("win_14_topic_shift", "WITH t AS (SELECT conv_id, turn, length(text) % 5 AS d FROM conversations WHERE role = 'user'), p AS (SELECT *, lag(d) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t) SELECT conv_id, turn, CASE WHEN before IS NULL THEN 'start' WHEN before = d THEN 'continue' ELSE 'shift' END AS flow FROM p")
 def topic_shift(spark, sf) -> DataFrame:
     t = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", (F.length("text") % 5).alias("d"))
-    t = t.withColumn("before", F.lag("d").over(_TURNS))
+    t = t.withColumn("before", F.lag("d").over(by_turn()))
     return t.select("conv_id", "turn", F.when(F.col("before").isNull(), "start").when(F.col("before") == F.col("d"), "continue").otherwise("shift").alias("flow"))
 
 
 @query("win_15_overlap_context", f"WITH {CHUNKS} SELECT doc_id, chunk_index, right(lag(text) OVER w, 150) AS head, left(lead(text) OVER w, 150) AS tail FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)")
 def overlap_context(spark, sf, n: int = 150) -> DataFrame:
     """The end of the chunk before and the start of the one after."""
-    before = F.lag("text").over(DOC)
-    return _chunks(spark, sf).select("doc_id", "chunk_index", F.right(before, F.lit(n)).alias("head"), F.left(F.lead("text").over(DOC), F.lit(n)).alias("tail"))
+    before = F.lag("text").over(by_document())
+    return _chunks(spark, sf).select("doc_id", "chunk_index", F.right(before, F.lit(n)).alias("head"), F.left(F.lead("text").over(by_document()), F.lit(n)).alias("tail"))
 
 
 @query("win_16_minmax", "WITH b AS (SELECT lang, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY lang) SELECT doc_id, CASE WHEN hi = lo THEN 0.0 ELSE round((n_chars - lo) / (hi - lo)::DOUBLE, 6) END AS score FROM documents JOIN b USING (lang)")
