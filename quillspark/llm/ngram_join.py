@@ -330,4 +330,4 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """docs reduced to one document a component, the one with the smallest doc_id; all columns stay."""
     first = similar(docs, words, similarity).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("first_doc")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("first_doc")), "left_semi")
+    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["first_doc"]), "left_semi")

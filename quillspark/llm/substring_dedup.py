@@ -71,10 +71,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts; all other columns stay."""
     cuts = spans.groupBy(F.col("doc_id").alias("cut_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    out = docs.join(cuts, docs["doc_id"].cast("long") == F.col("cut_doc"), "left")
-    cuts, text = F.col("cuts"), F.col("text")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # whatever names the input has
+    plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, own, strict=True)])
+    doc, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    out = plain.join(cuts, doc.cast("long") == F.col("cut_doc"), "left")
+    cuts = F.col("cuts")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda c: c["end"] + 1))
     starts = F.concat(F.transform(cuts, lambda c: c["start"]), F.array((F.length(text) + 1).cast("long")))
     parts = F.zip_with(ends, starts, lambda e, s: F.substring(text, (e + 1).cast("int"), F.greatest(s - e, F.lit(0)).cast("int")))
     kept = F.rtrim(F.array_join(parts, ""), F.lit("\n"))
-    return out.select(*[F.when(cuts.isNull(), text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    made = out.withColumn("kept", F.when(cuts.isNull(), text).otherwise(kept))
+    return made.select(*[F.col("kept" if c == "text" else x).alias(c) for c, x in zip(docs.columns, own, strict=True)])
