@@ -44,4 +44,14 @@ c(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.a, l.b FROM c JOIN l ON
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a),
 n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n.k, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON v.vec_id = m.a LEFT JOIN n ON v.vec_id = n.a""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) END AS ss FROM w),
+x AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS shingle FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * k >= 80 * (na + nb - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a)
+SELECT s.doc_id, len(ss) AS n_shingles, m.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM c GROUP BY a) m ON s.doc_id = m.a""",
 }
