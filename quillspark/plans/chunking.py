@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.lexicons import LEVELS
 from quillspark.functions.text import r6
 from quillspark.plans.joins import WINDOWS, fixed_windows
 from quillspark.registry import query
@@ -67,12 +68,9 @@ def header_split(spark, sf) -> DataFrame:
     return l_.withColumn("part", part).groupBy("doc_id", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-#: Levels of the structure cascade, coarse to fine, with the pattern of a header at each; generic pack.
-LEVELS = [("section", r"(?m)^#\s*(.+)$"), ("chapter", r"(?m)^(?=.{1,40}$)(.+)$"), ("article", r"(?m)^(?=.{41,80}$)(.+)$"), ("part", r"(?m)^(\d+)\.\s+")]
-
-
-def cascade(text: str, levels=LEVELS) -> list[tuple]:
+def cascade(text: str, pack: str = "generic") -> list[tuple]:
     """(level, path, start, end) of every piece: a header opens a piece that ends at the next header of its level or above."""
+    levels = LEVELS[pack]
     heads = sorted({(m.start(), k) for k, (_, p) in enumerate(levels) for m in re.finditer(p, text)})
     out, path = [], [0] * len(levels)
     for i, (at, k) in enumerate(heads):

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicons
 from quillspark.plans.chunking import per_document
 from quillspark.plans.joins import ENTITIES, entities
 from quillspark.registry import query
@@ -42,13 +43,18 @@ def references(spark, sf) -> DataFrame:
     return m.select("doc_id", "ref", *[F.regexp_extract("ref", r"([0-9]+)\.([0-9]+)", i).alias(n) for i, n in ((1, "article"), (2, "part"))])
 
 
-#: Modality classes in the order in which they are tried, generic pack; the default is the first.
-MODALITY = [("mandatory", "must|shall"), ("prohibited", "may not|never"), ("permitted", "may|can"), ("conditional", "if|when")]
+def modality(text: Column, pack: str = "generic") -> Column:
+    """The first class of the pack whose words occur, else the first class of all."""
+    low, rules = F.lower(text), lexicons.MODALITY[pack]
+    return F.coalesce(*[F.when(low.rlike(p), n) for n, p in rules], F.lit(rules[0][0]))
 
 
-def modality(text: Column) -> Column:
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(p), n) for n, p in MODALITY], F.lit("mandatory"))
+def numbered(text: Column, kind: str, pack: str = "generic") -> Column:
+    """Numbers of the articles or laws that a text refers to, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(lexicons.REFERENCES[pack][kind]), 1)
+
+
+MODALITY = lexicons.MODALITY["generic"]
 
 
 @query("ner_03_modality", f"WITH {CHUNKS} SELECT doc_id, chunk_index, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in MODALITY) + " ELSE 'mandatory' END AS modality FROM chunks")

@@ -117,3 +117,21 @@ def test_stream_retries(spark, sf):
 
     assert {r["status"] for r in streams.retries(spark, sf).collect()} <= {"completed", "failed", "queued"}
     assert tasks.stream_of(spark, sf).isStreaming
+
+
+LAW = "Глава 2. Общее\nСтатья 5. Первая\n1. Лицо обязано платить.\n2. Если иное, не вправе.\nСтатья 6. Вторая\n1. Гражданин может, см. статью 5 и 115-ФЗ.\n"
+
+
+def test_russian_structure():
+    got = [(level, LAW[a:b].split("\n")[0]) for level, _, a, b in chunking.cascade(LAW, "ru")]
+    assert got[0] == ("chapter", "Глава 2. Общее") and [x for x in got if x[0] == "article"] == [("article", "Статья 5. Первая"), ("article", "Статья 6. Вторая")]
+    assert [x[0] for x in got].count("part") == 3 and chunking.cascade("", "ru") == []
+
+
+def test_russian_modality_and_references(spark):
+    rows = [("Лицо обязано платить",), ("он не может",), ("он может",), ("если так",), ("СТАТЬЯ 12.1 и 115-ФЗ",)]
+    df = spark.createDataFrame(rows, "t string")
+    t = F.col("t")
+    got = df.select(extraction.modality(t, "ru"), extraction.numbered(t, "article", "ru"), extraction.numbered(t, "law", "ru")).collect()
+    assert [r[0] for r in got] == ["mandatory", "prohibited", "permitted", "conditional", "mandatory"]
+    assert (got[4][1], got[4][2]) == (["12.1"], ["115"])
