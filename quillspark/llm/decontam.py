@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import work
+
 Q, RATE, MIN_BYTES = 10, 0.08, 20
 BLOCK_BYTES = 2 << 20
 #: Bytes of text that are scanned together, and bits of the first filter's address.
-SLICE, FIELD = 2 << 20, 22
+SLICE, FIELD = 1 << 19, 22
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -191,6 +193,7 @@ def _matching(docs: DataFrame, items: list) -> Callable[[], Matcher]:
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, start, end (in code points), distance (in bytes)."""
+    work.small_batches(docs)
     schema = "doc_id long, item_id long, start long, end long, distance int"
     given, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for items in _blocks(benchmark):
@@ -216,6 +219,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark; one pass for each block of items, no shuffle."""
+    work.small_batches(docs)
     names = docs.columns
     at = names.index("text")
     for items in _blocks(benchmark):

@@ -149,6 +149,7 @@ def references(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> Data
             shard = (np.frombuffer(b"".join(k[8:12] for k in keys), np.uint32) % shards).astype(np.int32) if keys else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())], ["shard", "key", "doc_id"])
 
+    work.small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "shard int, key binary, doc_id long")
 
 

@@ -275,6 +275,7 @@ def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    work.small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = work.cut(_survey(docs, words), "survey")
     sets = survey.filter("piece is null").select("doc_id", "n", "digest")

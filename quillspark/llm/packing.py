@@ -27,9 +27,9 @@ from . import work
 
 CAPACITY, END_ID = 1024, 2
 #: Chunks a worker keeps, and places in its table.
-CACHE, SLOTS = 1_000_000, 1 << 21
+CACHE, SLOTS = 500_000, 1 << 20
 #: Characters of text that are encoded together.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: White space that the cutting rules do not know.
 _OTHER = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -67,7 +67,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.keys, self.slot = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.start, self.length = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
+        self.start, self.length = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32)
         self.pool, self.n, self.used = np.zeros(1 << 20, np.uint32), 0, 0
 
     def raw(self, text: str) -> np.ndarray:
@@ -121,7 +121,7 @@ class ChunkEncoder:
                 _, one = np.unique(h, return_index=True)
             self._learn(b, at[lack[one]], to[lack[one]], h[lack[one]])
             entry[lack] = self._find(h[lack])
-        n_ids = self.length[entry]
+        n_ids = self.length[entry].astype(np.int64)
         ends = np.cumsum(n_ids)
         return self.pool[np.repeat(self.start[entry] - (ends - n_ids), n_ids) + np.arange(ends[-1])], ends
 
@@ -191,6 +191,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     A document longer than ``capacity`` is cut into full pieces; the first one takes what is left over.
     """
+    work.small_batches(docs)
     tail = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import work
+
 #: Labelled rows that the fit may use, and of them how many in five are kept for the temperature.
 TRAIN_ROWS, CALIBRATE_OF_5 = 6_000, 1
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
@@ -33,7 +35,7 @@ SHAPES = 64
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: Distinct tokens that a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted added (columns of these names go)."""
+    work.small_batches(docs)
     given = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -61,5 +61,16 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows of text that go to a Python worker at once; Spark's own default holds ten times as much text in several copies.
+ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound the Arrow batches of this session's Python operators to ``ROWS`` rows, unless they are smaller already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
