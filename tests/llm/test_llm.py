@@ -196,6 +196,37 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeats(docs_of(spark, [])).count() == 0
 
 
+def brute_runs(rows, size):
+    """The words of each document that lie in a run of ``size`` words that occurs before."""
+    first, hit = {}, defaultdict(set)
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        for j in range(len(w) - size + 1):
+            d, k = first.setdefault(tuple(w[j : j + size]), (i, j))
+            if d != i or j - k >= size:
+                hit[i].update(range(j, j + size))
+    return hit
+
+
+def test_substring_dedup_within_lines(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 51), prose(rng, 70)
+    rows = [(1, f"é {prose(rng, 9)} {a} {prose(rng, 8)}"), (2, f"{prose(rng, 5)}\n{prose(rng, 3)} {a.upper()}\n{prose(rng, 4)}"), (3, prose(rng, 200) + " " + b), (4, f"own {b} own"), (5, " ".join(b.split()[:50])), (6, "x " * 130)]
+    rows += [(7, f"{prose(rng, 30)} {' '.join(b.split()[9:65])}"), (8, f"{prose(rng, 20)} {a}  {b} end"), (9, f"{b} between {prose(rng, 60)} {b}"), (None, a), (10, None), (4, f"own {b} own")]
+    docs = docs_of(spark, rows)
+    spans = substring_dedup.repeats(docs)
+    got, texts = defaultdict(set), dict(rows)
+    for r in spans.collect():
+        before = len(texts[r["doc_id"]][: r["start"]].split())
+        assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) == r["words"] > 50
+        got[r["doc_id"]].update(range(before, before + r["words"]))
+    want = brute_runs([r for k, r in enumerate(rows) if r not in rows[:k]], 51)
+    assert got == want and set(want) == {2, 4, 6, 7, 8, 9} and got[6] == set(range(51, 130))
+    assert all(r["kept_doc_id"] == {2: 1, 4: 3, 6: 6, 7: 3, 8: 1, 9: 3}[r["doc_id"]] for r in spans.collect())
+    kept = {r["doc_id"]: r["text"] for r in substring_dedup.remove(docs, spans).collect()}
+    assert kept[4] == "own own" and kept[2] == rows[1][1].replace(a.upper(), "") and kept[5] == rows[4][1]
+
+
 def distance_in(item, text):
     prev = [0] * (len(text) + 1)
     for i in range(1, len(item) + 1):
