@@ -211,7 +211,7 @@ def definition_article(spark, sf) -> DataFrame:
 @query("jn_20_spatial_pairs", "WITH e AS (SELECT vec_id AS id, label AS page, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y FROM embeddings WHERE vec_id < 200) SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.x - b.x) < abs(a.y - b.y) THEN 'above_below' ELSE 'beside' END AS relation FROM e a JOIN e b ON a.page = b.page AND a.id < b.id AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.05")
 def spatial_pairs(spark, sf, near: float = 0.05) -> DataFrame:
     """Elements of a page that lie close: joined by grid cell and neighbours, so a page with many elements stays cheap."""
-    e = table(spark, sf, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
     cx, cy = F.floor(F.col("x") / near), F.floor(F.col("y") / near)
     shift = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = e.select("page", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(shift).alias("c"))

@@ -65,7 +65,7 @@ def articles_json(spark, sf) -> DataFrame:
 
 @query("snk_06_export", "SELECT user_id, event_id, concat_ws(',', user_id, event_id, event_type) AS line FROM events WHERE user_id < 10")
 def export(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").filter("user_id < 10")
+    e = table(spark, sf, "events")
     return e.select("user_id", "event_id", F.concat_ws(",", "user_id", "event_id", "event_type").alias("line"))
 
 
