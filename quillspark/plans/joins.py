@@ -40,11 +40,15 @@ def existence(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
 
 
-def bulk_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
-    """new, old(id, hash, name, type): how each new file is known: by hash first, else by name and type, else it is new."""
+def bulk_duplicates(new: DataFrame, old: DataFrame, earlier: bool = False) -> DataFrame:
+    """new, old(id, hash, name, type): how each new file is known: by hash first, else by name and type, else it is new.
+
+    earlier: only files of smaller id count, so that a table can be held against itself."""
     by_hash = old.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("hash_id"))
     by_name = old.groupBy("name", "type").agg(F.min("id").alias("name_id"))
     j = new.join(by_hash, "hash", "left").join(by_name, ["name", "type"], "left")
+    if earlier:
+        j = j.withColumns({c: F.when(F.col(c) < F.col("id"), F.col(c)) for c in ("hash_id", "name_id")})
     kind = F.when(F.col("hash_id").isNotNull(), "hash").when(F.col("name_id").isNotNull(), "name").otherwise("new")
     return j.select("id", kind.alias("kind"), F.coalesce("hash_id", "name_id").alias("existing_id"))
 
@@ -54,8 +58,9 @@ h AS (SELECT hash, min(id) AS hid FROM o GROUP BY hash), m AS (SELECT name, type
 j AS (SELECT n.id, hid, nid FROM n LEFT JOIN h ON n.hash = h.hash LEFT JOIN m ON n.name = m.name AND n.type = m.type)
 SELECT id, CASE WHEN hid IS NOT NULL THEN 'hash' WHEN nid IS NOT NULL THEN 'name' ELSE 'new' END AS kind, coalesce(hid, nid) AS existing_id FROM j""")
 def bulk_duplicates_query(spark, sf) -> DataFrame:
+    """Every document against those before it."""
     f = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"), F.col("source").alias("name"), F.col("lang").alias("type"))
-    return bulk_duplicates(f.filter("id % 3 = 0"), f.filter("id % 3 = 1"))
+    return bulk_duplicates(f, f, earlier=True)
 
 
 @query("jn_06_default_zero", "SELECT d.doc_id, coalesce(l.quality, 0) AS semantic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

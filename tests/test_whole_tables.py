@@ -22,3 +22,15 @@ def test_spatial_pairs_of_all_elements(spark, sf, duck):
 
 def test_export_of_all_users(spark, sf, duck):
     whole("snk_06_export", spark, sf, duck, (" WHERE user_id < 10", ""))
+
+
+def test_bulk_duplicates_among_all_documents(spark, sf):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256), "source", "lang").collect())
+    by_hash, by_name, want = {}, {}, {}
+    for i, h, *name in rows:
+        known = by_hash.get(h, by_name.get(tuple(name)))
+        want[i] = ("hash" if h in by_hash else "new" if known is None else "name", known)
+        by_hash.setdefault(h, i)
+        by_name.setdefault(tuple(name), i)
+    got = {r["id"]: (r["kind"], r["existing_id"]) for r in registry.queries()["jn_05_bulk_duplicates"](spark, sf).collect()}
+    assert got == want and len(got) == len(rows)
