@@ -114,7 +114,7 @@ _SYN = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
 def synonyms(spark, sf, pairs: list[tuple[str, str]] = SYNONYMS) -> DataFrame:
     """One variant for each synonym of a term that occurs; the dictionary is a literal of fixed size."""
     known = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("other")) for a, b in pairs])
-    q = table(spark, sf, "documents").select("doc_id", F.lower(F.substring("text", 1, 200)).alias("q"))
+    q = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("q"))
     return q.select("doc_id", "q", F.inline(F.filter(known, lambda x: F.contains(F.col("q"), x["term"])))).select("doc_id", F.replace("q", F.col("term"), F.col("other")).alias("variant")).distinct()
 
 

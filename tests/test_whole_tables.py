@@ -34,3 +34,11 @@ def test_bulk_duplicates_among_all_documents(spark, sf):
         by_name.setdefault(tuple(name), i)
     got = {r["id"]: (r["kind"], r["existing_id"]) for r in registry.queries()["jn_05_bulk_duplicates"](spark, sf).collect()}
     assert got == want and len(got) == len(rows)
+
+
+def test_synonyms_in_whole_texts(spark, sf, duck):
+    whole("str_09_synonyms", spark, sf, duck, ("substr(text, 1, 200)", "text"))
+
+
+def test_rtf_of_whole_texts(spark, sf, duck):
+    whole("src_04_rtf", spark, sf, duck, ("substr(text, 1, 200)", "text"))
