@@ -13,6 +13,8 @@ rows are packed each; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,12 +43,13 @@ class ChunkEncoder:
     an ASCII letter, and around a line end between visible characters. Texts are cut there with array operations, and each chunk
     is looked up by a 64-bit hash (random byte values, polynomial in the position) in an open-addressing table of token ids.
     Chunks met first go through the tokenizer together, a line end between them: its token stands alone there. Texts with other
-    white space than space, line end, tab, carriage return go through the tokenizer whole.
+    white space than space, line end, tab, carriage return go through the tokenizer whole. ``added``: so do texts that hold an added
+    token of the vocabulary's JSON, which then get that token's id; otherwise its characters are encoded like any others.
     """
 
     _P = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers as public
 
         if path.endswith(".tiktoken"):
@@ -60,6 +63,12 @@ class ChunkEncoder:
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
             self.ids = lambda s: t.encode(s, add_special_tokens=False).ids
+        self.json, self.full = re.sub(r"\.tiktoken$", ".json", path), None
+        self.added = None
+        if added and os.path.exists(self.json):
+            with open(self.json, encoding="utf-8") as f:
+                known = [x["content"] for x in json.load(f)["added_tokens"]]
+            self.added = re.compile("|".join(map(re.escape, known))) if known else None
         (self.line_end,) = self.ids("\n")
         self.values = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.powers = self.inverses = np.ones(1, np.uint64)
@@ -71,11 +80,20 @@ class ChunkEncoder:
         self.pool, self.n, self.used = np.zeros(1 << 20, np.uint32), 0, 0
 
     def raw(self, text: str) -> np.ndarray:
-        return np.array(self.ids(text), np.uint32)
+        if not self._has_added(text):
+            return np.array(self.ids(text), np.uint32)
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.json)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _has_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; give texts of a few megabytes together at most."""
-        whole = {i for i, t in enumerate(texts) if _OTHER.search(t)}
+        whole = {i for i, t in enumerate(texts) if _OTHER.search(t) or self._has_added(t)}
         data = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
         b = np.frombuffer(b"".join(data), np.uint8)
         first = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
@@ -183,7 +201,7 @@ class ChunkEncoder:
 @lru_cache(1)
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder, kept from task to task with what it has learnt."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, added=True)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

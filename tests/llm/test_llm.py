@@ -306,6 +306,18 @@ def test_encoder_gives_the_tokenizers_ids():
         assert [x.tolist() for x in coder.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_pieces_give_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a b. <|endoftext|> c\nd", "x<|endoftext|><|endoftext|>\u00a0y", "<|endoftext", "<|endof\ntext|> z", "plain words, here."]
+    for path in (packing.default_tokenizer(), public_tokenizers.path("byte_bpe_50k.json")):
+        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(docs_of(spark, list(enumerate(texts))), path).collect()}
+        assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert got[0] == [50256, 2]
+
+
 def test_plans_hold_every_piece_once():
     rng = np.random.default_rng(8)
     for _ in range(60):
