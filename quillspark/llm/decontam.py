@@ -212,7 +212,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance"])
 
-        part = given.mapInArrow(run, schema)
+        part = given.mapInArrow(work.task(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -234,5 +234,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[first + t] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(work.task(run), docs.schema)
     return docs

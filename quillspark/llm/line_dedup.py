@@ -150,7 +150,7 @@ def references(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())], ["shard", "key", "doc_id"])
 
     work.small_batches(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "shard int, key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(work.task(run), "shard int, key binary, doc_id long")
 
 
 def _counts(refs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def apply(docs: DataFrame, index: LineIndex) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
 
     fields = ", ".join(f"{x} {kinds[c]}" for c, x in zip(names, own, strict=True))
-    return out.mapInArrow(run, f"{fields}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
+    return out.mapInArrow(work.task(run), f"{fields}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ remainders, before it is verified on the whole sets.
 
 Only what components need is verified, and no group emits its pairs: equal sets collapse into classes first; within a posting
 list one hub meets the others, and the links found merge components. Lists that still span several components join their sets
-into groups, which are compared in blocks: a task gets two blocks of a group, counts all overlaps at once and returns a spanning
-forest of the links. Groups of more than ``GROUP`` sets go on by lists instead, with eight times as many hubs each round. Every
-pair of different components that shares a list is met one way or the other.
+into groups, cut by size of set into blocks of bounded length. A task gets two blocks, counts the shared prefix shingles of all
+their pairs at once, verifies those that share enough on the whole sets, and returns a spanning forest of the links. So every pair
+of different components that shares a list is met, and every candidate passes the same test of prefixes.
 
 Text is read once for classes and sketch, once for prefixes, and once for the whole sets of each step's candidates; it is never
 shuffled.
@@ -24,11 +24,13 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +43,8 @@ WORDS, SIMILARITY = 5, 80
 CELLS, PIECE = 1 << 20, 1 << 12
 #: Longest ``l`` that a document may pick.
 MAX_L = 4
-#: Sets of a block, and of a group that is compared in blocks.
-BLOCK, GROUP = 256, 20_000
+#: Shingles of a block (a task compares two blocks) and columns of an incidence product.
+BLOCK, COLUMNS = 1 << 17, 1 << 12
 #: Bits of the filter that keeps texts of candidates: eight a candidate within these bounds (8 MB at most).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 
@@ -98,7 +100,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
             k = len(cells)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(cells, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, piece int, cells binary")
+    return docs.mapInArrow(work.task(run), "doc_id long, n long, digest binary, piece int, cells binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -132,10 +134,7 @@ def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tup
     return s[order[: n - need + pick]], min(n, n - -(-2 * similarity * n // (100 + similarity)) + pick), pick
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, similarity: int) -> DataFrame:
-    floor = int(sketch.mean())  # what chance puts in a cell
-    given = docs.sparkSession.sparkContext.broadcast(np.maximum(sketch - floor, 0).astype(np.int32))
-
+def _prefixes(docs: DataFrame, given: Broadcast, words: int, similarity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = given.value
         for b in batches:
@@ -151,7 +150,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, similarity: int)
                     parts.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ks, pa.int32()), pa.array(ls, pa.int32()), _lists(parts)], ["doc_id", "n", "k", "l", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k int, l int, prefix array<long>")
+    return docs.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -172,14 +171,13 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     got = words_.toPandas()  # bits / 64 rows at most
     field = np.zeros(bits // 64, np.int64)
     field[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    given = spark.sparkContext.broadcast(np.unpackbits(field.view(np.uint8), bitorder="little").astype(bool) if bits <= 1 << 20 else field)
+    given = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = given.value
-        if field.dtype != bool:
-            field = np.unpackbits(field.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            rows = np.flatnonzero(field[b.column(2).to_numpy()])
+            at = b.column(2).to_numpy()
+            rows = np.flatnonzero((field[at >> 6] >> (at & 63)) & 1)
             at = b.column(0).to_pylist()
             keep, sets, held = [], [], 0
             for i in rows.tolist():
@@ -191,7 +189,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     keep, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), _lists(sets)], ["doc_id", "shingles"])
 
-    near = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, shingles array<long>")
+    near = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(work.task(run), "doc_id long, shingles array<long>")
     return work.cut(near.join(ids, "doc_id", "left_semi"), "candidate-sets")
 
 
@@ -219,50 +217,112 @@ def _empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def _overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
-    """Sizes of the intersections of each set of one with each of two, by products of incidence matrices."""
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two, by products of incidence matrices of bounded width."""
     both = np.concatenate([*one, *two])
-    sizes = [len(x) for x in [*one, *two]]
-    token, at, n = np.unique(both, return_inverse=True, return_counts=True)
-    rank = np.cumsum(n > 1) - 1  # what one set holds alone is in no intersection
-    row, held = np.repeat(np.arange(len(sizes)), sizes), n[at] > 1
-    row, col = row[held], rank[at][held]
+    token, at = np.unique(both, return_inverse=True)
+    first = sum(map(len, one))
+    held = np.bincount(at[:first], minlength=len(token)).astype(bool) & np.bincount(at[first:], minlength=len(token)).astype(bool)
+    rank = np.cumsum(held) - 1  # what one side holds alone is in no intersection
+    sides = []
+    for part, cut in ((one, at[:first]), (two, at[first:])):
+        row, in_both = np.repeat(np.arange(len(part)), [len(x) for x in part]), held[cut]
+        row, col = row[in_both], rank[cut][in_both]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
     out = np.zeros((len(one), len(two)), np.float32)
-    for first in range(0, int(col.max(initial=-1)) + 1, columns):
-        part = (col >= first) & (col < first + columns)
-        m = np.zeros((len(sizes), columns), np.float32)
-        m[row[part], col[part] - first] = 1
-        out += m[: len(one)] @ m[len(one) :].T
+    for start in range(0, int(held.sum()), columns):
+        m = []
+        for (row, col), n in zip(sides, out.shape, strict=True):
+            lo, hi = np.searchsorted(col, [start, start + columns])
+            m.append(np.zeros((n, columns), np.float32))
+            m[-1][row[lo:hi], col[lo:hi] - start] = 1
+        out += m[0] @ m[1].T
     return out.astype(np.int64)
 
 
-def _in_blocks(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Links between different components within groups(doc_id, group, blocks), stored."""
+def _candidates(one: _Block, two: _Block, similarity: int) -> np.ndarray:
+    """Which pairs share enough prefix shingles to be verified: as many as the less demanding of both asks for, and as their overlap
+    takes beyond the longer of the two remainders. The smaller set of a pair gives its short prefix, the larger its long one."""
+    n_a, n_b = one.n[:, None], two.n[None, :]
+    smaller = (n_a < n_b) | ((n_a == n_b) & (one.ids[:, None] < two.ids[None, :]))
+    shared = np.where(smaller, _overlaps(one.short, two.long), _overlaps(one.long, two.short))
+    rest = np.where(smaller, np.maximum(n_a - one.k[:, None], n_b - two.held[None, :]), np.maximum(n_a - one.held[:, None], n_b - two.k[None, :]))
+    fits = (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * similarity) & (one.of[:, None] != two.of[None, :])
+    enough = shared >= np.minimum(one.l[:, None], two.l[None, :])
+    return fits & enough & ((shared + rest) * (100 + similarity) >= (n_a + n_b) * similarity)
+
+
+class _Block:
+    """Sets of a block with their prefixes."""
+
+    def __init__(self, ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], seen: np.ndarray, similarity: int):
+        self.ids, self.of, self.sets = ids, of, sets
+        made = [prefix(s, seen[_cells(s)], similarity) for s in sets]
+        self.long, self.short = [p for p, _, _ in made], [p[:k] for p, k, _ in made]
+        self.k, self.l = np.array([k for _, k, _ in made], np.int64), np.array([x for _, _, x in made], np.int64)
+        self.n, self.held = np.array([len(s) for s in sets], np.int64), np.array([len(p) for p in self.long], np.int64)
+
+
+def _cells_of(groups: DataFrame, similarity: int) -> DataFrame:
+    """groups(doc_id, group, n) -> doc_id, group, r1, i1, r2, i2, left: the cells in which each set meets others, two blocks a cell.
+
+    Sets link only if their sizes are within the similarity, so a group is cut into ranges of size first (whole bands, joined while
+    they hold less than ``BLOCK`` shingles) and meets neighbours only; a range of more is dealt out to blocks by hash.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(similarity, 99)))
+    own = groups.withColumn("band", band)
+    by = W.partitionBy("group")
+    bands = own.groupBy("group", "band").agg(F.sum("n").alias("t"))  # some tens a group
+    before = F.coalesce(F.sum("t").over(by.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bands = bands.withColumn("range", F.floor(before / BLOCK))
+    ranges = bands.groupBy("group", "range").agg(F.ceil(F.sum("t") / BLOCK).cast("int").alias("blocks"))
+    order = by.orderBy("range")
+    for name, at in (("prev", F.lag), ("next", F.lead)):
+        ranges = ranges.withColumn(name, at(F.struct("range", "blocks")).over(order))
+    own = own.join(bands.select("group", "band", "range"), ["group", "band"]).join(ranges, ["group", "range"])
+    i = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cell = lambda r1, i1, r2, i2, left: F.struct(r1.alias("r1"), i1.alias("i1"), r2.alias("r2"), i2.alias("i2"), left.alias("left"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    r, none = F.col("range"), F.array().cast("array<struct<r1:bigint,i1:int,r2:bigint,i2:int,left:boolean>>")
+    same = F.transform(count(F.col("blocks")), lambda o: cell(r, F.least(F.col("i"), o), r, F.greatest(F.col("i"), o), F.col("i") <= o))
+    up = F.when(F.col("next").isNotNull(), F.transform(count(F.col("next.blocks")), lambda o: cell(r, F.col("i"), F.col("next.range"), o, F.lit(True))))
+    down = F.when(F.col("prev").isNotNull(), F.transform(count(F.col("prev.blocks")), lambda o: cell(F.col("prev.range"), o, r, F.col("i"), F.lit(False))))
+    return own.withColumn("i", i).select("doc_id", "group", F.inline(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))))
+
+
+def _in_blocks(groups: DataFrame, labels: DataFrame, docs: DataFrame, sketch: Broadcast, words: int, similarity: int) -> DataFrame:
+    """Links between different components within groups(doc_id, group, n), stored."""
     sets = _sets_of(docs, groups.select("doc_id"), words)
-    own = groups.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    with_label = own.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    cells = with_label.join(sets, "doc_id").withColumn("other", other)
-    cells = cells.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "shingles")
+    named = _cells_of(groups, similarity).join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    cells = named.withColumn("component", F.coalesce("component", "doc_id")).join(sets, "doc_id")
 
     def compare(key, pdf):
         import pandas as pd
 
-        first = (pdf["own"] == key[1]).to_numpy()
-        left = np.flatnonzero(first)
-        right = left if key[1] == key[2] else np.flatnonzero(~first)
-        ids, of = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
-        held = [np.asarray(x, np.int64) for x in pdf["shingles"]]
-        n = np.array([len(x) for x in held], np.int64)
-        if not len(left) or not len(right) or len(np.unique(of)) < 2:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        shared = _overlaps([held[x] for x in left], [held[x] for x in right])
-        union = n[left][:, None] + n[right][None, :] - shared
-        x, y = np.nonzero((shared * 100 >= union * similarity) & (of[left][:, None] != of[right][None, :]))
-        a, b = forest(ids[left[x]], ids[right[y]])
+        seen, left = sketch.value, pdf["left"].to_numpy()
+        ids, of, sets = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in pdf["shingles"]]
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        if len(np.unique(of)) < 2:
+            return none
+        alone = key[1:3] == key[3:5]
+        one, two = (_Block(ids[x], of[x], [sets[i] for i in x], seen, similarity) for x in (np.flatnonzero(left), np.flatnonzero(left if alone else ~left)))
+        if not len(one.ids) or not len(two.ids):
+            return none
+        x, y = np.nonzero(_candidates(one, two, similarity))
+        if alone:
+            x, y = x[x < y], y[x < y]
+        rows, cols = np.unique(x), np.unique(y)
+        if not len(rows):
+            return none
+        shared = _overlaps([one.sets[i] for i in rows], [two.sets[i] for i in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+        good = shared * 100 >= (one.n[x] + two.n[y] - shared) * similarity
+        a, b = forest(one.ids[x[good]], two.ids[y[good]])
         return pd.DataFrame({"a": a, "b": b})
 
-    return work.cut(cells.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long"), "verified")
+    out = work.cut(cells.groupBy("group", "r1", "i1", "r2", "i2").applyInPandas(compare, "a long, b long"), "verified")
+    work.drop(sets)
+    return out
 
 
 def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,9 +340,11 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     survey = work.cut(_survey(docs, words), "survey")
     sets = survey.filter("piece is null").select("doc_id", "n", "digest")
     sketch = _sketch(survey)
+    floor = int(sketch.mean())  # what chance puts in a cell
+    given = docs.sparkSession.sparkContext.broadcast(np.maximum(sketch - floor, 0).astype(np.int32))
     classes = work.cut(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    prefixes = work.cut(_prefixes(docs, sketch, words, similarity).join(reps, "doc_id", "left_semi"), "prefixes")
+    prefixes = work.cut(_prefixes(docs, given, words, similarity).join(reps, "doc_id", "left_semi"), "prefixes")
 
     # In a list, sets are met in the order of their size; the smaller of a pair must hold the shingle in its short prefix.
     postings = prefixes.select(F.posexplode("prefix").alias("at", "token"), F.struct("n", "doc_id").alias("doc"), "k")
@@ -298,30 +360,10 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     if not _empty(left):
         hub = left.groupBy("token").agg(F.min("doc.doc_id").alias("a"))
         groups = components(left.join(hub, "token").select("a", F.col("doc.doc_id").alias("b"))).toDF("doc_id", "group")
-        blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        groups = work.cut(groups.join(blocks, "group"), "groups")
-        more = _in_blocks(groups.filter(F.col("blocks") <= GROUP // BLOCK), labels, docs, words, similarity)
+        groups = work.cut(groups.join(prefixes.select("doc_id", "n"), "doc_id"), "groups")
+        more = _in_blocks(groups, labels, docs, given, words, similarity)
         if not _empty(more):
-            links = links.unionByName(more)
-            labels = components(links)
-        large = groups.filter(F.col("blocks") > GROUP // BLOCK).select("doc_id")
-        left = work.cut(left.join(large, F.col("doc.doc_id") == F.col("doc_id"), "left_semi"), "postings")
-    hubs = 1
-    while not _empty(left):
-        hubs *= 8
-        top = left.filter("short").withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("doc"))).filter(F.col("r") <= hubs)
-        top = work.cut(top.select("token", F.col("doc").alias("hub"), F.col("component").alias("of")), "hubs")
-        met_by = left.join(top, "token").filter("hub < doc and component <> of").filter(fits)
-        pairs = met_by.select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct()
-        pairs = work.cut(pairs.join(met, ["a", "b"], "left_anti"), "met")
-        if not _empty(pairs):
-            more = _verify(pairs, prefixes, docs, words, similarity)
-            met = met.unionByName(pairs)
-            if not _empty(more):
-                links = links.unionByName(more)
-                labels = components(links)
-        last = top.groupBy("token").agg(F.max("hub").alias("last"))
-        left = _open(left.join(last, "token").filter("doc > last"), labels)
+            labels = components(links.unionByName(more))
 
     label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("label"))
     out = sets.join(label, "digest", "left")

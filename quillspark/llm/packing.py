@@ -232,7 +232,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     yield _batch(rows, names)
                     texts, held = [], 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work.task(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -382,7 +382,7 @@ def assign(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 off[rows] = slots[k, 2]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    return placed.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return placed.mapInArrow(work.task(run), f"{kinds}, sequence_id long, offset long")
 
 
 def ranked(stored: DataFrame) -> DataFrame:
@@ -419,7 +419,7 @@ def numbered(df: DataFrame) -> DataFrame:
                 seen[s] += 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([cell] * len(nth), pa.int64()), pa.array(nth, pa.int64())], [*names, "cell", "nth"])
 
-    return df.mapInArrow(run, f"{kinds}, cell long, nth long")
+    return df.mapInArrow(work.task(run), f"{kinds}, cell long, nth long")
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     fields = ", ".join(f"{x} {kinds[c]}" for c, x in zip(names, own, strict=True))
     plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)])
-    return plain.mapInArrow(run, f"{fields}, score double, predicted int").toDF(*names, "score", "predicted")
+    return plain.mapInArrow(work.task(run), f"{fields}, score double, predicted int").toDF(*names, "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

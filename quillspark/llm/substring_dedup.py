@@ -59,7 +59,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "unit", "word", "start", "end", "words", "digest"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return given.mapInArrow(run, "doc_id long, unit int, word long, start long, end long, words int, digest binary")
+    return given.mapInArrow(work.task(run), "doc_id long, unit int, word long, start long, end long, words int, digest binary")
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +132,7 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
                     parts.append((np.full(len(at), doc), anchor[at], words.hashes(at, to), n, (n > longest) | (often[same] > 1), at, start[at], end[to - 1]))
             yield _batch(parts, schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(work.task(run), schema)
 
 
 def _runs(docs: DataFrame, size: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _runs(docs: DataFrame, size: int) -> DataFrame:
                 parts.append((np.full(len(at), doc), words.hashes(at, at + size), at, start[at], end[at + size - 1]))
             yield _batch(parts, schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(work.task(run), schema)
 
 
 def _repeated_runs(docs: DataFrame, size: int) -> DataFrame:

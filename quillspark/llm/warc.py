@@ -96,7 +96,7 @@ def write(judged: DataFrame, folder: str, level: int = 6) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], ["path", "n_records"])
 
     cols = judged.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long"))
-    return work.cut(cols.mapInArrow(run, "path string, n_records long"), "warc-manifest")
+    return work.cut(cols.mapInArrow(work.task(run), "path string, n_records long"), "warc-manifest")
 
 
 class Member:
@@ -217,7 +217,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                     yield batch(rows)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, valid boolean, payload binary"
-    return manifest.select("path").repartition(work.tasks(manifest.sparkSession), "path").mapInArrow(run, schema)
+    return manifest.select("path").repartition(work.tasks(manifest.sparkSession), "path").mapInArrow(work.task(run), schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, payloads: bool = False) -> DataFrame:

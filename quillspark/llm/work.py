@@ -7,11 +7,19 @@ folder would lose rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 
 #: Folders of local sessions without the setting, by application.
 _own: dict[str, str] = {}
@@ -61,15 +69,55 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: Rows of text that go to a Python worker at once; Spark's own default holds ten times as much text in several copies.
-ROWS = 1000
+#: Rows and bytes of text that go to a Python worker at once; Spark's own default holds many times as much in several copies.
+ROWS, BYTES = 1000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Bound the Arrow batches of this session's Python operators to ``ROWS`` rows, unless they are smaller already."""
+    """Bound the Arrow batches of this session's Python operators to ``ROWS`` rows and ``BYTES`` bytes, unless they are smaller already."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    for name, most in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _number(conf.get(key)) <= most:
+            conf.set(key, str(most))
+
+
+def _number(value: str) -> int:
+    digits = value.lower().rstrip("bkmg")
+    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(value[len(digits) :][:1].lower(), 0)
+
+
+#: The one large helper (a model, a table of tokens) that a Python worker keeps from task to task.
+_kept: dict = {}
+
+
+def keep(key: object, make: Callable[[], T]) -> T:
+    """``make()``, remembered by this worker until it is asked for another key, so a worker's memory holds one helper at a time."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy() -> None:
+    """Give this worker's freed memory back to the system; called at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that tidies up after its last batch."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

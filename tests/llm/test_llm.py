@@ -58,9 +58,9 @@ def union_find(n, links):
     return {x: root(x) for x in n}
 
 
-@pytest.mark.parametrize("group", [20_000, 0])
-def test_ngram_join_is_exact(spark, corpus, group, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP", group)  # 0: by lists in rounds instead of in blocks
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 300])
+def test_ngram_join_is_exact(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # a few sets a block: many cells
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.similar(docs_of(spark, corpus)).collect()}
     sets = {}
     for i, t in corpus:
