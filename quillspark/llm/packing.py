@@ -12,13 +12,10 @@ rows are packed each; extra columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import json
-import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +34,28 @@ _OTHER = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 
 
 class ChunkEncoder:
-    """Token ids of a byte-level BPE, many texts at a time.
+    """Token ids of a byte-level BPE in the JSON form of ``tokenizers``, many texts at a time.
 
     The vocabulary's pre-tokenizer always starts a token at a space between visible characters, at a full stop or comma after
     an ASCII letter, and around a line end between visible characters. Texts are cut there with array operations, and each chunk
-    is looked up by a 64-bit hash (random byte values, polynomial in the position) in an open-addressing table of token ids.
-    Chunks met first go through the tokenizer together, a line end between them: its token stands alone there. Texts with other
-    white space than space, line end, tab, carriage return go through the tokenizer whole. ``added``: so do texts that hold an added
-    token of the vocabulary's JSON, which then get that token's id; otherwise its characters are encoded like any others.
+    is looked up by a 64-bit hash (random byte values, polynomial in the position) in an open-addressing table of chunks whose ids
+    the tokenizer gave before; a chunk's bytes are compared with the table's, so a collision of hashes is seen. Chunks met first go
+    through the tokenizer together, a line end between them: its token stands alone there. Texts with other white space than space,
+    line end, tab, carriage return go through the tokenizer whole, as do those with an added token of the vocabulary, and those with
+    a chunk whose hash collides.
     """
 
     _P = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, path: str, added: bool = False):
-        import public_tokenizers as public
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        if path.endswith(".tiktoken"):
-            import tiktoken
-
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            self.ids = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            self.ids = lambda s: t.encode(s, add_special_tokens=False).ids
-        self.json, self.full = re.sub(r"\.tiktoken$", ".json", path), None
-        self.added = None
-        if added and os.path.exists(self.json):
-            with open(self.json, encoding="utf-8") as f:
-                known = [x["content"] for x in json.load(f)["added_tokens"]]
-            self.added = re.compile("|".join(map(re.escape, known))) if known else None
+        plain, self.full = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        self.ids = lambda s: plain.encode(s, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            known = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, known))) if known else None
         (self.line_end,) = self.ids("\n")
         self.values = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.powers = self.inverses = np.ones(1, np.uint64)
@@ -78,14 +65,10 @@ class ChunkEncoder:
         self.keys, self.slot = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.start, self.length = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32)
         self.pool, self.n, self.used = np.zeros(1 << 20, np.uint32), 0, 0
+        self.from_, self.size = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32)
+        self.bytes, self.held = np.zeros(1 << 20, np.uint8), 0
 
     def raw(self, text: str) -> np.ndarray:
-        if not self._has_added(text):
-            return np.array(self.ids(text), np.uint32)
-        if self.full is None:
-            from tokenizers import Tokenizer
-
-            self.full = Tokenizer.from_file(self.json)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _has_added(self, text: str) -> bool:
@@ -100,7 +83,10 @@ class ChunkEncoder:
         if not len(b):
             return [self.raw(t) for t in texts]
         cuts = self._cuts(b, first)
-        ids, ends = self._look_up(b, cuts)
+        if (found := self._look_up(b, cuts)) is None:
+            return [self.raw(t) for t in texts]
+        ids, ends, wrong = found
+        whole |= set((np.searchsorted(first, cuts[wrong], "right") - 1).tolist())
         at = np.concatenate([[0], ends])[np.searchsorted(cuts, first)]
         return [self.raw(t) if i in whole else ids[at[i] : at[i + 1]] for i, t in enumerate(texts)]
 
@@ -118,7 +104,8 @@ class ChunkEncoder:
         cut[first[:-1][first[:-1] < len(b)]] = True
         return np.append(np.flatnonzero(cut), len(b))
 
-    def _look_up(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of all chunks, where each chunk's end, and the chunks that the table holds other bytes for; None if they overfill it."""
         n = len(b) + 1
         if len(self.powers) < n:
             self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self._P)]), dtype=np.uint64)
@@ -137,11 +124,17 @@ class ChunkEncoder:
                 self._clear()
                 lack = np.arange(len(h))
                 _, one = np.unique(h, return_index=True)
+                if len(one) > CACHE:
+                    return None
             self._learn(b, at[lack[one]], to[lack[one]], h[lack[one]])
             entry[lack] = self._find(h[lack])
+        wrong = np.flatnonzero(self.size[entry] != to - at)
+        if not len(wrong):
+            same = self.bytes[np.repeat(self.from_[entry] - at, to - at) + np.arange(len(b))] == b
+            wrong = np.flatnonzero(~np.logical_and.reduceat(same, at))
         n_ids = self.length[entry].astype(np.int64)
         ends = np.cumsum(n_ids)
-        return self.pool[np.repeat(self.start[entry] - (ends - n_ids), n_ids) + np.arange(ends[-1])], ends
+        return self.pool[np.repeat(self.start[entry] - (ends - n_ids), n_ids) + np.arange(ends[-1])], ends, wrong
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if unknown."""
@@ -173,7 +166,7 @@ class ChunkEncoder:
             for p, e in zip(together, ends.tolist(), strict=True):
                 got[p] = (start, e)
                 start = e + 1
-        extra = [self.raw(p) for p in alone]
+        extra = [np.array(self.ids(p), np.uint32) for p in alone]
         base = len(ids)
         for p, x in zip(alone, extra, strict=True):
             got[p] = (base, base + len(x))
@@ -186,6 +179,12 @@ class ChunkEncoder:
         k = len(parts)
         self.start[self.n : self.n + k] = self.used + span[:, 0]
         self.length[self.n : self.n + k] = span[:, 1] - span[:, 0]
+        raw = b[np.repeat(at - (np.cumsum(to - at) - (to - at)), to - at) + np.arange((to - at).sum())]
+        while self.held + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.held : self.held + len(raw)] = raw
+        self.from_[self.n : self.n + k], self.size[self.n : self.n + k] = self.held + np.cumsum(to - at) - (to - at), to - at
+        self.held += len(raw)
         entry = np.arange(self.n, self.n + k, dtype=np.int32)
         self.n, self.used = self.n + k, self.used + len(all_ids)
         mask = np.uint64(SLOTS - 1)
@@ -198,10 +197,9 @@ class ChunkEncoder:
             place[todo] = (place[todo] + np.uint64(1)) & mask
 
 
-@lru_cache(1)
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder, kept from task to task with what it has learnt."""
-    return ChunkEncoder(path, added=True)
+    return work.keep(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -243,60 +241,88 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Dominance reduction on a histogram of lengths: (fixed bins with multiplicities, lengths that are left).
 
-    The largest length ``a`` leaves room ``r``. Its bin is fixed as ``{a}`` when nothing fits, as ``{a, r}`` when ``r`` exists,
-    and as ``{a, b}`` with the largest fitting ``b`` when no three pieces fit and no two that fit together are longer than ``b``:
-    any other filling of that bin may then be exchanged for ``b`` without needing more bins. Otherwise ``a`` stays for best fit.
+    A bin that holds a piece of length ``a`` and dominates every other filling with that piece is fixed: wherever an optimal
+    packing has another filling, its pieces may be exchanged for the bin's without needing more bins. Such bins are
+
+    * ``{a}`` when nothing fits beside it,
+    * ``{a, b}``, b the longest that fits, when it fills the bin, or when no three others fit and no two are longer than b together,
+    * ``{a, b, c}``, c the longest that fits beside a and b, when no three others fit and no two that are both longer than c do.
+
+    Every length is tried against all that are not fixed yet, longest first, until a pass fixes nothing.
     """
     left = {s: c for s, c in counts.items() if c > 0}
     fixed: list[tuple[tuple[int, ...], int]] = []
-    stay: dict[int, int] = {}
-    while left:
-        a = max(left)
-        n, r = left[a], capacity - a
-        fits = sorted(s for s in left if s <= r and (s != a or n > 1))
-        if not fits:
-            fixed.append(((a,), n))
-            del left[a]
-            continue
-        b = fits[-1]
-        if b < r and (_three_smallest(fits, left) <= r or _best_pair(fits, left, r) > b):
-            stay[a] = n
-            del left[a]
-            continue
-        if a == b:
-            k = n // 2
-            fixed.append(((a, a), k))
-            left[a] = n - 2 * k
-        else:
-            k = min(n, left[b])
-            fixed.append(((a, b), k))
-            left[a] -= k
-            left[b] -= k
-        for s in {a, b}:
-            if not left[s]:
-                del left[s]
-    return fixed, stay
-
-
-def _three_smallest(fits: list[int], left: dict[int, int]) -> int:
-    small = [s for s in fits[:3] for _ in range(min(3, left[s]))][:3]
-    return sum(small) if len(small) == 3 else 1 << 40
-
-
-def _best_pair(fits: list[int], left: dict[int, int], r: int) -> int:
-    """Longest sum of two of the lengths that does not exceed r, 0 if there is none."""
-    i, j, best = 0, len(fits) - 1, 0
+    while True:
+        done = sum(k for _, k in fixed)
+        for a in sorted(left, reverse=True):
+            while left.get(a) and (found := _dominant(a, left, capacity)):
+                k = min(left[s] // found.count(s) for s in set(found))
+                fixed.append((found, k))
+                for s in found:
+                    left[s] -= k
+                for s in set(found):
+                    if not left[s]:
+                        del left[s]
+        if sum(k for _, k in fixed) == done:
+            return fixed, left
+
+
+def _dominant(a: int, left: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The bin with a piece of length a that dominates all others, if there is one among those looked for."""
+    r = capacity - a
+    free = sorted((s, n - (s == a)) for s, n in left.items() if s <= r and n > (s == a))
+    if not free:
+        return (a,)
+    b = free[-1][0]
+    if b == r:
+        return a, b
+    if _smallest(free, 3) <= r:
+        return None
+    if _best_pair(free, r) <= b:
+        return a, b
+    free[-1] = (b, free[-1][1] - 1)
+    others = [(s, n) for s, n in free if n]
+    c = max((s for s, _ in others if s <= r - b), default=0)
+    return (a, b, c) if c and _smallest([x for x in others if x[0] > c], 2) > r else None
+
+
+def _smallest(free: list[tuple[int, int]], k: int) -> int:
+    """Sum of the k smallest pieces, beyond any capacity if there are fewer."""
+    total = 0
+    for s, n in free:
+        take = min(k, n)
+        total, k = total + take * s, k - take
+        if not k:
+            return total
+    return 1 << 40
+
+
+def _best_pair(free: list[tuple[int, int]], r: int) -> int:
+    """Longest sum of two pieces that does not exceed r, 0 if there is none."""
+    i, j, best = 0, len(free) - 1, 0
     while i <= j:
-        s = fits[i] + fits[j]
+        s = free[i][0] + free[j][0]
         if s > r:
             j -= 1
         else:
-            if i < j or left[fits[i]] > 1:
+            if i < j or free[i][1] > 1:
                 best = max(best, s)
             i += 1
     return best
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each k, long pieces that share no bin, and what the short ones of k or more need beyond them."""
+    best = 0
+    for k in {0, *(s for s in counts if 2 * s <= capacity)}:
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        wide = [(s, n) for s, n in counts.items() if capacity - k >= s and 2 * s > capacity]
+        room = sum((capacity - s) * n for s, n in wide)
+        rest = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity) - room
+        best = max(best, alone + sum(n for _, n in wide) + max(0, -(-rest // capacity)))
+    return best
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on a histogram; bins that look alike are filled together."""
     room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by space left
@@ -423,12 +449,15 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut_pieces(.., length) -> the same rows with sequence_id and offset, gapless from 0 in every sequence.
+    """cut_pieces(.., length) -> the same rows with sequence_id and offset, gapless from 0 in every sequence (columns of these names go).
 
     The rows are written to the shared folder with their task and local rank first, so a lost executor cannot renumber them.
     """
-    stored = work.cut(numbered(cut_pieces), "pieces")
-    return assign(ranked(stored), capacity).drop("base")
+    names = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset")]
+    own = ["length" if c == "length" else f"c{i}" for i, c in enumerate(names)]  # whatever names the input has
+    plain = cut_pieces.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)])
+    stored = work.cut(numbered(plain), "pieces")
+    return assign(ranked(stored), capacity).select(*own, "sequence_id", "offset").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -437,7 +466,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
 
 def default_tokenizer() -> str:
-    """The byte-level BPE of the public vocabularies, in the file form that encodes fastest (the ids are the same)."""
+    """The byte-level BPE of the public vocabularies."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")

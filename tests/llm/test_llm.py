@@ -239,10 +239,10 @@ def distance_in(item, text):
 
 def test_decontamination_is_exact(spark):
     rng = random.Random(5)
-    items = [(i, prose(rng, n)) for i, n in enumerate((6, 12, 20, 30))]
+    items = [(i, prose(rng, n)) for i, n in enumerate((3, 12, 20, 30, 4, 7, 8))]
     m = decontam.Matcher([(i, decontam.fold(t)) for i, t in items])
-    for n in range(60):
-        i, t = items[n % 4]
+    for n in range(98):
+        i, t = items[n % 7]
         s = list(t)
         for _ in range(rng.randrange(decontam.budget(len(t)) + 4)):
             p = rng.randrange(len(s))
@@ -259,6 +259,23 @@ def test_decontamination_is_exact(spark):
     assert decontam.find(docs, bench.limit(0)).count() == 0 and decontam.clean(docs_of(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_short_equal_and_many_items(spark, monkeypatch):
+    rng = random.Random(15)
+    long = prose(rng, 25)
+    bench = [(1, "Zeta 5?"), (2, "zeta 5?"), (3, long), (4, long), (5, None), (6, " \n "), (7, "a" * 30), (8, "ü")]
+    bench += [(100 + i, prose(rng, 12)) for i in range(40)]
+    rows = [(1, "is ZETA 5? so"), (2, "azeta 5?"), (3, prose(rng, 60_000) + " " + long), (4, "a" * 3000), (5, "über"), (6, "x ü."), (1, "is ZETA 5? so"), (7, bench[20][1])]
+    want = {(1, 1), (1, 2), (3, 3), (3, 4), (6, 8), (4, 7), (7, bench[20][0])}
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for size, expand in ((2 << 20, 1 << 20), (700, 50)):  # one block; several, and a few hits at a time
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontam, "EXPAND", expand)
+        got = decontam.find(docs_of(spark, rows), table).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+        assert Counter((r["doc_id"], r["item_id"]) for r in got)[1, 1] == 2 and Counter((r["doc_id"], r["item_id"]) for r in got)[4, 7] == 100
+        assert sorted(r["doc_id"] for r in decontam.clean(docs_of(spark, rows), table).collect()) == [2, 5]
+
+
 def test_embedding_dedup_against_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 16))
@@ -293,31 +310,99 @@ def test_graph_recall():
     assert (back.search(q, 64)[0] == ids).all() and (more["rep"] == order).all()
 
 
-def test_encoder_gives_the_tokenizers_ids():
+def json_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n b", " a", "a ", "\n", "a\n\nb c.d,e", "it's 's 'tis", "a\n \nb", "tab\t b", "é ü 12 3.5%.\n%", "<|endoftext|> x", " x   y", "a\x0b b", "日本 語。 ok", "x" * 5000, "Ö. a\r\n b"]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    t = json_tokenizer()
+    texts = ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n b", " a", "a ", "\n", "a\n\nb c.d,e", "it's 's 'tis", "a\n \nb", "tab\t b", "é ü 12 3.5%.\n%", "<|endoftext|> x", " x   y", "a\x0b b", "日本 語。 ok", "x" * 5000, "Ö. a\r\n b"]
     texts += [prose(random.Random(i), 50) + ".\n" + prose(random.Random(i), 9).title() for i in range(20)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     coder = packing.ChunkEncoder(packing.default_tokenizer())
     for _ in range(2):
-        assert [x.tolist() for x in coder.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in coder.encode_all(texts)] == want
+    coder._clear()
+    coder.values[:] = np.uint64(1)  # hashes that collide all the time: the comparison of bytes has to notice
+    for _ in range(2):
+        assert [x.tolist() for x in coder.encode_all(texts)] == want
+    monkeypatch.setattr(packing, "CACHE", 40)  # a table that is full all the time
+    coder = packing.ChunkEncoder(packing.default_tokenizer())
+    assert [x.tolist() for t in texts for x in coder.encode_all([t])] == want
 
 
 def test_pieces_give_added_tokens_their_ids(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t = json_tokenizer()
     texts = ["<|endoftext|>", "a b. <|endoftext|> c\nd", "x<|endoftext|><|endoftext|>\u00a0y", "<|endoftext", "<|endof\ntext|> z", "plain words, here."]
-    for path in (packing.default_tokenizer(), public_tokenizers.path("byte_bpe_50k.json")):
-        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(docs_of(spark, list(enumerate(texts))), path).collect()}
-        assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(docs_of(spark, list(enumerate(texts))), packing.default_tokenizer()).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
     assert got[0] == [50256, 2]
 
 
+def fewest_bins(items, capacity):
+    """The optimum of a small instance, by trying every bin for every piece."""
+    best = len(items)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best and i < len(items) or len(rooms) > best:
+            return
+        if i == len(items):
+            best = min(best, len(rooms))
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - items[i]])
+
+    put(0, [])
+    return best
+
+
+def test_reduction_keeps_the_optimum():
+    rng = random.Random(21)
+    sizes = Counter()
+    for _ in range(400):
+        c = rng.choice((20, 30, 50))
+        items = sorted((rng.randint(max(1, c // 6), c) for _ in range(rng.randint(1, 10))), reverse=True)
+        fixed, left = packing.reduce_instance(Counter(items), c)
+        assert Counter(s for held, k in fixed for s in held for _ in range(k)) + Counter(left) == Counter(items)
+        sizes.update(len(held) for held, _ in fixed)
+        rest = [s for s, n in left.items() for _ in range(n)]
+        best = fewest_bins(items, c)
+        assert sum(k for _, k in fixed) + fewest_bins(sorted(rest, reverse=True), c) == best
+        assert packing.lower_bound(Counter(items), c) <= best <= sum(k for _, k in packing.plan(Counter(items), c))
+    assert sizes[1] and sizes[2] and sizes[3]
+    assert packing.reduce_instance({60: 1, 25: 1, 14: 1, 8: 1, 39: 1}, 100)[0] == [((60, 39), 1), ((25, 14, 8), 1)]
+
+
+def test_packing_query_against_the_plain_tokenizer(spark, sf):
+    """The contract's columns worked out with the tokenizer itself, and how far the packing is from the lower bound."""
+    t = json_tokenizer()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[r["doc_id"], k] = (i, j - i, zlib.crc32(ids[i:j].tobytes()))
+    got = queries.op9_packing(spark, sf).toPandas()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 1024
+    least = packing.lower_bound(Counter(got["length"].tolist()), 1024)
+    assert got["sequence_id"].nunique() <= least + max(1, least // 500)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(i, 10 + i % 7, i * 2, "b", i, -1, -2) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, base long, cell string, nth int, sequence_id int, offset int")
+    got = packing.pack(df, 64)
+    assert got.columns == ["doc_id", "length", "base", "cell", "nth", "sequence_id", "offset"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == [r[:5] for r in rows] and got.filter("sequence_id < 0").count() == 0
+
+
 def test_plans_hold_every_piece_once():
     rng = np.random.default_rng(8)
     for _ in range(60):
@@ -334,6 +419,7 @@ def test_plans_hold_every_piece_once():
         assert bins <= max(least + 2, 1.25 * least)
     fixed, left = packing.reduce_instance({70: 2, 30: 1, 29: 1, 95: 3}, 100)
     assert sorted(fixed) == [((70, 29), 1), ((70, 30), 1), ((95,), 3)] and not left
+    assert not packing.plan({}, 100) and packing.lower_bound({}, 100) == 0
 
 
 def test_packing_round_trip(spark):
