@@ -1,13 +1,14 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
-Tokens are hashed into a table of fixed size. Each has a sparse ternary index vector (from a seed) and, learnt from the training
-rows, a context vector: the sum of the index vectors around its occurrences. A document is the mean of its tokens' vectors (index
-and context parts side by side) and of the index vectors of its token shapes: what kind of characters a token holds, and whether
-it repeats the token before. A network with one hidden layer is trained on the standardised means; a temperature fitted on
-training rows it did not see makes its output a probability.
+Words are runs of letters and digits and runs of other visible characters; a word that only repeats the one before it is read as a
+word of its own that says so. Each has a sparse ternary index vector, drawn by its
+hash. The words of the training rows have a context vector besides, learnt there: the sum of the index vectors around their
+occurrences. A document is the mean of its words' index vectors beside the mean of their context vectors. A network with one
+hidden layer is trained on the standardised means; a temperature fitted on training rows it did not see makes its output a
+probability.
 
-The fit uses a bounded sample of labelled rows (``TRAIN_ROWS``, those with the smallest hash of their doc_id, so the sample is the
-same wherever it runs). Scoring covers every row and the whole text, in one pass without a shuffle; the model's size is fixed.
+The fit uses a bounded sample of labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``, those with the smallest hash of their doc_id, so
+the sample is the same wherever it runs). Scoring covers every row and the whole text, in one pass without a shuffle; the model's size is fixed.
 
 Defined cases: null and empty texts have a zero vector and are scored like any other; labels that are null or not 0 or 1 are not
 learnt from; with no usable label or a single class, the score of every row is that class's share (0.5 with none); a null doc_id
@@ -16,26 +17,33 @@ counts as held out; an empty table gives an empty result; columns other than tex
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import work
 
-#: Labelled rows that the fit may use, and of them how many in five are kept for the temperature.
-TRAIN_ROWS, CALIBRATE_OF_5 = 6_000, 1
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
-SHAPES = 64
+#: Labelled rows that the fit may use, bytes of their texts, and of the rows how many in five are kept for the temperature.
+TRAIN_ROWS, TRAIN_BYTES, CALIBRATE_OF_5 = 6_000, 64 << 20, 1
+#: Length of a vector, its non-zero places, words on either side that make a context, and words that have one: those that occur
+#: often enough in training, the most frequent first.
+DIM, NONZERO, WINDOW, VOCABULARY, LEAST = 128, 4, 2, 1 << 15, 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
-#: Distinct tokens that a worker keeps.
-CACHE = 100_000
+#: Distinct words that a worker remembers, and words of a text that are summed at a time.
+CACHE, SUM = 100_000, 1 << 14
+#: The word that stands for a repetition of the word before; no text holds it, as words have no blanks.
+AGAIN = "same again"
+_WORD = re.compile(r"\w+|[^\w\s]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,54 +51,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-@lru_cache(2)
-def _index_vectors(rows: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    out = np.zeros((rows, DIM), np.float32)
-    at = np.argsort(rng.random((rows, DIM)), axis=1)[:, :NONZERO]
-    out[np.arange(rows)[:, None], at] = rng.choice(np.array([-1, 1], np.float32), (rows, NONZERO))
-    return out
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, and runs of other visible characters, lower-cased; one that follows itself reads ``AGAIN``."""
+    words = _WORD.findall((text or "").lower())
+    return [AGAIN if a == b else a for a, b in zip(words, ["", *words], strict=False)]
 
 
-def _shape(token: str) -> int:
-    """A small number for what a token is made of."""
-    if token.isalpha():
-        letters, digits, marks = len(token), 0, 0
-    else:
-        letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
-        marks = len(token) - letters - digits
-    upper = token.isupper() and letters > 1
-    case = 3 if upper else 2 if token[:1].isupper() else 1 if letters else 0
-    return case * 16 + min(3, marks) * 4 + min(1, digits) * 2 + (len(token) > 14)
+def index_vector(word: str) -> tuple[list[int], list[int]]:
+    """Places and signs of a word's sparse index vector, drawn by its hash, so no two words share one by design."""
+    h, places, signs = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"), 11), [], []
+    while len(places) < NONZERO:
+        h, at = divmod(h, DIM)
+        h, sign = divmod(h, 2)
+        if h == 0:
+            h = xxhash.xxh3_128_intdigest(f"{word} {len(places)}".encode("utf-8", "surrogatepass"), 12)
+        if at not in places:
+            places.append(at)
+            signs.append(2 * sign - 1)
+    return places, signs
 
 
-class Tokens:
-    """Bucket and shape of tokens, remembered."""
+class Words:
+    """Numbers of words with their index vectors, remembered; the vocabulary's words come first and stay."""
 
-    def __init__(self):
-        self.seen: dict[str, int] = {}
+    def __init__(self, vocabulary: list[str]):
+        self.vocabulary = vocabulary
+        self.places = np.zeros((len(vocabulary) + CACHE, NONZERO), np.int16)
+        self.signs = np.zeros((len(vocabulary) + CACHE, NONZERO), np.int8)
+        self._clear()
 
-    def __missing(self, token: str) -> int:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        x = (xxhash.xxh3_64_intdigest(token.lower()) & (BUCKETS - 1)) | _shape(token) << 20
-        if len(token) < 64:
-            self.seen[token] = x
-        return x
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Buckets, shapes and the number of immediate repeats."""
-        words = (text or "").split()
+    def _clear(self) -> None:
+        self.seen: dict[str, int] = {}
+        for word in self.vocabulary:
+            self._add(word)
+
+    def _add(self, word: str) -> int:
+        if len(self.seen) >= len(self.places):
+            return -1
+        self.seen[word] = i = len(self.seen)
+        self.places[i], self.signs[i] = index_vector(word)
+        return i
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words; give at most ``CACHE`` at a time."""
         got = list(map(self.seen.get, words))
         if None in got:
-            got = [self.__missing(w) if x is None else x for w, x in zip(words, got, strict=True)]
-        codes = np.array(got, np.int64)
-        return codes & (BUCKETS - 1), codes >> 20, int((codes[1:] == codes[:-1]).sum())
+            for i, x in enumerate(got):
+                if x is None:
+                    x = self.seen.get(words[i])
+                    got[i] = self._add(words[i]) if x is None else x
+            if -1 in got:  # no room left
+                self._clear()
+                return self.of(words)
+        return np.array(got, np.int64)
 
 
 @dataclass
 class Model:
-    context: np.ndarray  # BUCKETS x DIM
+    vocabulary: list[str]
+    context: np.ndarray  # a row a word of the vocabulary
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -107,33 +126,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def pooled(tokens: Tokens, table: np.ndarray, text: str | None) -> np.ndarray:
-    """A document's vector: means of the word vectors (table: index and context parts) and of the shapes' index vectors."""
-    words, shapes, repeats = tokens.of(text)
-    n = len(words)
-    out = np.zeros(table.shape[1] + SHAPES + 1, np.float64)
-    if n:
-        share = np.bincount(shapes, minlength=SHAPES) / n
-        for i in range(0, n, 1 << 15):
-            out[: table.shape[1]] += table[words[i : i + (1 << 15)]].sum(0)
-        out[: table.shape[1]] /= n
-        out[table.shape[1] : -1] = share
-        out[-1] = repeats / n
-    return out
-
-
-def _contexts(token_lists: list[np.ndarray]) -> np.ndarray:
-    """Context vectors, normalised: index vectors of the neighbours within the window, summed by token."""
-    index = _index_vectors(BUCKETS, 11)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    for words in token_lists:
-        for d in range(1, WINDOW + 1):
-            if len(words) > d:
-                pairs = np.concatenate([words[:-d] * BUCKETS + words[d:], words[d:] * BUCKETS + words[:-d]])
-                u, n = np.unique(pairs, return_counts=True)
-                np.add.at(out, u // BUCKETS, index[u % BUCKETS] * n[:, None].astype(np.float32))
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1)
+def pooled(words: Words, context: np.ndarray, text: str | None) -> np.ndarray:
+    """A document's vector: the mean of its words' index vectors and the mean of their context vectors."""
+    every = words_of(text)
+    out = np.zeros(2 * DIM)
+    for i in range(0, len(every), SUM):
+        own = words.of(every[i : i + SUM])
+        out[:DIM] += np.bincount(words.places[own].ravel(), words.signs[own].ravel(), DIM)
+        known, times = np.unique(own[own < len(context)], return_counts=True)
+        out[DIM:] += times @ context[known]
+    return out / max(1, len(every))
+
+
+def _vocabulary(texts: list[list[str]]) -> list[str]:
+    counts = Counter(w for t in texts for w in t)
+    return [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= LEAST]
+
+
+def _contexts(texts: list[list[str]], words: Words) -> np.ndarray:
+    """Context vectors of the vocabulary, of unit length: the index vectors of all words within the window, summed."""
+    n, size = len(words.vocabulary), len(words.places)
+    out = np.zeros((n, DIM), np.float32)
+    for text in texts:
+        for part in range(0, len(text), SUM):
+            own = words.of(text[max(0, part - WINDOW) : part + SUM])
+            for d in range(1, WINDOW + 1):
+                for a, b in ((own[:-d], own[d:]), (own[d:], own[:-d])):
+                    pairs, times = np.unique((a * size + b)[a < n], return_counts=True)
+                    a, b = pairs // size, pairs % size
+                    np.add.at(out, (a[:, None], words.places[b]), words.signs[b] * times[:, None].astype(np.float32))
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
@@ -141,14 +163,15 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
     none = np.zeros(0)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.5
-        return Model(np.zeros((BUCKETS, DIM), np.float32), none, none, none, none, none, 0.0, 1.0, share)
-    tokens, rng = Tokens(), np.random.default_rng(seed)
+        return Model([], np.zeros((0, DIM), np.float32), none, none, none, none, none, 0.0, 1.0, share)
+    rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     n_cal = max(1, len(texts) * CALIBRATE_OF_5 // 5)
     cal, train = order[:n_cal], order[n_cal:]
-    context = _contexts([tokens.of(texts[i])[0] for i in train])
-    table = np.concatenate([_index_vectors(BUCKETS, 11), context], axis=1)
-    x = np.array([pooled(tokens, table, t) for t in texts])
+    lists = [words_of(texts[i]) for i in train]
+    words = Words(_vocabulary(lists))
+    context = _contexts(lists, words)
+    x = np.array([pooled(words, context, t) for t in texts])
     y = labels.astype(float)
     mean, scale = x[train].mean(0), x[train].std(0) + 1e-6
     xs = (x - mean) / scale
@@ -167,14 +190,17 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
     z = np.tanh(xs[cal] @ w[0] + w[1]) @ w[2] + w[3]
     heats = np.exp(np.linspace(np.log(0.25), np.log(8), 80))
     loss = [np.logaddexp(0, np.where(y[cal] > 0, -z, z) / t).mean() for t in heats]
-    return Model(context, mean, scale, w[0], w[1], w[2], float(w[3][0]), float(heats[int(np.argmin(loss))]))
+    return Model(words.vocabulary, context, mean, scale, w[0], w[1], w[2], float(w[3][0]), float(heats[int(np.argmin(loss))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``max_rows`` labelled rows that are not held out, and on ``max_bytes`` of text, no text more than a 64th of it."""
     y = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    y = y.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").toPandas()  # max_rows at most for unique doc_ids
+    y = y.filter(~held_out(F.col("doc_id"))).select("doc_id", "quality", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # max_rows at most for unique doc_ids
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    so_far = F.sum(size).over(W.orderBy("turn", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.filter(size <= max_bytes // 64).withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "text", "quality").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     return fit(rows["text"].tolist(), rows["quality"].to_numpy(int))
 
@@ -182,17 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted added (columns of these names go)."""
     work.small_batches(docs)
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given, key = docs.sparkSession.sparkContext.broadcast(model), ("quality", uuid.uuid4().hex)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     own = [f"c{i}" for i in range(len(names))]
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = given.value, Tokens()
-        table = np.concatenate([_index_vectors(BUCKETS, 11), m.context], axis=1)
+        m, words = work.keep(key, lambda: (given.value, Words(given.value.vocabulary)))
         for b in batches:
-            x = np.array([pooled(tokens, table, t.as_py()) for t in b.column(at)]).reshape(b.num_rows, -1)
+            x = np.array([pooled(words, m.context, t.as_py()) for t in b.column(at)]).reshape(b.num_rows, -1)
             s = m.score(x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*own, "score", "predicted"])
 

@@ -148,15 +148,48 @@ def test_url_filter(spark):
 
 
 def test_quality_on_held_out_rows(spark):
+    """Word vectors alone tell the classes apart on rows not learnt from, and scores are probabilities."""
     sf = "/root/testdata/sf0.1"
     from quillspark.llm.work import table
 
     got = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert got.count() == table(spark, sf, "documents").count()
     rows = got.join(table(spark, sf, "labels"), "doc_id").filter("held_out").toPandas()
-    assert ((rows["predicted"] == rows["quality"]).mean()) > 0.97 and len(rows) > 500
+    good, s = rows["quality"] == 1, rows["score"]
+    assert (rows["predicted"] == rows["quality"]).mean() >= 0.98 and len(rows) > 500
+    assert s[good].rank().mean() and (s[good].to_numpy()[:, None] > s[~good].to_numpy()[None, :]).mean() > 0.99
+    tenth = np.minimum((s * 10).astype(int), 9)
+    assert sum(abs(s[tenth == k].mean() - good[tenth == k].mean()) * (tenth == k).mean() for k in set(tenth)) < 0.02
     assert all((zlib.crc32(str(d).encode()) % 4 == 2) for d in rows["doc_id"])
 
 
+def test_temperature_calibrates():
+    """Labels that words explain in part only: the scores say how often, not more."""
+    rng = random.Random(31)
+    y = np.array([rng.random() < 0.5 for _ in range(900)], int)
+    texts = [f"{('bad', 'good')[int(v) if rng.random() < 0.8 else 1 - int(v)]} {prose(rng, 11)}" for v in y]
+    m = quality.fit(texts[:600], y[:600])
+    words = quality.Words(m.vocabulary)
+    s = m.score(np.array([quality.pooled(words, m.context, t) for t in texts[600:]]))
+    assert m.temperature > 1 and np.logaddexp(0, -np.where(y[600:] > 0, 1, -1) * np.log(s / (1 - s))).mean() < 0.69
+
+
+def test_word_numbers_survive_a_full_table(monkeypatch):
+    monkeypatch.setattr(quality, "CACHE", 30)
+    monkeypatch.setattr(quality, "SUM", 25)
+    w = quality.Words(["a", "b"])
+    text = " ".join(f"w{i}" for i in range(200)) + " a b a"
+    one = quality.pooled(w, np.eye(2, quality.DIM, dtype=np.float32), text)
+    want = np.zeros(2 * quality.DIM)
+    for x in quality.words_of(text):
+        places, signs = quality.index_vector(x)
+        assert len(set(places)) == quality.NONZERO
+        want[places] += signs
+        want[quality.DIM + "ab".find(x)] += x in "ab"
+    assert np.allclose(one, want / 203)
+    assert quality.words_of("Ab ab ab! %%%x_1") == ["ab", quality.AGAIN, quality.AGAIN, "!", "%%%", "x_1"]
+
+
 def test_quality_of_odd_rows(spark):
     docs = docs_of(spark, [(1, None), (2, ""), (3, "a " * 50_000), (None, "b")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -166,6 +199,10 @@ def test_quality_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in quality.classify(docs_of(spark, rows), labels).collect()}
     assert len(got) == 62 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
     assert got[1]["score"] > got[2]["score"]
+    twice = spark.createDataFrame([(i, t, "old", 9) for i, t in [*rows, rows[3], rows[3]]], "doc_id long, text string, score string, predicted int")
+    again = quality.score(twice, quality.train(twice, labels))
+    assert again.count() == 64 and again.filter("doc_id = 3").select("score").distinct().count() == 1 and dict(again.dtypes)["score"] == "double"
+    assert quality.classify(docs_of(spark, []), labels).count() == 0 and quality.classify(docs_of(spark, []), none).count() == 0
 
 
 def test_license_scan(spark):
