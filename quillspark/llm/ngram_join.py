@@ -9,10 +9,12 @@ the sketch. A pair needs ``min(l, l')`` shared prefix shingles, and as many as i
 remainders, before it is verified on the whole sets.
 
 Only what components need is verified, and no group emits its pairs: equal sets collapse into classes first; within a posting
-list one hub meets the others, and the links found merge components. Lists that still span several components join their sets
-into groups, cut by size of set into blocks of bounded length. A task gets two blocks, counts the shared prefix shingles of all
-their pairs at once, verifies those that share enough on the whole sets, and returns a spanning forest of the links. So every pair
-of different components that shares a list is met, and every candidate passes the same test of prefixes.
+list one hub meets the others, and the links found merge components. Lists that still span several components are met as groups,
+those with the same member of smallest hash together (lists of mostly equal members have it in common; a group never reaches beyond
+the sets that share a shingle with that member). A group is cut by size of set into blocks of bounded length. A task gets two
+blocks and counts the shared prefix shingles of all their pairs at once; sets of pairs that share enough come together once more,
+whole, to be verified, and a task returns a spanning forest of the links. So every pair of different components that shares a list
+is met, and every candidate passes the same test of prefixes.
 
 Text is read once for classes and sketch, once for prefixes, and once for the whole sets of each step's candidates; it is never
 shuffled.
@@ -43,7 +45,7 @@ WORDS, SIMILARITY = 5, 80
 CELLS, PIECE = 1 << 20, 1 << 12
 #: Longest ``l`` that a document may pick.
 MAX_L = 4
-#: Shingles of a block (a task compares two blocks) and columns of an incidence product.
+#: Tokens or shingles of a block (a task compares two blocks) and columns of an incidence product.
 BLOCK, COLUMNS = 1 << 17, 1 << 12
 #: Bits of the filter that keeps texts of candidates: eight a candidate within these bounds (8 MB at most).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
@@ -241,6 +243,20 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = COLUM
     return out.astype(np.int64)
 
 
+class _Block:
+    """Rows of a block: sets with the tokens of open lists that they hold, those of the short prefix first."""
+
+    def __init__(self, rows, similarity: int):
+        self.ids, self.of, self.n, self.k, self.l = (rows[c].to_numpy(np.int64) for c in ("doc_id", "component", "n", "k", "l"))
+        self.held = self.n - -(-similarity * self.n // 100) + self.l
+        self.long = [np.asarray(x, np.int64) for x in rows["tokens"]]
+        self.short = [x[:m] for x, m in zip(self.long, rows["shorts"], strict=True)]
+        self.sets = [np.asarray(x, np.int64) for x in rows["shingles"]] if "shingles" in rows else []
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 def _candidates(one: _Block, two: _Block, similarity: int) -> np.ndarray:
     """Which pairs share enough prefix shingles to be verified: as many as the less demanding of both asks for, and as their overlap
     takes beyond the longer of the two remainders. The smaller set of a pair gives its short prefix, the larger its long one."""
@@ -253,27 +269,17 @@ def _candidates(one: _Block, two: _Block, similarity: int) -> np.ndarray:
     return fits & enough & ((shared + rest) * (100 + similarity) >= (n_a + n_b) * similarity)
 
 
-class _Block:
-    """Sets of a block with their prefixes."""
-
-    def __init__(self, ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], seen: np.ndarray, similarity: int):
-        self.ids, self.of, self.sets = ids, of, sets
-        made = [prefix(s, seen[_cells(s)], similarity) for s in sets]
-        self.long, self.short = [p for p, _, _ in made], [p[:k] for p, k, _ in made]
-        self.k, self.l = np.array([k for _, k, _ in made], np.int64), np.array([x for _, _, x in made], np.int64)
-        self.n, self.held = np.array([len(s) for s in sets], np.int64), np.array([len(p) for p in self.long], np.int64)
-
-
-def _cells_of(groups: DataFrame, similarity: int) -> DataFrame:
-    """groups(doc_id, group, n) -> doc_id, group, r1, i1, r2, i2, left: the cells in which each set meets others, two blocks a cell.
+def _cells_of(members: DataFrame, weight: str, similarity: int) -> DataFrame:
+    """members(group, doc_id, n, .., weight) -> the same with r1, i1, r2, i2, left: the cells in which each meets others, two blocks a
+    cell.
 
     Sets link only if their sizes are within the similarity, so a group is cut into ranges of size first (whole bands, joined while
-    they hold less than ``BLOCK`` shingles) and meets neighbours only; a range of more is dealt out to blocks by hash.
+    they weigh less than ``BLOCK``) and meets neighbours only; a range of more is dealt out to blocks by hash.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(similarity, 99)))
-    own = groups.withColumn("band", band)
+    own = members.withColumn("band", band)
     by = W.partitionBy("group")
-    bands = own.groupBy("group", "band").agg(F.sum("n").alias("t"))  # some tens a group
+    bands = own.groupBy("group", "band").agg(F.sum(weight).alias("t"))  # some tens a group
     before = F.coalesce(F.sum("t").over(by.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bands = bands.withColumn("range", F.floor(before / BLOCK))
     ranges = bands.groupBy("group", "range").agg(F.ceil(F.sum("t") / BLOCK).cast("int").alias("blocks"))
@@ -281,47 +287,68 @@ def _cells_of(groups: DataFrame, similarity: int) -> DataFrame:
     for name, at in (("prev", F.lag), ("next", F.lead)):
         ranges = ranges.withColumn(name, at(F.struct("range", "blocks")).over(order))
     own = own.join(bands.select("group", "band", "range"), ["group", "band"]).join(ranges, ["group", "range"])
-    i = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own = own.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cell = lambda r1, i1, r2, i2, left: F.struct(r1.alias("r1"), i1.alias("i1"), r2.alias("r2"), i2.alias("i2"), left.alias("left"))
     count = lambda n: F.sequence(F.lit(0), n - 1)
     r, none = F.col("range"), F.array().cast("array<struct<r1:bigint,i1:int,r2:bigint,i2:int,left:boolean>>")
     same = F.transform(count(F.col("blocks")), lambda o: cell(r, F.least(F.col("i"), o), r, F.greatest(F.col("i"), o), F.col("i") <= o))
     up = F.when(F.col("next").isNotNull(), F.transform(count(F.col("next.blocks")), lambda o: cell(r, F.col("i"), F.col("next.range"), o, F.lit(True))))
     down = F.when(F.col("prev").isNotNull(), F.transform(count(F.col("prev.blocks")), lambda o: cell(F.col("prev.range"), o, r, F.col("i"), F.lit(False))))
-    return own.withColumn("i", i).select("doc_id", "group", F.inline(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))))
+    return own.select(*members.columns, F.inline(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))))
+
+
+def _sides(key: tuple, rows, similarity: int) -> tuple[_Block, _Block, np.ndarray, np.ndarray]:
+    """Both blocks of a cell and the candidates among their pairs."""
+    left = rows["left"].to_numpy(bool)
+    alone = key[1:3] == key[3:5]
+    one = _Block(rows[left], similarity)
+    two = one if alone else _Block(rows[~left], similarity)
+    if not len(one) or not len(two):
+        return one, two, np.empty(0, int), np.empty(0, int)
+    x, y = np.nonzero(_candidates(one, two, similarity))
+    return (one, two, x[x < y], y[x < y]) if alone else (one, two, x, y)
+
+
+def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links between different components among the sets of open lists, stored.
+
+    Lists whose members are mostly the same have the same member of smallest hash and are met as one group. Members bring the
+    tokens of their open lists first; the whole sets are fetched for those only that some other one is a candidate for.
+    """
+    first = left.groupBy("token").agg(F.min_by("doc.doc_id", F.xxhash64("doc.doc_id")).alias("group"))
+    groups = left.join(first, "token").select("doc.doc_id", "group").distinct()
+    tokens = F.sort_array(F.collect_list(F.struct((~F.col("short")).alias("long"), "token")))
+    own = left.groupBy("doc.doc_id").agg(F.first("doc.n").alias("n"), F.first("component").alias("component"), tokens.alias("t"), F.count_if("short").alias("shorts"))
+    own = own.select("doc_id", "n", "component", F.col("t.token").alias("tokens"), "shorts", F.size("t").alias("weight"))
+    members = work.cut(groups.join(own, "doc_id").join(prefixes.select("doc_id", "k", "l"), "doc_id"), "members")
+    by = ["group", "r1", "i1", "r2", "i2"]
+
+    def meet(key, rows):
+        import pandas as pd
 
+        one, two, x, y = _sides(key, rows, similarity)
+        ids = np.unique(np.concatenate([one.ids[x], two.ids[y]]))
+        return pd.DataFrame({"group": np.full(len(ids), key[0]), "doc_id": ids})
 
-def _in_blocks(groups: DataFrame, labels: DataFrame, docs: DataFrame, sketch: Broadcast, words: int, similarity: int) -> DataFrame:
-    """Links between different components within groups(doc_id, group, n), stored."""
-    sets = _sets_of(docs, groups.select("doc_id"), words)
-    named = _cells_of(groups, similarity).join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    cells = named.withColumn("component", F.coalesce("component", "doc_id")).join(sets, "doc_id")
+    alive = _cells_of(members, "weight", similarity).groupBy(*by).applyInPandas(meet, "group long, doc_id long")
+    alive = work.cut(alive.distinct(), "members-met")
+    sets = _sets_of(docs, alive.select("doc_id").distinct(), words)
+    rest = members.join(alive, ["group", "doc_id"], "left_semi")
 
-    def compare(key, pdf):
+    def verify(key, rows):
         import pandas as pd
 
-        seen, left = sketch.value, pdf["left"].to_numpy()
-        ids, of, sets = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in pdf["shingles"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        if len(np.unique(of)) < 2:
-            return none
-        alone = key[1:3] == key[3:5]
-        one, two = (_Block(ids[x], of[x], [sets[i] for i in x], seen, similarity) for x in (np.flatnonzero(left), np.flatnonzero(left if alone else ~left)))
-        if not len(one.ids) or not len(two.ids):
-            return none
-        x, y = np.nonzero(_candidates(one, two, similarity))
-        if alone:
-            x, y = x[x < y], y[x < y]
-        rows, cols = np.unique(x), np.unique(y)
-        if not len(rows):
-            return none
-        shared = _overlaps([one.sets[i] for i in rows], [two.sets[i] for i in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+        one, two, x, y = _sides(key, rows, similarity)
+        if not len(x):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        p, q = np.unique(x), np.unique(y)
+        shared = _overlaps([one.sets[i] for i in p], [two.sets[i] for i in q])[np.searchsorted(p, x), np.searchsorted(q, y)]
         good = shared * 100 >= (one.n[x] + two.n[y] - shared) * similarity
         a, b = forest(one.ids[x[good]], two.ids[y[good]])
         return pd.DataFrame({"a": a, "b": b})
 
-    out = work.cut(cells.groupBy("group", "r1", "i1", "r2", "i2").applyInPandas(compare, "a long, b long"), "verified")
-    work.drop(sets)
+    out = work.cut(_cells_of(rest, "n", similarity).join(sets, "doc_id").groupBy(*by).applyInPandas(verify, "a long, b long"), "verified")
+    work.drop(members, alive, sets)
     return out
 
 
@@ -358,10 +385,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     left = _open(active, labels)
     work.drop(active)
     if not _empty(left):
-        hub = left.groupBy("token").agg(F.min("doc.doc_id").alias("a"))
-        groups = components(left.join(hub, "token").select("a", F.col("doc.doc_id").alias("b"))).toDF("doc_id", "group")
-        groups = work.cut(groups.join(prefixes.select("doc_id", "n"), "doc_id"), "groups")
-        more = _in_blocks(groups, labels, docs, given, words, similarity)
+        more = _in_groups(left, prefixes, docs, words, similarity)
         if not _empty(more):
             labels = components(links.unionByName(more))
 
