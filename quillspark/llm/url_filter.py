@@ -1,9 +1,10 @@
 """URL filter by listed rules: a blocked Bloom filter ahead of an exact hash join, in DataFrame functions only.
 
 A rule is a canonical key ``host + path`` with a verdict. It fits its host and all subdomains when the url's path starts with
-the rule's path; the longest fitting rule decides. Each distinct url is expanded to the candidate keys that a listed rule could
-equal (host suffixes by the label counts listed, path prefixes by the lengths listed). One 256-bit block of the filter answers
-for a candidate; survivors go to an exact join on the key, which removes the false positives.
+the rule's path; the longest fitting rule decides. The filter holds the rules' hosts and their whole keys. A url's host suffixes (by
+the label counts listed) are tried first, one 256-bit block each; those that pass are expanded to candidate keys (path prefixes by
+the lengths listed), which are tried in turn. All that happens where the page is read: only survivors are shuffled, to an exact
+join on the key, which removes the false positives.
 
 Defined cases: a null url or one without ``://`` has empty host and path and fits no rule; empty tables give empty results;
 repeated rows are all judged; extra columns of the input are ignored, whatever their names.
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bits a listed key gets in the filter, and keys a 256-bit block holds at that density.
 BITS_PER_KEY, BLOCK_BITS, WORDS = 16, 256, 8
-#: Filters up to this many blocks (32 bytes each and a row's overhead) may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BLOCKS = 65_536
+#: Blocks of a filter at most (about 100 bytes each in a broadcast table); with more keys than that asks for, it lets more through.
+MAX_BLOCKS = 1 << 20
 #: Exact rule tables up to this many rows may be broadcast.
 BROADCAST_RULES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,12 +47,21 @@ def _bits(key: Column) -> list[Column]:
 def build_filter(rules: DataFrame, n_rules: int) -> tuple[DataFrame, int]:
     """rules(key) -> (block, w0..w7) and the number of blocks: bits are or-ed by block in one aggregation."""
     n_blocks = 1
-    while n_blocks * BLOCK_BITS < n_rules * BITS_PER_KEY:
+    while n_blocks * BLOCK_BITS < n_rules * BITS_PER_KEY and n_blocks < MAX_BLOCKS:
         n_blocks *= 2
     bits = rules.select(_block(F.col("key"), n_blocks).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(F.col("key")))])
     return bits.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), n_blocks
 
 
+def probe(rows: DataFrame, key: Column, bloom: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows whose key the filter may hold, by a broadcast join: none is shuffled."""
+    names = rows.columns
+    passed = rows.withColumn("key_", key).withColumn("block", _block(F.col("key_"), n_blocks)).join(F.broadcast(bloom), "block")
+    for i, b in enumerate(_bits(F.col("key_"))):
+        passed = passed.filter(F.col(f"w{i}").bitwiseAND(b) == b)
+    return passed.select(*names)
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages(page_id, url), rules(host, path, verdict) -> page_id, host, path, rule, verdict.
 
@@ -70,24 +80,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     if not shape["n"]:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    bloom, n_blocks = build_filter(listed, shape["n"])
+    host_key, whole_key = F.concat(F.lit("host "), F.col("suffix")), F.concat("suffix", "prefix")
+    held = listed.select(F.explode(F.array("key", F.concat(F.lit("host "), "host"))).alias("key")).distinct()
+    bloom, n_blocks = build_filter(held, 2 * shape["n"])
     suffixes = F.array(*[F.when(F.size(F.split("host", r"\.")) >= n, F.substring_index("host", ".", -n)) for n in shape["labels"]])
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in shape["lengths"]])
-    urls = judged.distinct()
-    tried = (
-        urls.withColumn("suffix", F.explode(suffixes)).filter("suffix is not null")
-        .withColumn("prefix", F.explode(prefixes)).filter("prefix is not null")
-        .withColumn("key", F.concat("suffix", "prefix"))
-        .drop("page_id")
-    )
-    tried = tried.distinct().withColumn("block", _block(F.col("key"), n_blocks))
-    near = F.broadcast(bloom) if n_blocks <= BROADCAST_BLOCKS else bloom
-    passed = tried.join(near, "block")
-    for i, b in enumerate(_bits(F.col("key"))):
-        passed = passed.filter(F.col(f"w{i}").bitwiseAND(b) == b)
+    tried = judged.select("host", "path", F.explode(suffixes).alias("suffix")).filter("suffix is not null")
+    tried = probe(tried, host_key, bloom, n_blocks)
+    tried = tried.withColumn("prefix", F.explode(prefixes)).filter("prefix is not null")
+    passed = probe(tried, whole_key, bloom, n_blocks).distinct()
     exact = listed.select("key", F.col("host").alias("suffix"), F.col("path").alias("prefix"), "verdict")
     exact = F.broadcast(exact) if shape["n"] <= BROADCAST_RULES else exact
-    hits = passed.select("host", "path", "key", "suffix", "prefix").join(exact, ["key", "suffix", "prefix"])
+    hits = passed.join(exact, ["suffix", "prefix"])
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.length("suffix"))).alias("best"))
     return judged.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
