@@ -3,7 +3,8 @@
 Equal vectors of a label collapse into classes first (counted in partial aggregates). A label's classes are dealt to shards of at
 most about ``SHARD`` vectors; each shard gets a graph. Every class is then searched for in every shard of its label, a block of
 queries and a shard at a time. A beam is widened for queries whose links fill it, and for the whole block until an audit of some
-of its queries against brute force passes; a beam as wide as the shard is exact. Hits are verified by cosine in double precision.
+of its queries against brute force passes; only a beam that has become as wide as the shard compares all of it, which is exact. The
+audits are reported. Hits are verified by cosine in double precision.
 A block returns each query's number of links and a spanning forest of the links it found, so a group of near copies never emits
 its pairs, and components lose nothing.
 
@@ -25,10 +26,10 @@ from . import work
 from .components import components, forest
 
 COSINE = 0.98
-SHARD = 4096
+SHARD = 16_384
 #: Links of a node above the ground level and on it, beam while building, first beam of a search, queries searched together.
 LINKS, GROUND_LINKS, BUILD_BEAM, BEAM, BATCH = 12, 24, 40, 32, 256
-#: A beam of a SCANth of the shard or more is answered by scanning the shard.
+#: A beam that would have to widen to a SCANth of the shard or more becomes as wide as the shard.
 SCAN = 8
 #: Queries of a block that are audited, and the shares of links and of ten nearest neighbours that have to be found.
 AUDIT, LINK_RECALL, NEAR_RECALL = 48, 0.999, 0.9
@@ -156,7 +157,7 @@ class Graph:
         parts = []
         for i in range(0, len(q), BATCH):
             part = q[i : i + BATCH]
-            if SCAN * width >= n:  # a beam this wide costs more than all similarities, which are exact
+            if width >= n:  # the last step of widening: all similarities
                 sims = part @ self.vectors.T
                 order = np.argsort(-sims, axis=1)[:, :width]
                 parts.append((order.astype(np.int32), np.take_along_axis(sims, order, 1)))
@@ -182,34 +183,47 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def links_of(g: Graph, exact: np.ndarray, q: np.ndarray, cosine: float = COSINE) -> list[np.ndarray]:
-    """For each query (unit, double) the nodes with that cosine or more, by widening beams; exact: the graph's vectors in double."""
+def _wider(width: int, by: int, n: int) -> int:
+    return n if SCAN * by * width >= n else by * width
+
+
+def links_of(g: Graph, exact: np.ndarray, q: np.ndarray, cosine: float = COSINE, told: dict | None = None) -> list[np.ndarray]:
+    """For each query (unit, double) the nodes with that cosine or more, by widening beams; exact: the graph's vectors in double.
+
+    ``told`` receives what the audit of the beams that were used found: links found and there, and the beam's width.
+    """
     q32, n = q.astype(np.float32), len(g.vectors)
     slack = cosine - 1e-4
-    width, audit = min(BEAM, n), np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+    width, audit = min(BEAM, max(1, n // 2)), np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     all_sims = q32[audit] @ g.vectors.T
     while True:
         ids, sims = g.search(q32, width)
         found = [i[(s >= slack) & (i >= 0)] for i, s in zip(ids, sims, strict=True)]
         wide = width
         while wide < n and len(full := np.array([i for i, f in enumerate(found) if len(f) >= wide], int)):  # links fill the beam
-            wide = min(n, 4 * wide)
+            wide = _wider(wide, 4, n)
             for i, a, s in zip(full, *g.search(q32[full], wide), strict=True):
                 found[i] = a[(s >= slack) & (a >= 0)]
-        if width >= n:
-            break
-        near = np.argsort(-all_sims, axis=1)[:, :10]
+        near = np.argsort(-all_sims, axis=1)[:, : min(10, width)]
         want = all_sims >= slack
         got = sum(int(want[j, found[i]].sum()) for j, i in enumerate(audit))
         top = np.mean([len(np.intersect1d(near[j], ids[i])) / near.shape[1] for j, i in enumerate(audit)])
-        if got >= LINK_RECALL * want.sum() and top >= NEAR_RECALL:
+        if told is not None:
+            told |= {"found": got, "there": int(want.sum()), "width": width}
+        if width >= n or got >= LINK_RECALL * want.sum() and top >= NEAR_RECALL:
             break
-        width = min(n, 2 * width)
+        width = _wider(width, 2, n)
     return [f[(exact[f] @ q[i]) >= cosine] for i, f in enumerate(found)]
 
 
 def dedup(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD) -> DataFrame:
     """embeddings(vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
+    return audited(embeddings, cosine, shard_size)[0]
+
+
+def audited(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``dedup``, and for each block of queries in a shard (label, dim, block, shard) what its audit against brute force
+    found: links found, links there, and the width of the beam that passed."""
     e = F.col("embedding")
     finite = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     able = finite & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -231,24 +245,26 @@ def dedup(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD
     graphs = work.cut(columns.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, graph binary"), "graphs")
 
     def query(key, left, right):
+        told: dict[str, int] = {}
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
+            return _rows(key, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), told)
         g, more = Graph.unpack(right["graph"].iloc[0])
         reps = left["rep"].to_numpy()
-        found = links_of(g, _unit(more["raw"]), _unit(np.stack(left["embedding"].to_numpy())), cosine)
+        found = links_of(g, _unit(more["raw"]), _unit(np.stack(left["embedding"].to_numpy())), cosine, told)
         found = [f[more["rep"][f] != r] for f, r in zip(found, reps, strict=True)]
         n = np.array([more["m"][f].sum() for f in found], np.int64)
         a = np.repeat(reps, [len(f) for f in found])
         b = more["rep"][np.concatenate(found)] if found else np.empty(0, np.int64)
         a, b = forest(a, b)
         hit = n > 0
-        return pd.DataFrame({"a": np.concatenate([a, reps[hit]]), "b": np.concatenate([b, reps[hit]]), "n": np.concatenate([np.zeros(len(a), np.int64), n[hit]])})
+        return _rows(key, np.concatenate([a, reps[hit]]), np.concatenate([b, reps[hit]]), np.concatenate([np.zeros(len(a), np.int64), n[hit]]), told)
 
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     asked = dealt.select("label", "dim", F.col("shard").alias("block"), "rep", "embedding", every.alias("shard"))
     given = graphs.join(shards, ["label", "dim"]).select("label", "dim", every.alias("block"), "shard", "graph")
     by = ["label", "dim", "block", "shard"]
-    out = work.cut(asked.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(query, "a long, b long, n long"), "vector-links")
+    out = work.cut(asked.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(query, f"label {kind}, dim int, block int, shard int, a long, b long, n long, found long, there long, width int"), "vector-links")
+    told = out.filter("width is not null").select("label", "dim", "block", "shard", "found", "there", "width")
 
     counts = out.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(out.filter("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
@@ -256,4 +272,16 @@ def dedup(embeddings: DataFrame, cosine: float = COSINE, shard_size: int = SHARD
     named = named.select("label", "h1", "h2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     res = rows.select("vec_id", "label", "h1", "h2").join(named, ["label", "h1", "h2"], "left")
     own = F.coalesce("component", "vec_id")
-    return res.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return res.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept")), told
+
+
+def _rows(key: tuple, a: np.ndarray, b: np.ndarray, n: np.ndarray, told: dict) -> pd.DataFrame:
+    """Links and counts of a block in a shard, and a row for its audit."""
+    out = pd.DataFrame({"a": a, "b": b, "n": n}).astype("Int64")
+    if told:
+        out = pd.concat([out, pd.DataFrame([told]).astype("Int64")], ignore_index=True)
+    for c in ("a", "b", "n", "found", "there", "width"):
+        out[c] = out[c].astype("Int64") if c in out else pd.array([None] * len(out), "Int64")
+    for name, value in zip(("label", "dim", "block", "shard"), key, strict=True):
+        out[name] = value
+    return out[["label", "dim", "block", "shard", "a", "b", "n", "found", "there", "width"]]

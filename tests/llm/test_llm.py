@@ -147,6 +147,31 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.url_filter(pages, url_filter.rules_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_against_brute_force(spark, monkeypatch):
+    """Many rules, some with both verdicts; a full-size filter and one so small that most candidates pass it."""
+    rng = random.Random(17)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(80)]
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 5)))
+    rules = [(rng.choice(hosts), path(), rng.choice(("allow", "block"))) for _ in range(400)] + [(None, "/", "block"), ("a", None, "block")]
+    urls = [f"http://{rng.choice('ab')}.{rng.choice(hosts).upper()}{path()}{rng.choice(('', '?q', '#f'))}" for _ in range(600)] + ["http://a/" + "x/" * 200_000]
+    rule_of = {}
+    for h, p, v in rules:
+        if h and p and rule_of.get((h, p)) != "block":
+            rule_of[h, p] = v
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://")[1].split("?")[0].split("#")[0]
+        h, _, p = rest.partition("/")
+        h, p = h.lower(), "/" + p if "/" in rest else ""
+        fits = [(len(a + b), len(a), a + b, v) for (a, b), v in rule_of.items() if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        want.append((i, h, p, *(max(fits)[2:] if fits else (None, "allow"))))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(url_filter, "MAX_BLOCKS", most)
+        assert sorted(tuple(r) for r in url_filter.url_filter(pages, table).collect()) == want
+
+
 def test_quality_on_held_out_rows(spark):
     """Word vectors alone tell the classes apart on rows not learnt from, and scores are probabilities."""
     sf = "/root/testdata/sf0.1"
@@ -335,6 +360,35 @@ def test_embedding_dedup_against_brute_force(spark):
     assert hnsw_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_large_labels(spark):
+    """Labels of thousands, searched through their graphs: two shards of one label and one of another, against brute force."""
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(1500, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    big = [base[i % 1500] + rng.normal(size=24) * 0.02 for i in range(5200)] + [base[7] + rng.normal(size=24) * 0.01 for _ in range(300)]
+    other = [base[i % 1500] + rng.normal(size=24) * 0.02 for i in range(700)]
+    vectors = np.array(big + other)
+    label = np.array(["p"] * len(big) + ["q"] * len(other))
+    df = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(vectors, label.tolist(), strict=True))], "vec_id long, embedding array<double>, label string")
+    rows, audits = hnsw_dedup.audited(df, shard_size=3000)
+    got = rows.toPandas().set_index("vec_id").sort_index()
+    v = hnsw_dedup._unit(vectors)
+    near = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    want = union_find(range(len(v)), zip(*np.nonzero(near), strict=True))
+    assert 0.99 * near.sum() <= got["n_links"].sum() <= near.sum() and (got["n_links"].to_numpy() <= near.sum(1)).all()
+    assert np.mean([got.component_id[i] == want[i] for i in range(len(v))]) > 0.995
+    told = audits.toPandas()
+    assert len(told) == 5 and (told["width"] < 1000).all() and (told["found"] >= 0.999 * told["there"]).all() and told["there"].sum() > 0
+
+
+def test_embedding_dedup_of_odd_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 0), (None, v, 0), (4, v, 0), (4, v, 0), (2, v, 0), (5, [float("inf"), 1.0, 1.0], 0), (6, [-float("inf"), 1.0, 1.0], 0), (7, [2e200, 4e200, 6e200], 0)]
+    got = sorted((tuple(r) for r in hnsw_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(4, 3, 2, False)] * 2 + [(2, 3, 2, True), (5, 0, 5, True), (6, 0, 6, True), (7, 3, 2, False)], key=str)
+
+
 def test_graph_recall():
     v = hnsw_dedup._unit(np.random.default_rng(7).normal(size=(1500, 24))).astype(np.float32)
     g, order = hnsw_dedup.Graph.build(v)
