@@ -1,18 +1,19 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of at least ``min_chars`` code points count.
-The index holds, per shard of the key space,
+The index holds
 
-* ``refs``   (shard, key, doc_id): every document that holds the key, the exact reference table,
-* ``counts`` (shard, key, n_docs, keeper): its aggregate, where keeper is the largest doc_id,
+* ``refs``   (key, doc_id): every document that holds the key, the exact reference table,
+* ``counts`` (key, n_docs, keeper): its aggregate, where keeper is the largest doc_id,
 * ``filters`` (shard, n_keys, cells): a cuckoo filter of the keys whose count has reached ``min_docs``.
 
 Inserting documents adds references and brings the keys that reach the threshold into the filters; deleting documents removes
-their references and takes the keys that fall below it out again, so that a later pass brings their lines back. A pass probes
-each line in the filter of its shard and joins only the hits with the exact counts, which removes false positives.
+their references and takes the keys that fall below it out again, so that a later pass brings their lines back. Both recount the keys
+that they touch and no others, and edit the filters of shards in which a key crossed the threshold. A pass probes each line in the
+filter of its shard and joins only the hits with the exact counts, which removes false positives.
 
-Keys are 128-bit digests. Groups handed to Python are (shard, salt) cells: the salt comes from the document, so a line that a
-third of all documents hold is spread over all salts.
+Keys are 128-bit digests. Shards hold about ``SHARD_KEYS`` keys. Groups handed to Python are (shard, salt) cells of about
+``CELL_ROWS`` references: the salt comes from the document, so a line that a third of all documents hold is spread over all salts.
 
 Defined cases: null or empty text is one empty line; rows with a null doc_id neither count nor lose lines, and are returned;
 repeated doc_ids count as one document; an empty table gives an empty index and result; extra columns pass through ``apply``.
@@ -21,7 +22,7 @@ repeated doc_ids count as one document; an empty table gives an empty index and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import work
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Keys of a shard's filter as the index is built, and references that are probed together.
+SHARD_KEYS, CELL_ROWS = 1 << 16, 200_000
 #: Slots of a bucket, kicks before a filter grows, and the load it is built for.
 SLOTS, MAX_KICKS, LOAD = 4, 200, 0.8
 
@@ -136,8 +139,8 @@ class LineIndex:
     min_docs: int = MIN_DOCS
 
 
-def references(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs(doc_id, text) -> (shard, key, doc_id), each key once a row of docs."""
+def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs(doc_id, text) -> (key, doc_id), each key once a row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,50 +149,56 @@ def references(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> Data
                 own = {k for k in line_keys(text.as_py(), min_chars) if k}
                 keys.extend(own)
                 at.extend([doc] * len(own))
-            shard = (np.frombuffer(b"".join(k[8:12] for k in keys), np.uint32) % shards).astype(np.int32) if keys else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())], ["shard", "key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int64())], ["key", "doc_id"])
 
     work.small_batches(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(work.task(run), "shard int, key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(work.task(run), "key binary, doc_id long")
 
 
 def _counts(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    return refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
-def _filters(counts: DataFrame, min_docs: int) -> DataFrame:
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+
+
+def _filters(hot: DataFrame) -> DataFrame:
+    """hot(shard, key) -> a filter for each shard."""
+
     def build(key, pdf):
         import pandas as pd
 
         f = _filter_of(_halves(pdf["key"]))
         return pd.DataFrame({"shard": [key[0]], "n_keys": [f.n], "cells": [f.cells.tobytes()]})
 
-    return counts.filter(F.col("n_docs") >= min_docs).select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, n_keys long, cells binary")
+    return hot.select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, n_keys long, cells binary")
 
 
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
-    """Index of a first batch of documents. ``shards`` should grow with the corpus (default: the session's shuffle partitions)."""
-    shards = shards or work.tasks(docs.sparkSession)
-    found = references(docs, shards, min_chars)
+    """Index of a first batch of documents. ``shards``: as many as the keys in the filters ask for, unless given (for growth)."""
+    found = references(docs, min_chars)
     # doc_ids are unique in documents; a repeated one is folded here, which costs no shuffle of its own where counts are low
     refs = work.cut(found.distinct() if _repeats(docs) else found, "line-refs")
-    counts = work.cut(_counts(refs).filter(F.col("n_docs") >= 1), "line-counts")
-    return LineIndex(refs, counts, work.cut(_filters(counts, min_docs), "line-filters"), shards, min_chars, min_docs)
+    counts = work.cut(_counts(refs), "line-counts")
+    hot = counts.filter(F.col("n_docs") >= min_docs)
+    shards = shards or -(-hot.count() // SHARD_KEYS) or 1
+    return LineIndex(refs, counts, work.cut(_filters(hot.select("key", _shard(shards))), "line-filters"), shards, min_chars, min_docs)
 
 
 def _repeats(docs: DataFrame) -> bool:
     return bool(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
 
-def _amend(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex:
-    """Recount ``touched`` keys and edit only the filters of shards in which a key crossed the threshold."""
-    counts = work.cut(_counts(refs), "line-counts")
-    m = index.min_docs
-    keys = touched.select("shard", "key").distinct()
-    was = index.counts.filter(F.col("n_docs") >= m).join(keys, ["shard", "key"], "left_semi").select("shard", "key", F.lit(-1).alias("turn"))
-    now = counts.filter(F.col("n_docs") >= m).join(keys, ["shard", "key"], "left_semi").select("shard", "key", F.lit(1).alias("turn"))
-    turns = was.unionByName(now).groupBy("shard", "key").agg(F.sum("turn").alias("turn")).filter("turn <> 0")
-    old = index.filters.select("shard", "n_keys", "cells")
+def _amend(index: LineIndex, refs: DataFrame, keys: DataFrame, held: DataFrame) -> LineIndex:
+    """The index over ``refs`` once ``keys`` (key) have changed; held: their references now. Filters are edited only in shards in
+    which a key crossed the threshold."""
+    m, again = index.min_docs, work.cut(_counts(held), "line-recounts")
+    counts = work.cut(index.counts.join(keys, "key", "left_anti").unionByName(again), "line-counts")
+    was = index.counts.filter(F.col("n_docs") >= m).join(keys, "key", "left_semi").select("key", F.lit(-1).alias("turn"))
+    turns = was.unionByName(again.filter(F.col("n_docs") >= m).select("key", F.lit(1).alias("turn")))
+    turns = turns.groupBy("key").agg(F.sum("turn").alias("turn")).filter("turn <> 0").select("key", "turn", _shard(index.shards))
+    turns = work.cut(turns, "line-turns")
 
     def edit(key, left, right):
         import pandas as pd
@@ -204,28 +213,45 @@ def _amend(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex:
         full = bool(len(come)) and not f.insert(_halves(come["key"]))
         return pd.DataFrame({"shard": [key[0]], "n_keys": [-1 if full else f.n], "cells": [f.cells.tobytes()]})
 
-    edited = work.cut(old.groupBy("shard").cogroup(turns.groupBy("shard")).applyInPandas(edit, "shard int, n_keys long, cells binary"), "line-filters")
-    again = _filters(counts.join(edited.filter("n_keys < 0").select("shard"), "shard", "left_semi"), m)  # those without room
-    return LineIndex(refs, counts, work.cut(edited.filter("n_keys >= 0").unionByName(again), "line-filters"), index.shards, index.min_chars, m)
+    crossed = turns.select("shard").distinct()
+    old = index.filters.select("shard", "n_keys", "cells")
+    same, changed = old.join(crossed, "shard", "left_anti"), old.join(crossed, "shard", "left_semi")
+    edited = work.cut(changed.groupBy("shard").cogroup(turns.groupBy("shard")).applyInPandas(edit, "shard int, n_keys long, cells binary"), "line-filters")
+    full = edited.filter("n_keys < 0").select("shard")  # those without room are made anew
+    hot = counts.filter(F.col("n_docs") >= m).select("key", _shard(index.shards)).join(full, "shard", "left_semi")
+    filters = same.unionByName(edited.filter("n_keys >= 0")).unionByName(_filters(hot))
+    return LineIndex(refs, counts, work.cut(filters, "line-filters"), index.shards, index.min_chars, m)
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
-    """The index with more documents; a doc_id that it has already keeps its old references beside the new."""
-    new = work.cut(references(docs, index.shards, index.min_chars).distinct().join(index.refs, ["shard", "key", "doc_id"], "left_anti"), "line-refs")
-    return _amend(index, work.cut(index.refs.unionByName(new), "line-refs"), new)
+    """The index with more documents; a doc_id that it has already keeps its old references beside the new.
+
+    The references are appended as a table of their own; ``compact`` makes one of many.
+    """
+    come = work.cut(references(docs, index.min_chars).distinct(), "line-refs")
+    keys = work.cut(come.select("key").distinct(), "line-keys")
+    held = work.cut(index.refs.join(keys, "key", "left_semi"), "line-held")
+    new = work.cut(come.join(held, ["key", "doc_id"], "left_anti"), "line-refs")
+    return _amend(index, index.refs.unionByName(new), keys, held.unionByName(new))
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents of ``doc_ids`` (doc_id)."""
     ids = doc_ids.select("doc_id").filter("doc_id is not null").distinct()
-    gone = work.cut(index.refs.join(ids, "doc_id", "left_semi").select("shard", "key", "doc_id"), "line-gone")
-    return _amend(index, work.cut(index.refs.join(ids, "doc_id", "left_anti").select("shard", "key", "doc_id"), "line-refs"), gone)
+    keys = work.cut(index.refs.join(ids, "doc_id", "left_semi").select("key").distinct(), "line-keys")
+    refs = work.cut(index.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "line-refs")
+    return _amend(index, refs, keys, refs.join(keys, "key", "left_semi"))
+
+
+def compact(index: LineIndex) -> LineIndex:
+    """The same index with its references in one table."""
+    return replace(index, refs=work.cut(index.refs, "line-refs"))
 
 
 def losses(index: LineIndex) -> DataFrame:
-    """(doc_id, keys): the keys whose lines each document loses, filter first and exact counts after."""
-    salts = max(1, min(64, work.tasks(index.refs.sparkSession) // 4))
-    lines = index.refs.select("shard", "key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    """(doc_id, lost_keys): the keys whose lines each document loses, filter first and exact counts after."""
+    salts = max(1, -(-index.refs.count() // (CELL_ROWS * index.shards)))
+    lines = index.refs.select(_shard(index.shards), "key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     spread = index.filters.select("shard", "n_keys", "cells", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def probe(left, right):

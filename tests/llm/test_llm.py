@@ -125,6 +125,12 @@ def test_line_dedup_and_its_reversal(spark):
     back = line_dedup.delete(grown, spark.createDataFrame([(20 + i,) for i in range(5)] + [(0,), (1,), (2,)], "doc_id long"))
     rest = [r for r in rows if r[0] not in (0, 1, 2)]
     assert got(back, rest) == line_rows(rest)
+    anew = line_dedup.build(docs_of(spark, rest), shards=3)
+    for one, two in ((back.counts, anew.counts), (line_dedup.compact(back).refs, anew.refs)):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sum(r["n_keys"] for r in back.filters.collect()) == sum(r["n_keys"] for r in anew.filters.collect())
+    both = spark.createDataFrame([(1, f"{LONG}A\nx", "old", -1)], "doc_id long, text string, n_lines string, n_dropped int")
+    assert [tuple(r) for r in line_dedup.apply(both, index).collect()] == [(1, "x", 2, 1)]
     assert line_dedup.apply(docs_of(spark, []), line_dedup.build(docs_of(spark, []))).count() == 0
 
 
