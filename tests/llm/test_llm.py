@@ -236,19 +236,55 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(docs_of(spark, []), labels).count() == 0 and quality.classify(docs_of(spark, []), none).count() == 0
 
 
-def test_license_scan(spark):
+def licenses_by_brute_force(text, templates):
+    import re
+
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    shingle = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    own, out = shingle(words(text)), set()
+    for name, t in templates:
+        s = shingle(words(t))
+        if name and s:
+            slack = -(-len(s) // 5) + 4
+            for at in range(-len(s), len(own)):
+                region = set(own[max(0, at - slack) : at + len(s) + slack + 1])
+                if len(region & set(s)) >= 0.8 * len(set(s)):
+                    out.add(name)
+                    break
+    return out
+
+
+def test_license_scan_against_brute_force(spark):
     rng = random.Random(2)
-    notices = [t for _, t in license_scan.TEMPLATES]
-    long_one = prose(rng, 80)
-    words = long_one.split()
-    near = words[:30] + ["changed"] + words[31:]
-    rows = [(i, f"{prose(rng, 40)}\n{t}\n{prose(rng, 40)}") for i, t in enumerate(notices)]
-    rows += [(10, notices[1].upper()), (11, prose(rng, 30) + " " + " ".join(near) + " " + prose(rng, 9)), (12, " ".join(words[:40])), (13, None), (14, ""), (15, "Licensed under"), (None, notices[3])]
-    templates = license_scan.templates_table(spark, [*license_scan.TEMPLATES, ("LONG", long_one)])
-    got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs_of(spark, rows), templates).collect()}
-    names = [n for n, _ in license_scan.TEMPLATES]
-    assert got == {(i, n) for i, n in enumerate(names)} | {(10, names[1]), (11, "LONG"), (None, names[3])}
-    assert license_scan.scan(docs_of(spark, []), templates).count() == 0
+    templates = [*license_scan.TEMPLATES, ("OWN", prose(rng, 80)), ("OWN", prose(rng, 9)), ("SIX", prose(rng, 10)), (None, prose(rng, 20)), ("VOID", None), ("VOID", "two words"), ("MIT", "Released under the MIT License.")]
+    rows = [(0, None), (1, ""), (2, "Licensed under"), (3, "\n".join(t for _, t in license_scan.TEMPLATES)), (4, "Released under the MIT License. " * 3000), (None, templates[3][1]), (4, "Released under the MIT License. ")]
+    for i in range(240):
+        w = (rng.choice(templates)[1] or "none").split()
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3, len(w) // 25, len(w) // 18))):  # words changed, added, taken out
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice((0, 1, 1))] = rng.choice((["other"], ["other"], []))
+            w = w or ["none"]
+        if rng.random() < 0.3:
+            w = w[rng.randrange(1 + len(w) // 4) :]
+        rows.append((10 + i, f"{prose(rng, rng.randrange(60))} {' '.join(w)} {prose(rng, rng.randrange(60))}"))
+    got = license_scan.scan(docs_of(spark, rows), license_scan.templates_table(spark, templates)).collect()
+    want = Counter((i, name) for i, t in rows for name in licenses_by_brute_force(t, templates))
+    assert Counter((r["doc_id"], r["license"]) for r in got) == want and len({n for _, n in want}) > 9
+    by = {(r["doc_id"], r["license"]): r for r in got if r["doc_id"] != 4}
+    assert by[None, "MIT"]["first_word"] == 0 and by[None, "MIT"]["containment"] == 1 and max(r["n_places"] for r in got if r["doc_id"] == 4) == 3000
+    clash = spark.createDataFrame([(1, templates[3][1], 7, "x")], "doc_id long, text string, row int, license string")
+    assert license_scan.scan(clash, license_scan.templates_table(spark, templates)).count() == 1
+    assert license_scan.scan(docs_of(spark, []), license_scan.templates_table(spark)).count() == 0
+    assert license_scan.scan(docs_of(spark, rows), license_scan.templates_table(spark, [])).count() == 0
+
+
+def test_license_windows_collide_as_often_as_stated(spark):
+    """Windows of four shingles of which half or three are shared meet in a band with the probability of the docstring, or more."""
+    rows = [(i, [4 * i, 4 * i + 1, 4 * i + 2, 4 * i + 3], [4 * i, 4 * i + 1, -4 * i - 1, -4 * i - 2], [4 * i, 4 * i + 1, 4 * i + 2, -4 * i - 3]) for i in range(1, 3000)]
+    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>, c array<long>")
+    low = [license_scan.minima_of(F.col(x)) for x in "abc"]
+    got = df.select(F.arrays_overlap(low[0], low[1]).cast("int").alias("b"), F.arrays_overlap(low[0], low[2]).cast("int").alias("c")).agg(F.avg("b"), F.avg("c")).first()
+    assert got[0] >= 1 - (1 - 2 / 6) ** license_scan.BANDS - 0.03 and got[1] >= 1 - (1 - 3 / 5) ** license_scan.BANDS - 0.02
 
 
 def test_substring_dedup(spark):
