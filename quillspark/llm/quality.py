@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,18 +138,21 @@ def pooled(words: Words, context: np.ndarray, text: str | None) -> np.ndarray:
     return out / max(1, len(every))
 
 
-def _vocabulary(texts: list[list[str]]) -> list[str]:
-    counts = Counter(w for t in texts for w in t)
+def _vocabulary(texts: Iterable[str | None]) -> list[str]:
+    counts: Counter[str] = Counter()
+    for text in texts:
+        counts.update(words_of(text))
     return [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= LEAST]
 
 
-def _contexts(texts: list[list[str]], words: Words) -> np.ndarray:
+def _contexts(texts: Iterable[str | None], words: Words) -> np.ndarray:
     """Context vectors of the vocabulary, of unit length: the index vectors of all words within the window, summed."""
     n, size = len(words.vocabulary), len(words.places)
     out = np.zeros((n, DIM), np.float32)
     for text in texts:
-        for part in range(0, len(text), SUM):
-            own = words.of(text[max(0, part - WINDOW) : part + SUM])
+        every = words_of(text)
+        for part in range(0, len(every), SUM):
+            own = words.of(every[part : part + SUM])
             for d in range(1, WINDOW + 1):
                 for a, b in ((own[:-d], own[d:]), (own[d:], own[:-d])):
                     pairs, times = np.unique((a * size + b)[a < n], return_counts=True)
@@ -168,9 +171,8 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
     order = rng.permutation(len(texts))
     n_cal = max(1, len(texts) * CALIBRATE_OF_5 // 5)
     cal, train = order[:n_cal], order[n_cal:]
-    lists = [words_of(texts[i]) for i in train]
-    words = Words(_vocabulary(lists))
-    context = _contexts(lists, words)
+    words = Words(_vocabulary(texts[i] for i in train))
+    context = _contexts((texts[i] for i in train), words)
     x = np.array([pooled(words, context, t) for t in texts])
     y = labels.astype(float)
     mean, scale = x[train].mean(0), x[train].std(0) + 1e-6
@@ -202,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_by
     so_far = F.sum(size).over(W.orderBy("turn", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.filter(size <= max_bytes // 64).withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "text", "quality").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return fit(rows["text"].tolist(), rows["quality"].to_numpy(int))
+    model = fit(rows["text"].tolist(), rows["quality"].to_numpy(int))
+    del rows
+    work.tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
