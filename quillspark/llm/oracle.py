@@ -27,16 +27,25 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, true AS valid FROM n""",
     "op6_substring_dedup": r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
-o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
-w AS (SELECT doc_id, i, line, off, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM o),
-u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit, off, length(line) AS n, len(ws) AS words, array_to_string(ws, ' ') AS key FROM w WHERE len(ws) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, unit) AS k, first_value(doc_id) OVER (PARTITION BY key ORDER BY doc_id, unit) AS fd,
-             first_value(off) OVER (PARTITION BY key ORDER BY doc_id, unit) AS fa FROM u),
-g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM r WHERE k > 1)
-SELECT doc_id, CAST(min(off) AS BIGINT) AS "start", CAST(max(off + n) AS BIGINT) AS "end", CAST(sum(words) AS BIGINT) AS words,
-       arg_min(fd, unit) AS kept_doc_id, CAST(arg_min(fa, unit) AS BIGINT) AS kept_start FROM g GROUP BY doc_id, island HAVING sum(words) > 50""",
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(t, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS wb, length(regexp_extract(t, '^[\x20\x09-\x0D]*')) AS lead FROM d),
+x AS (SELECT doc_id, ws, lead, unnest(range(len(ws))) AS i, unnest(ws) AS w, unnest(wb) AS b FROM e),
+p AS (SELECT *, lead + coalesce(sum(length(b)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM x),
+q AS (SELECT doc_id, i, a, lead(a + length(w), 50) OVER (PARTITION BY doc_id ORDER BY i) AS z, CASE WHEN i + 51 <= len(ws) THEN array_to_string(list_slice(ws, i + 1, i + 51), ' ') END AS key FROM p),
+f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(i) OVER k AS fi, first_value(a) OVER k AS fa FROM q WHERE key IS NOT NULL WINDOW k AS (PARTITION BY key ORDER BY doc_id, i)),
+runs AS (SELECT doc_id, i AS word, i + 51 AS til, a, z, fd, fa, 1 AS kind FROM f WHERE doc_id <> fd OR i - fi >= 51),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER g, 0) AS off, coalesce(sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER g, 0) AS word, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l
+      WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit, off, length(line) AS n, len(ws) AS words, array_to_string(ws, ' ') AS key FROM o WHERE len(ws) > 0),
+r AS (SELECT *, row_number() OVER k AS nth, first_value(doc_id) OVER k AS fd, first_value(off) OVER k AS fa FROM u WINDOW k AS (PARTITION BY key ORDER BY doc_id, unit)),
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM r WHERE nth > 1),
+lines AS (SELECT doc_id, min(word) AS word, min(word) + sum(words) AS til, min(off) AS a, max(off + n) AS z, arg_min(fd, unit) AS fd, arg_min(fa, unit) AS fa, 0 AS kind FROM g GROUP BY doc_id, island HAVING sum(words) > 50),
+joint AS (SELECT * FROM runs UNION ALL SELECT * FROM lines),
+m AS (SELECT *, max(til) OVER (PARTITION BY doc_id ORDER BY word, kind, til ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM joint),
+s AS (SELECT *, sum(CASE WHEN word <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word, kind, til ROWS UNBOUNDED PRECEDING) AS span FROM m)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS "start", CAST(max(z) AS BIGINT) AS "end", CAST(max(til) - min(word) AS BIGINT) AS words,
+       arg_min(fd, word * 2 + kind) AS kept_doc_id, CAST(arg_min(fa, word * 2 + kind) AS BIGINT) AS kept_start FROM s GROUP BY doc_id, span""",
     "op8_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
