@@ -38,14 +38,18 @@ def base32_sha1(data: bytes) -> str:
 
 def judge(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, html, refers_to: of equal payloads of ``min_bytes`` or more, all but the
-    largest page_id refer to it."""
-    d = F.sha1(F.coalesce("html", F.lit("")))
-    p = pages.select("page_id", "url", "html", d.alias("digest"))
-    long = F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes
-    keep = p.filter(long).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = p.join(keep, "digest", "left")
-    other = F.col("keeper").isNotNull() & long & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return out.select("page_id", "url", "html", F.when(other, F.col("keeper")).alias("refers_to"))
+    largest page_id refer to it.
+
+    Payloads are compared by digest in a table of ids; the pages themselves are dealt out by page_id and digest only, so a payload
+    that very many pages share does not bring them together.
+    """
+    html = F.coalesce("html", F.lit(""))
+    p = pages.select("page_id", "url", "html", F.sha1(html).alias("digest"))
+    ids = p.filter(F.octet_length(html) >= min_bytes).select("page_id", "digest")
+    keep = ids.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null").drop("n")
+    again = ids.join(keep, "digest").filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper").distinct()
+    out = p.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    return out.select("page_id", "url", "html", F.col("keeper").alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -220,7 +224,16 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     return manifest.select("path").repartition(work.tasks(manifest.sparkSession), "path").mapInArrow(work.task(run), schema)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """records as ``read`` gives them, those of revisits valid only if the response that they refer to is there, valid, and has the
+    payload digest that they state."""
+    there = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("p"), F.col("payload_digest").alias("d")).agg(F.bool_or("valid").alias("there"))
+    out = records.join(there, (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    valid = F.col("valid") & ((F.col("record_type") != "revisit") | F.coalesce("there", F.lit(False)))
+    return out.select(*[valid.alias(c) if c == "valid" else c for c in records.columns])
+
+
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, payloads: bool = False) -> DataFrame:
-    """Write every page to archives in ``folder`` (default: a new one in the shared folder) and read them back."""
+    """Write every page to archives in ``folder`` (default: a new one in the shared folder) and read them back, revisits checked."""
     folder = folder or work.new_path(pages.sparkSession, "warc")
-    return read(write(judge(pages, min_bytes), folder), folder, payloads)
+    return checked(work.cut(read(write(judge(pages, min_bytes), folder), folder, payloads), "warc-records"))

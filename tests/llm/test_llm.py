@@ -589,6 +589,16 @@ def test_warc_round_trip(spark):
         assert keep != i or bytes(r["payload"]) == data
     assert got[None]["record_type"] == "revisit" and got[None]["refers_to"] == 6
     assert warc.archive(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "p"), (1, "u", "p"), (2, "u", "p"), (2, "v", "p"), (2, "u", "q"), (1, "u", "q"), (3, "u", None)], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["valid"]) for r in warc.archive(twice).collect())
+    assert got == {(1, 1, "revisit", 2, True): 3, (2, 1, "response", None, True): 3, (3, 0, "response", None, True): 1}
+    assert warc.archive(twice, min_bytes=2).filter("record_type = 'revisit'").count() == 0
+
+
+def test_warc_revisits_are_checked_against_their_response(spark):
+    rows = [(1, "response", None, "A", True), (2, "revisit", 1, "A", True), (3, "revisit", 1, "B", True), (4, "revisit", 9, "A", True), (5, "response", None, "C", False), (6, "revisit", 5, "C", True), (7, "response", None, "D", False)]
+    got = warc.checked(spark.createDataFrame(rows, "page_id long, record_type string, refers_to long, payload_digest string, valid boolean"))
+    assert {r["page_id"]: r["valid"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
 
 
 def test_warc_reader_finds_faults():
