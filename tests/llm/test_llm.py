@@ -640,3 +640,111 @@ def test_pipeline_stages(spark, sf):
             assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
     assert kept[3] == kept[4] and len(kept[2]) < len(kept[0])
     assert sorted(corpus_pipeline.run(spark, sf).columns) == sorted(docs.columns)
+
+
+def edits_from(item: bytes, texts: list[bytes]) -> np.ndarray:
+    """Edit distance of item to the nearest passage of each text, by dynamic programming over all texts at once."""
+    gap = np.full(len(item) + 1, 256)  # wider than any budget, so no passage reaches over it
+    b = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8).astype(int), gap)])
+    row = np.zeros(len(b) + 1, int)
+    at = np.arange(len(b) + 1)
+    for c in item:
+        new = np.minimum(row + 1, np.concatenate([[len(item)], row[:-1] + (b != c)]))
+        row = np.minimum.accumulate(new - at) + at
+    ends = np.cumsum([len(t) + len(gap) for t in texts])
+    return np.array([row[e - len(t) - len(gap) : e - len(gap) + 1].min() for t, e in zip(texts, ends, strict=True)])
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    rows: dict = {}
+    items = [(i, prose(rng, 20)) for i in range(5)] + [(9, None)]
+    common = [f"{LONG}{prose(rng, 6)}" for _ in range(4)]
+    for i in range(240):
+        t = prose(rng, rng.randrange(30, 120)) + "."
+        if i % 6 == 5:
+            t = "".join(f"{w}%%% " for w in t.split())
+        elif i % 6 == 1:
+            t += "\n" + common[i % 4]
+        elif i % 24 == 2:
+            t = rows[i - 2].replace(" ", "  ", 1)
+        elif i % 24 == 8:
+            t += " " + items[i % 5][1].upper()[:-2] + "zz"
+        rows[i] = t
+    rows |= {300: None, 301: "", 302: " \n ", 303: common[1], 304: "x " + prose(rng, 9000), 305: "%%% " * 4000, 306: common[1]}
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows.items()] + [(0, rows[0], "en", "s", len(rows[0])), (None, rows[3], None, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 6 != 5), 0) for i in range(0, 240) if i % 5]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = [(r["doc_id"], r["text"]) for r in given.collect()]
+
+    def step(name):
+        nonlocal given
+        given = stages[name](spark, given, str(tmp_path)).cache()
+        if name != "best_fit_packing":
+            assert given.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return sorted(((r["doc_id"], r["text"]) for r in given.collect()), key=str)
+
+    learn = [(i, rows[i], y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    m = quality.fit([t for _, t, _ in learn], np.array([y for _, _, y in learn]))
+    words = quality.Words(m.vocabulary)
+    kept = [(i, t) for i, t in order if m.score(quality.pooled(words, m.context, t)[None])[0] >= 0.7]
+    assert step("quality_classifier") == sorted(kept, key=str)
+    assert not any(i in rows and i % 6 == 5 and i < 240 for i, _ in kept if i is not None) and sum(1 for i, _ in kept if i is not None and i % 6 != 5 and i < 240) >= 198
+
+    key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holds = defaultdict(set)
+    for i, t in kept:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 40:
+                holds[key(line)].add(i)
+    lines = []
+    for i, t in kept:
+        own = (t or "").split("\n")
+        left = [x for x in own if i is None or len(holds[key(x)]) < 5 or i == max(holds[key(x)])]
+        if len(left) == len(own) or "".join(left).strip():
+            lines.append((i, "\n".join(left)))
+    assert step("line_dedup") == sorted(lines, key=str) and len(lines) < len(kept)
+    assert given.filter(F.length("text") != F.col("n_chars")).count() == 0
+
+    sets = {}
+    for i, t in lines:
+        w = key(t).split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    ids = [i for i in sets if i is not None]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = union_find(ids, links)
+    first = [(i, t) for i, t in lines if i is None or root[i] == i]
+    assert step("ngram_jaccard_join") == sorted(first, key=str) and len(links) > 3
+
+    texts = [decontam.fold(t) for _, t in first]
+    leaks = np.zeros(len(first), bool)
+    for _, t in items[:5]:
+        leaks |= edits_from(decontam.fold(t), texts) <= decontam.budget(len(t))
+    clean = [x for x, bad in zip(first, leaks, strict=True) if not bad]
+    assert step("benchmark_decontamination") == sorted(clean, key=str) and 5 < leaks.sum() < 20
+
+    packed = stages["best_fit_packing"](spark, given, str(tmp_path)).toPandas()
+    t, want = json_tokenizer(), Counter()
+    for i, text in clean:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((None if r[0] != r[0] else int(r[0]), *map(int, r[1:])) for r in packed[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist()) == want
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 1024
+    assert packed["sequence_id"].nunique() <= packing.lower_bound(Counter(packed["length"].tolist()), 1024) + 1
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
