@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages, each on all that the one before kept, stored as Parquet in between.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts are scored like others, lose no line, link with nothing and hold no passage, so they stay if the
+classifier accepts them and are packed as an end token; line dedup gives them back as empty text. Rows with a null doc_id stay in
+stages that compare documents. Repeated rows are one document to line dedup, and one component to the join, so all of them stay.
+Empty tables give an empty result. Extra columns pass through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
