@@ -46,7 +46,7 @@ def doc(spark, sf) -> DataFrame:
     return read_files(_made(spark, [("a.doc", b"\xd0\xcf\x11\xe0 old")]))
 
 
-@query("src_04_rtf", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('{\rtf1\b ' || substr(text, 1, 200) || '\par end}', '\\par[d]?\b ?', chr(10), 'g'), '\\[a-zA-Z]+-?[0-9]* ?', '', 'g'), '[{}]', '', 'g')) AS text FROM documents")
+@query("src_04_rtf", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('{\rtf1\b ' || text || '\par end}', '\\par[d]?\b ?', chr(10), 'g'), '\\[a-zA-Z]+-?[0-9]* ?', '', 'g'), '[{}]', '', 'g')) AS text FROM documents")
 def rtf(spark, sf) -> DataFrame:
     t = F.concat(F.lit("{\\rtf1\\b "), "text", F.lit("\\par end}"))
     return table(spark, sf, "documents").select("doc_id", rtf_column(t).alias("text"))

@@ -53,9 +53,9 @@ def bulk_duplicates(new: DataFrame, old: DataFrame, earlier: bool = False) -> Da
     return j.select("id", kind.alias("kind"), F.coalesce("hash_id", "name_id").alias("existing_id"))
 
 
-@query("jn_05_bulk_duplicates", """WITH f AS (SELECT doc_id AS id, sha256(text) AS hash, source AS name, lang AS type FROM documents), n AS (SELECT * FROM f WHERE id % 3 = 0), o AS (SELECT * FROM f WHERE id % 3 = 1),
-h AS (SELECT hash, min(id) AS hid FROM o GROUP BY hash), m AS (SELECT name, type, min(id) AS nid FROM o GROUP BY name, type),
-j AS (SELECT n.id, hid, nid FROM n LEFT JOIN h ON n.hash = h.hash LEFT JOIN m ON n.name = m.name AND n.type = m.type)
+@query("jn_05_bulk_duplicates", """WITH f AS (SELECT doc_id AS id, sha256(text) AS hash, source AS name, lang AS type FROM documents),
+j AS (SELECT id, CASE WHEN hash IS NOT NULL THEN min(id) OVER (PARTITION BY hash ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS hid,
+             CASE WHEN name IS NOT NULL AND type IS NOT NULL THEN min(id) OVER (PARTITION BY name, type ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS nid FROM f)
 SELECT id, CASE WHEN hid IS NOT NULL THEN 'hash' WHEN nid IS NOT NULL THEN 'name' ELSE 'new' END AS kind, coalesce(hid, nid) AS existing_id FROM j""")
 def bulk_duplicates_query(spark, sf) -> DataFrame:
     """Every document against those before it."""
@@ -71,12 +71,14 @@ def default_zero(spark, sf) -> DataFrame:
 
 #: Numbers in a text with their positions: the entities of the interval joins.
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, value: digit runs with their 0-based positions, from piece lengths; no positions are searched again."""
+    """doc_id, nth, pos, value: digit runs with their 0-based positions, by one running sum over the lengths of what lies between."""
     parts = F.split("text", r"[0-9]+")
     found = F.regexp_extract_all("text", F.lit("([0-9]+)"), 1)
-    e = docs.select("doc_id", parts.alias("p"), found.alias("f")).select("doc_id", "p", "f", F.posexplode("f").alias("i", "value"))
-    before = F.aggregate(F.slice("p", 1, F.col("i") + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("f", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + F.length(x))
-    return e.select("doc_id", F.col("i").alias("nth"), before.alias("pos"), "value")
+    lengths = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("before"), F.length(f).alias("own")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate(lengths, start, lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.array_append(s["out"], s["at"] + x["before"]).alias("out")))["out"]
+    e = docs.select("doc_id", F.posexplode(F.arrays_zip(places.alias("pos"), found.alias("value"))).alias("nth", "e"))
+    return e.select("doc_id", "nth", "e.pos", "e.value")
 
 
 ENTITIES = r"""pf AS (SELECT doc_id, regexp_split_to_array(text, '[0-9]+') AS p, regexp_extract_all(text, '[0-9]+') AS f FROM documents),
@@ -101,10 +103,12 @@ def entity_in_chunk(spark, sf) -> DataFrame:
 
 @query("jn_08_zone_overlap", f"WITH {ENTITIES}, {WINDOWS}, z AS (SELECT doc_id, nth, greatest(pos - 100, 0) AS a, pos + 100 AS b FROM ents) SELECT z.doc_id, z.nth, w.k FROM z JOIN win w ON z.doc_id = w.doc_id AND NOT (z.b < w.lo OR z.a > w.hi)")
 def zone_overlap(spark, sf) -> DataFrame:
-    """Zones of 100 characters around entities with the chunks that they touch."""
+    """Zones of 100 characters around entities with the chunks that they touch, by the numbers of the chunks that a zone reaches."""
     d = table(spark, sf, "documents")
     z = entities(d).select("doc_id", "nth", F.greatest(F.col("pos") - 100, F.lit(0)).alias("a"), (F.col("pos") + 100).alias("b"))
-    return z.join(fixed_windows(d), "doc_id").filter("not (b < lo or a > hi)").select("doc_id", "nth", "k")
+    near = F.sequence(F.greatest(F.floor((F.col("a") - 1) / 1000), F.lit(0)).cast("int"), F.floor(F.col("b") / 1000).cast("int"))
+    z = z.withColumn("k", F.explode(near))
+    return z.join(fixed_windows(d), ["doc_id", "k"]).filter("not (b < lo or a > hi)").select("doc_id", "nth", "k")
 
 
 @query("jn_09_near_pairs", f"WITH {ENTITIES} SELECT a.doc_id, a.nth AS i, b.nth AS j, CASE WHEN length(a.value) = length(b.value) THEN 'SAME_KIND' ELSE 'NEAR' END AS relation FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.nth < b.nth AND abs(b.pos - a.pos) < 200")
@@ -119,12 +123,14 @@ def near_pairs(spark, sf, within: int = 200) -> DataFrame:
 
 @query("jn_10_first_containing", f"WITH {CHUNKS}, e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents) SELECT e.doc_id, e.value, coalesce(min(c.chunk_index), 0) AS chunk_index FROM e LEFT JOIN chunks c ON c.doc_id = e.doc_id AND contains(c.text, e.value) GROUP BY e.doc_id, e.value")
 def first_containing(spark, sf) -> DataFrame:
-    """Each value with the first chunk of its document that contains it, else the first of all."""
-    d = table(spark, sf, "documents")
-    e = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))).alias("value"))
-    c = chunks(d).select("doc_id", "chunk_index", "text")
-    j = e.join(c, "doc_id").filter(F.contains("text", "value")).groupBy("doc_id", "value").agg(F.min("chunk_index").alias("chunk_index"))
-    return e.join(j, ["doc_id", "value"], "left").select("doc_id", "value", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"))
+    """Each value with the first chunk of its document that contains it, else the first of all.
+
+    Chunks are lines, and a value has no line end, so it is first contained in the line of its first occurrence.
+    """
+    values = F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))
+    line = lambda v: F.size(F.split(F.substr(F.col("text"), F.lit(1), F.call_function("locate", v, F.col("text"))), "\n")) - 1
+    found = F.transform(values, lambda v: F.struct(v.alias("value"), line(v).alias("chunk_index")))
+    return table(spark, sf, "documents").select("doc_id", F.inline(found))
 
 
 CONCEPTS = ["license", "version", "public"]
@@ -150,16 +156,24 @@ def last_header(spark, sf) -> DataFrame:
 _PARENT = f"WITH {CHUNKS}, c AS (SELECT doc_id, chunk_index AS i, length(text) % 7 AS a, CASE WHEN length(text) < 60 THEN 1 ELSE 2 END AS level FROM chunks)"
 
 
-@query("jn_13_best_parent", _PARENT + """, s AS (SELECT k.doc_id, k.i, p.i AS parent, row_number() OVER (PARTITION BY k.doc_id, k.i ORDER BY 0.8 * CAST(k.a = p.a AS INT) + 0.2 * greatest(0, 1 - (k.i - p.i) / 100.0) DESC, p.i) AS r
+@query("jn_13_best_parent", _PARENT + """, s AS (SELECT k.doc_id, k.i, p.i AS parent, row_number() OVER (PARTITION BY k.doc_id, k.i ORDER BY 0.8 * CAST(k.a = p.a AS INT) + 0.2 * greatest(0, 1 - (k.i - p.i) / 10000.0) DESC, p.i) AS r
 FROM c k JOIN c p ON k.doc_id = p.doc_id AND p.level = k.level - 1 AND p.i < k.i) SELECT doc_id, i AS chunk_index, parent FROM s WHERE r = 1""")
-def best_parent(spark, sf) -> DataFrame:
-    """The best earlier chunk one level up: same article first, then nearness. Of each article only the nearest can win."""
+def best_parent(spark, sf, far: int = 10_000) -> DataFrame:
+    """The best earlier chunk one level up: .8 for the same article and .2 for nearness, which ends at ``far`` chunks.
+
+    The same article always outweighs nearness, and of equals the nearest wins, or the first where all are too far to tell: so the
+    winner is the last or first of its article before the chunk, or else of all, which windows give without a join.
+    """
     c = chunks(table(spark, sf, "documents")).select("doc_id", F.col("chunk_index").alias("i"), (F.length("text") % 7).alias("a"), F.when(F.length("text") < 60, 1).otherwise(2).alias("level"))
-    k = c.filter("level = 2")
-    p = c.filter("level = 1").select("doc_id", F.col("i").alias("parent"), F.col("a").alias("b"))
-    s = 0.8 * (F.col("a") == F.col("b")).cast("int") + 0.2 * F.greatest(F.lit(0.0), 1 - (F.col("i") - F.col("parent")) / 100.0)
-    j = k.join(p, "doc_id").filter("parent < i").withColumn("s", s)
-    return j.groupBy("doc_id", F.col("i").alias("chunk_index")).agg(F.min_by("parent", F.struct(-F.col("s"), "parent")).alias("parent"))
+    parent = F.when(F.col("level") == 1, F.col("i"))
+
+    def best(*by: str) -> Column:
+        w = W.partitionBy(*by).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+        last = F.last(parent, ignorenulls=True).over(w)
+        return F.when(F.col("i") - last >= far, F.min(parent).over(w)).otherwise(last)
+
+    c = c.withColumn("parent", F.coalesce(best("doc_id", "a"), best("doc_id")))
+    return c.filter("level = 2 and parent is not null").select("doc_id", F.col("i").alias("chunk_index"), "parent")
 
 
 @query("jn_14_siblings", "SELECT a.n_nationkey AS node, b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
@@ -170,11 +184,17 @@ def siblings(spark, sf) -> DataFrame:
 
 @query("jn_15_nearest_line", f"WITH {CHUNKS}, {WINDOWS}, j AS (SELECT w.doc_id, w.k, c.chunk_index, row_number() OVER (PARTITION BY w.doc_id, w.k ORDER BY abs(w.lo - c.chunk_index * 50), c.chunk_index) AS r FROM win w JOIN chunks c ON w.doc_id = c.doc_id) SELECT doc_id, k, chunk_index AS line FROM j WHERE r = 1")
 def nearest_line(spark, sf) -> DataFrame:
-    """The structure line nearest to each segment, a line counting for 50 characters."""
+    """The structure line nearest to each segment, a line counting for 50 characters: the last one before it or the first after it."""
     d = table(spark, sf, "documents")
-    j = fixed_windows(d).join(chunks(d).select("doc_id", "chunk_index"), "doc_id")
-    far = F.struct(F.abs(F.col("lo") - F.col("chunk_index") * 50), "chunk_index")
-    return j.groupBy("doc_id", "k").agg(F.min_by("chunk_index", far).alias("line"))
+    none = F.lit(None).cast("int")
+    lines = chunks(d).select("doc_id", (F.col("chunk_index") * 50).alias("at"), none.alias("k"), F.col("chunk_index").alias("line"))
+    marks = fixed_windows(d).select("doc_id", F.col("lo").alias("at"), "k", none.alias("line")).unionByName(lines)
+    w = W.partitionBy("doc_id").orderBy("at", F.col("k").isNotNull())
+    before = F.last("line", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("line", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    j = marks.select("doc_id", "k", "at", before.alias("b"), after.alias("a")).filter("k is not null")
+    nearer = F.when(F.col("a").isNull() | (F.col("at") - F.col("b") * 50 <= F.col("a") * 50 - F.col("at")), F.col("b")).otherwise(F.col("a"))
+    return j.select("doc_id", "k", F.coalesce(nearer, "b").alias("line")).filter("line is not null")
 
 
 _OVERLAP = r"""q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS ws FROM benchmark),
@@ -213,10 +233,10 @@ def definition_article(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id").join(l_, "doc_id", "left")
 
 
-@query("jn_20_spatial_pairs", "WITH e AS (SELECT vec_id AS id, label AS page, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y FROM embeddings WHERE vec_id < 200) SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.x - b.x) < abs(a.y - b.y) THEN 'above_below' ELSE 'beside' END AS relation FROM e a JOIN e b ON a.page = b.page AND a.id < b.id AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.05")
+@query("jn_20_spatial_pairs", "WITH e AS (SELECT vec_id AS id, vec_id // 50 AS page, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y FROM embeddings) SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.x - b.x) < abs(a.y - b.y) THEN 'above_below' ELSE 'beside' END AS relation FROM e a JOIN e b ON a.page = b.page AND a.id < b.id AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.05")
 def spatial_pairs(spark, sf, near: float = 0.05) -> DataFrame:
-    """Elements of a page that lie close: joined by grid cell and neighbours, so a page with many elements stays cheap."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
+    """Elements of a page (fifty vectors in a row stand for one) that lie close: joined by grid cell and neighbours."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 50).alias("page"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
     cx, cy = F.floor(F.col("x") / near), F.floor(F.col("y") / near)
     shift = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = e.select("page", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(shift).alias("c"))

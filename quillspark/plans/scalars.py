@@ -110,7 +110,7 @@ SYNONYMS = [("license", "permit"), ("license", "licence"), ("public", "open"), (
 _SYN = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
 
 
-@query("str_09_synonyms", f"WITH s(term, other) AS (VALUES {_SYN}), t AS (SELECT doc_id, lower(substr(text, 1, 200)) AS q FROM documents) SELECT DISTINCT doc_id, replace(q, term, other) AS variant FROM t JOIN s ON contains(q, term)")
+@query("str_09_synonyms", f"WITH s(term, other) AS (VALUES {_SYN}), t AS (SELECT doc_id, lower(text) AS q FROM documents) SELECT DISTINCT doc_id, replace(q, term, other) AS variant FROM t JOIN s ON contains(q, term)")
 def synonyms(spark, sf, pairs: list[tuple[str, str]] = SYNONYMS) -> DataFrame:
     """One variant for each synonym of a term that occurs; the dictionary is a literal of fixed size."""
     known = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("other")) for a, b in pairs])

@@ -63,7 +63,7 @@ def articles_json(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("articles"))
 
 
-@query("snk_06_export", "SELECT user_id, event_id, concat_ws(',', user_id, event_id, event_type) AS line FROM events WHERE user_id < 10")
+@query("snk_06_export", "SELECT user_id, event_id, concat_ws(',', user_id, event_id, event_type) AS line FROM events")
 def export(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select("user_id", "event_id", F.concat_ws(",", "user_id", "event_id", "event_type").alias("line"))
