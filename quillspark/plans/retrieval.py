@@ -1,17 +1,19 @@
 """Retrieval: inverted index, BM25, vector top-k, hybrid and rank fusion, reranking, answers.
 
-The exploded tokens are the one large table: counts are combined before every shuffle, queries are small and broadcast after a
-bound on their number, rankings are top-k or per-query windows with the document id as last key.
+A document's terms are counted in its own row; of the postings only those of query terms leave it, by a broadcast of the queries'
+terms if their counted number is bounded, and by a shuffle on the term beyond. Queries meet vectors in blocks of a bounded number.
+Rankings are top-k or per-query windows with the document id as last key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import cosine, jaccard, r6, tokens
-from quillspark.plans.relational import NEAREST, nearest_to_one, sentence_score, sentences
+from quillspark.plans.relational import NEAREST, TERMS, nearest_to_one, sentence_score, sentences
+from quillspark.plans.scalars import query_variants
 from quillspark.registry import query
 from quillspark.sources.tables import table
 
@@ -19,36 +21,63 @@ K1, B, FLOOR = 1.5, 0.8, 0.25
 _TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)"
 
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tf: doc_id, term, tf, dl), (df: term, df), (stats: n, avgdl over all documents)."""
+#: Rows of query terms up to which they are broadcast, and queries that are scored against all vectors in one pass.
+BROADCAST_TERMS, BLOCK_QUERIES = 100_000, 1_000
+
+
+def counted(ts: Column) -> Column:
+    """The distinct terms of an array with their counts: runs of the sorted array."""
+    def runs(x: Column) -> Column:
+        n = F.size(x)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n))
+        made = F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(x, i).alias("term"), (j - i).alias("tf"))))
+        return F.when(n > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+    return F.get(F.transform(F.array(F.array_sort(ts)), runs), F.lit(0))
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings: doc_id, dl, terms(term, tf), a row a document; terms: term, df, and under a null term n documents and their mean
+    length). One pass over the texts each."""
     t = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
-    lengths = t.select("doc_id", F.size("ts").alias("dl"))
-    tf = t.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return tf, tf.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = t.select("doc_id", F.size("ts").alias("dl"), counted(F.col("ts")).alias("terms"))
+    every = rows.select(F.explode(F.concat(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("dl"))))).alias("x"))
+    return rows, every.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """docs(doc_id, text), queries(item_id, text) -> item_id, doc_id, score. Okapi: repeated query terms count repeatedly, negative
-    idf becomes a share of the mean idf over all terms. Only postings of query terms take part in the join."""
-    tf, df, stats = index(docs)
-    q = queries.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qn"))
-    idf = df.join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf becomes a share of the mean idf over all terms."""
+    rows, terms = index(docs)
+    q = queries.select("item_id", F.explode(counted(tokens(F.col("text")))).alias("x")).select("item_id", "x.term", F.col("x.tf").alias("qn"))
+    stats = terms.filter("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    idf = terms.filter("term is not null").join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    wanted = q.join(idf, "term")
-    hit = tf.join(wanted, "term")
+    wanted = idf.join(bounded(q, BROADCAST_TERMS), "term").join(F.broadcast(mean)).select("item_id", "term", "qn", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    hit = rows.select("doc_id", "dl", F.inline("terms")).join(bounded(wanted, BROADCAST_TERMS), "term")
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-BM25 = f"""tk AS (SELECT doc_id, {_TOK} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk),
+def bm25_sql(source: str) -> str:
+    """The same in DuckDB over queries source(item_id, text), to be put after WITH: norm(item_id, doc_id, s)."""
+    return f"""tk AS (SELECT doc_id, {_TOK} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk),
 tx AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tk), tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM tx GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 ri AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, st), mi AS (SELECT avg(raw) AS mean FROM ri), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM ri, mi),
-qx AS (SELECT item_id, unnest({_TOK}) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS qn FROM qx GROUP BY ALL),
+qx AS (SELECT item_id, unnest({_TOK}) AS term FROM {source}), qt AS (SELECT item_id, term, count(*) AS qn FROM qx GROUP BY ALL),
 bm AS (SELECT item_id, doc_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.8 + 0.8 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY item_id, doc_id),
 norm AS (SELECT item_id, doc_id, round(CASE WHEN max(score) OVER (PARTITION BY item_id) = min(score) OVER (PARTITION BY item_id) THEN 0 ELSE (score - min(score) OVER (PARTITION BY item_id)) / (max(score) OVER (PARTITION BY item_id) - min(score) OVER (PARTITION BY item_id)) END, 6) AS s FROM bm)"""
 
 
+BM25 = bm25_sql("benchmark")
+
+
 def normalized(scores: DataFrame) -> DataFrame:
     """Scores of each query brought to 0..1 (zeros if all are equal), by aggregated bounds."""
     b = scores.groupBy("item_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -87,12 +116,24 @@ _HYBRID = f"""{BM25}, v AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cos
 vt AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) <= 50), hy AS (SELECT n.item_id, n.doc_id, n.s, coalesce(vt.c, 0) AS c, round(0.5 * n.s + 0.5 * coalesce(vt.c, 0), 8) AS h FROM norm n LEFT JOIN vt ON n.item_id = vt.item_id AND n.doc_id = vt.doc_id)"""
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """queries(item_id, q), vectors(vec_id, embedding) -> item_id, doc_id, c, rank: the k nearest vectors of each query.
+
+    Queries are broadcast in blocks of at most ``BLOCK_QUERIES``, a scan of the vectors each; a task keeps k a query.
+    """
+    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        s = vectors.join(F.broadcast(queries.filter(block == i))).select("item_id", F.col("vec_id").alias("doc_id"), r6(cosine(F.col("embedding"), F.col("q"))).alias("c"))
+        out = top(s, k, "c") if out is None else out.unionByName(top(s, k, "c"))
+    return out
+
+
 def vector_candidates(spark, sf, k: int = 50) -> DataFrame:
-    """Nearest vectors of each query: the queries (a bounded set) are broadcast against one scan of the vectors."""
     e = table(spark, sf, "embeddings")
     q = table(spark, sf, "benchmark").select("item_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
-    s = e.join(F.broadcast(q)).select("item_id", F.col("vec_id").alias("doc_id"), r6(cosine(F.col("embedding"), F.col("q"))).alias("c"))
-    return top(s, k, "c").drop("rank")
+    return nearest(q, e, k).drop("rank")
 
 
 def hybrid(spark, sf, w: float = 0.5) -> DataFrame:
@@ -113,24 +154,55 @@ def text_rank(spark, sf) -> DataFrame:
     return t.filter(n > 0).select("doc_id", r6(n / (1 + F.log(1.0 + F.size("ts")))).alias("rank"))
 
 
-@query("ret_05_feature_scan", rf"WITH f AS (SELECT doc_id, list_distinct({_TOK}) AS ws, ['license', 'version', 'public'] AS q, regexp_matches(text, '[0-9]') AS e, length(text) AS n FROM documents), s AS (SELECT doc_id, len(list_intersect(ws, q)) / len(list_distinct(list_concat(ws, q)))::DOUBLE AS sem, e, n FROM f) SELECT doc_id, round(0.35 * sem + 0.25 * CAST(e AS INT) + 0.15 * CAST(n > 500 AS INT) + 0.10 * least(n / 10000.0::DOUBLE, 1) + 0.08 * 0.5, 6) AS score FROM s")
-def feature_scan(spark, sf) -> DataFrame:
-    """A weighted sum of features in one projection: semantic overlap, entities, context, authority, recency."""
-    q = F.array(*map(F.lit, ["license", "version", "public"]))
-    n = F.length("text")
-    s = 0.35 * jaccard(tokens(F.col("text")), q) + 0.25 * F.col("text").rlike("[0-9]").cast("int") + 0.15 * (n > 500).cast("int") + 0.10 * F.least(n / 10000.0, F.lit(1.0)) + 0.08 * 0.5
-    return table(spark, sf, "documents").select("doc_id", r6(s).alias("score"))
+#: The query of the feature scan and factors of a chunk's priority, fixed values; languages stand for priorities.
+SCAN_QUERY, PRIORITY = ["gnu", "general", "public", "license"], {"en": 1.3, "de": 1.2, "fr": 1.0}
+_PHRASES = [" ".join(SCAN_QUERY[i : i + 3]) for i in range(len(SCAN_QUERY) - 2)]
 
 
-@query("ret_06_multi_strategy", f"""WITH {BM25}, u AS (SELECT item_id, doc_id, s FROM norm UNION ALL SELECT item_id, doc_id, 0.95 FROM benchmark JOIN documents ON item_id = doc_id UNION ALL SELECT item_id, doc_id, round(s * 0.9, 6) FROM norm),
-m AS (SELECT item_id, doc_id, max(s) AS s FROM u GROUP BY ALL) SELECT item_id, doc_id, round(least(m.s + CASE WHEN lang = 'en' THEN 0.05 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 0.02 ELSE 0 END, 1), 6) AS score FROM m JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
+@query("ret_05_feature_scan", rf"""WITH f AS (SELECT doc_id, lang, list_distinct({_TOK}) AS ws, {SCAN_QUERY} AS q, {" + ".join(f"CAST(contains(lower(text), '{x}') AS INT)" for x in _PHRASES)} AS phrases, regexp_matches(text, '[0-9]') AS e, length(text) AS n FROM documents),
+s AS (SELECT doc_id, lang, least(len(list_intersect(ws, q)) / len(list_distinct(list_concat(ws, q)))::DOUBLE + 0.2 * phrases, 1) AS sem, e, n FROM f)
+SELECT doc_id, round((0.35 * sem + 0.25 * CAST(e AS INT) + 0.15 * CAST(n > 500 AS INT) + 0.10 * least(n / 10000.0::DOUBLE, 1) + 0.08 * 0.5) * CASE lang WHEN 'en' THEN 1.3 WHEN 'de' THEN 1.2 WHEN 'fr' THEN 1.0 ELSE 0.9 END, 6)::DOUBLE AS score FROM s""")
+def feature_scan(spark, sf) -> DataFrame:
+    """A weighted sum of features in one projection: semantic overlap lifted by each phrase of three query words that occurs,
+    entities, context, authority, recency; the sum times the factor of the chunk's priority."""
+    q, text, n = F.array(*map(F.lit, SCAN_QUERY)), F.col("text"), F.length("text")
+    phrases = sum((F.contains(F.lower(text), F.lit(x)).cast("int") for x in _PHRASES[1:]), F.contains(F.lower(text), F.lit(_PHRASES[0])).cast("int"))
+    sem = F.least(jaccard(tokens(text), q) + 0.2 * phrases, F.lit(1.0))
+    s = 0.35 * sem + 0.25 * text.rlike("[0-9]").cast("int") + 0.15 * (n > 500).cast("int") + 0.10 * F.least(n / 10000.0, F.lit(1.0)) + 0.08 * 0.5
+    factor = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("lang")], F.lit(0.9))
+    return table(spark, sf, "documents").select("doc_id", r6(s * factor).alias("score"))
+
+
+#: Bonuses of the multi-strategy search, fixed values: by branch, by rank of the document's type, and by age in days.
+BRANCH = {"exact": 0.20, "semantic": 0.10, "contextual": 0.05, "terms": 0.03}
+RANKS, AGES = {"en": 0.15, "de": 0.10, "fr": 0.05}, [(30, 0.15), (90, 0.10), (365, 0.05), (1825, 0.02)]
+INTENT = ["license", "version", "public", "released"]
+
+
+@query("ret_06_multi_strategy", f"""WITH {BM25}, un AS (SELECT item_id, doc_id, s, 0.10 AS b FROM norm UNION ALL SELECT item_id, doc_id, 0.95, 0.20 FROM benchmark JOIN documents ON item_id = doc_id UNION ALL SELECT item_id, doc_id, round(s * 0.9, 6), 0.03 FROM norm
+  UNION ALL SELECT b.item_id, n.doc_id, n.s, 0.05 FROM benchmark b JOIN norm n ON n.item_id = b.item_id - 1),
+m AS (SELECT item_id, doc_id, max(s + b) AS s FROM un GROUP BY ALL),
+w AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0.15 WHEN 'de' THEN 0.10 WHEN 'fr' THEN 0.05 ELSE 0 END + CASE WHEN n_chars % 4000 < 30 THEN 0.15 WHEN n_chars % 4000 < 90 THEN 0.10 WHEN n_chars % 4000 < 365 THEN 0.05 WHEN n_chars % 4000 < 1825 THEN 0.02 ELSE 0 END
+  + least(0.05 * ({" + ".join(f"CAST(contains(lower(text), '{x}') AS INT)" for x in INTENT)}), 0.2) + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.10 ELSE 0 END AS bonus FROM documents)
+SELECT item_id, doc_id, round(least(m.s + bonus, 1)::DOUBLE, 6) AS score FROM m JOIN w USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
 def multi_strategy(spark, sf) -> DataFrame:
-    """Branches for meaning, exact id and synonyms; the best of each document with bonuses, capped at 1."""
-    s, d = _scores(spark, sf), table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    exact = table(spark, sf, "benchmark").select("item_id").join(d.select("doc_id"), F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", F.lit(0.95).alias("s"))
-    u = s.unionByName(exact).unionByName(s.select("item_id", "doc_id", r6(F.col("s") * 0.9).alias("s"))).groupBy("item_id", "doc_id").agg(F.max("s").alias("s"))
-    bonus = F.when(F.col("lang") == "en", 0.05).otherwise(0.0) + F.when(F.col("n_chars") > 2000, 0.02).otherwise(0.0)
-    return top(u.join(d, "doc_id").select("item_id", "doc_id", r6(F.least(F.col("s") + bonus, F.lit(1.0))).alias("score")), 10, "score").drop("rank")
+    """Branches for meaning, exact id, the question before (the context) and synonyms, each with its bonus; the best of each
+    document, lifted by the rank of its type (language stands for it), its age in days (from n_chars), words of the intent and
+    numbers, capped at 1."""
+    s, d, b = _scores(spark, sf), table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id")
+    exact = b.join(d.select("doc_id"), F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", F.lit(0.95 + BRANCH["exact"]).alias("s"))
+    context = s.select((F.col("item_id") + 1).alias("item_id"), "doc_id", (F.col("s") + BRANCH["contextual"]).alias("s")).join(b, "item_id")
+    terms = s.select("item_id", "doc_id", (r6(F.col("s") * 0.9) + BRANCH["terms"]).alias("s"))
+    u = s.withColumn("s", F.col("s") + BRANCH["semantic"]).unionByName(exact).unionByName(context).unionByName(terms).groupBy("item_id", "doc_id").agg(F.max("s").alias("s"))
+    rank, age = F.lit(0.0), F.lit(0.0)
+    for lang, x in RANKS.items():
+        rank = F.when(F.col("lang") == lang, x).otherwise(rank)
+    for days, x in reversed(AGES):
+        age = F.when(F.col("n_chars") % 4000 < days, x).otherwise(age)
+    words = F.size(F.filter(F.array(*map(F.lit, INTENT)), lambda w: F.contains(F.lower("text"), w)))
+    bonus = rank + age + F.least(0.05 * words, F.lit(0.2)) + F.when(F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0)
+    best = u.join(d.select("doc_id", bonus.alias("bonus")), "doc_id")
+    return top(best.select("item_id", "doc_id", r6(F.least(F.col("s") + F.col("bonus"), F.lit(1.0))).alias("score")), 10, "score").drop("rank")
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
@@ -152,9 +224,18 @@ def rrf_query(spark, sf) -> DataFrame:
     return rrf(_lists(spark, sf))
 
 
-@query("ret_08_fusion_search", f"WITH {_LISTS} SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM fu QUALIFY rank <= 10")
-def fusion_search(spark, sf) -> DataFrame:
-    return top(rrf(_lists(spark, sf)), 10, "rrf").select("item_id", "doc_id", "rrf", "rank")
+_VARIANTS = """q0 AS (SELECT item_id, lower(trim(text)) AS q FROM benchmark), qs AS (SELECT item_id * 10 AS item_id, q AS text FROM q0 UNION ALL SELECT item_id * 10 + 1, q || ' in law' FROM q0
+UNION ALL SELECT item_id * 10 + 2, CASE WHEN starts_with(q, 'the') THEN 'what is ' || q ELSE 'explain ' || q END FROM q0 WHERE starts_with(q, 'the') OR starts_with(q, 'a'))"""
+
+
+@query("ret_08_fusion_search", f"""WITH {_VARIANTS}, {bm25_sql('qs')}, ls AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 20),
+fu AS (SELECT item_id // 10 AS item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM ls GROUP BY ALL) SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM fu QUALIFY rank <= 10""")
+def fusion_search(spark, sf, k: int = 10, variants: int = 3) -> DataFrame:
+    """The first three forms of each query are searched for twice as many hits as asked for, without a threshold, and their ranks fused."""
+    v = query_variants(spark, sf).filter(F.col("n") < variants)
+    lists = top(normalized(bm25(table(spark, sf, "documents"), v.select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), F.col("variant").alias("text")))), 2 * k)
+    fused = rrf(lists.select(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id", "rank"))
+    return top(fused, k, "rrf").select("item_id", "doc_id", "rrf", "rank")
 
 
 @query("jn_22_multi_query", f"WITH {BM25} SELECT item_id, count(*) AS candidates, max(s) AS best FROM norm GROUP BY item_id")
@@ -197,19 +278,35 @@ def no_rerank(spark, sf) -> DataFrame:
     return top(_scores(spark, sf), 5).select("item_id", "doc_id", F.col("s").alias("score"), "rank")
 
 
-@query("ret_12_graph_boost", f"WITH {NEAREST}, r AS (SELECT vec_id, least(1, similarity + 0.5 * 0.1 * (vec_id % 4)) AS f FROM s WHERE similarity >= 0.1) SELECT vec_id, round(f, 6)::DOUBLE AS final FROM r WHERE f >= 0.15 ORDER BY 2 DESC, vec_id LIMIT 10")
+#: Gates on the similarity and on the boosted score, fixed values.
+SEMANTIC_GATE, FINAL_GATE = 0.6, 0.4
+
+
+@query("ret_12_graph_boost", f"WITH {NEAREST}, r AS (SELECT vec_id, least(1, similarity + 0.5 * 0.1 * (vec_id % 4)) AS f FROM s WHERE similarity >= 0.6) SELECT vec_id, round(f, 6)::DOUBLE AS final FROM r WHERE f >= 0.4 ORDER BY 2 DESC, vec_id LIMIT 10")
 def graph_boost(spark, sf) -> DataFrame:
     """Similarity lifted by half the graph boost, gated before and after, best ten."""
-    s = nearest_to_one(spark, sf).filter("similarity >= 0.1")
+    s = nearest_to_one(spark, sf).filter(F.col("similarity") >= SEMANTIC_GATE)
     f = F.least(F.lit(1.0), F.col("similarity") + 0.5 * 0.1 * (F.col("vec_id") % 4))
-    return s.select("vec_id", r6(f).alias("final")).filter("final >= 0.15").orderBy(F.desc("final"), "vec_id").limit(10)
+    return s.select("vec_id", r6(f).alias("final")).filter(F.col("final") >= FINAL_GATE).orderBy(F.desc("final"), "vec_id").limit(10)
+
+
+#: The two key sentences of a text in DuckDB.
+_KEY = """list_transform(list_sort(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), lambda x, i: {'a': -(2 * (CAST(contains(lower(x), 'license') AS INT) + CAST(contains(lower(x), 'with') AS INT) + CAST(contains(lower(x), 'there') AS INT)) + CAST(regexp_matches(x, '[0-9]') AS INT) + CAST(length(x) BETWEEN 50 AND 300 AS INT) - CAST(length(x) < 30 OR length(x) > 500 AS INT)), 'i': i, 's': x}))[1:2], lambda e: e.s)"""
 
 
-@query("ret_13_post_process", f"WITH {BM25}, p AS (SELECT item_id, doc_id, round(s + CASE WHEN d.n_chars > 1000 THEN 0.1 WHEN d.n_chars > 500 THEN 0.02 ELSE 0 END, 6) AS final, 'source ' || source AS ref FROM norm JOIN documents d USING (doc_id)) SELECT item_id, doc_id, final, ref FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) <= 5")
+def key_sentences_of(text: Column, n: int = 2) -> Column:
+    """The n sentences of highest score in their order of rank, joined."""
+    scored = F.transform(sentences(text), lambda x, i: F.struct((-sentence_score(x, TERMS)).alias("a"), i.alias("i"), x.alias("s")))
+    return F.array_join(F.transform(F.slice(F.array_sort(scored), 1, n), lambda e: e["s"]), ". ")
+
+
+@query("ret_13_post_process", f"WITH {BM25}, p AS (SELECT item_id, doc_id, round(least(1, s + CASE WHEN d.n_chars > 1000 THEN 0.1 WHEN d.n_chars > 500 THEN 0.02 ELSE 0 END), 6)::DOUBLE AS final, 'source ' || source AS ref FROM norm JOIN documents d USING (doc_id)), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) <= 5) SELECT item_id, b.doc_id, final, ref, array_to_string({_KEY}, '. ') AS key_sentences FROM b JOIN documents d ON b.doc_id = d.doc_id")
 def post_process(spark, sf) -> DataFrame:
+    """The score with the bonus of recency (length stands for it) capped at 1, a reference and two key sentences, ranked anew."""
     d = table(spark, sf, "documents").select("doc_id", "n_chars", F.concat(F.lit("source "), "source").alias("ref"))
     bonus = F.when(F.col("n_chars") > 1000, 0.1).when(F.col("n_chars") > 500, 0.02).otherwise(0.0)
-    return top(_scores(spark, sf).join(d, "doc_id").select("item_id", "doc_id", r6(F.col("s") + bonus).alias("final"), "ref"), 5, "final").drop("rank")
+    best = top(_scores(spark, sf).join(d, "doc_id").select("item_id", "doc_id", r6(F.least(F.lit(1.0), F.col("s") + bonus)).alias("final"), "ref"), 5, "final").drop("rank")
+    return best.join(table(spark, sf, "documents").select("doc_id", key_sentences_of(F.col("text")).alias("key_sentences")), "doc_id")
 
 
 @query("ret_14_type_bonus", "SELECT page_id, (CASE WHEN contains(html, '<table') THEN 0.03 WHEN contains(html, '<img') THEN 0.02 ELSE 0.01 END + CASE WHEN page_id % 5 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS bonus FROM pages")
@@ -219,19 +316,37 @@ def type_bonus(spark, sf) -> DataFrame:
 
 
 @query("ret_15_answer", f"""WITH {BM25}, c AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5),
-t AS (SELECT c.item_id, c.rank, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1] AS s FROM c JOIN documents USING (doc_id))
-SELECT item_id, string_agg(s, '. ' ORDER BY rank) AS answer FROM t GROUP BY item_id""")
+t AS (SELECT c.item_id, c.rank, text, array_to_string({_KEY}, '. ') AS s FROM c JOIN documents USING (doc_id)), u AS (SELECT item_id, min(rank) AS rank, s FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY rank) AS n FROM t) WHERE n = 1 GROUP BY item_id, text, s),
+v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS r, first_value(s) OVER (PARTITION BY item_id ORDER BY rank) AS best FROM u)
+SELECT item_id, string_agg(s, chr(10) ORDER BY r) AS answer FROM v WHERE r = 1 OR r <= 3 AND s <> '' AND s <> best GROUP BY item_id""")
 def answer(spark, sf) -> DataFrame:
-    """The first sentences of the best five texts, in rank order."""
-    c = top(_scores(spark, sf), 5).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    t = c.select("item_id", F.struct("rank", F.get(sentences(F.col("text")), F.lit(0)).alias("s")).alias("x"))
-    return t.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), ". ").alias("answer"))
-
-
-@query("ret_16_definition_lookup", f"WITH {_LISTS} SELECT item_id, doc_id, rrf AS score FROM fu QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) <= 15")
-def definition_lookup(spark, sf) -> DataFrame:
-    """Several query forms, one result a document with its best score, at most fifteen."""
-    return top(rrf(_lists(spark, sf)), 15, "rrf").select("item_id", "doc_id", F.col("rrf").alias("score"))
+    """Of the five best texts the distinct ones with two key sentences each: those of the best, and of the next two where they differ."""
+    d = table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("text"), key_sentences_of(F.col("text")).alias("key"))
+    c = top(_scores(spark, sf), 5).join(d, "doc_id")
+    t = c.groupBy("item_id", "text").agg(F.min_by(F.struct("rank", F.col("key").alias("s")), "rank").alias("x")).groupBy("item_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # five at most
+    best = F.get("xs", F.lit(0))["s"]
+    more = F.filter(F.transform(F.slice("xs", 2, 2), lambda x: x["s"]), lambda s: (s != "") & (s != best))
+    return t.select("item_id", F.array_join(F.concat(F.array(best), more), "\n").alias("answer"))
+
+
+#: Forms of a question for a term's definition.
+DEFINITION_FORMS = ["{} means is definition", "what is {}", "{} hereinafter", '"{}"', "the notion {}"]
+_TERM = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 5)[1]"
+
+
+@query("ret_16_definition_lookup", f"""WITH t0 AS (SELECT item_id, {_TERM} AS term FROM benchmark), qs AS ({" UNION ALL ".join(f"SELECT item_id * 10 + {i} AS item_id, '{f.replace('{}', chr(39) + ' || term || ' + chr(39))}' AS text FROM t0 WHERE term IS NOT NULL" for i, f in enumerate(DEFINITION_FORMS))}),
+{bm25_sql('qs')}, ls AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 20), m AS (SELECT item_id // 10 AS item_id, doc_id, max(s) AS score FROM ls GROUP BY ALL)
+SELECT item_id, doc_id, score FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 15""")
+def definition_lookup(spark, sf, k: int = 20) -> DataFrame:
+    """A term (the first long word of an item) is asked for in five forms; of twenty hits each, a document's best score counts, and
+    the best fifteen stay."""
+    term = F.get(tokens(F.col("text"), 5), F.lit(0))
+    forms = [F.concat(F.lit(x), F.col("term"), F.lit(y)) for x, y in (f.split("{}") for f in DEFINITION_FORMS)]
+    q = table(spark, sf, "benchmark").select("item_id", term.alias("term")).filter("term is not null")
+    q = q.select("item_id", F.posexplode(F.array(*forms)).alias("n", "text")).select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), "text")
+    lists = top(normalized(bm25(table(spark, sf, "documents"), q)), k)
+    best = lists.groupBy(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id").agg(F.max("s").alias("score"))
+    return top(best, 15, "score").drop("rank")
 
 
 @query("ret_17_query_repair", "SELECT item_id, concat_ws(' ', text, CASE WHEN length(text) < 150 THEN 'in detail' END, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'with numbers' END) AS query FROM benchmark")
@@ -239,9 +354,13 @@ def query_repair(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", "text", F.when(F.length("text") < 150, "in detail"), F.when(~F.col("text").rlike("[0-9]"), "with numbers")).alias("query"))
 
 
-@query("ret_18_threshold", f"WITH {NEAREST}, t AS (SELECT unnest(range(1, 10)) / 10.0::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (similarity >= threshold) AS n FROM t, s GROUP BY threshold) SELECT threshold, n FROM c ORDER BY abs(n - 5), threshold LIMIT 1")
+#: Thresholds that are tried, in hundredths; fixed values.
+THRESHOLDS = [50, 55, 60, 65, 70, 75, 80, 85, 90]
+
+
+@query("ret_18_threshold", f"WITH {NEAREST}, t AS (SELECT unnest({THRESHOLDS}) / 100.0::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (similarity >= threshold) AS n FROM t, s GROUP BY threshold) SELECT threshold, n FROM c ORDER BY abs(n - 5), threshold LIMIT 1")
 def threshold(spark, sf, expected: int = 5) -> DataFrame:
-    """Of nine thresholds the one whose number of hits is nearest to the expected; counted in one scan."""
-    s = nearest_to_one(spark, sf).agg(*[F.count_if(F.col("similarity") >= i / 10).alias(f"n{i}") for i in range(1, 10)])
-    t = s.select(F.inline(F.array(*[F.struct(F.lit(i / 10).alias("threshold"), F.col(f"n{i}").alias("n")) for i in range(1, 10)])))
+    """Of nine thresholds the one whose number of hits is nearest to the expected, the lowest of equals; counted in one scan."""
+    s = nearest_to_one(spark, sf).agg(*[F.count_if(F.col("similarity") >= i / 100).alias(f"n{i}") for i in THRESHOLDS])
+    t = s.select(F.inline(F.array(*[F.struct(F.lit(i / 100).alias("threshold"), F.col(f"n{i}").alias("n")) for i in THRESHOLDS])))
     return t.orderBy(F.abs(F.col("n") - expected), "threshold").limit(1)
