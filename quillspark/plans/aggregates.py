@@ -82,7 +82,7 @@ def graph_counts(spark, sf) -> DataFrame:
     return c.rollup("kind", "type").agg(F.sum("n").alias("n")).filter("kind is not null").select("kind", F.coalesce("type", F.lit("total")).alias("type"), "n")
 
 
-PROFILE = "SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_len, min(length(text)) AS min_len, max(length(text)) AS max_len, count(*) FILTER (coalesce(trim(text), '') = '') AS empty, count(*) FILTER (length(text) < 100) AS short, sum(length(text)) AS chars, round(100.0 * count(lang) / count(*), 6) AS lang_coverage FROM documents"
+PROFILE = "SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_len, min(length(text)) AS min_len, max(length(text)) AS max_len, count(*) FILTER (coalesce(trim(text), '') = '') AS empty, count(*) FILTER (length(text) < 100) AS short, sum(length(text)) AS chars, round(100.0 * count(lang) / count(*), 6) AS lang_coverage, concat_ws(',', 'lang:' || count(lang), 'source:' || count(source), 'n_chars:' || count(n_chars)) AS metadata_keys FROM documents"
 
 
 def profile(d: DataFrame) -> DataFrame:
@@ -91,6 +91,7 @@ def profile(d: DataFrame) -> DataFrame:
         F.count("*").alias("n"), r6(F.avg(n)).alias("mean_len"), F.min(n).cast("long").alias("min_len"), F.max(n).cast("long").alias("max_len"),
         F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty"), F.count_if(n < 100).alias("short"), F.sum(n).alias("chars"),
         r6(F.count("lang") * 100.0 / F.count("*")).alias("lang_coverage"),
+        F.concat_ws(",", *[F.concat(F.lit(f"{c}:"), F.count(c).cast("string")) for c in ("lang", "source", "n_chars")]).alias("metadata_keys"),
     )
 
 
@@ -118,13 +119,25 @@ def term_stats(spark, sf) -> DataFrame:
     return f.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
-@query("agg_13_hierarchy_stats", """WITH c AS (SELECT n_nationkey AS k, 'nation' AS level, n_regionkey AS parent FROM nation UNION ALL SELECT 1000 + c_custkey, 'customer', 100 + c_nationkey FROM customer UNION ALL SELECT 100 + r_regionkey * 0 + r_regionkey, 'region', NULL FROM region)
-SELECT level, count(*) AS n, count(parent) AS with_parent, count(DISTINCT parent) AS families FROM c GROUP BY level""")
+@query("agg_13_hierarchy_stats", """WITH c AS (SELECT 'nation' AS level, n_regionkey AS parent, 'region' AS above FROM nation UNION ALL SELECT 'customer', c_nationkey, 'nation' FROM customer UNION ALL SELECT 'region', NULL, NULL FROM region),
+f AS (SELECT level, above, parent, count(*) AS k FROM c GROUP BY ALL), h AS (SELECT above, sum(k) AS children FROM f WHERE parent IS NOT NULL GROUP BY above),
+g AS (SELECT level, CAST(sum(k) AS BIGINT) AS n, CAST(coalesce(sum(k) FILTER (parent IS NOT NULL), 0) AS BIGINT) AS with_parent, count(parent) AS families, CAST(coalesce(sum(k * (k - 1) // 2) FILTER (parent IS NOT NULL), 0) AS BIGINT) AS sibling_pairs, round(avg(k) FILTER (parent IS NOT NULL), 6) AS mean_family FROM f GROUP BY level)
+
+SELECT g.*, CAST(coalesce(children, 0) AS BIGINT) AS children FROM g LEFT JOIN h ON g.level = h.above""")
 def hierarchy_stats(spark, sf) -> DataFrame:
-    one = table(spark, sf, "nation").select(F.lit("nation").alias("level"), F.col("n_regionkey").cast("long").alias("parent"))
-    two = table(spark, sf, "customer").select(F.lit("customer"), F.col("c_nationkey").cast("long"))
-    top = table(spark, sf, "region").select(F.lit("region"), F.lit(None).cast("long"))
-    return one.union(two).union(top).groupBy("level").agg(F.count("*").alias("n"), F.count("parent").alias("with_parent"), F.count_distinct("parent").alias("families"))
+    """Nodes of each level, those with a parent, families, pairs of siblings, mean size of a family, and children on the level below."""
+    none = F.lit(None)
+    one = table(spark, sf, "nation").select(F.lit("nation").alias("level"), F.col("n_regionkey").cast("long").alias("parent"), F.lit("region").alias("above"))
+    two = table(spark, sf, "customer").select(F.lit("customer"), F.col("c_nationkey").cast("long"), F.lit("nation"))
+    top = table(spark, sf, "region").select(F.lit("region"), none.cast("long"), none.cast("string"))
+    f = one.union(two).union(top).groupBy("level", "above", "parent").agg(F.count("*").alias("k"))
+    inside, k = F.col("parent").isNotNull(), F.col("k")
+    g = f.groupBy("level").agg(
+        F.sum("k").alias("n"), F.coalesce(F.sum(F.when(inside, k)), F.lit(0)).alias("with_parent"), F.count("parent").alias("families"),
+        F.coalesce(F.sum(F.when(inside, k * (k - 1) / 2)), F.lit(0)).cast("long").alias("sibling_pairs"), r6(F.avg(F.when(inside, k))).alias("mean_family"),
+    )
+    h = f.filter(inside).groupBy(F.col("above").alias("level")).agg(F.sum("k").alias("children"))
+    return g.join(h, "level", "left").withColumn("children", F.coalesce("children", F.lit(0)))
 
 
 _X = "x AS (SELECT doc_id, (doc_id % 97) / 97.0 AS score FROM documents)"
@@ -155,16 +168,17 @@ def precision_recall(spark, sf) -> DataFrame:
 
 @query("agg_16_ab_summary", """WITH r AS (SELECT event_type AS config, value / 100.0 AS rel, CAST(event_id % 5 <> 0 AS INT) AS succ, event_id % 12 AS chunks, (event_id % 10) / 10.0 AS t FROM events),
 m AS (SELECT config, avg(rel) AS rel, avg(succ) AS succ, avg(chunks) AS chunks, avg(t) AS t FROM r GROUP BY config),
-c AS (SELECT config, round(rel, 6) AS rel, round(succ, 6) AS succ, round(0.4 * rel + 0.3 * succ + 0.2 * least(chunks / 10, 1) + 0.1 * greatest(0, 1 - t), 6) AS composite FROM m)
-SELECT config, rel, succ, composite, rank() OVER (ORDER BY composite DESC) AS by_composite, rank() OVER (ORDER BY rel DESC) AS by_rel FROM c""")
+c AS (SELECT config, round(rel, 6) AS rel, round(succ, 6) AS succ, round(t, 6) AS t, round(0.4 * rel + 0.3 * succ + 0.2 * least(chunks / 10, 1) + 0.1 * greatest(0, 1 - t), 6) AS composite FROM m)
+SELECT config, rel, succ, t, composite, rank() OVER (ORDER BY composite DESC) AS by_composite, rank() OVER (ORDER BY rel DESC) AS by_rel, rank() OVER (ORDER BY succ DESC) AS by_success, rank() OVER (ORDER BY t) AS by_speed FROM c""")
 def ab_summary(spark, sf) -> DataFrame:
     """Means and composite score of each configuration, with its ranks (a window over one row a configuration)."""
     e = F.col("event_id")
     r = table(spark, sf, "events").select(F.col("event_type").alias("config"), (F.col("value") / 100.0).alias("rel"), (e % 5 != 0).cast("int").alias("succ"), (e % 12).alias("chunks"), ((e % 10) / 10.0).alias("t"))
     m = r.groupBy("config").agg(*[F.avg(c).alias(c) for c in ("rel", "succ", "chunks", "t")])
     comp = 0.4 * F.col("rel") + 0.3 * F.col("succ") + 0.2 * F.least(F.col("chunks") / 10, F.lit(1.0)) + 0.1 * F.greatest(F.lit(0.0), 1 - F.col("t"))
-    c = m.select("config", r6("rel").alias("rel"), r6("succ").alias("succ"), r6(comp).alias("composite"))
-    return c.select("*", F.rank().over(W.orderBy(F.desc("composite"))).alias("by_composite"), F.rank().over(W.orderBy(F.desc("rel"))).alias("by_rel"))
+    c = m.select("config", r6("rel").alias("rel"), r6("succ").alias("succ"), r6("t").alias("t"), r6(comp).alias("composite"))
+    ranks = {"by_composite": F.desc("composite"), "by_rel": F.desc("rel"), "by_success": F.desc("succ"), "by_speed": F.asc("t")}
+    return c.select("*", *[F.rank().over(W.orderBy(by)).alias(name) for name, by in ranks.items()])
 
 
 @query("agg_17_evaluation", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)) AS kw FROM benchmark),
@@ -197,20 +211,42 @@ def issue_groups(spark, sf) -> DataFrame:
     return e.groupingSets([["category"], ["severity"]], "category", "severity").agg(F.count("*").alias("n")).select("category", "severity", "n")
 
 
-@query("agg_20_conversation_summary", r"""WITH w AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS concept FROM conversations),
-c AS (SELECT conv_id, concept, count(*) AS n FROM w GROUP BY conv_id, concept), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, concept) AS k FROM c),
-t AS (SELECT conv_id, string_agg(concept, ',' ORDER BY k) AS concepts FROM r WHERE k <= 5 GROUP BY conv_id),
+#: What an issue of each severity takes from a response's score, fixed values from critical to informational.
+SEVERITY = [0.30, 0.15, 0.05, 0.02, 0.0]
+
+
+@query("agg_19_issue_score", "WITH i AS (SELECT event_id // 3 AS response, event_id % 5 AS severity, event_type, user_id, event_id FROM events), s AS (SELECT response, count(*) AS issues, 1.0 - sum(CASE severity WHEN 0 THEN 0.30 WHEN 1 THEN 0.15 WHEN 2 THEN 0.05 WHEN 3 THEN 0.02 ELSE 0 END) + CASE WHEN count(DISTINCT event_type) >= 4 THEN 0.05 ELSE 0 END + CASE WHEN count(DISTINCT user_id) >= 3 THEN 0.05 ELSE 0 END + CASE WHEN bool_or(event_id % 7 = 0) THEN 0.03 ELSE 0 END AS score FROM i GROUP BY response) SELECT response, issues, round(greatest(0, least(1, score))::DOUBLE, 6) AS score FROM s")
+def issue_score(spark, sf) -> DataFrame:
+    """Weighted score of each response (three issues in a row stand for one): less for each issue by its severity, more for four
+    sections, three sources and a follow-up, between 0 and 1."""
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("response"), (F.col("event_id") % 5).cast("int").alias("severity"), "event_type", "user_id", "event_id")
+    taken = F.sum(F.get(F.array(*map(F.lit, SEVERITY)), F.col("severity")))
+    more = F.when(F.count_distinct("event_type") >= 4, 0.05).otherwise(0.0) + F.when(F.count_distinct("user_id") >= 3, 0.05).otherwise(0.0) + F.when(F.bool_or(F.col("event_id") % 7 == 0), 0.03).otherwise(0.0)
+    return e.groupBy("response").agg(F.count("*").alias("issues"), r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - taken + more))).alias("score"))
+
+
+@query("agg_20_conversation_summary", r"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS concept FROM conversations),
+g AS (SELECT conv_id, turn, concept, count(*) AS n FROM w GROUP BY ALL), n AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS total FROM g), c AS (SELECT conv_id, concept, sum(n) AS n, round(max(n / total::DOUBLE), 6) AS confidence FROM n GROUP BY ALL),
+t AS (SELECT conv_id, string_agg(concept, ',' ORDER BY k) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, concept) AS k FROM c) WHERE k <= 5 GROUP BY conv_id),
+a AS (SELECT conv_id, substr(concept, 1, 1) AS area, sum(n) AS n FROM c GROUP BY ALL), ta AS (SELECT conv_id, string_agg(area, ',' ORDER BY k) AS areas FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, area) AS k FROM a) WHERE k <= 3 GROUP BY conv_id),
 m AS (SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n, round(sum(least(length(text), 100)) / sum(length(text))::DOUBLE, 6) AS ratio FROM conversations GROUP BY conv_id)
-SELECT m.conv_id, first_turn, last_turn, n, ratio, concepts FROM m LEFT JOIN t ON m.conv_id = t.conv_id""")
-def conversation_summary(spark, sf, top: int = 5) -> DataFrame:
-    """Span, compression ratio and most frequent concepts of each conversation."""
+SELECT m.conv_id, first_turn, last_turn, n, ratio, areas, concepts FROM m LEFT JOIN t ON m.conv_id = t.conv_id LEFT JOIN ta ON m.conv_id = ta.conv_id""")
+def conversation_summary(spark, sf, top: int = 5, top_areas: int = 3) -> DataFrame:
+    """Span and compression ratio of each conversation, its largest areas (an initial stands for one), and the concepts of highest
+    confidence, the share of a turn's words that a concept makes up at most."""
     c = table(spark, sf, "conversations")
-    w = c.select("conv_id", F.explode(tokens(F.col("text"), 3)).alias("concept")).groupBy("conv_id", "concept").agg(F.count("*").alias("n"))
-    r = w.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("n"), "concept"))).filter(F.col("k") <= top)
-    t = r.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "concept"))), lambda x: x["concept"]), ",").alias("concepts"))
-    n = F.length("text")
-    m = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"), r6(F.sum(F.least(n, F.lit(100))) / F.sum(n)).alias("ratio"))
-    return m.join(t, "conv_id", "left")
+    ws = c.select("conv_id", "turn", tokens(F.col("text"), 3).alias("ws"))
+    n = ws.select("conv_id", "turn", F.size("ws").alias("total"), F.explode("ws").alias("concept")).groupBy("conv_id", "turn", "total", "concept").agg(F.count("*").alias("n"))
+    w = n.groupBy("conv_id", "concept").agg(F.sum("n").alias("n"), r6(F.max(F.col("n") / F.col("total"))).alias("confidence"))
+
+    def best(df: DataFrame, name: str, by, k: int) -> DataFrame:
+        r = df.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(by), name))).filter(F.col("k") <= k)
+        return r.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", name))), lambda x: x[name]), ",").alias(f"{name}s"))
+
+    areas = w.groupBy("conv_id", F.substring("concept", 1, 1).alias("area")).agg(F.sum("n").alias("n"))
+    length = F.length("text")
+    m = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"), r6(F.sum(F.least(length, F.lit(100))) / F.sum(length)).alias("ratio"))
+    return m.join(best(areas, "area", "n", top_areas), "conv_id", "left").join(best(w, "concept", "confidence", top), "conv_id", "left")
 
 
 @query("agg_21_scan_report", "SELECT count(*) AS total, count(*) FILTER (length(html) > 0) AS ok, round(100.0 * count(*) FILTER (contains(html, '<title>')) / count(*), 6) AS success_rate FROM pages")

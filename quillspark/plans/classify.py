@@ -94,12 +94,41 @@ def boosts(spark, sf) -> DataFrame:
     return typed(spark, sf).filter("b.hits > 0").select("item_id", rules[F.col("b.name")].alias("r")).select("item_id", "r.field", "r.boost")
 
 
-@query("cls_08_intent", r"WITH m AS (SELECT conv_id, turn, lower(text) AS t, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN n <= 3 THEN 'chat' WHEN contains(t, 'how') THEN 'procedure' WHEN contains(t, 'what') THEN 'definition' WHEN contains(t, '?') THEN 'question' ELSE 'statement' END AS intent, CASE WHEN n < 5 THEN 'simple' WHEN n < 15 THEN 'medium' WHEN n < 40 THEN 'complex' ELSE 'expert' END AS complexity FROM m")
+#: Words of each intent (the one with most hits wins, the first of equals), of levels of difficulty beyond the number of words, of
+#: expertise, and of small talk: a generic pack.
+INTENTS = {
+    "norm": ["which rule", "which law", "article", "where is it written"], "procedure": ["how", "steps", "order of", "procedure"], "comparison": ["difference", "compare", " than ", "versus"],
+    "responsibility": ["penalty", "liable", "fine", "responsib"], "definition": ["what is", "define", "meaning", "notion"], "calculation": ["calculate", "how much", "percent", "formula"],
+    "conflict": ["contradict", "conflict", "inconsisten", "versus the law"],
+}
+HARD, EXPERT, INFORMED = ["compare", "conflict", "analy"], ["case law", "doctrine", "interpretation", "collision"], ["article", "code", "license", "version", "public"]
+CASUAL = r"^(hi|hello|good (day|morning|evening))|how are you|what is new|thank|bye|who are you|your name"
+
+
+def _hits(words: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words) + ")"
+
+
+_BEST = "greatest(" + ", ".join(_hits(w) for w in INTENTS.values()) + ")"
+
+
+@query("cls_08_intent", rf"""WITH m AS (SELECT conv_id, turn, lower(text) AS t, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS n FROM conversations WHERE role = 'user'),
+h AS (SELECT *, {_BEST} AS best, regexp_matches(t, '{CASUAL}') OR n <= 3 AND {_hits(INFORMED)} = 0 AS casual FROM m)
+SELECT conv_id, turn, CASE WHEN casual THEN 'chat' WHEN best = 0 THEN 'general' {" ".join(f"WHEN {_hits(w)} = best THEN '{k}'" for k, w in INTENTS.items())} END AS intent,
+CASE WHEN n >= 40 OR {_hits(HARD)} > 1 THEN 'expert' WHEN n >= 15 OR {_hits(HARD)} = 1 THEN 'complex' WHEN n >= 5 THEN 'medium' ELSE 'simple' END AS complexity,
+CASE WHEN {_hits(EXPERT)} > 0 THEN 'expert' WHEN {_hits(INFORMED)} > 0 THEN 'intermediate' ELSE 'beginner' END AS expertise FROM h""")
 def intent(spark, sf) -> DataFrame:
+    """Intent by hits of its words, difficulty by length and hard words, expertise by terms; small talk first."""
     t, n = F.lower("text"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+"))
-    kind = F.when(n <= 3, "chat").when(t.contains("how"), "procedure").when(t.contains("what"), "definition").when(t.contains("?"), "question").otherwise("statement")
-    level = F.when(n < 5, "simple").when(n < 15, "medium").when(n < 40, "complex").otherwise("expert")
-    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("intent"), level.alias("complexity"))
+    hits = lambda ws: F.size(F.filter(F.array(*map(F.lit, ws)), lambda w: F.contains(t, w)))
+    best = F.greatest(*[hits(w) for w in INTENTS.values()])
+    casual = t.rlike(CASUAL) | ((n <= 3) & (hits(INFORMED) == 0))
+    kind = F.when(casual, "chat").when(best == 0, "general")
+    for k, w in INTENTS.items():
+        kind = kind.when(hits(w) == best, k)
+    level = F.when((n >= 40) | (hits(HARD) > 1), "expert").when((n >= 15) | (hits(HARD) == 1), "complex").when(n >= 5, "medium").otherwise("simple")
+    skill = F.when(hits(EXPERT) > 0, "expert").when(hits(INFORMED) > 0, "intermediate").otherwise("beginner")
+    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("intent"), level.alias("complexity"), skill.alias("expertise"))
 
 
 @query("cls_09_search_mode", "WITH m AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' WHEN contains(lower(text), 'table') THEN 'table' WHEN contains(text, '?') THEN 'question' ELSE 'general' END AS kind FROM conversations) SELECT conv_id, turn, kind, CASE kind WHEN 'numeric' THEN 'numerical' WHEN 'table' THEN 'structured' WHEN 'question' THEN 'balanced' ELSE 'recall' END AS mode FROM m")

@@ -13,18 +13,35 @@ from quillspark.sources.tables import table
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
+#: Rewrites in their order: join words around a hyphen and a line end by a space; join lines in mid-sentence; drop a hyphen that
+#: starts a line; join the parts of a hyphenated word; squeeze blanks; none before punctuation or after an opening bracket; at most
+#: two line ends.
+REWRITES = [
+    (r"([\p{L}\p{N}_]+)[ \t\r\f\n]*-[ \t\r\f\n]*\n[ \t\r\f\n]*([\p{L}\p{N}_])", "\\1 \\2"),
+    (r"(\p{Ll}+)[ \t\r\f\n]*\n[ \t\r\f\n]*(\p{Ll}\p{Ll}+)", "\\1 \\2"),
+    (r"\n[ \t\r\f\n]*-[ \t\r\f\n]+([\p{L}\p{N}_])", " \\1"),
+    (r"(\p{Ll}+)-[ \t\r\f\n]*\n[ \t\r\f\n]*(\p{Ll}+)", "\\1\\2"),
+    (r"[ \t]+", " "),
+    (r"[ \t\r\f\n]+([,.;:!?)])", "\\1"),
+    (r"[(][ \t\r\f\n]+", "("),
+    (r"\n{3,}", "\n\n"),
+]
+
+
 def normalize(text: Column) -> Column:
-    """Ordered rewrites: join hyphenated line ends by a space, lines in mid-sentence, squeeze blanks, no space before punctuation,
-    at most two line ends, stripped lines."""
-    t = F.regexp_replace(text, r"-[ \t]*\n[ \t]*", "- ")
-    t = F.regexp_replace(t, r"(\p{Ll})\n(\p{Ll})", "$1 $2")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r" +([,.;:!?])", "$1")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.array_join(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "\n")
+    """The ordered rewrites, and lines stripped."""
+    for pattern, instead in REWRITES:
+        text = F.regexp_replace(text, pattern, instead.replace("\\1", "$1").replace("\\2", "$2"))
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n")
+
+
+def _rewritten(text: str) -> str:
+    for pattern, instead in REWRITES:
+        text = f"regexp_replace({text}, '{pattern}', E'{instead.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n')}', 'g')"
+    return text
 
 
-_NORMAL = r"array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '-[ \t]*\n[ \t]*', '- ', 'g'), '(\p{Ll})\n(\p{Ll})', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), ' +([,.;:!?])', '\1', 'g'), '\n{3,}', E'\n\n', 'g'), chr(10)), lambda x: trim(x)), chr(10))"
+_NORMAL = f"array_to_string(list_transform(string_split({_rewritten('text')}, chr(10)), lambda x: trim(x)), chr(10))"
 
 
 @query("str_01_normalize", f"SELECT doc_id, md5({_NORMAL}) AS digest FROM documents")
@@ -88,16 +105,27 @@ def keywords_query(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.array_join(keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query("str_06_numbers", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '[0-9]+[.,][0-9]+'), regexp_extract_all(text, '[0-9]+ ?%'), regexp_extract_all(text, '[0-9]{4,}')))), ' ') AS numbers FROM documents")
+#: Kinds of numbers: with a percent sign or word, years, days, magnitudes, plain; and of references, matched on lower case.
+NUMBERS = [r"[0-9]+(?:[.,][0-9]+)? *%", r"[0-9]+(?:[.,][0-9]+)? *percent[a-z]*", r"[0-9]+ *years?", r"[0-9]+ *days?", r"[0-9]+(?:[.,][0-9]+)? *(?:thousand|million|billion)", r"[0-9]+(?:[.,][0-9]+)?"]
+REFERENCES = [r"article +[0-9]+(?:[.][0-9]+)?", r"point +[0-9]+", r"part +[0-9]+", r"version +[0-9]+(?:[.][0-9]+)*", r"general public license", r"licen[cs]e"]
+
+
+def _all(patterns: list[str]) -> str:
+    return "list_concat(" + ", ".join(f"regexp_extract_all(lower(text), '{p}')" for p in patterns) + ")"
+
+
+@query("str_06_numbers", f"SELECT doc_id, array_to_string(list_sort(list_distinct({_all(NUMBERS)})), ' ') AS numbers FROM documents")
 def numbers(spark, sf) -> DataFrame:
-    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), 0) for p in (r"[0-9]+[.,][0-9]+", r"[0-9]+ ?%", r"[0-9]{4,}")])
+    """Distinct numbers of all kinds, in order."""
+    found = F.concat(*[F.regexp_extract_all(F.lower("text"), F.lit(p), 0) for p in NUMBERS])
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("numbers"))
 
 
-@query("str_07_references", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, 'version [0-9.]+[0-9]'), regexp_extract_all(text, 'Version [0-9.]+[0-9]'), regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+[a-z]')))), ' ') AS refs FROM documents")
+@query("str_07_references", f"SELECT doc_id, array_to_string({_all(REFERENCES)}, ' ') AS refs FROM documents")
 def references(spark, sf) -> DataFrame:
-    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), 0) for p in (r"version [0-9.]+[0-9]", r"Version [0-9.]+[0-9]", r"[a-z0-9.]+@[a-z0-9.]+[a-z]")])
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("refs"))
+    """References of all kinds, kind by kind in the order of the text."""
+    found = F.concat(*[F.regexp_extract_all(F.lower("text"), F.lit(p), 0) for p in REFERENCES])
+    return table(spark, sf, "documents").select("doc_id", F.array_join(found, " ").alias("refs"))
 
 
 @query("str_08_law_numbers", r"SELECT doc_id, coalesce(nullif(regexp_extract(text, '[Vv]ersion ([0-9]+)', 1), ''), nullif(regexp_extract(text, '([0-9]+)\.0', 1), '')) AS number FROM documents")
@@ -107,15 +135,19 @@ def law_numbers(spark, sf) -> DataFrame:
 
 
 SYNONYMS = [("license", "permit"), ("license", "licence"), ("public", "open"), ("version", "release")]
-_SYN = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
+#: Abbreviations with what they stand for.
+ABBREVIATIONS = [("gnu", "gnu is not unix"), ("cc", "creative commons"), ("mit", "massachusetts institute of technology")]
+_SYN = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS + ABBREVIATIONS)
 
 
-@query("str_09_synonyms", f"WITH s(term, other) AS (VALUES {_SYN}), t AS (SELECT doc_id, lower(text) AS q FROM documents) SELECT DISTINCT doc_id, replace(q, term, other) AS variant FROM t JOIN s ON contains(q, term)")
-def synonyms(spark, sf, pairs: list[tuple[str, str]] = SYNONYMS) -> DataFrame:
-    """One variant for each synonym of a term that occurs; the dictionary is a literal of fixed size."""
+@query("str_09_synonyms", f"WITH s(term, other) AS (VALUES {_SYN}), t AS (SELECT doc_id, lower(text) AS q FROM documents) SELECT doc_id, text AS variant FROM documents UNION SELECT doc_id, replace(q, term, other) FROM t JOIN s ON contains(q, term)")
+def synonyms(spark, sf, pairs: list[tuple[str, str]] = SYNONYMS + ABBREVIATIONS) -> DataFrame:
+    """The text, and a variant for each synonym of a term and each meaning of an abbreviation that occurs, all distinct; the
+    dictionary is a literal of fixed size."""
     known = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("other")) for a, b in pairs])
-    q = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("q"))
-    return q.select("doc_id", "q", F.inline(F.filter(known, lambda x: F.contains(F.col("q"), x["term"])))).select("doc_id", F.replace("q", F.col("term"), F.col("other")).alias("variant")).distinct()
+    d = table(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("q"))
+    made = F.transform(F.filter(known, lambda x: F.contains(F.col("q"), x["term"])), lambda x: F.replace(F.col("q"), x["term"], x["other"]))
+    return d.select("doc_id", F.explode(F.concat(F.array("text"), F.coalesce(made, F.array().cast("array<string>")))).alias("variant")).distinct()
 
 
 @query("str_10_query_variants", r"WITH q AS (SELECT item_id, lower(trim(text)) AS q, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 5), 1, 5), ' ') AS k FROM benchmark), v AS (SELECT item_id, 0 AS n, q AS variant FROM q UNION ALL SELECT item_id, 1, q || ' in law' FROM q UNION ALL SELECT item_id, 2, CASE WHEN starts_with(q, 'the') THEN 'what is ' || q WHEN starts_with(q, 'a') THEN 'explain ' || q END FROM q UNION ALL SELECT item_id, 3, nullif(k, '') FROM q) SELECT item_id, n, variant FROM v WHERE variant IS NOT NULL")
@@ -128,7 +160,12 @@ def query_variants(spark, sf) -> DataFrame:
     return v.filter("variant is not null")
 
 
-INJECTIONS = [r"(?i)ignore (all|previous) instructions", r"(?i)system prompt", r"(?i)you are now", r"(?i)disregard the above", r"<\|[a-z_]+\|>"]
+#: What a prompt must not say, fixed patterns.
+INJECTIONS = [
+    r"(?i)ignore\s+(all\s+)?previous\s+instructions?", r"(?i)forget\s+(all\s+)?previous\s+(instructions?|context)", r"(?i)you\s+are\s+now\s+a", r"(?i)system\s*prompt",
+    r"(?i)reveal\s+(your|the)\s+(system|hidden|secret)", r"(?i)override\s+(system|instructions?|safety)", r"(?i)disregard\s+(all|any|the)\s+(above|previous|prior)",
+    r"(?i)new\s+instructions?:\s*", r"(?i)<\s*/?\s*system\s*>", r"(?i)\[\s*SYSTEM\s*\]",
+]
 
 
 @query("str_11_sanitize", "SELECT conv_id, turn, md5(" + "regexp_replace(" * (len(INJECTIONS) + 1) + r"substr(text, 1, 1000), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')" + "".join(f", '{p}', '[removed]', 'g')" for p in INJECTIONS) + ") AS digest FROM conversations")
