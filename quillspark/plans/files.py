@@ -88,13 +88,21 @@ def name_repair(spark, sf) -> DataFrame:
     return spark.createDataFrame(broken, "name string, broken string").mapInPandas(run, "name string, repaired string")
 
 
-#: Retrieval configurations: the ones that ship with the engine.
-CONFIGS = {"fast": {"k": 5, "bm25_weight": 0.7, "threshold": 0.3}, "balanced": {"k": 10, "bm25_weight": 0.5, "threshold": 0.5}, "precise": {"k": 5, "bm25_weight": 0.4, "threshold": 0.7}, "broad": {"k": 20, "bm25_weight": 0.5, "threshold": 0.2}, "lexical": {"k": 10, "bm25_weight": 1.0, "threshold": 0.0}}
-
-
-@query("src_14_configs", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c['k']}::BIGINT, {c['bm25_weight']}::DOUBLE, {c['threshold']}::DOUBLE)" for n, c in CONFIGS.items()) + ") t(name, k, bm25_weight, threshold)")
+_FIELDS = "max_chunks bigint, similarity_threshold double, max_chunk_length bigint, chunk_size bigint, chunk_overlap bigint, enable_reranking boolean, boost_exact_matches boolean, metadata_weight double, adaptive_threshold boolean, min_similarity double, max_similarity double, enable_cache boolean, cache_ttl bigint"
+#: Retrieval configurations that ship with the engine, in the order of the fields; fixed values.
+CONFIGS = {
+    "conservative": (5, 0.7, 1000, 1000, 200, False, True, 0.1, False, 0.5, 0.9, True, 300, "high quality, fewer results"),
+    "balanced": (7, 0.65, 1200, 1000, 250, True, True, 0.15, False, 0.5, 0.9, True, 300, "between quality and coverage"),
+    "aggressive": (10, 0.6, 1500, 800, 300, True, True, 0.2, False, 0.5, 0.9, True, 300, "most coverage"),
+    "adaptive": (8, 0.65, 1200, 1000, 200, True, True, 0.15, True, 0.5, 0.8, True, 300, "thresholds set as results come in"),
+    "optimal": (15, 0.6, 1000, 1000, 200, True, True, 0.25, False, 0.5, 0.9, True, 300, "hard questions with filters"),
+}
+_NAMES = [*(f.split()[0] for f in _FIELDS.split(", ")), "description"]
+
+
+@query("src_14_configs", "SELECT * FROM (VALUES " + ", ".join("('" + n + "', " + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT" for v in c) + ")" for n, c in CONFIGS.items()) + f") t(name, {', '.join(_NAMES)})")
 def configs(spark, sf) -> DataFrame:
     """Named configurations from a JSON map to rows."""
-    one = spark.createDataFrame([(json.dumps(CONFIGS),)], "js string")
-    kind = "map<string, struct<k: bigint, bm25_weight: double, threshold: double>>"
+    one = spark.createDataFrame([(json.dumps({n: dict(zip(_NAMES, c, strict=True)) for n, c in CONFIGS.items()}),)], "js string")
+    kind = "map<string, struct<" + (_FIELDS + ", description string").replace(" ", ": ").replace(",: ", ", ") + ">>"
     return one.select(F.explode(F.from_json("js", kind)).alias("name", "c")).select("name", "c.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.registry import query
-from quillspark.sources.tables import table
+from quillspark.sources.tables import new_folder, table
 
 
 def nodes(spark, sf) -> DataFrame:
@@ -35,15 +35,30 @@ def node_lookup(spark, sf) -> DataFrame:
     return nodes(spark, sf).filter((F.col("type") == "Customer") & ((F.col("id") == "C42") | (F.col("name") == "Customer#000000042"))).select("id", "name")
 
 
-@query("grf_01_document_nodes", "WITH l AS (SELECT doc_id, source, lang FROM documents) SELECT DISTINCT 'S:' || source AS id, 'Source' AS type, NULL AS parent FROM l UNION ALL SELECT DISTINCT 'L:' || source || '/' || lang, 'Language', 'S:' || source FROM l UNION ALL SELECT 'D:' || doc_id, 'Document', CASE WHEN lang IS NOT NULL THEN 'L:' || source || '/' || lang ELSE 'S:' || source END FROM l")
+#: Levels of a document from coarse to fine, each with its letter and the value that names it (null where it has none).
+DOCUMENT_LEVELS = [("Source", "S", "source"), ("Language", "L", "lang"), ("Shelf", "H", "CASE WHEN n_chars >= 1000 THEN CAST(n_chars // 10000 AS VARCHAR) END"), ("Box", "B", "CASE WHEN doc_id % 3 > 0 THEN CAST(n_chars // 1000 AS VARCHAR) END"), ("Document", "D", "CAST(doc_id AS VARCHAR)")]
+
+
+def _levels_sql() -> str:
+    out, path, parent = [], "''", "CAST(NULL AS VARCHAR)"
+    for kind, letter, value in DOCUMENT_LEVELS:
+        out.append(f"SELECT DISTINCT '{letter}:' || {path} || ({value}) AS id, '{kind}' AS type, {parent} AS parent FROM documents WHERE ({value}) IS NOT NULL")
+        parent = f"CASE WHEN ({value}) IS NOT NULL THEN '{letter}:' || {path} || ({value}) ELSE {parent} END"
+        path = f"{path} || coalesce({value}, '') || '/'"
+    return " UNION ALL ".join(out)
+
+
+@query("grf_01_document_nodes", _levels_sql())
 def document_nodes(spark, sf) -> DataFrame:
-    """One node a level from each document; the parent is the nearest ancestor that is there."""
+    """One node a level from each document with the edge to its parent, the nearest ancestor that is there."""
     d = table(spark, sf, "documents")
-    s = F.concat(F.lit("S:"), "source")
-    l_ = F.concat(F.lit("L:"), "source", F.lit("/"), "lang")
-    upper = F.array(F.struct(s.alias("id"), F.lit("Source").alias("type"), F.lit(None).cast("string").alias("parent")), F.struct(l_.alias("id"), F.lit("Language").alias("type"), s.alias("parent")))
-    own = d.select(F.concat(F.lit("D:"), "doc_id").alias("id"), F.lit("Document").alias("type"), F.coalesce(l_, s).alias("parent"))
-    return d.select(F.inline(upper)).filter("id is not null").distinct().unionByName(own)
+    path, parent, made = F.lit(""), F.lit(None).cast("string"), []
+    for kind, letter, value in DOCUMENT_LEVELS:
+        v = F.expr(value.replace("VARCHAR", "STRING").replace("//", "DIV"))
+        own = F.concat(F.lit(f"{letter}:"), path, v)
+        made.append(F.struct(own.alias("id"), F.lit(kind).alias("type"), parent.alias("parent")))
+        path, parent = F.concat(path, F.coalesce(v, F.lit("")), F.lit("/")), F.coalesce(own, parent)
+    return d.select(F.inline(F.array(*made))).filter("id is not null").distinct()
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -71,12 +86,15 @@ def one_hop(spark, sf) -> DataFrame:
     return within(edges(spark, sf), spark.createDataFrame([("N3",)], "id string"), 1)
 
 
-@query("grf_03_traverse", f"{_walk('C7', 3)} SELECT id, distance, least(0.8 + 0.05 * (SELECT count(*) FROM m), 1)::DOUBLE AS confidence FROM m")
-def traverse(spark, sf) -> DataFrame:
-    """Nodes up to three steps away, with the confidence that their number gives."""
-    f = within(edges(spark, sf), spark.createDataFrame([("C7",)], "id string"), 3)
-    n = f.agg(F.least(0.8 + 0.05 * F.count("*"), F.lit(1.0)).alias("confidence"))
-    return f.join(F.broadcast(n))
+@query("grf_03_traverse", f"{_walk('C7', 3)}, r AS (SELECT count(*) AS relations FROM e WHERE f IN (SELECT id FROM m) AND t IN (SELECT id FROM m)) SELECT id, distance, relations, (CASE WHEN (SELECT count(*) FROM m) > 1 THEN least(0.8 + 0.05 * (SELECT count(*) FROM m), 1) ELSE 0.2 END)::DOUBLE AS confidence FROM m, r")
+def traverse(spark, sf, start: str = "C7", depth: int = 3) -> DataFrame:
+    """Nodes up to three steps away, the number of relations between them, and the confidence that the number of nodes gives."""
+    e = edges(spark, sf)
+    f = within(e, spark.createDataFrame([(start,)], "id string"), depth)
+    n = f.agg(F.when(F.count("*") > 1, F.least(0.8 + 0.05 * F.count("*"), F.lit(1.0))).otherwise(0.2).alias("confidence"))
+    ids = f.select("id")
+    inner = e.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return f.join(F.broadcast(inner.agg(F.count("*").alias("relations")))).join(F.broadcast(n))
 
 
 @query("grf_04_related", f"{_walk('R1', 2)} SELECT id, distance FROM m WHERE distance > 0 ORDER BY distance, id LIMIT 20")
@@ -132,5 +150,9 @@ def constraint_type(spark, sf) -> DataFrame:
 
 @query("grf_09_clear", "SELECT 'R' || r_regionkey AS id FROM region WHERE false")
 def clear(spark, sf) -> DataFrame:
-    """An empty graph of the same schema."""
-    return nodes(spark, sf).select("id").limit(0)
+    """A stored graph overwritten with nothing: its schema stays."""
+    path = new_folder(spark, "graph")
+    n = nodes(spark, sf).select("id")
+    n.write.parquet(path)
+    spark.createDataFrame([], n.schema).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

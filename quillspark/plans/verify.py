@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import r6, tokens, words
@@ -36,16 +37,21 @@ def confidence(spark, sf) -> DataFrame:
     return c.select("item_id", r6("s").alias("confidence"), F.when(F.col("s") >= 0.7, "accept").when(F.col("s") >= 0.4, "review").otherwise("reject").alias("advice"))
 
 
-@query("ver_03_statements", r"""WITH s AS (SELECT conv_id, turn, list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), 1, 5) AS ss FROM conversations WHERE role = 'assistant'),
-x AS (SELECT conv_id, turn, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM s), d AS (SELECT doc_id, lower(text) AS t FROM documents)
-SELECT conv_id, turn, CAST(i AS INT) AS nth, len(list_filter(list_slice(string_split(lower(s), ' '), 1, 3), lambda w: contains(t, w))) > 0 AS supported FROM x JOIN d ON d.doc_id = x.conv_id""")
+@query("ver_03_statements", r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(list_slice(string_split(text, '.'), 1, 5), lambda x: trim(x)), lambda x: length(x) > 10) AS ss FROM conversations WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM s), d AS (SELECT doc_id // 3 AS conv_id, lower(text) AS t FROM documents),
+j AS (SELECT x.conv_id, turn, CAST(i AS INT) AS nth, count(*) FILTER (len(list_filter(list_slice(string_split(lower(s), ' '), 1, 3), lambda w: contains(t, w))) > 0) AS supporting FROM x JOIN d ON d.conv_id = x.conv_id GROUP BY ALL)
+SELECT *, CASE WHEN supporting > 0 THEN 'verified' ELSE 'unverified' END AS status, (CASE WHEN supporting > 0 THEN 0.9 ELSE 0.3 END)::DOUBLE AS confidence FROM j""")
 def statements(spark, sf) -> DataFrame:
-    """Whether any of the first three words of each of the first five sentences occurs in the result."""
+    """How many of the first three results (three documents a conversation stand for them) hold any of the first three words of each
+    of the first five sentences of more than ten characters."""
     c = table(spark, sf, "conversations").filter("role = 'assistant'")
-    s = c.select("conv_id", "turn", F.posexplode(F.slice(sentences(F.col("text")), 1, 5)).alias("nth", "s"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.lower("text").alias("t"))
+    ss = F.filter(F.transform(F.slice(F.split("text", r"\."), 1, 5), lambda x: F.trim(x)), lambda x: F.length(x) > 10)
+    s = c.select("conv_id", "turn", F.posexplode(ss).alias("nth", "s"))
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("conv_id"), F.lower("text").alias("t"))
     hit = F.exists(F.slice(F.split(F.lower("s"), " "), 1, 3), lambda w: F.contains(F.col("t"), w))
-    return s.join(d, "conv_id").select("conv_id", "turn", "nth", hit.alias("supported"))
+    j = s.join(d, "conv_id").groupBy("conv_id", "turn", "nth").agg(F.count_if(hit).alias("supporting"))
+    good = F.col("supporting") > 0
+    return j.select("*", F.when(good, "verified").otherwise("unverified").alias("status"), F.when(good, 0.9).otherwise(0.3).alias("confidence"))
 
 
 @query("ver_04_critique", "SELECT conv_id, turn, concat_ws(',', CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN turn % 3 = 0 THEN 'no_sources' END, CASE WHEN NOT contains(lower(text), 'article') THEN 'no_article' END) AS flags FROM conversations WHERE role = 'assistant'")
@@ -70,18 +76,28 @@ def slide_quality(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", r6(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 4).alias("quality"))
 
 
-RULES = [("length", "text", "high", 0.3), ("numbers", "content", "medium", 0.2), ("question", "form", "low", 0.1), ("repeat", "form", "high", 0.3)]
+#: Categories of the validation with what breaks them and how much it takes: critical .3, high .15, medium .05, low .02.
+CATEGORIES = {
+    "factual": ("NOT regexp_matches(t, '[0-9]')", 0.3), "legal": ("NOT regexp_matches(lower(t), 'license|version|public')", 0.15), "logical": ("regexp_matches(lower(t), 'always') AND regexp_matches(lower(t), 'never')", 0.15),
+    "complete": ("length(t) < 200", 0.05), "relevant": ("overlap < 0.3", 0.05), "adapted": ("length(t) > 1500", 0.02), "formal": ("NOT regexp_matches(t, '^[A-Z]')", 0.02), "safe": ("regexp_matches(lower(t), 'https?://|password')", 0.3),
+}
 
 
-@query("ver_07_validation", "WITH i AS (SELECT conv_id, turn, unnest([CASE WHEN length(text) < 30 THEN 'length' END, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'numbers' END, CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN length(text) > 3000 THEN 'repeat' END]) AS issue FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, string_agg(issue, ',' ORDER BY issue) AS issues, round(greatest(0, 1 - sum(CASE issue WHEN 'length' THEN 0.3 WHEN 'numbers' THEN 0.2 WHEN 'question' THEN 0.1 ELSE 0.3 END)), 6)::DOUBLE AS score FROM i WHERE issue IS NOT NULL GROUP BY conv_id, turn")
+@query("ver_07_validation", r"""WITH q AS (SELECT conv_id, turn, role, text AS t, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)) AS ws, coalesce(lag(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3))) OVER (PARTITION BY conv_id ORDER BY turn), []) AS asked FROM conversations),
+o AS (SELECT conv_id, turn, t, CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, ws)) / len(asked)::DOUBLE ELSE 1 END AS overlap FROM q WHERE role = 'assistant'),
+i AS (SELECT conv_id, turn, unnest([""" + ", ".join(f"CASE WHEN {test} THEN {{'c': '{n}', 'w': {w}::DOUBLE}} END" for n, (test, w) in CATEGORIES.items()) + """]) AS x FROM o)
+SELECT conv_id, turn, string_agg(x.c, ',' ORDER BY x.c) AS issues, round(greatest(0, 1 - sum(x.w)), 6)::DOUBLE AS score, CASE WHEN 1 - sum(x.w) >= 0.9 THEN 'excellent' WHEN 1 - sum(x.w) >= 0.75 THEN 'good' WHEN 1 - sum(x.w) >= 0.6 THEN 'acceptable' ELSE 'poor' END AS grade FROM i WHERE x IS NOT NULL GROUP BY conv_id, turn""")
 def validation(spark, sf) -> DataFrame:
-    """Issues of each response by a rule table, with the score that they leave."""
-    t = F.col("text")
-    tests = {"length": F.length(t) < 30, "numbers": ~t.rlike("[0-9]"), "question": t.contains("?"), "repeat": F.length(t) > 3000}
-    found = F.array_compact(F.array(*[F.when(tests[n], F.struct(F.lit(n).alias("issue"), F.lit(w).alias("w"))) for n, _, _, w in RULES]))
-    c = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", found.alias("f")).filter(F.size("f") > 0)
-    names = F.array_join(F.array_sort(F.transform("f", lambda x: x["issue"])), ",")
-    return c.select("conv_id", "turn", names.alias("issues"), r6(F.greatest(F.lit(0.0), 1 - F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"]))).alias("score"))
+    """Issues of each response in eight categories, with the score that they leave and its grade."""
+    ws = F.array_distinct(tokens(F.col("text"), 3))
+    asked = F.coalesce(F.lag(ws).over(W.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"), ws.alias("ws"), asked.alias("asked")).filter("role = 'assistant'")
+    c = c.withColumn("overlap", F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "ws")) / F.size("asked")).otherwise(1.0))
+    found = [F.when(F.expr(test.replace("regexp_matches", "regexp_like")), F.struct(F.lit(n).alias("c"), F.lit(w).alias("w"))) for n, (test, w) in CATEGORIES.items()]
+    c = c.select("conv_id", "turn", F.array_compact(F.array(*found)).alias("f")).filter(F.size("f") > 0)
+    score = F.round(1 - F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"]), 6)
+    grade = F.when(score >= 0.9, "excellent").when(score >= 0.75, "good").when(score >= 0.6, "acceptable").otherwise("poor")
+    return c.select("conv_id", "turn", F.array_join(F.array_sort(F.transform("f", lambda x: x["c"])), ",").alias("issues"), F.greatest(F.lit(0.0), score).alias("score"), grade.alias("grade"))
 
 
 @query("ver_08_self_critique", "SELECT user_id, round(sum(value / 100 * (1 + event_id % 3)) / sum(1 + event_id % 3) * CASE WHEN count(*) FILTER (value < 1) > 0 THEN 0.8 ELSE 1 END, 6) AS confidence FROM events GROUP BY user_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that is not taken yet, in the folder that all executors share (``spark.checkpoint.dir``); a local session without the
+    setting has one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        _own[spark.sparkContext.applicationId] = shared
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Non-blank lines of each document in order: doc_id, chunk_index, text, lang, source."""
     split = docs.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_index", "text"))
