@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -158,29 +159,84 @@ def rechunk(spark, sf) -> DataFrame:
     return c.filter(~big).unionByName(again)
 
 
-@query("chk_09_hierarchy", "WITH RECURSIVE e(child, parent) AS (SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer), h AS (SELECT child, parent, 1 AS depth FROM e WHERE starts_with(parent, 'R') UNION ALL SELECT e.child, e.parent, h.depth + 1 FROM e JOIN h ON e.parent = h.child) SELECT child, parent, depth FROM h")
+#: Names of the levels below a root.
+LEVEL_MAP = {1: "chapter", 2: "article", 3: "part"}
+
+
+def depths(e: DataFrame, deepest: int = 16) -> DataFrame:
+    """e(child, parent) -> child, parent, depth below the root, cyclic: one join a level from the roots down, as many as there are.
+
+    A node that no root leads to lies on a cycle or below one: its depth is null and cyclic is true.
+    """
+    roots = e.select(F.col("parent").alias("child")).distinct().join(e, "child", "left_anti")
+    level = e.join(roots.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", "parent", F.lit(1).alias("depth"))
+    found = level
+    for d in range(2, deepest + 1):
+        level = e.join(level.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent", F.lit(d).alias("depth"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    lost = e.join(found.select("child", "parent"), ["child", "parent"], "left_anti").select("child", "parent", F.lit(None).cast("int").alias("depth"))
+    return found.withColumn("cyclic", F.lit(False)).unionByName(lost.withColumn("cyclic", F.lit(True)))
+
+
+_LEVEL = "CASE depth " + " ".join(f"WHEN {d} THEN '{n}'" for d, n in LEVEL_MAP.items()) + " END"
+
+
+@query("chk_09_hierarchy", f"WITH RECURSIVE e(child, parent) AS (SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION ALL VALUES ('X1', 'X2'), ('X2', 'X3'), ('X3', 'X1')), h AS (SELECT child, parent, 1 AS depth FROM e WHERE starts_with(parent, 'R') UNION ALL SELECT e.child, e.parent, h.depth + 1 FROM e JOIN h ON e.parent = h.child) SELECT e.child, e.parent, depth, depth IS NULL AS cyclic, {_LEVEL} AS level FROM e LEFT JOIN h ON e.child = h.child AND e.parent = h.parent")
 def hierarchy(spark, sf) -> DataFrame:
-    """Depth of every node below its root; two levels here, so two joins; a cycle would have no root and no row."""
-    n = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.lit(1).alias("depth"))
+    """Depth and level of every node below its root; a cycle that is put in is told apart."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
-    return n.unionByName(c.join(n.select(F.col("child").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent"))
+    ring = spark.createDataFrame([("X1", "X2"), ("X2", "X3"), ("X3", "X1")], "child string, parent string")
+    level = F.create_map(*[F.lit(x) for kv in LEVEL_MAP.items() for x in kv])[F.col("depth")]
+    return depths(n.unionByName(c).unionByName(ring)).withColumn("level", level)
+
+
+def zones(text: str, margin: int = 20) -> list[tuple[int, int]]:
+    """What must not be cut: numbers with some characters around, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for m in re.finditer(r"[0-9]+", text):
+        lo, hi = max(0, m.start() - margin), min(len(text), m.end() + margin)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def boundaries(text: str, size: int = 1000, window: int = 200) -> list[tuple]:
-    """Cuts near every ``size`` characters: the best mark in the window, less half a point for each window's distance."""
+    """(nth, position, kind, quality): cuts near every ``size`` characters at the best mark in the window that no protected zone
+    covers, less half a point for each window's distance; without one, behind the zone or at the next blank."""
     worth = {"\n": 1.0, ".": 0.9, "!": 0.9, "?": 0.9, ";": 0.6, ",": 0.4, " ": 0.2}
+    kept = zones(text)
+    starts = [a for a, _ in kept]
+
+    def zone_of(p: int) -> tuple[int, int] | None:
+        i = bisect(starts, p) - 1
+        return kept[i] if i >= 0 and kept[i][0] <= p <= kept[i][1] else None
+
     out, at = [], 0
     while len(text) - at > size:
         goal = at + size
-        best = max(range(max(at + 1, goal - window), min(len(text), goal + window)), key=lambda p: (worth.get(text[p - 1], 0) - 0.5 * abs(p - goal) / window, -p))
-        out.append((len(out), best, round(worth.get(text[best - 1], 0) - 0.5 * abs(best - goal) / window, 6)))
-        at = best
+        marks = [p for p in range(max(at + 1, goal - window), min(len(text), goal + window)) if text[p - 1] in worth and not zone_of(p)]
+        if marks:
+            cut = max(marks, key=lambda p: (worth[text[p - 1]] - 0.5 * abs(p - goal) / window, -p))
+            kind = "natural"
+        else:
+            inside = zone_of(goal)
+            cut = inside[1] + 1 if inside else next((i + 1 for i in range(goal, min(goal + 100, len(text))) if text[i] in " \n"), goal)
+            kind = "forced"
+        if cut >= len(text):
+            break
+        out.append((len(out), cut, kind, round(worth.get(text[cut - 1], 0) - 0.5 * abs(cut - goal) / window, 6)))
+        at = cut
     return out
 
 
 @query("chk_10_boundaries")
 def boundaries_query(spark, sf) -> DataFrame:
-    return per_document(table(spark, sf, "documents"), boundaries, "doc_id long, nth int, position long, quality double")
+    return per_document(table(spark, sf, "documents"), boundaries, "doc_id long, nth int, position long, kind string, quality double")
 
 
 @query("chk_11_priority", rf"WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, len(regexp_extract_all(text, '[0-9]+')) AS a, len(regexp_extract_all(text, '@')) AS b FROM chunks), c AS (SELECT *, least(1, 0.3 * a + 0.2 * b) AS crit FROM n) SELECT doc_id, chunk_index, CASE WHEN a + b >= 3 THEN 'high' WHEN a + b >= 1 THEN 'medium' ELSE 'low' END AS priority, round(crit, 6)::DOUBLE AS criticality, round(1 + crit * 0.5, 2)::DOUBLE AS boost FROM c")

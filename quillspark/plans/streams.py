@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +12,10 @@ from quillspark.streaming import tasks
 NOW = "2024-01-31 00:00:00"
 
 
-def _name(what: str) -> str:
-    return f"{what}_{uuid.uuid4().hex[:8]}"
-
-
 @query("stm_01_retries", "WITH t AS (SELECT event_id % 500 AS task, value < 40 AS failed FROM events) SELECT task, count(*) FILTER (failed) + CAST(bool_or(NOT failed) AS INT) AS attempts, CASE WHEN bool_or(NOT failed) THEN 'completed' WHEN count(*) FILTER (failed) >= 3 THEN 'failed' ELSE 'queued' END AS status FROM t GROUP BY task")
 def retries(spark, sf) -> DataFrame:
-    e = tasks.stream_of(spark, sf).select((F.col("event_id") % 500).alias("task"), (F.col("value") < 40).alias("failed"))
-    return tasks.drain(tasks.retries(e), _name("retries"), "update")
+    e = tasks.stream_of(spark, sf).select((F.col("event_id") % 500).alias("task"), (F.col("value") < 40).alias("failed"), "ts")
+    return tasks.drain(tasks.retries(e), "retries", "update", ("task",))
 
 
 @query("stm_02_ttl", f"SELECT event_type, count(*) AS live FROM events WHERE ts + CASE event_type WHEN 'click' THEN INTERVAL 1 HOUR WHEN 'view' THEN INTERVAL 30 MINUTE ELSE INTERVAL 1 DAY END > TIMESTAMP '{NOW}' GROUP BY event_type")
@@ -35,18 +29,18 @@ def ttl(spark, sf, now: str = NOW) -> DataFrame:
 def progress(spark, sf) -> DataFrame:
     """The last update of each task, by a stream in complete mode."""
     e = tasks.stream_of(spark, sf).groupBy((F.col("event_id") % 500).alias("task")).agg(F.max("event_id").alias("last_event"), F.count("*").alias("updates"))
-    return tasks.drain(e, _name("progress"), "complete")
+    return tasks.drain(e, "progress", "complete")
 
 
 @query("stm_04_counters", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def counters(spark, sf) -> DataFrame:
-    c = tasks.drain(tasks.counters(tasks.stream_of(spark, sf)), _name("counters"), "complete")
+    c = tasks.drain(tasks.counters(tasks.stream_of(spark, sf)), "counters", "complete")
     return c.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "n")
 
 
 @query("stm_05_sliding_limit")
 def sliding_limit(spark, sf) -> DataFrame:
-    return tasks.drain(tasks.sliding_limit(tasks.stream_of(spark, sf), 2, 3600.0), _name("limit"))
+    return tasks.drain(tasks.sliding_limit(tasks.stream_of(spark, sf), 2, 3600.0), "limit")
 
 
 @query("stm_06_cleanup", f"SELECT event_type, count(*) AS removed FROM events WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR GROUP BY event_type")

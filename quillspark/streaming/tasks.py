@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.sources.tables import new_folder
+
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table's Parquet file as a stream."""
@@ -20,49 +22,86 @@ def counters(events: DataFrame, ttl: str = "30 days") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).groupBy(F.window("ts", "1 day").alias("day"), "user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-def sliding_limit(events: DataFrame, most: int, seconds: float) -> DataFrame:
-    """(event_id, allowed) as requests come in; the state of a user is the times of the requests that were let through."""
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def _expire(state: GroupState, last_ms: int, keep_seconds: float) -> None:
+    """Let the state go once the watermark has passed the last event by so many seconds."""
+    state.setTimeoutTimestamp(max(last_ms + int(keep_seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def sliding_limit(events: DataFrame, most: int, seconds: float, late: str = "1 hour") -> DataFrame:
+    """(event_id, allowed) as requests come in; the state of a user is the times of the requests that were let through within the
+    window, and goes when the watermark has left it."""
 
     def run(key, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for t in rows["ts"].astype("int64") / 1e9:
+        for t in rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9:
             kept = [x for x in kept if t - x < seconds]
             out.append(len(kept) < most)
             if out[-1]:
                 kept.append(float(t))
         state.update((kept,))
+        _expire(state, int(t * 1000), seconds)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "allowed": out})
 
-    by = events.select("user_id", "event_id", "ts").groupBy("user_id")
-    return by.applyInPandasWithState(run, "event_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    by = _timed(events, late).select("user_id", "event_id", "ts").groupBy("user_id")
+    return by.applyInPandasWithState(run, "event_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def retries(events: DataFrame, most: int = 3) -> DataFrame:
-    """(task, attempts, status): a failed attempt goes back to the queue until it has failed ``most`` times."""
+def retries(events: DataFrame, most: int = 3, ttl: str = "1 hour", keep_seconds: float = 3600.0) -> DataFrame:
+    """events(task, failed, ts) -> (task, attempts, status): a failed attempt goes back to the queue until it has failed ``most`` times;
+    a task is forgotten when the watermark has passed its last attempt by ``keep_seconds``."""
 
     def run(key, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         failed, done = state.get if state.exists else (0, False)
+        last = 0
         for pdf in batches:
             failed += int(pdf["failed"].sum())
             done = done or bool((~pdf["failed"]).any())
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
         state.update((failed, done))
+        _expire(state, last, keep_seconds)
         status = "completed" if done else "failed" if failed >= most else "queued"
         yield pd.DataFrame({"task": [key[0]], "attempts": [failed + done], "status": [status]})
 
-    return events.groupBy("task").applyInPandasWithState(run, "task long, attempts long, status string", "failed long, done boolean", "update", GroupStateTimeout.NoTimeout)
+    return _timed(events, ttl).groupBy("task").applyInPandasWithState(run, "task long, attempts long, status string", "failed long, done boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream until its input is read, each batch going to a table in the shared folder, and read the table.
+
+    append: all rows; complete: those of the last batch; update: the last row of each key.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream until its input is read, and give what came out (tests and small inputs; a job would write to a table)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(path)
+    if mode == "complete":
+        last = out.agg(F.max("batch").alias("last"))
+        out = out.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")
+    elif mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*").withColumn("batch", F.lit(0))
+    return out.select(*df.columns)
