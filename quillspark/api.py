@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import cosine, r6
+from quillspark.functions.text import r6
 from quillspark.plans.joins import bulk_duplicates
 from quillspark.plans.relational import page
-from quillspark.plans.retrieval import bm25, normalized, rerank, rrf, top
+from quillspark.plans.retrieval import bm25, nearest, normalized, rerank, rrf, top
 from quillspark.sources.formats import read_files
 
 MODES = ("lexical", "vector", "hybrid", "fusion", "rerank")
@@ -23,7 +23,7 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, mode: str = "hybrid", k: int = 10, weight: float = 0.5, scorer=None) -> DataFrame:
     """queries(item_id, text[, vector]), docs(doc_id, text), embeddings(doc_id, embedding) -> item_id, doc_id, score, rank.
 
-    The queries are a bounded set and are broadcast; the corpus is scanned once a signal. ``scorer`` is a Column function of query
+    Terms of queries are broadcast up to a counted bound, query vectors in blocks of a bounded number. ``scorer`` is a Column function of query
     and text that reranks the best four times k.
     """
     if mode not in MODES:
@@ -31,8 +31,8 @@ def search(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = N
     lexical = normalized(bm25(docs, queries)) if mode != "vector" else None
     vector = None
     if embeddings is not None and mode in ("vector", "hybrid", "fusion"):
-        q = F.broadcast(queries.select("item_id", F.col("vector").alias("q")))
-        vector = top(embeddings.join(q).select("item_id", "doc_id", r6(cosine(F.col("embedding"), F.col("q"))).alias("s")), 4 * k).drop("rank")
+        vectors = embeddings.select(F.col("doc_id").alias("vec_id"), "embedding")
+        vector = nearest(queries.select("item_id", F.col("vector").alias("q")), vectors, 4 * k).select("item_id", "doc_id", F.col("c").alias("s"))
     if mode == "vector" or lexical is None:
         if vector is None:
             raise ValueError("mode 'vector' needs embeddings")

@@ -1,7 +1,8 @@
 """Pattern packs by language of the corpus: what a structure level, a modality, a reference or a magnitude looks like.
 
 Operators take a pack as a parameter. ``generic`` fits prose in Latin script, ``ru`` Russian statutes. Patterns are matched on
-lower-cased text, so they need no case folding of their own.
+lower-cased text, so they need no case folding of their own. The packs are fixed values: words and headers of the languages. Digit
+classes are spelt out so that all engines agree on them.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Charsets in the order in which they are tried, and limits of rows; fixed values.
 CHARSETS = ("utf-8", "cp1251", "latin-1", "iso-8859-1")
 CSV_ROWS, SHEET_ROWS = 100, 50
 KINDS = ("txt", "csv", "rtf", "docx", "doc", "xlsx", "xls", "pdf")
@@ -70,7 +71,7 @@ def xlsx_text(data: bytes) -> str:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter() if _local(t.tag) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         out = []
-        for n in sorted(x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)):
+        for n in sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.sub(r"\D", "", x.rpartition("/")[2]))):
             lines = []
             for r in [x for x in ElementTree.fromstring(z.read(n)).iter() if _local(x.tag) == "row"][:SHEET_ROWS]:
                 cells = []
@@ -84,7 +85,7 @@ def xlsx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Text shown by the content streams, a line for each text object."""
+    """Text shown by the content streams, a line for each text object; strings in brackets or in hexadecimal digits."""
     out = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
         raw = m[1]
@@ -93,7 +94,10 @@ def pdf_text(data: bytes) -> str:
         except zlib.error:
             pass
         for block in re.findall(rb"BT(.*?)ET", raw, re.S):
-            shown = [re.sub(rb"\\([()\\])", rb"\1", s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", block)]
+            shown = [
+                bytes.fromhex((h.decode() + "0")[: (len(h) + 1) // 2 * 2]) if h else re.sub(rb"\\([()\\])", rb"\1", s)
+                for s, h in re.findall(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f]+)>", block)
+            ]
             if line := b"".join(shown).decode("latin-1").strip():
                 out.append(line)
     return "\n".join(out)
