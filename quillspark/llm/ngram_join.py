@@ -388,6 +388,8 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
         more = _in_groups(left, prefixes, docs, words, similarity)
         if not _empty(more):
             labels = components(links.unionByName(more))
+        work.drop(more)
+    work.drop(prefixes, met, links, left)
 
     label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("label"))
     out = sets.join(label, "digest", "left")
