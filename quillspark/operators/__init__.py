@@ -1,0 +1,15 @@
+"""The reusable operators: functions of DataFrames, apart from the registered queries that apply them to the corpus tables."""
+
+from quillspark.plans.chunking import boundaries, cascade, depths, recursive_split, sized
+from quillspark.plans.extraction import modality, numbered, suppress_overlaps
+from quillspark.plans.graph import within
+from quillspark.plans.joins import bulk_duplicates, entities, overlap
+from quillspark.plans.relational import filter_or_all, page
+from quillspark.plans.retrieval import bm25, nearest, normalized, rerank, rrf, top
+from quillspark.plans.sinks import append, merge, upsert, write_csv, write_json
+from quillspark.plans.windows import merge_intervals, rate_limit
+
+__all__ = [
+    "append", "bm25", "boundaries", "bulk_duplicates", "cascade", "depths", "entities", "filter_or_all", "merge", "merge_intervals", "modality", "nearest", "normalized", "numbered", "overlap",
+    "page", "rate_limit", "recursive_split", "rerank", "rrf", "sized", "suppress_overlaps", "top", "upsert", "within", "write_csv", "write_json",
+]

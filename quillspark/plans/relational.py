@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
 from quillspark.registry import query
-from quillspark.sources.tables import CHUNKS, chunks, table
+from quillspark.sources.tables import CHUNKS, chunks, new_folder, table
 
 
 @query("src_10_newest_first", "SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY doc_id DESC) AS position FROM documents ORDER BY doc_id DESC LIMIT 100")
@@ -243,11 +243,29 @@ def search_text(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.coalesce(*[F.nullif(F.trim(f), F.lit("")) for f in fields], F.lit("")).alias("search_text"))
 
 
+def rank_all(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the 1-based rank of each row among those of equal ``by``, in a total ``order``; no group, however large, meets in one task.
+
+    Rows are dealt out by range and sorted, stored in the shared folder with their part, and numbered there; a part's ranks start
+    behind those of the parts before it.
+    """
+    path = new_folder(df.sparkSession, "ranked")
+    spread = df.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id())
+    spread.write.parquet(path)
+    stored = df.sparkSession.read.schema(spread.schema).parquet(path)
+    counts = stored.groupBy("part_", *by).agg(F.count("*").alias("n_"))  # a row a part and group
+    before = F.coalesce(F.sum("n_").over(W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part_", *by, before.alias("before_"))
+    own = stored.withColumn("nth_", F.row_number().over(W.partitionBy("part_", *by).orderBy(*order)))
+    return own.join(offsets, ["part_", *by]).withColumn(name, (F.col("nth_") + F.col("before_")).cast("int")).select(*df.columns, name)
+
+
 @query("top_02_sort_by_type", f"WITH {_SCORES} SELECT doc_id, mode, row_number() OVER (PARTITION BY mode ORDER BY CASE WHEN mode = 'numerical' THEN entity_score WHEN mode = 'precision' THEN CAST(has_numeric AS INT) ELSE score END DESC, score DESC, doc_id) AS rank FROM x")
 def sort_by_type(spark, sf) -> DataFrame:
     """Results ranked by the keys of their query type: numbers by entity score, definitions by having one, the rest by score."""
     first = F.when(F.col("mode") == "numerical", F.col("entity_score")).when(F.col("mode") == "precision", F.col("has_numeric").cast("double")).otherwise(F.col("score"))
-    return scored_documents(spark, sf).select("doc_id", "mode", F.row_number().over(W.partitionBy("mode").orderBy(first.desc(), F.desc("score"), "doc_id")).alias("rank"))
+    d = scored_documents(spark, sf).select("doc_id", "mode", first.alias("first"), "score")
+    return rank_all(d, ["mode"], [F.desc("first"), F.desc("score"), F.asc("doc_id")]).select("doc_id", "mode", "rank")
 
 
 @query("top_03_capped_candidates", f"WITH {NEAREST}, c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r FROM s) SELECT vec_id, label, similarity FROM c WHERE r <= 50 ORDER BY similarity DESC, vec_id LIMIT 5")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.plans.graph import edges, nodes
+from quillspark.plans.relational import rank_all
 from quillspark.registry import query
 from quillspark.sources.tables import CHUNKS, chunks, new_folder, table
 
@@ -55,7 +56,7 @@ def permission_upsert(spark, sf) -> DataFrame:
 @query("snk_04_suffix_ids", "SELECT doc_id, source || CASE WHEN r > 1 THEN '__' || (r - 1) ELSE '' END AS id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)")
 def suffix_ids(spark, sf) -> DataFrame:
     """Repeated ids of a batch get __1, __2 and so on."""
-    r = table(spark, sf, "documents").select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("r"))
+    r = rank_all(table(spark, sf, "documents").select("doc_id", "source"), ["source"], [F.asc("doc_id")], "r")
     return r.select("doc_id", F.concat("source", F.when(F.col("r") > 1, F.concat(F.lit("__"), F.col("r") - 1)).otherwise("")).alias("id"))
 
 

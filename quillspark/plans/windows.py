@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import r6
 from quillspark.plans.joins import ENTITIES, entities
+from quillspark.plans.relational import rank_all
 from quillspark.registry import query
 from quillspark.sources.tables import CHUNKS, chunks, table
 
@@ -109,10 +110,13 @@ def running_mean(spark, sf) -> DataFrame:
 
 @query("win_10_exponential_mean", "WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS vs FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(vs, lambda a, v: 0.8 * a + 0.2 * v), 6) AS ema FROM l")
 def exponential_mean(spark, sf, keep: float = 0.8) -> DataFrame:
-    """0.8 of the mean so far and 0.2 of the new value, from the first value on. The history of one user is one array."""
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("vs"))
-    ema = F.aggregate("vs", F.lit(None).cast("double"), lambda m, x: F.coalesce(m * keep + x["value"] * (1 - keep), x["value"]))
-    return g.select("user_id", r6(ema).alias("ema"))
+    """0.8 of the mean so far and 0.2 of the new value, from the first value on: a sum in which a value counts by its rank from the end,
+    so a user's history is never one row or one task."""
+    e = rank_all(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("event_id")], "r")
+    n = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    old = F.pow(F.lit(keep), F.col("r") - 1)
+    part = F.col("value") * F.when(F.col("r") == F.col("n"), old).otherwise((1 - keep) * old)
+    return e.join(n, "user_id").groupBy("user_id").agg(r6(F.sum(part)).alias("ema"))
 
 
 @query("win_11_unresolved", "WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn FROM n WHERE role = 'user' AND contains(text, '?') AND (next IS NULL OR next = 'user')")
@@ -166,19 +170,23 @@ def rate_limit(events: DataFrame, most: int = 100, seconds: float = 60.0) -> Dat
     """events(user_id, event_id, ts) -> event_id, allowed: rejected requests do not count for later ones, so a user's requests
     are gone through in order."""
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["ts", "event_id"])
-        kept, out = [], []
-        for t in pdf["ts"].astype("int64") / 1e9:
-            kept = [x for x in kept if t - x < seconds]
-            out.append(len(kept) < most)
-            if out[-1]:
-                kept.append(t)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": out})
-
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, allowed boolean")
+        user, kept = None, []
+        for pdf in batches:  # in order of user and time; what is carried along is one user's window
+            out = []
+            for u, t in zip(pdf["user_id"], pdf["ts"].astype("datetime64[ns]").astype("int64") / 1e9, strict=True):
+                if u != user:
+                    user, kept = u, []
+                kept = [x for x in kept if t - x < seconds]
+                out.append(len(kept) < most)
+                if out[-1]:
+                    kept.append(t)
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": out})
+
+    e = events.select("user_id", "event_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return e.mapInPandas(run, "event_id long, allowed boolean")
 
 
 @query("win_17_rate_limit")

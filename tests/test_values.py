@@ -149,3 +149,14 @@ def test_bounds_do_not_change_rankings(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 2)
     monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 5)
     assert one == (sorted(map(str, retrieval.bm25(docs, q).collect())), sorted(map(str, retrieval.nearest(ask, vectors, 3).collect())))
+
+
+def test_ranks_over_many_parts(spark):
+    from quillspark.plans.relational import rank_all
+
+    df = spark.createDataFrame([("hot" if i % 4 else "b", (i * 37) % 101, i) for i in range(500)], "k string, v int, id int")
+    got = {(r["k"], r["id"]): r["rank"] for r in rank_all(df, ["k"], [F.desc("v"), F.asc("id")]).collect()}
+    for k in ("hot", "b"):
+        own = sorted(((-(i * 37 % 101), i) for i in range(500) if ("hot" if i % 4 else "b") == k))
+        assert [got[k, i] for _, i in own] == list(range(1, len(own) + 1))
+    assert rank_all(df.limit(0), ["k"], [F.asc("id")]).count() == 0
