@@ -122,38 +122,71 @@ def _by_size(text: str, size: int) -> list[str]:
     return out
 
 
+def structure_map(text: str, longest: int = 60) -> list[tuple[int, str]]:
+    """(position, header) of the short lines of a text, which head what follows."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if 0 < len(line.strip()) and len(line) < longest:
+            out.append((at, line.strip()))
+        at += len(line) + 1
+    return out
+
+
+def structured(text: str, least: int = 100, best: int = 1000, most: int = 2000) -> list[tuple]:
+    """(index, text, length, header): sized chunks with the last header of the structure map that stands at or before their start."""
+    heads, out, seen = structure_map(text), [], 0
+    solid, before, at = [], 0, 0
+    for p, h in heads:
+        before, at = before + len("".join(text[at:p].split())), p
+        solid.append((before, h))
+    starts = [p for p, _ in solid]
+    for i, p, n in sized(text, least, best, most):  # chunks keep all visible characters, so these tell where one starts
+        k = bisect(starts, seen) - 1
+        out.append((i, p, n, solid[k][1] if k >= 0 else None))
+        seen += len("".join(p.split()))
+    return out
+
+
 @query("chk_05_line_structure")
 def line_structure(spark, sf) -> DataFrame:
-    return per_document(table(spark, sf, "documents"), sized, "doc_id long, chunk_index int, text string, n long")
+    """Chunks by lines within limits of size, each under the header that the structure map gives."""
+    return per_document(table(spark, sf, "documents"), structured, "doc_id long, chunk_index int, text string, n long, header string")
 
 
 @query("chk_06_segments")
 def segments(spark, sf) -> DataFrame:
-    """The line-structure chunks with their neighbours as relations."""
+    """The line-structure chunks with their neighbours, and whether they go on under the same header, as relations."""
     c = line_structure(spark, sf)
     w = W.partitionBy("doc_id").orderBy("chunk_index")
-    return c.select("doc_id", "chunk_index", "n", F.lag("chunk_index").over(w).alias("previous"), F.lead("chunk_index").over(w).alias("next"))
+    goes_on = F.coalesce(F.col("header").eqNullSafe(F.lag("header").over(w)) & F.lag("chunk_index").over(w).isNotNull(), F.lit(False))
+    return c.select("doc_id", "chunk_index", "n", F.lag("chunk_index").over(w).alias("previous"), F.lead("chunk_index").over(w).alias("next"), goes_on.alias("goes_on"))
+
+
+def tagged(text: str) -> list[tuple]:
+    """(index, text, length, overview, tags, importance): sized chunks headed by the last short line before them."""
+    head, out = "", []
+    for i, p, n in sized(text, 80, 800, 1200):
+        first = p.split("\n")[0]
+        head = first if len(first) < 60 else head
+        low = p.lower()
+        found = {"number": bool(re.search("[0-9]", p)), "modal": bool(re.search("must|shall|may not", low)), "license": "license" in low, "list": any(x.lstrip().startswith(("-", "*")) for x in p.split("\n"))}
+        tags = ",".join(k for k, x in found.items() if x)
+        worth = min(2.0, 1 + 0.5 * found["modal"] + 0.3 * found["license"] + 0.2 * found["number"])
+        overview = re.split(r"(?<=[.!?])\s", p.strip(), maxsplit=1)[0][:100]
+        out.append((i, f"{head}\n{p}" if head and first != head else p, n, overview, tags, round(worth, 6)))
+    return out
 
 
 @query("chk_07_article_aware")
 def article_aware(spark, sf) -> DataFrame:
-    """Sized chunks headed by the last short line before them."""
-
-    def split(text: str) -> list[tuple]:
-        head, out = "", []
-        for i, p, n in sized(text, 80, 800, 1200):
-            first = p.split("\n")[0]
-            head = first if len(first) < 60 else head
-            out.append((i, f"{head}\n{p}" if head and first != head else p, n))
-        return out
-
-    return per_document(table(spark, sf, "documents"), split, "doc_id long, chunk_index int, text string, n long")
+    """Sized chunks under the last header, with an overview, tags and importance."""
+    return per_document(table(spark, sf, "documents"), tagged, "doc_id long, chunk_index int, text string, n long, overview string, tags string, importance double")
 
 
 @query("chk_08_rechunk")
 def rechunk(spark, sf) -> DataFrame:
     """Chunks above 500 characters that hold a number are chunked again; the others stay."""
-    c = article_aware(spark, sf)
+    c = article_aware(spark, sf).select("doc_id", "chunk_index", "text", "n")
     big = (F.length("text") > 500) & F.col("text").rlike("[0-9]")
     again = per_document(c.filter(big).select(F.col("doc_id"), "text"), lambda t: [(i, p, n) for i, p, n in sized(t, 50, 400, 500)], "doc_id long, chunk_index int, text string, n long")
     return c.filter(~big).unionByName(again)

@@ -146,12 +146,20 @@ def hybrid_query(spark, sf) -> DataFrame:
     return top(hybrid(spark, sf), 5, "h").select("item_id", "doc_id", "s", "c", "h", "rank")
 
 
-@query("ret_04_text_rank", f"WITH tk AS (SELECT doc_id, {_TOK} AS ts FROM documents) SELECT doc_id, round(len(list_filter(ts, lambda w: w IN ('license', 'version', 'public'))) / (1 + ln(1 + len(ts))), 6) AS rank FROM tk WHERE len(list_filter(ts, lambda w: w IN ('license', 'version', 'public'))) > 0")
-def text_rank(spark, sf) -> DataFrame:
-    """Term frequency of the query's words over one plus the log of the length. Stemming has no built-in and is left to the tokens."""
-    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("ts"))
-    n = F.size(F.filter("ts", lambda w: w.isin("license", "version", "public")))
-    return t.filter(n > 0).select("doc_id", r6(n / (1 + F.log(1.0 + F.size("ts")))).alias("rank"))
+#: Endings that a stem goes without, a generic pack.
+ENDINGS = "(ingly|edly|ing|ed|ies|es|ly|s)$"
+_STEMS = f"list_transform({_TOK}, lambda w: regexp_replace(w, '{ENDINGS}', ''))"
+
+
+@query("ret_04_text_rank", f"""WITH tk AS (SELECT doc_id, {_STEMS} AS ts FROM documents), q AS (SELECT item_id, unnest(list_distinct({_STEMS})) AS term FROM benchmark), d AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM tk),
+s AS (SELECT item_id, doc_id, round(count(*) / (1 + ln(1 + n)), 6) AS rank FROM d JOIN q USING (term) GROUP BY item_id, doc_id, n) SELECT item_id, doc_id, rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, doc_id) <= 10""")
+def text_rank(spark, sf, k: int = 10) -> DataFrame:
+    """Frequency of the query's stems over one plus the log of the length, the best ten of each query. Stems drop common endings."""
+    stems = lambda c: F.transform(tokens(c), lambda w: F.regexp_replace(w, ENDINGS, ""))
+    q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(stems(F.col("text")))).alias("term"))
+    d = table(spark, sf, "documents").select("doc_id", stems(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.inline(counted(F.col("ts"))))
+    s = d.join(bounded(q, BROADCAST_TERMS), "term").groupBy("item_id", "doc_id", "n").agg(F.sum("tf").alias("tf"))
+    return top(s.select("item_id", "doc_id", r6(F.col("tf") / (1 + F.log(1.0 + F.col("n")))).alias("s")), k).select("item_id", "doc_id", F.col("s").alias("rank"))
 
 
 #: The query of the feature scan and factors of a chunk's priority, fixed values; languages stand for priorities.

@@ -88,7 +88,7 @@ def test_sized_chunks(spark, sf):
     texts = text_of(spark, sf)
     for name in ("chk_05_line_structure", "chk_07_article_aware"):
         by = {}
-        for d, i, p, n in rows(name, spark, sf):
+        for d, i, p, n, *_ in rows(name, spark, sf):
             assert n > 0 and p.strip()
             by.setdefault(d, []).append((i, p))
         assert set(by) == {d for (d,), t in texts.items() if t and t.strip()}
@@ -99,12 +99,12 @@ def test_sized_chunks(spark, sf):
 
 def test_segments_and_rechunk(spark, sf):
     by = {}
-    for d, i, _, before, after in rows("chk_06_segments", spark, sf):
+    for d, i, _, before, after, _ in rows("chk_06_segments", spark, sf):
         by.setdefault(d, []).append((i, before, after))
     for x in by.values():
         x.sort()
         assert x == [(i, i - 1 if i else None, i + 1 if i + 1 < len(x) else None) for i in range(len(x))]
-    one, two = rows("chk_07_article_aware", spark, sf), rows("chk_08_rechunk", spark, sf)
+    one, two = [r[:4] for r in rows("chk_07_article_aware", spark, sf)], rows("chk_08_rechunk", spark, sf)
     big = [r for r in one if len(r[2]) > 500 and re.search("[0-9]", r[2])]
     assert set(one) - set(big) <= set(two) and len(two) > len(one) - len(big) and not set(big) & set(two)
     squeeze = lambda x: sorted("".join("".join(sorted(r[2])) for r in x).replace("\n", "").replace(" ", ""))
@@ -160,3 +160,12 @@ def test_ranks_over_many_parts(spark):
         own = sorted(((-(i * 37 % 101), i) for i in range(500) if ("hot" if i % 4 else "b") == k))
         assert [got[k, i] for _, i in own] == list(range(1, len(own) + 1))
     assert rank_all(df.limit(0), ["k"], [F.asc("id")]).count() == 0
+
+
+def test_headers_overviews_and_tags():
+    text = "Alpha\n" + "One sentence here. " * 70 + "\nBeta\n" + "It must hold 5 things. Two. " * 60
+    got = chunking.structured(text)
+    assert chunking.structure_map(text) == [(0, "Alpha"), (text.index("Beta"), "Beta")]
+    assert [h for *_, h in got] == ["Alpha" if p.startswith(("Alpha", "One")) else "Beta" for _, p, _, _ in got] and {"Alpha", "Beta"} == {h for *_, h in got}
+    last = chunking.tagged(text)[-1]
+    assert last[3:] == ("It must hold 5 things.", "number,modal", 1.7) and chunking.tagged("") == [] and chunking.structured("") == []
