@@ -52,7 +52,7 @@ class ChunkEncoder:
 
         plain, self.full = Tokenizer.from_file(path), Tokenizer.from_file(path)
         plain.encode_special_tokens = True
-        self.ids = lambda s: plain.encode(s, add_special_tokens=False).ids
+        self.ids = lambda s: plain.encode_batch_fast([s], add_special_tokens=False)[0].ids  # no offsets are worked out
         with open(path, encoding="utf-8") as f:
             known = [x["content"] for x in json.load(f)["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, known))) if known else None
