@@ -154,28 +154,25 @@ class ChunkEncoder:
     def _learn(self, b: np.ndarray, at: np.ndarray, to: np.ndarray, h: np.ndarray) -> None:
         data = b.tobytes()
         parts = [data[i:j].decode() for i, j in zip(at.tolist(), to.tolist(), strict=True)]
-        alone = [p for p in parts if p == "\n" or p[0].isspace() and len(p.strip()) < len(p) - (p[0] == " ") or p[-1].isspace() or "\n" in p]
-        odd = set(alone)
-        together = [p for p in parts if p not in odd]
-        ids = np.array(self.ids("\n".join(together)), np.uint32) if together else np.zeros(0, np.uint32)
+        # a chunk stands alone if what follows its first space is blank at an end or holds a line end
+        odd = np.array([not (x := p[1:] if p[0] == " " else p) or x[0].isspace() or x[-1].isspace() or "\n" in x for p in parts])
+        plain = np.flatnonzero(~odd)
+        ids = np.array(self.ids("\n".join([parts[i] for i in plain.tolist()])), np.uint32) if len(plain) else np.zeros(0, np.uint32)
         ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-        if together and len(ends) != len(together):  # never seen: a part that holds the line end's token
-            alone, odd, together = parts, set(parts), []
-        got, start = {}, 0
-        if together:
-            for p, e in zip(together, ends.tolist(), strict=True):
-                got[p] = (start, e)
-                start = e + 1
-        extra = [np.array(self.ids(p), np.uint32) for p in alone]
-        base = len(ids)
-        for p, x in zip(alone, extra, strict=True):
-            got[p] = (base, base + len(x))
-            base += len(x)
+        if len(plain) and len(ends) != len(plain):  # never seen: a part that holds the line end's token
+            odd[:], plain = True, plain[:0]
+        span = np.zeros((len(parts), 2), np.int64)
+        if len(plain):
+            span[plain, 0], span[plain, 1] = np.concatenate([[0], ends[:-1] + 1]), ends
+        extra, base = [], len(ids)
+        for i in np.flatnonzero(odd).tolist():
+            extra.append(np.array(self.ids(parts[i]), np.uint32))
+            span[i] = base, base + len(extra[-1])
+            base += len(extra[-1])
         all_ids = np.concatenate([ids, *extra]) if extra else ids
         while self.used + len(all_ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(all_ids)] = all_ids
-        span = np.array([got[p] for p in parts], np.int64)
         k = len(parts)
         self.start[self.n : self.n + k] = self.used + span[:, 0]
         self.length[self.n : self.n + k] = span[:, 1] - span[:, 0]
