@@ -15,7 +15,7 @@ from quillspark.functions.text import cosine, jaccard, r6, tokens
 from quillspark.plans.relational import NEAREST, TERMS, nearest_to_one, sentence_score, sentences
 from quillspark.plans.scalars import query_variants
 from quillspark.registry import query
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
 K1, B, FLOOR = 1.5, 0.8, 0.25
 _TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)"
@@ -45,7 +45,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings: doc_id, dl, terms(term, tf), a row a document; terms: term, df, and under a null term n documents and their mean
     length). One pass over the texts each."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
+    t = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("ts"))
     rows = t.select("doc_id", F.size("ts").alias("dl"), counted(F.col("ts")).alias("terms"))
     every = rows.select(F.explode(F.concat(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("dl"))))).alias("x"))
     return rows, every.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
