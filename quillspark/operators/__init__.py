@@ -1,15 +1,24 @@
-"""The reusable operators: functions of DataFrames, apart from the registered queries that apply them to the corpus tables."""
-
-from quillspark.plans.chunking import boundaries, cascade, depths, recursive_split, sized
-from quillspark.plans.extraction import modality, numbered, suppress_overlaps
-from quillspark.plans.graph import within
-from quillspark.plans.joins import bulk_duplicates, entities, overlap
-from quillspark.plans.relational import filter_or_all, page
-from quillspark.plans.retrieval import bm25, nearest, normalized, rerank, rrf, top
-from quillspark.plans.sinks import append, merge, upsert, write_csv, write_json
-from quillspark.plans.windows import merge_intervals, rate_limit
-
-__all__ = [
-    "append", "bm25", "boundaries", "bulk_duplicates", "cascade", "depths", "entities", "filter_or_all", "merge", "merge_intervals", "modality", "nearest", "normalized", "numbered", "overlap",
-    "page", "rate_limit", "recursive_split", "rerank", "rrf", "sized", "suppress_overlaps", "top", "upsert", "within", "write_csv", "write_json",
-]
+"""The reusable operators under one name: functions of DataFrames, apart from the registered queries that apply them to the corpus
+tables. Those that stand beside their queries are imported when they are asked for."""
+
+import importlib
+
+_HOME = {
+    "quillspark.operators.hierarchy": ("depths", "on_cycles"),
+    "quillspark.plans.chunking": ("boundaries", "cascade", "recursive_split", "sized"),
+    "quillspark.plans.extraction": ("modality", "numbered", "suppress_overlaps"),
+    "quillspark.plans.graph": ("within",),
+    "quillspark.plans.joins": ("bulk_duplicates", "entities", "overlap"),
+    "quillspark.plans.relational": ("filter_or_all", "page"),
+    "quillspark.plans.retrieval": ("bm25", "nearest", "normalized", "rerank", "rrf", "top"),
+    "quillspark.plans.sinks": ("append", "merge", "upsert", "write_csv", "write_json"),
+    "quillspark.plans.windows": ("merge_intervals", "rate_limit"),
+}
+_AT = {name: module for module, names in _HOME.items() for name in names}
+__all__ = sorted(_AT)
+
+
+def __getattr__(name: str):
+    if name not in _AT:
+        raise AttributeError(name)
+    return getattr(importlib.import_module(_AT[name]), name)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.lexicons import LEVELS
 from quillspark.functions.text import r6
+from quillspark.operators.hierarchy import depths
 from quillspark.plans.joins import WINDOWS, fixed_windows
 from quillspark.registry import query
 from quillspark.sources.tables import CHUNKS, chunks, table
@@ -196,34 +197,32 @@ def rechunk(spark, sf) -> DataFrame:
 LEVEL_MAP = {1: "chapter", 2: "article", 3: "part"}
 
 
-def depths(e: DataFrame, deepest: int = 16) -> DataFrame:
-    """e(child, parent) -> child, parent, depth below the root, cyclic: one join a level from the roots down, as many as there are.
+_LEVEL = "CASE depth " + " ".join(f"WHEN {d} THEN '{n}'" for d, n in LEVEL_MAP.items()) + " END"
 
-    A node that no root leads to lies on a cycle or below one: its depth is null and cyclic is true.
-    """
-    roots = e.select(F.col("parent").alias("child")).distinct().join(e, "child", "left_anti")
-    level = e.join(roots.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", "parent", F.lit(1).alias("depth"))
-    found = level
-    for d in range(2, deepest + 1):
-        level = e.join(level.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    lost = e.join(found.select("child", "parent"), ["child", "parent"], "left_anti").select("child", "parent", F.lit(None).cast("int").alias("depth"))
-    return found.withColumn("cyclic", F.lit(False)).unionByName(lost.withColumn("cyclic", F.lit(True)))
 
+#: Links that no table holds: a ring, and a ring below a root.
+RINGS = [("X1", "X2"), ("X2", "X3"), ("X3", "X1"), ("X4", "X1"), ("Y1", "R0"), ("Y2", "Y1"), ("Y1", "Y2")]
 
-_LEVEL = "CASE depth " + " ".join(f"WHEN {d} THEN '{n}'" for d, n in LEVEL_MAP.items()) + " END"
 
-
-@query("chk_09_hierarchy", f"WITH RECURSIVE e(child, parent) AS (SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION ALL VALUES ('X1', 'X2'), ('X2', 'X3'), ('X3', 'X1')), h AS (SELECT child, parent, 1 AS depth FROM e WHERE starts_with(parent, 'R') UNION ALL SELECT e.child, e.parent, h.depth + 1 FROM e JOIN h ON e.parent = h.child) SELECT e.child, e.parent, depth, depth IS NULL AS cyclic, {_LEVEL} AS level FROM e LEFT JOIN h ON e.child = h.child AND e.parent = h.parent")
+@query("chk_09_hierarchy", f"""WITH RECURSIVE e(child, parent) AS (SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+  UNION ALL SELECT 'O' || o_orderkey, coalesce('O' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 'C' || o_custkey) FROM orders UNION ALL VALUES {", ".join(map(str, RINGS))}),
+h(node, d) AS (SELECT DISTINCT parent, 0 FROM e WHERE starts_with(parent, 'R') UNION SELECT e.child, h.d + 1 FROM e JOIN h ON e.parent = h.node WHERE h.d < 100), m AS (SELECT node, min(d) AS d FROM h GROUP BY node),
+r(a, b) AS (SELECT child, parent FROM e WHERE child[1] IN ('X', 'Y') UNION SELECT r.a, e.parent FROM r JOIN e ON e.child = r.b), k AS (SELECT parent, count(*) - 1 AS siblings FROM e GROUP BY parent),
+f AS (SELECT e.child, e.parent, CAST(d + 1 AS INT) AS depth, r.a IS NOT NULL AS cyclic, siblings FROM e LEFT JOIN m ON e.parent = m.node LEFT JOIN r ON r.a = e.parent AND r.b = e.child LEFT JOIN k ON k.parent = e.parent) SELECT *, {_LEVEL} AS level FROM f""")
 def hierarchy(spark, sf) -> DataFrame:
-    """Depth and level of every node below its root; a cycle that is put in is told apart."""
+    """Depth, level and number of siblings of every node by each of its parents, and whether the link lies on a cycle.
+
+    Orders hang on the one before of their customer, which makes long chains; rings are put in.
+    """
     n = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
-    ring = spark.createDataFrame([("X1", "X2"), ("X2", "X3"), ("X3", "X1")], "child string, parent string")
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, sf, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("child"), F.coalesce(F.concat(F.lit("O"), before), F.concat(F.lit("C"), "o_custkey")).alias("parent"))
+    e = n.unionByName(c).unionByName(o).unionByName(spark.createDataFrame(RINGS, "child string, parent string"))
     level = F.create_map(*[F.lit(x) for kv in LEVEL_MAP.items() for x in kv])[F.col("depth")]
-    return depths(n.unionByName(c).unionByName(ring)).withColumn("level", level)
+    found = depths(e)
+    family = found.groupBy("parent").agg((F.count("*") - 1).alias("siblings"))
+    return found.join(family, "parent").select("child", "parent", "depth", "cyclic", "siblings", level.alias("level"))
 
 
 def zones(text: str, margin: int = 20) -> list[tuple[int, int]]:

@@ -27,13 +27,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     setting has one of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":  # local-cluster[..] has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillspark-")
         _own[spark.sparkContext.applicationId] = shared
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: what follows starts from there and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Non-blank lines of each document in order: doc_id, chunk_index, text, lang, source."""
     split = docs.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_index", "text"))

@@ -1,11 +1,13 @@
 """Values of the queries that no SQL states, and of helpers behind registered queries."""
 
 import datetime
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from quillspark import registry
+from quillspark.operators import hierarchy
 from quillspark.plans import chunking, retrieval, sinks
 from quillspark.sources import formats
 from quillspark.streaming import tasks
@@ -120,10 +122,38 @@ def test_boundaries():
     assert chunking.boundaries(inside)[0][1:3] == (995 + 30 + 20 + 1, "forced")
 
 
-def test_depths_of_a_forest_with_a_ring(spark):
-    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "y")], "child string, parent string")
-    got = {r["child"]: (r["depth"], r["cyclic"]) for r in chunking.depths(e).collect()}
-    assert got == {"b": (1, False), "c": (2, False), "d": (3, False), "x": (None, True), "y": (None, True), "z": (None, True)}
+def depths_brute(rows):
+    rows = {r for r in rows if None not in r}
+    up, down = {}, {}
+    for c, p in rows:
+        up.setdefault(c, set()).add(p)
+        down.setdefault(p, set()).add(c)
+    depth = {p: 0 for p in down if p not in up}
+    step = set(depth)
+    while step:
+        step = {c for p in step for c in down.get(p, ()) if c not in depth and depth.setdefault(c, depth[p] + 1)}
+
+    def above(x):
+        seen, todo = set(), [x]
+        while todo:
+            new = up.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    ends = {c: above(c) for c in up}
+    return {(c, p): (depth[p] + 1 if p in depth else None, c == p or c in ends.get(p, ())) for c, p in rows}
+
+
+def test_depths_of_chains_forests_and_cycles(spark):
+    rng = random.Random(2)
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(1000)]
+    odd = [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "x1"), ("z", "y"), ("s", "s"), (None, "q"), ("q", None), ("n1", "n0"), ("a", "r"), ("b", "a"), ("a", "b"), ("c", "b")]
+    mixed = [(f"m{rng.randrange(40)}", f"m{rng.randrange(40)}") for _ in range(45)]
+    for rows in (chain + odd, mixed):
+        e = spark.createDataFrame(rows, "child string, parent string")
+        assert {(r["child"], r["parent"]): (r["depth"], r["cyclic"]) for r in hierarchy.depths(e).collect()} == depths_brute(rows)
+    assert hierarchy.depths(e.limit(0)).count() == 0
 
 
 def test_merge_is_idempotent(spark):
