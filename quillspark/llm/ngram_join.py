@@ -47,6 +47,8 @@ CELLS, PIECE = 1 << 20, 1 << 12
 MAX_L = 4
 #: Tokens or shingles of a block (a task compares two blocks) and columns of an incidence product.
 BLOCK, COLUMNS = 1 << 17, 1 << 12
+#: Documents that a list is expected to hold before it is dealt to several tasks, so many in each.
+HOT = 1 << 12
 #: Bits of the filter that keeps texts of candidates: eight a candidate within these bounds (8 MB at most).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 
@@ -124,8 +126,9 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, int, int]:
-    """The long prefix of a set, the length of its short one, and its ``l``. seen: how often others are expected to hold a shingle."""
+def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """The long prefix of a set, the length of its short one, its ``l``, and how often others are expected to hold the shingles of the
+    prefix, rare ones first. seen: that number for each shingle of the set."""
     n = len(s)
     order = np.lexsort((s, seen))
     need = -(-similarity * n // 100)
@@ -133,26 +136,28 @@ def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tup
     l_ = np.arange(1, min(MAX_L, need) + 1)
     postings = cost[n - need + l_ - 1].astype(float)  # read for this prefix; at most postings / l candidates come of them
     pick = int(l_[np.argmin(postings + (4 + n / 64) * postings / l_)])
-    return s[order[: n - need + pick]], min(n, n - -(-2 * similarity * n // (100 + similarity)) + pick), pick
+    own = order[: n - need + pick]
+    return s[own], min(n, n - -(-2 * similarity * n // (100 + similarity)) + pick), pick, seen[own]
 
 
 def _prefixes(docs: DataFrame, given: Broadcast, words: int, similarity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = given.value
         for b in batches:
-            ids, ns, ks, ls, parts = [], [], [], [], []
+            ids, ns, ks, ls, parts, hot = [], [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), words)
                 if doc is not None and len(s):
-                    p, k, l_ = prefix(s, seen[_cells(s)], similarity)
+                    p, k, l_, often = prefix(s, seen[_cells(s)], similarity)
+                    hot.append((1 + often[np.searchsorted(often, HOT) :] // HOT).tolist())
                     ids.append(doc)
                     ns.append(len(s))
                     ks.append(k)
                     ls.append(l_)
                     parts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ks, pa.int32()), pa.array(ls, pa.int32()), _lists(parts)], ["doc_id", "n", "k", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ks, pa.int32()), pa.array(ls, pa.int32()), _lists(parts), pa.array(hot, pa.list_(pa.int32()))], ["doc_id", "n", "k", "l", "prefix", "hot"])
 
-    return docs.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>")
+    return docs.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>, hot array<int>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -315,8 +320,8 @@ def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     Lists whose members are mostly the same have the same member of smallest hash and are met as one group. Members bring the
     tokens of their open lists first; the whole sets are fetched for those only that some other one is a candidate for.
     """
-    first = left.groupBy("token").agg(F.min_by("doc.doc_id", F.xxhash64("doc.doc_id")).alias("group"))
-    groups = left.join(first, "token").select("doc.doc_id", "group").distinct()
+    first = left.groupBy("token").agg(F.max("parts").alias("parts"), F.min(F.struct(F.xxhash64("doc.doc_id").alias("h"), F.col("doc.doc_id").alias("group"))).alias("x"))
+    groups = _by_token(left, first.select("token", "parts", "x.group")).select("doc.doc_id", "group").distinct()
     tokens = F.sort_array(F.collect_list(F.struct((~F.col("short")).alias("long"), "token")))
     own = left.groupBy("doc.doc_id").agg(F.first("doc.n").alias("n"), F.first("component").alias("component"), tokens.alias("t"), F.count_if("short").alias("shorts"))
     own = own.select("doc_id", "n", "component", F.col("t.token").alias("tokens"), "shorts", F.size("t").alias("weight"))
@@ -352,12 +357,40 @@ def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     return out
 
 
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(token, salt, parts, doc, short, hub) of the lists with a hub and others, stored; hub: the smallest set that holds the shingle
+    in its short prefix. Only sets behind their hub are given.
+
+    Postings are shuffled once. A list that the sketch expects to be long is dealt out by ``salt`` to ``parts`` tasks; its hub is the
+    least of those of its parts, which meets them again by shingle and salt.
+    """
+    size = F.size("prefix") - F.size("hot")  # shingles before the frequent ones
+    at = F.posexplode("prefix").alias("at", "token")
+    rows = prefixes.select(at, F.struct("n", "doc_id").alias("doc"), "k", size.alias("light"), "hot")
+    parts = F.when(F.col("at") < F.col("light"), F.lit(1)).otherwise(F.get("hot", F.col("at") - F.col("light")))
+    rows = rows.select("token", F.pmod(F.xxhash64("doc.doc_id"), parts).cast("int").alias("salt"), parts.alias("parts"), "doc", (F.col("at") < F.col("k")).alias("short"))
+    own = W.partitionBy("token", "salt")
+    rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).withColumn("hub", F.min(F.when(F.col("short"), F.col("doc"))).over(own))
+    rows = rows.filter("parts > 1 or (held > 1 and hub is not null and doc > hub)")
+    near = work.cut(rows.select("token", "salt", "parts", "doc", "short", "hub"), "lists")
+    lists = near.filter("parts > 1").groupBy("token").agg(F.max("parts").alias("parts"), F.min("hub").alias("hub"), F.count("*").alias("held")).filter("held > 1 and hub is not null").drop("held")
+    dealt = _by_token(near.filter("parts > 1").drop("hub"), lists).filter("doc > hub")
+    out = work.cut(near.filter("parts = 1").unionByName(dealt), "postings")
+    work.drop(near)
+    return out
+
+
+def _by_token(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows(token, salt, parts, ..) with the values of lists(token, parts, ..): a long list meets them in as many tasks as it has parts."""
+    return rows.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["token", "salt"])
+
+
 def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of the lists that hold a hub and span components, with the component of each."""
-    left = left.select("token", "doc", "short").join(labels.select(F.col("node").alias("n_"), "component"), F.col("doc.doc_id") == F.col("n_"), "left")
-    left = left.select("token", "doc", "short", F.coalesce("component", "doc.doc_id").alias("component"))
-    tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("short").alias("any")).filter("lo <> hi and any").select("token")
-    return work.cut(left.join(tokens, "token", "left_semi"), "postings")
+    left = left.select("token", "salt", "parts", "doc", "short").join(labels.select(F.col("node").alias("n_"), "component"), F.col("doc.doc_id") == F.col("n_"), "left")
+    left = left.select("token", "salt", "parts", "doc", "short", F.coalesce("component", "doc.doc_id").alias("component"))
+    lists = left.groupBy("token").agg(F.max("parts").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("short").alias("any")).filter("lo <> hi and any")
+    return work.cut(_by_token(left, lists.select("token", "parts")), "postings")
 
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -374,10 +407,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     prefixes = work.cut(_prefixes(docs, given, words, similarity).join(reps, "doc_id", "left_semi"), "prefixes")
 
     # In a list, sets are met in the order of their size; the smaller of a pair must hold the shingle in its short prefix.
-    postings = prefixes.select(F.posexplode("prefix").alias("at", "token"), F.struct("n", "doc_id").alias("doc"), "k")
-    postings = postings.select("token", "doc", (F.col("at") < F.col("k")).alias("short"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("held"), F.min(F.when(F.col("short"), F.col("doc"))).alias("hub")).filter("held > 1 and hub is not null").drop("held")
-    active = work.cut(postings.join(lists, "token").filter("doc > hub"), "postings")
+    active = _postings(prefixes)
     fits = F.col("hub.n") * 100 >= F.col("doc.n") * similarity
     met = work.cut(active.filter(fits).select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct(), "met")
     links = _verify(met, prefixes, docs, words, similarity)
