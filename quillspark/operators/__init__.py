@@ -7,7 +7,9 @@ _HOME = {
     "quillspark.operators.hierarchy": ("depths", "on_cycles"),
     "quillspark.plans.chunking": ("boundaries", "cascade", "recursive_split", "sized"),
     "quillspark.plans.extraction": ("modality", "numbered", "suppress_overlaps"),
-    "quillspark.plans.graph": ("within",),
+    "quillspark.operators.search_index": ("build", "kept", "open_index"),
+    "quillspark.operators.traversal": ("inner_edges", "traverse", "within"),
+    "quillspark.plans.graph": ("find_nodes",),
     "quillspark.plans.joins": ("bulk_duplicates", "entities", "overlap"),
     "quillspark.plans.relational": ("filter_or_all", "page"),
     "quillspark.plans.retrieval": ("bm25", "nearest", "normalized", "rerank", "rrf", "top"),

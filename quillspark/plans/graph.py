@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.traversal import inner_edges, within
+from quillspark.operators.traversal import traverse as walk
 from quillspark.registry import query
 from quillspark.sources.tables import new_folder, table
 
@@ -29,10 +31,18 @@ _E = "e AS (SELECT 'R' || n_regionkey AS f, 'N' || n_nationkey AS t, 'CONTAINS'
 _U = f"{_E}, u AS (SELECT f AS a, t AS b FROM e UNION SELECT t, f FROM e)"
 
 
-@query("flt_09_node_lookup", "SELECT 'C' || c_custkey AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000042' OR c_custkey = 42")
+def find_nodes(n: DataFrame, label: str, properties: dict[str, object]) -> DataFrame:
+    """Nodes of a label that hold all of the given properties; of none, all of the label."""
+    test = F.col("type") == label
+    for name, value in properties.items():
+        test = test & (F.col(name) == value)
+    return n.filter(test)
+
+
+@query("flt_09_node_lookup", "SELECT 'C' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42 AND c_name = 'Customer#000000042'")
 def node_lookup(spark, sf) -> DataFrame:
-    """Nodes by label and property."""
-    return nodes(spark, sf).filter((F.col("type") == "Customer") & ((F.col("id") == "C42") | (F.col("name") == "Customer#000000042"))).select("id", "name")
+    """Nodes by label and property map; the tests are pushed into the branch of the label."""
+    return find_nodes(nodes(spark, sf), "Customer", {"id": "C42", "name": "Customer#000000042"}).select("id", "name")
 
 
 #: Levels of a document from coarse to fine, each with its letter and the value that names it (null where it has none).
@@ -61,22 +71,6 @@ def document_nodes(spark, sf) -> DataFrame:
     return d.select(F.inline(F.array(*made))).filter("id is not null").distinct()
 
 
-def both_ways(e: DataFrame) -> DataFrame:
-    return e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(e.select(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
-
-
-def within(e: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """start(id) -> id, distance of all nodes at most ``depth`` undirected steps away: one join a step, nodes met before drop out."""
-    u = both_ways(e)
-    found = start.select("id", F.lit(0).alias("distance"))
-    edge = found
-    for k in range(1, depth + 1):
-        step = u.join(edge.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        edge = step.join(found, "id", "left_anti").select("id", F.lit(k).alias("distance"))
-        found = found.unionByName(edge)
-    return found
-
-
 def _walk(start: str, depth: int) -> str:
     return f"WITH RECURSIVE {_U}, w(id, d) AS (SELECT '{start}', 0 UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < {depth}), m AS (SELECT id, min(d) AS distance FROM w GROUP BY id)"
 
@@ -86,15 +80,23 @@ def one_hop(spark, sf) -> DataFrame:
     return within(edges(spark, sf), spark.createDataFrame([("N3",)], "id string"), 1)
 
 
-@query("grf_03_traverse", f"{_walk('C7', 3)}, r AS (SELECT count(*) AS relations FROM e WHERE f IN (SELECT id FROM m) AND t IN (SELECT id FROM m)) SELECT id, distance, relations, (CASE WHEN (SELECT count(*) FROM m) > 1 THEN least(0.8 + 0.05 * (SELECT count(*) FROM m), 1) ELSE 0.2 END)::DOUBLE AS confidence FROM m, r")
+def _paths(starts: str, depth: int, types: tuple[str, ...] = ()) -> str:
+    """The same in DuckDB, all walks: start, id, distance, first_type, path."""
+    kept = f"WHERE type IN ({', '.join(repr(t) for t in types)})" if types else ""
+    return f"""WITH RECURSIVE {_E}, b AS (SELECT f AS a, t AS b, type FROM e {kept} UNION ALL SELECT t, f, type FROM e {kept}),
+w(start, id, d, first_type, path) AS (SELECT id, id, 0, NULL::VARCHAR, [id] FROM ({starts}) UNION SELECT w.start, b.b, w.d + 1, coalesce(w.first_type, b.type), list_append(w.path, b.b) FROM w JOIN b ON b.a = w.id WHERE w.d < {depth} AND NOT list_contains(w.path, b.b)),
+m AS (SELECT start, id, d AS distance, first_type, path FROM w QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY d, path, first_type) = 1)"""
+
+
+@query("grf_03_traverse", f"{_paths("SELECT 'C7' AS id", 3)}, r AS (SELECT count(*) AS relations FROM e WHERE f IN (SELECT id FROM m) AND t IN (SELECT id FROM m)) SELECT id, distance, first_type, array_to_string(path, '>') AS path, relations, (CASE WHEN relations > 0 THEN least(0.8 + 0.05 * relations, 1) ELSE 0.2 END)::DOUBLE AS confidence FROM m, r")
 def traverse(spark, sf, start: str = "C7", depth: int = 3) -> DataFrame:
-    """Nodes up to three steps away, the number of relations between them, and the confidence that the number of nodes gives."""
+    """Nodes up to three steps away with their shortest path and the type that it begins with, the number of relations between them,
+    and the confidence that this number gives."""
     e = edges(spark, sf)
-    f = within(e, spark.createDataFrame([(start,)], "id string"), depth)
-    n = f.agg(F.when(F.count("*") > 1, F.least(0.8 + 0.05 * F.count("*"), F.lit(1.0))).otherwise(0.2).alias("confidence"))
-    ids = f.select("id")
-    inner = e.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    return f.join(F.broadcast(inner.agg(F.count("*").alias("relations")))).join(F.broadcast(n))
+    f = walk(e, spark.createDataFrame([(start,)], "id string"), depth)
+    n = F.count("*")
+    known = inner_edges(e, f).agg(n.alias("relations"), F.when(n > 0, F.least(0.8 + 0.05 * n, F.lit(1.0))).otherwise(0.2).alias("confidence"))
+    return f.select("id", "distance", "first_type", F.array_join("path", ">").alias("path")).join(F.broadcast(known))
 
 
 @query("grf_04_related", f"{_walk('R1', 2)} SELECT id, distance FROM m WHERE distance > 0 ORDER BY distance, id LIMIT 20")
@@ -103,9 +105,16 @@ def related(spark, sf, k: int = 20) -> DataFrame:
     return f.filter("distance > 0").orderBy("distance", "id").limit(k)
 
 
-@query("jn_18_path_join", f"{_walk('N3', 2)} SELECT distance, count(*) AS n FROM m GROUP BY distance")
-def path_join(spark, sf) -> DataFrame:
-    return within(edges(spark, sf), spark.createDataFrame([("N3",)], "id string"), 2).groupBy("distance").agg(F.count("*").alias("n"))
+_PATH_STARTS = "SELECT 'R' || r_regionkey AS id FROM region UNION ALL SELECT 'C' || c_custkey FROM customer WHERE c_acctbal > 9900"
+
+
+@query("jn_18_path_join", f"{_paths(_PATH_STARTS, 2, ('CONTAINS',))} SELECT start, id, distance, first_type, array_to_string(path, '>') AS path FROM m WHERE distance > 0")
+def path_join(spark, sf, types: tuple[str, ...] = ("CONTAINS",)) -> DataFrame:
+    """Paths of one or two containment relations from every region and every rich customer at once."""
+    r = table(spark, sf, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"))
+    c = table(spark, sf, "customer").filter("c_acctbal > 9900").select(F.concat(F.lit("C"), "c_custkey").alias("id"))
+    found = walk(edges(spark, sf), r.unionByName(c), 2, types).filter("distance > 0")
+    return found.select("start", "id", "distance", "first_type", F.array_join("path", ">").alias("path"))
 
 
 def graph_bonus(related: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Retrieval: inverted index, BM25, vector top-k, hybrid and rank fusion, reranking, answers.
 
-A document's terms are counted in its own row; of the postings only those of query terms leave it, by a broadcast of the queries'
-terms if their counted number is bounded, and by a shuffle on the term beyond. Queries meet vectors in blocks of a bounded number.
-Rankings are top-k or per-query windows with the document id as last key.
+Searches go by the stored index of ``operators.search_index``; ``bm25`` ranks documents that have none. Queries meet vectors in blocks
+of a bounded number. Rankings are top-k or per-query windows with the document id as last key.
 """
 
 from __future__ import annotations
@@ -11,30 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import cosine, jaccard, r6, tokens
+from quillspark.functions.text import counted, jaccard, r6, tokens
+from quillspark.operators import search_index
+from quillspark.operators.search_index import BROADCAST_TERMS, FLOOR, K1, B
 from quillspark.plans.relational import NEAREST, TERMS, nearest_to_one, sentence_score, sentences
 from quillspark.plans.scalars import query_variants
 from quillspark.registry import query
 from quillspark.sources.tables import spread, table
 
-K1, B, FLOOR = 1.5, 0.8, 0.25
 _TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)"
 
 
-#: Rows of query terms up to which they are broadcast, and queries that are scored against all vectors in one pass.
-BROADCAST_TERMS, BLOCK_QUERIES = 100_000, 1_000
-
-
-def counted(ts: Column) -> Column:
-    """The distinct terms of an array with their counts: runs of the sorted array."""
-    def runs(x: Column) -> Column:
-        n = F.size(x)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
-        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n))
-        made = F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(x, i).alias("term"), (j - i).alias("tf"))))
-        return F.when(n > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-    return F.get(F.transform(F.array(F.array_sort(ts)), runs), F.lit(0))
+#: Queries that are scored against all vectors in one pass.
+BLOCK_QUERIES = 1_000
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -45,7 +33,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings: doc_id, dl, terms(term, tf), a row a document; terms: term, df, and under a null term n documents and their mean
     length). One pass over the texts each."""
-    t = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("ts"))
+    t = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
     rows = t.select("doc_id", F.size("ts").alias("dl"), counted(F.col("ts")).alias("terms"))
     every = rows.select(F.explode(F.concat(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("dl"))))).alias("x"))
     return rows, every.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
@@ -90,21 +78,21 @@ def top(df: DataFrame, k: int, score: str = "s") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(score), "doc_id"))).filter(F.col("rank") <= k)
 
 
+def index_of(spark, sf) -> search_index.Index:
+    """The kept index of the documents."""
+    return search_index.kept(spark, sf, table(spark, sf, "documents"))
+
+
 def _scores(spark, sf) -> DataFrame:
-    return normalized(bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+    return normalized(index_of(spark, sf).scores(table(spark, sf, "benchmark")))
 
 
 @query("ret_01_bm25", f"WITH {BM25} SELECT doc_id, s AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM norm WHERE item_id = 0 QUALIFY rank <= 10")
 def bm25_query(spark, sf) -> DataFrame:
-    s = normalized(bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark").filter("item_id = 0")))
+    s = normalized(index_of(spark, sf).scores(table(spark, sf, "benchmark").filter("item_id = 0")))
     return top(s, 10).select("doc_id", F.col("s").alias("score"), "rank")
 
 
-@query("top_01_hybrid", f"WITH {BM25} SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5")
-def top_hybrid(spark, sf) -> DataFrame:
-    return top(_scores(spark, sf), 5).select("item_id", "doc_id", "s", "rank")
-
-
 @query("ret_02_knn", f"WITH {NEAREST} SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 10")
 def knn(spark, sf, k: int = 10) -> DataFrame:
     """Exact nearest neighbours of one vector: one scan, a top-k, no sort of all rows."""
@@ -119,17 +107,43 @@ vt AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries(item_id, q), vectors(vec_id, embedding) -> item_id, doc_id, c, rank: the k nearest vectors of each query.
 
-    Queries are broadcast in blocks of at most ``BLOCK_QUERIES``, a scan of the vectors each; a task keeps k a query.
+    Queries go to the tasks in blocks of at most ``BLOCK_QUERIES``, a scan of the vectors each, as one product of matrices a batch.
     """
     blocks = -(-queries.count() // BLOCK_QUERIES) or 1
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     out = None
     for i in range(blocks):
-        s = vectors.join(F.broadcast(queries.filter(block == i))).select("item_id", F.col("vec_id").alias("doc_id"), r6(cosine(F.col("embedding"), F.col("q"))).alias("c"))
-        out = top(s, k, "c") if out is None else out.unionByName(top(s, k, "c"))
+        got = queries.filter(block == i).select("item_id", "q").filter("q is not null").toPandas()
+        s = top(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("embedding is not null").mapInArrow(_products(got, k), "item_id long, doc_id long, c double"), k, "c")
+        out = s if out is None else out.unionByName(s)
     return out
 
 
+def _products(queries, k: int):
+    """Cosines of a batch of vectors with all queries at once; a batch gives its best k of each, with all that equal the last of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(rows) -> np.ndarray:
+        m = np.array([np.asarray(x, np.float64) for x in rows]).reshape(len(rows), -1)
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+
+    ids, q = queries["item_id"].to_numpy(np.int64), unit(list(queries["q"]))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            c = np.round(unit(b.column(1).to_pylist()) @ q.T, 6)
+            c = np.where(np.isnan(c), -np.inf, c)
+            last = -np.partition(-c, min(k, len(c)) - 1, axis=0)[min(k, len(c)) - 1]
+            row, col = np.nonzero((c >= last) & np.isfinite(c))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(b.column(0).to_numpy()[row]), pa.array(c[row, col])], ["item_id", "doc_id", "c"])
+
+    return run
+
+
 def vector_candidates(spark, sf, k: int = 50) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = table(spark, sf, "benchmark").select("item_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
@@ -146,6 +160,12 @@ def hybrid_query(spark, sf) -> DataFrame:
     return top(hybrid(spark, sf), 5, "h").select("item_id", "doc_id", "s", "c", "h", "rank")
 
 
+@query("top_01_hybrid", f"WITH {_HYBRID} SELECT item_id, doc_id, h, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM hy QUALIFY rank <= 10")
+def top_hybrid(spark, sf, k: int = 10) -> DataFrame:
+    """The best k of each query by the hybrid score, equals in the order of the corpus."""
+    return top(hybrid(spark, sf), k, "h").select("item_id", "doc_id", "h", "rank")
+
+
 #: Endings that a stem goes without, a generic pack.
 ENDINGS = "(ingly|edly|ing|ed|ies|es|ly|s)$"
 _STEMS = f"list_transform({_TOK}, lambda w: regexp_replace(w, '{ENDINGS}', ''))"
@@ -241,7 +261,7 @@ fu AS (SELECT item_id // 10 AS item_id, doc_id, round(sum(1.0::DOUBLE / (60 + ra
 def fusion_search(spark, sf, k: int = 10, variants: int = 3) -> DataFrame:
     """The first three forms of each query are searched for twice as many hits as asked for, without a threshold, and their ranks fused."""
     v = query_variants(spark, sf).filter(F.col("n") < variants)
-    lists = top(normalized(bm25(table(spark, sf, "documents"), v.select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), F.col("variant").alias("text")))), 2 * k)
+    lists = top(normalized(index_of(spark, sf).scores(v.select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), F.col("variant").alias("text")))), 2 * k)
     fused = rrf(lists.select(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id", "rank"))
     return top(fused, k, "rrf").select("item_id", "doc_id", "rrf", "rank")
 
@@ -352,7 +372,7 @@ def definition_lookup(spark, sf, k: int = 20) -> DataFrame:
     forms = [F.concat(F.lit(x), F.col("term"), F.lit(y)) for x, y in (f.split("{}") for f in DEFINITION_FORMS)]
     q = table(spark, sf, "benchmark").select("item_id", term.alias("term")).filter("term is not null")
     q = q.select("item_id", F.posexplode(F.array(*forms)).alias("n", "text")).select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), "text")
-    lists = top(normalized(bm25(table(spark, sf, "documents"), q)), k)
+    lists = top(normalized(index_of(spark, sf).scores(q)), k)
     best = lists.groupBy(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id").agg(F.max("s").alias("score"))
     return top(best, 15, "score").drop("rank")
 

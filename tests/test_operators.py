@@ -1,10 +1,12 @@
 """Operators against values worked out by hand."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import search_index, traversal
 from quillspark.plans import chunking, extraction, graph, joins, relational, retrieval, scalars, sinks, windows
 from quillspark.sources import formats
 from quillspark.streaming import tasks
@@ -53,6 +55,70 @@ def test_traversal_of_path_cycle_and_isolated_node(spark):
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_typed_traversal_from_many_starts(spark, monkeypatch):
+    rows = [("a", "b", "X"), ("b", "c", "Y"), ("c", "d", "X"), ("d", "a", "Y"), ("c", "e", "Z"), ("h", "a", "X"), *[("h", f"n{i}", "X") for i in range(50)], ("q", "q", "X")]
+    e = spark.createDataFrame(rows, "from_id string, to_id string, type string")
+    starts = spark.createDataFrame([("a",), ("c",), ("a",), ("alone",), (None,)], "id string")
+
+    def brute(types, depth, directed):
+        out = {}
+        for s in ("a", "c", "alone"):
+            level = {s: (None, [s])}
+            seen = dict(level)
+            for _ in range(depth):
+                new = {}
+                for x, (t, p) in level.items():
+                    for a, b, k in rows:
+                        for m, n in ((a, b),) if directed else ((a, b), (b, a)):
+                            if m == x and n not in seen and (not types or k in types):
+                                way = ([*p, n], t or k)
+                                new[n] = min(new.get(n, way), way)
+                level = {n: (t, p) for n, (p, t) in new.items()}
+                seen |= level
+            out |= {(s, n): (len(p) - 1, t, p) for n, (t, p) in seen.items()}
+        return out
+
+    for most in (traversal.BROADCAST_FRONTIER, 0):  # 0: by shuffle, salted
+        monkeypatch.setattr(traversal, "BROADCAST_FRONTIER", most)
+        for types, depth, directed in (((), 3, False), (("X",), 4, False), (("X", "Y"), 5, True), ((), 0, False)):
+            got = traversal.traverse(e, starts, depth, types, directed).collect()
+            assert {(r["start"], r["id"]): (r["distance"], r["first_type"], r["path"]) for r in got} == brute(types, depth, directed)
+
+
+def test_index_is_kept_amended_and_read_by_terms(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+
+    def same(index, now):
+        want = {}
+        for r in retrieval.bm25(now, items).collect():
+            want.setdefault(r["item_id"], []).append((-round(r["score"], 9), r["doc_id"], r["score"]))
+        got = {}
+        for r in index.scores(items).collect():
+            got.setdefault(r["item_id"], {})[r["doc_id"]] = r["score"]
+        assert {i: {d for _, d, _ in v} for i, v in want.items()} == {i: set(v) for i, v in got.items()}
+        assert all(abs(got[i][d] - s) < 1e-9 for i, v in want.items() for _, d, s in v)
+        best = {}
+        for r in index.top(items, 5).collect():
+            best.setdefault(r["item_id"], {})[r["rank"]] = r["doc_id"]
+        assert best == {i: {n: d for n, (_, d, _) in enumerate(sorted(v)[:5], 1)} for i, v in want.items()}
+
+    odd = spark.createDataFrame([(10_004, None), (10_005, ""), (None, "license"), (10_008, "license " * 30_000)], "doc_id long, text string")
+    index = search_index.build(docs.filter("doc_id % 3 <> 0"))
+    index = index.insert(docs.filter("doc_id % 3 = 0").unionByName(odd))
+    now = docs.unionByName(odd.filter("doc_id is not null"))
+    same(index, now)
+    changed = docs.filter("doc_id % 40 = 1").withColumn("text", F.concat("text", F.lit(" extra license")))
+    index = index.delete(docs.filter("doc_id % 5 = 2").select("doc_id")).insert(changed)
+    now = now.filter("doc_id % 5 <> 2 and doc_id % 40 <> 1").unionByName(changed)
+    same(search_index.open_index(spark, index.path), now)
+    same(index.compact(), now)
+    plan = index.scores(items)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ IN", plan) and "PushedFilters: [In(term" in plan
+    assert search_index.build(docs.limit(0)).top(items).count() == 0 and index.scores(items.limit(0)).count() == 0
+
+
 def test_filter_or_all(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert [r.x for r in relational.filter_or_all(df, F.col("x") == 2).collect()] == [2]
