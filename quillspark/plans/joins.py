@@ -69,15 +69,30 @@ def default_zero(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id").join(l_, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("semantic"))
 
 
-#: Numbers in a text with their positions: the entities of the interval joins.
+#: Entities whose places are summed in one go; places of a text are sums of sums, so their cost grows with their number only.
+RUN = 256
+
+
+def places(before_own: Column) -> Column:
+    """Starts of pieces from an array of (before, own): lengths of what lies before each piece and of the piece."""
+    def running(xs: Column, gap, own) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda s, x: F.struct((s["at"] + gap(x) + own(x)).alias("at"), F.array_append(s["out"], s["at"] + gap(x)).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda c: running(F.slice(xs, c * RUN + 1, F.lit(RUN)), lambda x: x["before"], lambda x: x["own"]))
+        joined = lambda rs: F.flatten(F.zip_with(rs, running(rs, lambda r: F.lit(0), lambda r: r["at"])["out"], lambda r, s: F.transform(r["out"], lambda p: p + s)))
+        return F.when(F.size(xs) > 0, F.get(F.transform(F.array(runs), joined), F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(before_own), whole), F.lit(0))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, nth, pos, value: digit runs with their 0-based positions, by one running sum over the lengths of what lies between."""
+    """doc_id, nth, pos, value: digit runs with their 0-based positions, from the lengths of what lies between."""
     parts = F.split("text", r"[0-9]+")
     found = F.regexp_extract_all("text", F.lit("([0-9]+)"), 1)
     lengths = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("before"), F.length(f).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    places = F.aggregate(lengths, start, lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.array_append(s["out"], s["at"] + x["before"]).alias("out")))["out"]
-    e = docs.select("doc_id", F.posexplode(F.arrays_zip(places.alias("pos"), found.alias("value"))).alias("nth", "e"))
+    e = docs.select("doc_id", F.posexplode(F.arrays_zip(places(lengths).alias("pos"), found.alias("value"))).alias("nth", "e"))
     return e.select("doc_id", "nth", "e.pos", "e.value")
 
 

@@ -168,9 +168,10 @@ INJECTIONS = [
 ]
 
 
-@query("str_11_sanitize", "SELECT conv_id, turn, md5(" + "regexp_replace(" * (len(INJECTIONS) + 1) + r"substr(text, 1, 1000), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')" + "".join(f", '{p}', '[removed]', 'g')" for p in INJECTIONS) + ") AS digest FROM conversations")
-def sanitize(spark, sf, longest: int = 1000) -> DataFrame:
-    t = F.regexp_replace(F.substring("text", 1, longest), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+@query("str_11_sanitize", "SELECT conv_id, turn, md5(" + "regexp_replace(" * (len(INJECTIONS) + 1) + r"substr(text, 1, 5000), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')" + "".join(f", '{p}', '[removed]', 'g')" for p in INJECTIONS) + ") AS digest FROM conversations")
+def sanitize(spark, sf, longest: int = 5000) -> DataFrame:
+    """A question cut at the length that a prompt takes, without control characters and with injections replaced."""
+    t = F.regexp_replace(F.substring("text", 1, longest), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     for p in INJECTIONS:
         t = F.regexp_replace(t, p, "[removed]")
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(t).alias("digest"))

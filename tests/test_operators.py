@@ -1,6 +1,7 @@
 """Operators against values worked out by hand."""
 
 import datetime
+import random
 import re
 
 import pytest
@@ -119,6 +120,14 @@ def test_index_is_kept_amended_and_read_by_terms(spark, sf):
     assert search_index.build(docs.limit(0)).top(items).count() == 0 and index.scores(items.limit(0)).count() == 0
 
 
+def test_entities_of_texts_with_very_many(spark):
+    rng = random.Random(3)
+    texts = ["", "none", "1", "a1b22c", "12 é34", *("".join(rng.choice(["7", "12", "é", " ", "ab"]) for _ in range(n)) for n in (700, 300_000))]
+    got = joins.entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {(i, n, m.start(), m[0]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer("[0-9]+", t))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 70_000
+
+
 def test_filter_or_all(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert [r.x for r in relational.filter_or_all(df, F.col("x") == 2).collect()] == [2]
