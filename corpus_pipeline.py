@@ -17,17 +17,25 @@ from quillspark.llm import decontam, line_dedup, ngram_join, packing, quality, w
 from quillspark.llm.work import table
 
 
+def sheltered(docs: DataFrame, taken: set[str], stage) -> DataFrame:
+    """stage(docs) with the columns of docs: those named like ``taken``, which the stage makes itself, are put aside and come back."""
+    aside = {c: f"_{i}_aside" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    out = stage(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is trained on labelled documents of the input table."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+    return sheltered(docs, {"score", "predicted"}, lambda d: quality.score(d, model).filter("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but one each; a document that keeps no visible character goes with them."""
-    kept = line_dedup.apply(docs, line_dedup.build(docs))
+    index = line_dedup.build(docs)
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return kept.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = sheltered(docs, {"n_lines", "n_dropped"}, lambda d: line_dedup.apply(d, index).filter(~emptied))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
