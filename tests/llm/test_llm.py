@@ -748,3 +748,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_gives_extra_columns_back(spark, sf):
+    """Columns named like those that the stages make pass through; a table without n_chars does as well."""
+    import corpus_pipeline
+
+    extra = {"score": "concat('s', doc_id)", "Predicted": "doc_id + 1", "n_lines": "doc_id + 2", "n_dropped": "concat('d', doc_id)", "first_doc": "doc_id + 3", "lost_keys": "doc_id + 4", "item_id": "doc_id + 5"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = docs.drop("n_chars").selectExpr("*", *[f"{e} AS `{c}`" for c, e in extra.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {r["doc_id"]: r["text"] for r in stage(spark, docs, sf).collect()}
+        out = stage(spark, mine, sf)
+        assert out.columns == mine.columns and out.schema == mine.schema
+        got = out.selectExpr("doc_id", "text", *[f"`{c}` = {e} AS ok_{i}" for i, (c, e) in enumerate(extra.items())]).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == plain and all(all(r[2:]) for r in got)
