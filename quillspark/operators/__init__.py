@@ -4,6 +4,7 @@ tables. Those that stand beside their queries are imported when they are asked f
 import importlib
 
 _HOME = {
+    "quillspark.operators.dictionary": ("find_terms",),
     "quillspark.operators.hierarchy": ("depths", "on_cycles"),
     "quillspark.plans.chunking": ("boundaries", "cascade", "recursive_split", "sized"),
     "quillspark.plans.extraction": ("modality", "numbered", "suppress_overlaps"),

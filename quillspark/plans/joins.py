@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import jaccard, r6, tokens, words
+from quillspark.operators.dictionary import find_terms
 from quillspark.plans.relational import SENTENCES, sentences
 from quillspark.registry import query
 from quillspark.sources.tables import CHUNKS, chunks, table
@@ -148,16 +149,23 @@ def first_containing(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.inline(found))
 
 
-CONCEPTS = ["license", "version", "public"]
-_CONCEPT_VALUES = ", ".join(f"('{c}')" for c in CONCEPTS)
+_CONCEPTS = r"concepts AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 7)) AS concept FROM benchmark)"
 
 
-@query("jn_11_concept_links", f"WITH {CHUNKS}, c(concept) AS (VALUES {_CONCEPT_VALUES}) SELECT doc_id, chunk_index, concept, CASE WHEN chunk_index = 0 THEN 'DEFINES' ELSE 'EXPLAINS' END AS relation FROM chunks JOIN c ON contains(lower(text), concept)")
+def concept_table(spark, sf) -> DataFrame:
+    """The dictionary of concepts: the long words of the benchmark's items."""
+    return table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"), 7)).alias("term")).distinct()
+
+
+@query("jn_11_concept_links", f"WITH {CHUNKS}, {_CONCEPTS}, h AS (SELECT doc_id, chunk_index, concept, regexp_matches(text, '[0-9]') AS bound FROM chunks JOIN concepts ON contains(lower(text), concept)) SELECT doc_id, chunk_index, concept, CASE WHEN chunk_index = 0 THEN 'DEFINES' ELSE 'EXPLAINS' END AS relation FROM h UNION ALL SELECT doc_id, chunk_index, concept, 'APPLIES_TO' FROM h WHERE bound")
 def concept_links(spark, sf) -> DataFrame:
-    """Concepts of a fixed list that a chunk contains: the list is part of the expression, no join is needed."""
-    c = chunks(table(spark, sf, "documents")).withColumn("low", F.lower("text"))
-    hit = F.filter(F.array(*map(F.lit, CONCEPTS)), lambda x: F.contains(F.col("low"), x))
-    return c.select("doc_id", "chunk_index", F.explode(hit).alias("concept")).withColumn("relation", F.when(F.col("chunk_index") == 0, "DEFINES").otherwise("EXPLAINS"))
+    """Concepts of a table with the chunks that contain them: the first chunk of a document defines, others explain, and those that
+    hold a number, as constraints do, apply to them. One automaton holds all concepts."""
+    c = chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", "text", F.col("text").rlike("[0-9]").alias("bound"))
+    found = find_terms(c, ["doc_id", "chunk_index", "bound"], F.lower("text"), concept_table(spark, sf))
+    kind = F.when(F.col("chunk_index") == 0, "DEFINES").otherwise("EXPLAINS")
+    kinds = F.when(F.col("bound"), F.array(kind, F.lit("APPLIES_TO"))).otherwise(F.array(kind))
+    return found.select("doc_id", "chunk_index", F.col("term").alias("concept"), F.explode(kinds).alias("relation"))
 
 
 @query("jn_12_last_header", f"WITH {CHUNKS}, h AS (SELECT *, CASE WHEN length(text) < 60 THEN text END AS header FROM chunks) SELECT doc_id, chunk_index, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM h")
@@ -261,9 +269,11 @@ def spatial_pairs(spark, sf, near: float = 0.05) -> DataFrame:
     return j.select("a", "b", F.when(dx < dy, "above_below").otherwise("beside").alias("relation"))
 
 
-@query("jn_21_alias_reference", "WITH a(alias, kind) AS (VALUES ('license', 'table'), ('version', 'chart')) SELECT doc_id, alias, kind FROM documents JOIN a ON contains(lower(text), alias)")
+@query("jn_21_alias_reference", r"WITH a AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 5)[1] AS alias, min(item_id) AS element FROM benchmark GROUP BY 1) SELECT doc_id, alias, element, CASE WHEN element % 2 = 0 THEN 'table' ELSE 'chart' END AS kind FROM documents JOIN a ON contains(lower(text), alias)")
 def alias_reference(spark, sf) -> DataFrame:
-    """Elements that texts refer to by an alias; the dictionary is a fixed, small map."""
-    known = F.array(F.struct(F.lit("license").alias("alias"), F.lit("table").alias("kind")), F.struct(F.lit("version").alias("alias"), F.lit("chart").alias("kind")))
-    d = table(spark, sf, "documents").withColumn("low", F.lower("text"))
-    return d.select("doc_id", F.inline(F.filter(known, lambda x: F.contains(F.col("low"), x["alias"]))))
+    """Elements (items of the benchmark) that texts refer to by an alias, their first long word; of equal aliases the first counts."""
+    known = table(spark, sf, "benchmark").select(F.get(tokens(F.col("text"), 5), F.lit(0)).alias("alias"), "item_id")
+    known = known.filter("alias is not null").groupBy("alias").agg(F.min("item_id").alias("element"))
+    found = find_terms(table(spark, sf, "documents"), ["doc_id"], F.lower("text"), known.select(F.col("alias").alias("term")))
+    kind = F.when(F.col("element") % 2 == 0, "table").otherwise("chart")
+    return found.withColumnRenamed("term", "alias").join(known, "alias").select("doc_id", "alias", "element", kind.alias("kind"))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import search_index, traversal
+from quillspark.operators import dictionary, search_index, traversal
 from quillspark.plans import chunking, extraction, graph, joins, relational, retrieval, scalars, sinks, windows
 from quillspark.sources import formats
 from quillspark.streaming import tasks
@@ -128,6 +128,22 @@ def test_entities_of_texts_with_very_many(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 70_000
 
 
+def test_dictionary_of_ten_thousand_terms(spark, sf, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    own = {t[i : i + rng.choice((1, 3, 7, 15))] for t in texts.values() for i in (rng.randrange(max(1, len(t))) for _ in range(8))}
+    terms = sorted((own | {f"none{i}" for i in range(10_000)}) - {""})
+    d = spark.createDataFrame([(t,) for t in [*terms, terms[0], None, ""]], "term string")
+    want = {(i, t, x.find(t)) for i, x in texts.items() for t in terms if t in x}
+    for chars in (dictionary.PART_CHARS, 30_000):  # in one automaton, in several
+        monkeypatch.setattr(dictionary, "PART_CHARS", chars)
+        got = dictionary.find_terms(docs, ["doc_id"], F.col("text"), d).collect()
+        assert {(r["doc_id"], r["term"], r["first"]) for r in got} == want and len(got) == len(want)
+    [r] = dictionary.find_terms(spark.createDataFrame([("k", "aaaa"), ("l", None)], "id string, text string"), ["id"], F.col("text"), spark.createDataFrame([("aa",)], "term string")).collect()
+    assert tuple(r) == ("k", "aa", 0, 3) and dictionary.find_terms(docs, ["doc_id"], F.col("text"), d.limit(0)).count() == 0
+
+
 def test_filter_or_all(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert [r.x for r in relational.filter_or_all(df, F.col("x") == 2).collect()] == [2]
