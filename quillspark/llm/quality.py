@@ -7,18 +7,22 @@ occurrences. A document is the mean of its words' index vectors beside the mean
 hidden layer is trained on the standardised means; a temperature fitted on training rows it did not see makes its output a
 probability.
 
-The fit uses a bounded sample of labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``, those with the smallest hash of their doc_id, so
-the sample is the same wherever it runs). Scoring covers every row and the whole text, in one pass without a shuffle; the model's size is fixed.
+The fit uses a bounded sample of labelled rows (``TRAIN_ROWS``, those with the smallest hash of their doc_id, so the sample is the
+same wherever it runs), with their whole texts, which stay where they are: counts of words, sums of contexts (integers, so in any
+order) and pooled vectors are worked out in tasks, and the driver gets the vocabulary, its context vectors and a vector a row, all of
+bounded size. Scoring covers every row and the whole text, in one pass without a shuffle; the model's size is fixed.
 
 Defined cases: null and empty texts have a zero vector and are scored like any other; labels that are null or not 0 or 1 are not
-learnt from; with no usable label or a single class, the score of every row is that class's share (0.5 with none); a null doc_id
-counts as held out; an empty table gives an empty result; columns other than text are never read by a score.
+learnt from, and of conflicting labels of a document 1 counts; of a repeated doc_id the text with the smallest hash is learnt from; with
+no usable label or a single class, the score of every row is that class's share (0.5 with none); a null doc_id counts as held out; an
+empty table gives an empty result; columns other than text are never read by a score.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -27,16 +31,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import work
 
-#: Labelled rows that the fit may use, bytes of their texts, and of the rows how many in five are kept for the temperature.
-TRAIN_ROWS, TRAIN_BYTES, CALIBRATE_OF_5 = 6_000, 64 << 20, 1
+#: Labelled rows that the fit may use, the tasks that their texts are dealt to, and of the rows how many in five are kept for the
+#: temperature.
+TRAIN_ROWS, TRAIN_TASKS, CALIBRATE_OF_5 = 6_000, 8, 1
 #: Length of a vector, its non-zero places, words on either side that make a context, and words that have one: those that occur
 #: often enough in training, the most frequent first.
 DIM, NONZERO, WINDOW, VOCABULARY, LEAST = 128, 4, 2, 1 << 15, 3
+#: Characters of the longest word that has a context vector, distinct words that a task counts at a time, words in a piece of sums.
+LONGEST, COUNTED, PIECE = 64, 1 << 17, 512
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers, and words of a text that are summed at a time.
@@ -138,17 +144,14 @@ def pooled(words: Words, context: np.ndarray, text: str | None) -> np.ndarray:
     return out / max(1, len(every))
 
 
-def _vocabulary(texts: Iterable[str | None]) -> list[str]:
-    counts: Counter[str] = Counter()
-    for text in texts:
-        counts.update(words_of(text))
-    return [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= LEAST]
+def _vocabulary(counts: Iterable[tuple[str, int]]) -> list[str]:
+    return [w for w, n in sorted(counts, key=lambda x: (-x[1], x[0])) if n >= LEAST and len(w) <= LONGEST][:VOCABULARY]
 
 
-def _contexts(texts: Iterable[str | None], words: Words) -> np.ndarray:
-    """Context vectors of the vocabulary, of unit length: the index vectors of all words within the window, summed."""
+def _context_sums(texts: Iterable[str | None], words: Words) -> np.ndarray:
+    """For each word of the vocabulary the index vectors of all words within the window around its occurrences, summed."""
     n, size = len(words.vocabulary), len(words.places)
-    out = np.zeros((n, DIM), np.float32)
+    out = np.zeros((n, DIM), np.int32)
     for text in texts:
         every = words_of(text)
         for part in range(0, len(every), SUM):
@@ -157,23 +160,42 @@ def _contexts(texts: Iterable[str | None], words: Words) -> np.ndarray:
                 for a, b in ((own[:-d], own[d:]), (own[d:], own[:-d])):
                     pairs, times = np.unique((a * size + b)[a < n], return_counts=True)
                     a, b = pairs // size, pairs % size
-                    np.add.at(out, (a[:, None], words.places[b]), words.signs[b] * times[:, None].astype(np.float32))
+                    np.add.at(out, (a[:, None], words.places[b]), (words.signs[b] * times[:, None]).astype(np.int32))
+    return out
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    out = sums.astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
-    """Train on texts with labels 0 or 1; deterministic."""
+def calibrates(doc_id: object) -> bool:
+    """Whether a row is kept for the temperature."""
+    return zlib.crc32(f"{doc_id} calibrates".encode()) % 5 < CALIBRATE_OF_5
+
+
+def fit(texts: list[str | None], labels: np.ndarray, ids: list | None = None) -> Model:
+    """Train on texts with labels 0 or 1 in one process; deterministic, and what ``train`` gives for the same rows in order of doc_id."""
+    cal = np.array([calibrates(i) for i in (ids if ids is not None else range(len(texts)))], bool)
+    counts: Counter[str] = Counter()
+    for text, kept in zip(texts, cal, strict=True):
+        if not kept:
+            counts.update(words_of(text))
+    words = Words(_vocabulary(counts.items()))
+    context = _unit(_context_sums((t for t, kept in zip(texts, cal, strict=True) if not kept), words))
+    x = np.array([pooled(words, context, t) for t in texts]).reshape(len(texts), 2 * DIM)
+    return _network(words.vocabulary, context, x, np.asarray(labels), cal)
+
+
+def _network(vocabulary: list[str], context: np.ndarray, x: np.ndarray, labels: np.ndarray, kept: np.ndarray, seed: int = 3) -> Model:
+    """The model over pooled vectors; kept: rows that only the temperature learns from."""
     none = np.zeros(0)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.5
         return Model([], np.zeros((0, DIM), np.float32), none, none, none, none, none, 0.0, 1.0, share)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    n_cal = max(1, len(texts) * CALIBRATE_OF_5 // 5)
-    cal, train = order[:n_cal], order[n_cal:]
-    words = Words(_vocabulary(texts[i] for i in train))
-    context = _contexts((texts[i] for i in train), words)
-    x = np.array([pooled(words, context, t) for t in texts])
+    cal, train = np.flatnonzero(kept), np.flatnonzero(~kept)
+    train, cal = (train if len(train) else cal), (cal if len(cal) else train)
     y = labels.astype(float)
     mean, scale = x[train].mean(0), x[train].std(0) + 1e-6
     xs = (x - mean) / scale
@@ -192,20 +214,81 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Model:
     z = np.tanh(xs[cal] @ w[0] + w[1]) @ w[2] + w[3]
     heats = np.exp(np.linspace(np.log(0.25), np.log(8), 80))
     loss = [np.logaddexp(0, np.where(y[cal] > 0, -z, z) / t).mean() for t in heats]
-    return Model(words.vocabulary, context, mean, scale, w[0], w[1], w[2], float(w[3][0]), float(heats[int(np.argmin(loss))]))
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, and on ``max_bytes`` of text, no text more than a 64th of it."""
-    y = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    y = y.filter(~held_out(F.col("doc_id"))).select("doc_id", "quality", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # max_rows at most for unique doc_ids
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    so_far = F.sum(size).over(W.orderBy("turn", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.filter(size <= max_bytes // 64).withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "text", "quality").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    model = fit(rows["text"].tolist(), rows["quality"].to_numpy(int))
-    del rows
+    return Model(vocabulary, context, mean, scale, w[0], w[1], w[2], float(w[3][0]), float(heats[int(np.argmin(loss))]))
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """rows(text) -> word, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return batch
+
+        for b in batches:
+            for text in b.column(0):
+                every = words_of(text.as_py())
+                for i in range(0, len(every), SUM):
+                    counts.update(x for x in every[i : i + SUM] if len(x) <= LONGEST)
+                    if len(counts) > COUNTED:
+                        yield out()
+        yield out()
+
+    return rows.select("text").mapInArrow(work.task(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+
+
+def _contexts(rows: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """Context vectors of the vocabulary from rows(text): tasks' sums come in pieces and are added up before they reach the driver."""
+    given, key, n = rows.sparkSession.sparkContext.broadcast(vocabulary), ("contexts", uuid.uuid4().hex), len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = work.keep(key, lambda: Words(given.value))
+        sums = np.zeros((n, DIM), np.int32)
+        for b in batches:
+            sums += _context_sums((t.as_py() for t in b.column(0)), words)
+        parts = [sums[i : i + PIECE].tobytes() for i in range(0, n, PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["piece", "sums"])
+
+    def add(k, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"piece": [k[0]], "sums": [sum(np.frombuffer(x, np.int32) for x in pdf["sums"]).tobytes()]})  # a row a task
+
+    out = np.zeros((n, DIM), np.int32)
+    for r in rows.select("text").mapInArrow(work.task(run), "piece int, sums binary").groupBy("piece").applyInPandas(add, "piece int, sums binary").collect():  # VOCABULARY * DIM numbers in all
+        part = np.frombuffer(r["sums"], np.int32).reshape(-1, DIM)
+        out[r["piece"] * PIECE : r["piece"] * PIECE + len(part)] = part
+    return _unit(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
+    """Fit on at most ``max_rows`` labelled documents that are not held out, with their whole texts."""
+    work.small_batches(docs)
+    y = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    y = y.filter(~held_out(F.col("doc_id"))).select("doc_id", "quality", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(max_rows).drop("turn")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")  # max_rows rows of y
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("x"))  # repeated doc_ids
+    rows = work.cut(one.repartition(min(TRAIN_TASKS, work.tasks(docs.sparkSession)), "doc_id").select("doc_id", "x.text", "x.quality"), "quality-rows")
+    kept = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(" calibrates")).cast("binary")) % 5 < CALIBRATE_OF_5
+    learn = rows.filter(~kept)
+    counts = _word_counts(learn).filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    vocabulary = _vocabulary((r["word"], r["n"]) for r in counts)
+    context = _contexts(learn, vocabulary) if vocabulary else np.zeros((0, DIM), np.float32)
+    given, key = docs.sparkSession.sparkContext.broadcast((vocabulary, context)), ("pooled", uuid.uuid4().hex)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = work.keep(key, lambda: Words(given.value[0]))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([pooled(words, given.value[1], t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["doc_id", "quality", "x"])
+
+    got = rows.select("doc_id", "quality", "text").mapInArrow(work.task(pool), f"doc_id long, quality {dict(rows.dtypes)['quality']}, x binary").toPandas()  # max_rows vectors of a fixed length
+    got = got.sort_values("doc_id", kind="stable")
+    x = np.array([np.frombuffer(v) for v in got["x"]]).reshape(len(got), 2 * DIM)
+    model = _network(vocabulary, context, x, got["quality"].to_numpy(int), np.array([calibrates(i) for i in got["doc_id"]], bool))
+    work.drop(rows)
     work.tidy()
     return model
 

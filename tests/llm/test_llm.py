@@ -691,7 +691,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         return sorted(((r["doc_id"], r["text"]) for r in given.collect()), key=str)
 
     learn = [(i, rows[i], y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
-    m = quality.fit([t for _, t, _ in learn], np.array([y for _, _, y in learn]))
+    m = quality.fit([t for _, t, _ in learn], np.array([y for _, _, y in learn]), [i for i, _, _ in learn])
     words = quality.Words(m.vocabulary)
     kept = [(i, t) for i, t in order if m.score(quality.pooled(words, m.context, t)[None])[0] >= 0.7]
     assert step("quality_classifier") == sorted(kept, key=str)
