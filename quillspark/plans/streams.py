@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 
 from quillspark.registry import query
 from quillspark.sources.tables import table
-from quillspark.streaming import tasks
+from quillspark.streaming import task_queue, tasks
 
 NOW = "2024-01-31 00:00:00"
 
 
-@query("stm_01_retries", "WITH t AS (SELECT event_id % 500 AS task, value < 40 AS failed FROM events) SELECT task, count(*) FILTER (failed) + CAST(bool_or(NOT failed) AS INT) AS attempts, CASE WHEN bool_or(NOT failed) THEN 'completed' WHEN count(*) FILTER (failed) >= 3 THEN 'failed' ELSE 'queued' END AS status FROM t GROUP BY task")
+@query("stm_01_retries", """WITH t AS (SELECT event_id % 500 AS task, event_id, ts, value < 40 AS failed FROM events),
+r AS (SELECT *, coalesce(sum(CAST(failed AS INT)) OVER w, 0) AS bad, coalesce(sum(CAST(NOT failed AS INT)) OVER w, 0) AS good FROM t WINDOW w AS (PARTITION BY task ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT task, count(*) AS attempts, CASE WHEN bool_or(NOT failed) THEN 'completed' WHEN count(*) >= 3 THEN 'failed' ELSE 'queued' END AS status FROM r WHERE good = 0 AND bad < 3 GROUP BY task""")
 def retries(spark, sf) -> DataFrame:
-    e = tasks.stream_of(spark, sf).select((F.col("event_id") % 500).alias("task"), (F.col("value") < 40).alias("failed"), "ts")
+    e = tasks.stream_of(spark, sf).select((F.col("event_id") % 500).alias("task"), "event_id", (F.col("value") < 40).alias("failed"), "ts")
     return tasks.drain(tasks.retries(e), "retries", "update", ("task",))
 
 
+@query("stm_01_queue")
+def priority_queue(spark, sf) -> DataFrame:
+    """Eight queues of tasks with four priorities: events add tasks, three workers a queue take, complete and fail them."""
+    v = F.col("value")
+    op = F.when(v < 50, "add").when(v < 75, "next").when(v < 90, "complete").otherwise("fail")
+    e = tasks.stream_of(spark, sf).select((F.col("user_id") % 8).cast("string").alias("queue"), "event_id", "ts", op.alias("op"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("task"), (F.col("event_id") % 4).cast("int").alias("priority"), (F.col("event_id") % 3).cast("string").alias("worker"))
+    return task_queue.run(e, "queue")
+
+
 @query("stm_02_ttl", f"SELECT event_type, count(*) AS live FROM events WHERE ts + CASE event_type WHEN 'click' THEN INTERVAL 1 HOUR WHEN 'view' THEN INTERVAL 30 MINUTE ELSE INTERVAL 1 DAY END > TIMESTAMP '{NOW}' GROUP BY event_type")
 def ttl(spark, sf, now: str = NOW) -> DataFrame:
     """Entries that have not run out, each kind with its own time to live."""
@@ -27,14 +38,15 @@ def ttl(spark, sf, now: str = NOW) -> DataFrame:
 
 @query("stm_03_progress", "SELECT event_id % 500 AS task, max(event_id) AS last_event, count(*) AS updates FROM events GROUP BY 1")
 def progress(spark, sf) -> DataFrame:
-    """The last update of each task, by a stream in complete mode."""
-    e = tasks.stream_of(spark, sf).groupBy((F.col("event_id") % 500).alias("task")).agg(F.max("event_id").alias("last_event"), F.count("*").alias("updates"))
-    return tasks.drain(e, "progress", "complete")
+    """The last update of each task, from a stream whose state of a task expires."""
+    e = tasks.stream_of(spark, sf).select((F.col("event_id") % 500).alias("task"), "event_id", "ts")
+    return tasks.drain(tasks.progress(e), "progress", "update", ("task",))
 
 
 @query("stm_04_counters", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def counters(spark, sf) -> DataFrame:
-    c = tasks.drain(tasks.counters(tasks.stream_of(spark, sf)), "counters", "complete")
+    """Counts a day, user and type in update mode, so days behind the watermark leave the state."""
+    c = tasks.drain(tasks.counters(tasks.stream_of(spark, sf)), "counters", "update", ("day", "user_id", "event_type"))
     return c.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "n")
 
 

@@ -57,9 +57,16 @@ def sliding_limit(events: DataFrame, most: int, seconds: float, late: str = "1 h
     return by.applyInPandasWithState(run, "event_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _in_order(batches: Iterator):
+    import pandas as pd
+
+    return pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+
+
 def retries(events: DataFrame, most: int = 3, ttl: str = "1 hour", keep_seconds: float = 3600.0) -> DataFrame:
-    """events(task, failed, ts) -> (task, attempts, status): a failed attempt goes back to the queue until it has failed ``most`` times;
-    a task is forgotten when the watermark has passed its last attempt by ``keep_seconds``."""
+    """events(task, event_id, failed, ts) -> (task, attempts, status): a failed attempt goes back to the queue until it has failed ``most``
+    times; what comes after a success or the last failure is no attempt. A task is forgotten when the watermark has passed its last event
+    by ``keep_seconds``."""
 
     def run(key, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -68,40 +75,67 @@ def retries(events: DataFrame, most: int = 3, ttl: str = "1 hour", keep_seconds:
             state.remove()
             return
         failed, done = state.get if state.exists else (0, False)
-        last = 0
-        for pdf in batches:
-            failed += int(pdf["failed"].sum())
-            done = done or bool((~pdf["failed"]).any())
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
+        rows = _in_order(batches)
+        for bad in rows["failed"]:
+            if not done and failed < most:
+                failed, done = failed + int(bad), not bad
         state.update((failed, done))
-        _expire(state, last, keep_seconds)
+        _expire(state, int(rows["ts"].max().timestamp() * 1000), keep_seconds)
         status = "completed" if done else "failed" if failed >= most else "queued"
         yield pd.DataFrame({"task": [key[0]], "attempts": [failed + done], "status": [status]})
 
     return _timed(events, ttl).groupBy("task").applyInPandasWithState(run, "task long, attempts long, status string", "failed long, done boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Run a stream until its input is read, each batch going to a table in the shared folder, and read the table.
+def progress(events: DataFrame, late: str = "1 hour", keep_seconds: float = 3600.0) -> DataFrame:
+    """events(task, event_id, ts) -> (task, last_event, updates), a row a task and batch; a task is forgotten ``keep_seconds`` after its
+    last update."""
+
+    def run(key, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, n = state.get if state.exists else (-1, 0)
+        rows = _in_order(batches)
+        last, n = max(last, int(rows["event_id"].max())), n + len(rows)
+        state.update((last, n))
+        _expire(state, int(rows["ts"].max().timestamp() * 1000), keep_seconds)
+        yield pd.DataFrame({"task": [key[0]], "last_event": [last], "updates": [n]})
+
+    by = _timed(events, late).select("task", "event_id", "ts").groupBy("task")
+    return by.applyInPandasWithState(run, "task long, last_event long, updates long", "last long, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
-    append: all rows; complete: those of the last batch; update: the last row of each key.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
+
+def writer(path: str):
+    """A batch writer for ``foreachBatch`` that is keyed by the batch's number: a batch that is run again takes its own place."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
-    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
+
+def read_batches(spark: SparkSession, path: str, schema, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What ``writer`` has written: all rows, or with keys the row that the last batch gave for each."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    out = spark.read.schema(f"{fields}, batch long").parquet(path)
+    if keys:
+        rest = [f.name for f in schema if f.name not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+    return out.select(*[f.name for f in schema])
+
+
+def drain(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Run a stream until its input is read, each batch going to a table in the shared folder, and read the table: all rows, or in update
+    mode the last row of each key. With the path of an earlier run the stream goes on where that one ended."""
+    spark = df.sparkSession
+    path = path or new_folder(spark, name)
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # there is a table even if no batch comes
+    q = df.writeStream.foreachBatch(writer(path)).outputMode(mode).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(path)
-    if mode == "complete":
-        last = out.agg(F.max("batch").alias("last"))
-        out = out.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")
-    elif mode == "update":
-        rest = [c for c in df.columns if c not in keys]
-        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*").withColumn("batch", F.lit(0))
-    return out.select(*df.columns)
+    return read_batches(spark, path, df.schema, keys if mode == "update" else ())
