@@ -27,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=CELLS)
         if sketch.any():
-            cells = [x.tobytes() for x in sketch.astype("<i4").reshape(-1, PIECE)]
+            cells = [zlib.compress(x.tobytes(), 1) for x in sketch.astype("<i4").reshape(-1, PIECE)]
             k = len(cells)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(cells, pa.binary())], names)
 
@@ -114,15 +115,15 @@ def _sketch(survey: DataFrame) -> np.ndarray:
         import pandas as pd
 
         total = np.zeros(PIECE, np.int64)
-        for x in pdf["cells"]:
+        for x in map(zlib.decompress, pdf["cells"]):
             total += np.frombuffer(x, "<i4" if len(x) == 4 * PIECE else "<i8")
-        return pd.DataFrame({"piece": [key[0]], "cells": [total.tobytes()]})
+        return pd.DataFrame({"piece": [key[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
 
     parts = survey.filter("piece is not null").select("piece", "cells", F.floor(F.rand(5) * 16).cast("int").alias("salt"))
     once = parts.groupBy("piece", "salt").applyInPandas(add, "piece int, cells binary")
     out = np.zeros(CELLS, np.int64)
     for r in once.groupBy("piece").applyInPandas(add, "piece int, cells binary").collect():  # CELLS * 8 bytes in all
-        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["cells"], "<i8")
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(r["cells"]), "<i8")
     return out
 
 
@@ -357,12 +358,13 @@ def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     return out
 
 
-def _postings(prefixes: DataFrame) -> DataFrame:
+def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     """(token, salt, parts, doc, short, hub) of the lists with a hub and others, stored; hub: the smallest set that holds the shingle
-    in its short prefix. Only sets behind their hub are given.
+    in its short prefix. Only sets behind their hub are given, and of equal sets only that of reps(doc_id).
 
-    Postings are shuffled once. A list that the sketch expects to be long is dealt out by ``salt`` to ``parts`` tasks; its hub is the
-    least of those of its parts, which meets them again by shingle and salt.
+    All postings are shuffled once, to find the shingles that several documents hold; prefixes themselves are not. A list that the
+    sketch expects to be long is dealt out by ``salt`` to ``parts`` tasks; its hub is the least of those of its parts, which meets them
+    again by shingle and salt.
     """
     size = F.size("prefix") - F.size("hot")  # shingles before the frequent ones
     at = F.posexplode("prefix").alias("at", "token")
@@ -370,6 +372,8 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     parts = F.when(F.col("at") < F.col("light"), F.lit(1)).otherwise(F.get("hot", F.col("at") - F.col("light")))
     rows = rows.select("token", F.pmod(F.xxhash64("doc.doc_id"), parts).cast("int").alias("salt"), parts.alias("parts"), "doc", (F.col("at") < F.col("k")).alias("short"))
     own = W.partitionBy("token", "salt")
+    rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).filter("parts > 1 or held > 1").drop("held")
+    rows = rows.join(reps.select(F.col("doc_id").alias("rep")), F.col("doc.doc_id") == F.col("rep"), "left_semi")
     rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).withColumn("hub", F.min(F.when(F.col("short"), F.col("doc"))).over(own))
     rows = rows.filter("parts > 1 or (held > 1 and hub is not null and doc > hub)")
     near = work.cut(rows.select("token", "salt", "parts", "doc", "short", "hub"), "lists")
@@ -404,10 +408,10 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     given = docs.sparkSession.sparkContext.broadcast(np.maximum(sketch - floor, 0).astype(np.int32))
     classes = work.cut(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    prefixes = work.cut(_prefixes(docs, given, words, similarity).join(reps, "doc_id", "left_semi"), "prefixes")
+    prefixes = work.cut(_prefixes(docs, given, words, similarity), "prefixes")
 
     # In a list, sets are met in the order of their size; the smaller of a pair must hold the shingle in its short prefix.
-    active = _postings(prefixes)
+    active = _postings(prefixes, reps)
     fits = F.col("hub.n") * 100 >= F.col("doc.n") * similarity
     met = work.cut(active.filter(fits).select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct(), "met")
     links = _verify(met, prefixes, docs, words, similarity)
