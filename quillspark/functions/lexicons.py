@@ -16,7 +16,10 @@ LEVELS = {
 #: Modality classes in the order in which they are tried; what fits none is the first.
 MODALITY = {
     "generic": [("mandatory", "must|shall"), ("prohibited", "may not|never"), ("permitted", "may|can"), ("conditional", "if|when")],
-    "ru": [("mandatory", "обязан|долж(ен|на|но|ны)|следует"), ("prohibited", "запреща|не допуска|не может|не вправе"), ("permitted", "вправе|может|допуска|разреша"), ("conditional", "если|в случае|при условии")],
+    "ru": [
+        ("mandatory", "обязан|долж(ен|на|но|ны)|следует|необходимо|требуется|подлежит|в обязательном порядке|обязательно"), ("prohibited", "запреща|не допуска|не может|не вправе|не имеет права|недопустимо|исключается"),
+        ("permitted", "вправе|может|имеет право|допуска|разреша|позволяется"), ("conditional", "если|в случае|при условии|при наличии|при соблюдении|при выполнении"),
+    ],
 }
 
 #: References to articles and laws, with the number as group 1.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import WORD, cosine, jaccard, r6, tokens, words
 from quillspark.plans.relational import nearest_to_one
+from quillspark.functions.numbers import amount, spelled
 from quillspark.registry import query
 from quillspark.sources.tables import table
 
@@ -312,6 +313,15 @@ def magnitude(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", (F.round("value", 2) * factor).alias("amount"))
 
 
+@query("mth_04_number_words", "SELECT event_id, ((event_id * 7919 + CAST(round(value * 1000000) AS BIGINT)) % 1000000000)::DOUBLE AS amount, event_id % 3 = 0 AS share FROM events")
+def number_words(spark, sf) -> DataFrame:
+    """Numbers below a thousand million, written out in words within a sentence and read again, some of them as percentages."""
+    e = table(spark, sf, "events")
+    n = (F.col("event_id") * 7919 + F.round(F.col("value") * 1000000).cast("long")) % 1000000000
+    text = F.concat(F.lit("No more than "), F.array_join(spelled(n), " "), F.when(F.col("event_id") % 3 == 0, " percent").otherwise(" days"))
+    return e.select("event_id", amount(text).alias("a")).select("event_id", F.col("a.value").alias("amount"), F.col("a.share").alias("share"))
+
+
 @query("arr_01_codec", r"WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark) SELECT item_id, array_to_string(ws, '|') AS piped, to_json(ws)::VARCHAR AS js, len(string_split(array_to_string(ws, '|'), '|')) AS n FROM w")
 def codec(spark, sf) -> DataFrame:
     """Arrays as pipe-joined text and as JSON, and read back."""

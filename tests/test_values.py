@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark import registry
+from quillspark.functions import lexicons, numbers
 from quillspark.operators import hierarchy
 from quillspark.plans import chunking, retrieval, sinks
 from quillspark.sources import formats
@@ -199,3 +200,22 @@ def test_headers_overviews_and_tags():
     assert [h for *_, h in got] == ["Alpha" if p.startswith(("Alpha", "One")) else "Beta" for _, p, _, _ in got] and {"Alpha", "Beta"} == {h for *_, h in got}
     last = chunking.tagged(text)[-1]
     assert last[3:] == ("It must hold 5 things.", "number,modal", 1.7) and chunking.tagged("") == [] and chunking.structured("") == []
+
+
+def test_number_words_of_both_languages(spark):
+    cases = {
+        "en": [("zero", 0, False), ("seventeen days", 17, False), ("not less than twenty-five percent", 25, True), ("two hundred and six thousand and forty", 206_040, False), ("a hundred", 100, False), ("three million", 3e6, False), ("thousand", 1000, False),
+               ("one billion two million three thousand four", 1_002_003_004, False), ("about 3,5 million", 3.5e6, False), ("1 250 000 in all", 1_250_000, False), ("15%", 15, True), ("no amount", None, False), ("tone and bandit", None, False)],
+        "ru": [("не менее двадцати пяти процентов", 25, True), ("тридцать календарных дней", 30, False), ("сто двадцать три тысячи четыреста пять", 123_405, False), ("два миллиона рублей", 2e6, False), ("3,5 млн", 3.5e6, False), ("10 тыс. рублей", 10_000, False), ("пятьсот", 500, False), ("восемьдесят %", 80, True), ("одна тысяча", 1000, False), ("слова", None, False)],
+    }
+    for pack, rows in cases.items():
+        df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string").select("t", numbers.amount(F.col("t"), pack).alias("a")).collect()
+        assert {r["t"]: (r["a"]["value"], r["a"]["share"]) for r in df} == {t: (v if v is None else float(v), s) for t, v, s in rows}
+    steps = spark.range(0, 1_000_000_000, 99_991).union(spark.range(0, 1300)).union(spark.createDataFrame([(10**9 - 1,), (10**9,), (10**12 - 1,)], "id long"))
+    assert steps.filter(~numbers.number_of(numbers.spelled(F.col("id"))).eqNullSafe(F.col("id").cast("double"))).count() == 0
+
+
+def test_modality_of_all_forms(spark):
+    rows = {"необходимо уведомить": "mandatory", "подлежит возврату": "mandatory", "не имеет права": "prohibited", "недопустимо": "prohibited", "имеет право": "permitted", "при наличии": "conditional"}
+    got = {t: next((k for k, p in lexicons.MODALITY["ru"] if re.search(p, t)), None) for t in rows}
+    assert got == rows
