@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.stemmer import russian_stem
 from quillspark.functions.text import counted, jaccard, r6, tokens
 from quillspark.operators import search_index
 from quillspark.operators.search_index import BROADCAST_TERMS, FLOOR, K1, B
@@ -174,8 +175,9 @@ _STEMS = f"list_transform({_TOK}, lambda w: regexp_replace(w, '{ENDINGS}', ''))"
 @query("ret_04_text_rank", f"""WITH tk AS (SELECT doc_id, {_STEMS} AS ts FROM documents), q AS (SELECT item_id, unnest(list_distinct({_STEMS})) AS term FROM benchmark), d AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM tk),
 s AS (SELECT item_id, doc_id, round(count(*) / (1 + ln(1 + n)), 6) AS rank FROM d JOIN q USING (term) GROUP BY item_id, doc_id, n) SELECT item_id, doc_id, rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, doc_id) <= 10""")
 def text_rank(spark, sf, k: int = 10) -> DataFrame:
-    """Frequency of the query's stems over one plus the log of the length, the best ten of each query. Stems drop common endings."""
-    stems = lambda c: F.transform(tokens(c), lambda w: F.regexp_replace(w, ENDINGS, ""))
+    """Frequency of the query's stems over one plus the log of the length, the best ten of each query. Russian words have their
+    Snowball stems, others drop common endings."""
+    stems = lambda c: F.transform(tokens(c), lambda w: F.when(w.rlike("[а-яё]"), russian_stem(w)).otherwise(F.regexp_replace(w, ENDINGS, "")))
     q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(stems(F.col("text")))).alias("term"))
     d = table(spark, sf, "documents").select("doc_id", stems(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.inline(counted(F.col("ts"))))
     s = d.join(bounded(q, BROADCAST_TERMS), "term").groupBy("item_id", "doc_id", "n").agg(F.sum("tf").alias("tf"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.functions import lexicons, numbers
+from quillspark.functions import lexicons, numbers, stemmer
 from quillspark.operators import hierarchy
 from quillspark.plans import chunking, retrieval, sinks
 from quillspark.sources import formats
@@ -219,3 +219,15 @@ def test_modality_of_all_forms(spark):
     rows = {"необходимо уведомить": "mandatory", "подлежит возврату": "mandatory", "не имеет права": "prohibited", "недопустимо": "prohibited", "имеет право": "permitted", "при наличии": "conditional"}
     got = {t: next((k for k, p in lexicons.MODALITY["ru"] if re.search(p, t)), None) for t in rows}
     assert got == rows
+
+
+def test_russian_stems(spark):
+    """Words and stems that the published description of the algorithm gives."""
+    want = """в в вавиловка вавиловк вагнера вагнер вагон вагон вагона вагон вагоне вагон вагонов вагон вагоном вагон вагоны вагон важная важн важнее важн важнейшие важн важнейшими важн важничал важнича важно важн важного важн
+    важной важн важности важност важностию важност важность важност важностью важност важную важн важный важн важных важн вазах ваз вазы ваз вакса вакс вал вал валандался валанда валентина валентин валериановых валерианов
+    валерию валер валетами валет п п па па пава пав павел павел павильонам павильон павла павл павлиний павлин павлиньи павлин павлиньим павлин павлович павлович павловна павловн падает пада падай пада падал пада падаль падал
+    падать пада падаю пада падающего пада падающие пада падеж падеж падение паден падением паден паденье паден падет падет падут падут падучая падуч падчерицей падчериц падшая падш падшему падш""".split()
+    pairs = dict(zip(want[::2], want[1::2], strict=True)) | {"": "", "abc": "abc", "длинный": "длин", "её": "е"}
+    got = spark.createDataFrame([(w,) for w in pairs], "w string").select("w", stemmer.russian_stem(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in got} == pairs
+
