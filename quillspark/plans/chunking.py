@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from bisect import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.lexicons import LEVELS
-from quillspark.functions.text import r6
+from quillspark.functions.text import r6, tokens
 from quillspark.operators.hierarchy import depths
 from quillspark.plans.joins import WINDOWS, fixed_windows
 from quillspark.registry import query
@@ -88,14 +88,52 @@ def cascade_query(spark, sf) -> DataFrame:
     return per_document(table(spark, sf, "documents"), cascade, "doc_id long, level string, path string, start long, end long")
 
 
-@query("chk_04_enrichment", rf"WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, CASE WHEN regexp_matches(text, '(?i)must|shall') THEN 'mandatory' WHEN regexp_matches(text, '(?i)may not') THEN 'prohibited' ELSE 'none' END AS modality, len(regexp_extract_all(text, '[0-9]+')) AS refs, len(regexp_extract_all(text, '%')) AS limits FROM chunks) SELECT doc_id, chunk_index, modality, refs, round(least(2, 1 + CASE WHEN modality <> 'none' THEN 0.5 ELSE 0 END + CASE WHEN limits > 0 THEN 0.3 ELSE 0 END + 0.2 * refs), 6)::DOUBLE AS importance FROM e")
+#: Constraints with their patterns, concepts with their terms, and endings of abstract nouns: a generic pack.
+CONSTRAINTS = {
+    "percent": r"(?:not more than |at least |less than |more than )?[0-9]+(?:[.,][0-9]+)? ?(?:%|percent)", "period": r"(?:not more than |at least |within )?[0-9]+ (?:days?|weeks?|months?|years?)",
+    "amount": r"(?:not more than |at least )?[0-9]+(?:[.,][0-9]+)? (?:usd|euros?|dollars?)",
+}
+CONCEPT_TERMS = {"licensing": ["license", "copyright"], "warranty": ["warranty", "without any"], "publication": ["public", "publish"], "contact": ["@", "http"]}
+_NOUNS = r"([a-z]{2,}(?:tion|ment|ness|ship|ance|ence|ity))(?:[^a-z]|$)"
+_LEVELS = "CASE WHEN regexp_matches(t, 'must|shall') THEN 'mandatory' WHEN regexp_matches(t, 'may not') THEN 'prohibited' ELSE 'none' END"
+_FOUND = " || ".join(f"list_transform(regexp_extract_all(t, '{p}'), lambda x: '{k}:' || x)" for k, p in CONSTRAINTS.items())
+_HELD = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in CONCEPT_TERMS.items())
+
+
+@query("chk_04_enrichment", rf"""WITH {CHUNKS}, l AS (SELECT doc_id, chunk_index, lower(text) AS t FROM chunks),
+e AS (SELECT doc_id, chunk_index, {_LEVELS} AS modality, len(regexp_extract_all(t, '[0-9]+')) AS refs, {_FOUND} AS constraints, list_filter([{_HELD}], lambda c: c IS NOT NULL) AS concepts,
+  regexp_extract_all(t, '{_NOUNS}', 1) AS nouns, list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 3) AS ws FROM l),
+k AS (SELECT *, list_transform(list_filter(list_transform(nouns, lambda w, i: CASE WHEN list_position(nouns, w) = i THEN w END), lambda w: w IS NOT NULL)[1:10], lambda w: w) AS terms, list_filter(list_transform(ws, lambda w, i: CASE WHEN list_position(ws, w) = i THEN w END), lambda w: w IS NOT NULL) AS own FROM e)
+SELECT doc_id, chunk_index, modality, refs, array_to_string(constraints, ';') AS constraints, array_to_string(concepts, ';') AS concepts, array_to_string(terms, ';') AS key_terms,
+  array_to_string((concepts || terms || list_filter(own, lambda w: NOT list_contains(terms, w) AND NOT list_contains(concepts, w)))[1:15], ';') AS keywords,
+  round(least(2, 1 + CASE WHEN modality <> 'none' THEN 0.5 ELSE 0 END + CASE WHEN len(constraints) > 0 THEN 0.3 ELSE 0 END + 0.2 * refs), 6)::DOUBLE AS importance FROM k""")
 def enrichment(spark, sf) -> DataFrame:
-    """Modality, references and importance: 1, with 0.5 and 0.3 for modality and limits and 0.2 a reference, at most 2."""
-    t = F.col("text")
-    modality = F.when(t.rlike("(?i)must|shall"), "mandatory").when(t.rlike("(?i)may not"), "prohibited").otherwise("none")
-    refs, limits = F.regexp_count(t, F.lit("[0-9]+")), F.regexp_count(t, F.lit("%"))
-    imp = F.least(F.lit(2.0), 1 + F.when(modality != "none", 0.5).otherwise(0.0) + F.when(limits > 0, 0.3).otherwise(0.0) + 0.2 * refs)
-    return chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", modality.alias("modality"), refs.cast("long").alias("refs"), r6(imp).alias("importance"))
+    """What a chunk is about, in one projection: modality, numerical constraints by kind with their operator, concepts, at most ten key
+    terms, keywords to search by (concepts and key terms first), references, and importance: 1, with 0.5 and 0.3 for modality and
+    constraints and 0.2 a reference, at most 2."""
+    t = F.col("t")
+    modality = F.when(t.rlike("must|shall"), "mandatory").when(t.rlike("may not"), "prohibited").otherwise("none")
+    found = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), 0), _prefixed(k)) for k, p in CONSTRAINTS.items()])
+    concepts = F.array_compact(F.array(*[F.when(_any_of(t, ws), k) for k, ws in CONCEPT_TERMS.items()]))
+    e = chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", F.lower("text").alias("t")).select(
+        "doc_id", "chunk_index", modality.alias("modality"), F.regexp_count(t, F.lit("[0-9]+")).cast("long").alias("refs"), found.alias("found"), concepts.alias("held"),
+        F.slice(F.array_distinct(F.regexp_extract_all(t, F.lit(_NOUNS), 1)), 1, 10).alias("terms"), F.array_distinct(tokens(t, 3)).alias("own"),
+    )
+    imp = F.least(F.lit(2.0), 1 + F.when(F.col("modality") != "none", 0.5).otherwise(0.0) + F.when(F.size("found") > 0, 0.3).otherwise(0.0) + 0.2 * F.col("refs"))
+    rest = F.filter("own", lambda w: ~F.array_contains("terms", w) & ~F.array_contains("held", w))
+    joined = lambda c, name: F.array_join(c, ";").alias(name)
+    return e.select("doc_id", "chunk_index", "modality", "refs", joined("found", "constraints"), joined("held", "concepts"), joined("terms", "key_terms"), joined(F.slice(F.concat("held", "terms", rest), 1, 15), "keywords"), r6(imp).alias("importance"))
+
+
+def _prefixed(kind: str):
+    return lambda v: F.concat(F.lit(f"{kind}:"), v)
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    hit = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
 
 
 def sized(text: str, least: int = 100, best: int = 1000, most: int = 2000) -> list[tuple]:
@@ -286,11 +324,12 @@ def fixed(spark, sf, size: int = 1000) -> DataFrame:
     return d.select("doc_id", "chunk_index", F.substring("text", F.col("chunk_index") * size + 1, F.lit(size)).alias("chunk"))
 
 
-@query("chk_13_articles", f"WITH {CHUNKS}, h AS (SELECT doc_id, chunk_index, text, length(text) < 60 AS head FROM chunks), p AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS article FROM h) SELECT doc_id, CAST(article AS BIGINT) AS article, max(CASE WHEN head THEN text END) AS title, coalesce(string_agg(CASE WHEN NOT head THEN text END, chr(10) ORDER BY chunk_index), '') AS body FROM p WHERE article > 0 GROUP BY doc_id, article")
+@query("chk_13_articles", f"WITH {CHUNKS}, h AS (SELECT doc_id, chunk_index, text, length(text) < 60 AS head, CASE WHEN length(text) < 25 THEN text END AS chapter FROM chunks), p AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER w AS article, last_value(chapter IGNORE NULLS) OVER w AS under FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT doc_id, CAST(article AS BIGINT) AS article, max(CASE WHEN head THEN under END) AS chapter, max(CASE WHEN head THEN text END) AS title, coalesce(string_agg(CASE WHEN NOT head THEN text END, chr(10) ORDER BY chunk_index), '') AS body FROM p WHERE article > 0 GROUP BY doc_id, article")
 def articles(spark, sf) -> DataFrame:
-    """Articles with title and body: lines gather under the last header."""
+    """Articles with chapter, title and body: lines gather under the last header, and headers under the last very short line."""
     head = F.length("text") < 60
-    w = W.partitionBy("doc_id").orderBy("chunk_index")
-    p = chunks(table(spark, sf, "documents")).withColumn("head", head).withColumn("article", F.sum(F.col("head").cast("int")).over(w)).filter("article > 0")
+    w = W.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, 0)
+    p = chunks(table(spark, sf, "documents")).withColumn("head", head).withColumn("article", F.sum(F.col("head").cast("int")).over(w))
+    p = p.withColumn("under", F.last(F.when(F.length("text") < 25, F.col("text")), ignorenulls=True).over(w)).filter("article > 0")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("chunk_index", "text")))), lambda x: x["text"]), "\n")
-    return p.groupBy("doc_id", "article").agg(F.max(F.when(F.col("head"), F.col("text"))).alias("title"), body.alias("body"))
+    return p.groupBy("doc_id", "article").agg(F.max(F.when(F.col("head"), F.col("under"))).alias("chapter"), F.max(F.when(F.col("head"), F.col("text"))).alias("title"), body.alias("body"))

@@ -64,6 +64,18 @@ def bulk_duplicates_query(spark, sf) -> DataFrame:
     return bulk_duplicates(f, f, earlier=True)
 
 
+def duplicate_summary(known: DataFrame) -> DataFrame:
+    """bulk_duplicates() -> total_files, duplicates_found, new_files and duplicate_rate in percent (0 for no files)."""
+    n, found = F.count("*"), F.count_if(F.col("kind") != "new")
+    return known.agg(n.alias("total_files"), found.alias("duplicates_found"), F.count_if(F.col("kind") == "new").alias("new_files"), F.when(n > 0, r6(100 * found / n)).otherwise(0.0).alias("duplicate_rate"))
+
+
+@query("jn_05_summary", """WITH j AS (SELECT count(*) OVER (PARTITION BY sha256(text) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h, count(*) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM documents)
+SELECT count(*) AS total_files, count(*) FILTER (h > 0 OR n > 0) AS duplicates_found, count(*) FILTER (h = 0 AND n = 0) AS new_files, round(100.0::DOUBLE * count(*) FILTER (h > 0 OR n > 0) / count(*), 6) AS duplicate_rate FROM j""")
+def bulk_duplicates_summary(spark, sf) -> DataFrame:
+    return duplicate_summary(bulk_duplicates_query(spark, sf))
+
+
 @query("jn_06_default_zero", "SELECT d.doc_id, coalesce(l.quality, 0) AS semantic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def default_zero(spark, sf) -> DataFrame:
     l_ = table(spark, sf, "labels").select("doc_id", "quality")
@@ -127,14 +139,25 @@ def zone_overlap(spark, sf) -> DataFrame:
     return z.join(fixed_windows(d), ["doc_id", "k"]).filter("not (b < lo or a > hi)").select("doc_id", "nth", "k")
 
 
-@query("jn_09_near_pairs", f"WITH {ENTITIES} SELECT a.doc_id, a.nth AS i, b.nth AS j, CASE WHEN length(a.value) = length(b.value) THEN 'SAME_KIND' ELSE 'NEAR' END AS relation FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.nth < b.nth AND abs(b.pos - a.pos) < 200")
+#: Kinds of numbers by their length, and the relation that two kinds have, whichever comes first; others are near each other.
+NUMBER_KINDS = {1: "ordinal", 2: "ordinal", 4: "year"}
+PAIR_RULES = {("year", "year"): "PERIOD", ("ordinal", "year"): "DATED", ("ordinal", "ordinal"): "LISTED", ("amount", "year"): "VALUED_AT"}
+_KIND_SQL = "CASE length({0}) " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in NUMBER_KINDS.items()) + " ELSE 'amount' END"
+_RULE_SQL = "CASE " + " ".join(f"WHEN least(k, m) = '{a}' AND greatest(k, m) = '{b}' THEN '{r}'" for (a, b), r in PAIR_RULES.items()) + " ELSE 'NEAR' END"
+
+
+@query("jn_09_near_pairs", f"WITH {ENTITIES}, t AS (SELECT *, {_KIND_SQL.format('value')} AS kind FROM ents), p AS (SELECT a.doc_id, a.nth AS i, b.nth AS j, a.kind AS k, b.kind AS m FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.nth < b.nth AND abs(b.pos - a.pos) < 200) SELECT doc_id, i, j, {_RULE_SQL} AS relation FROM p")
 def near_pairs(spark, sf, within: int = 200) -> DataFrame:
-    """Pairs of entities of a document less than 200 characters apart: cells of that size and their neighbours are joined."""
-    e = entities(table(spark, sf, "documents")).withColumn("cell", F.floor(F.col("pos") / within))
-    a = e.select("doc_id", F.col("nth").alias("i"), F.col("pos").alias("p"), F.col("value").alias("v"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    b = e.select("doc_id", F.col("nth").alias("j"), F.col("pos").alias("q"), F.col("value").alias("w"), "cell")
+    """Pairs of entities of a document less than 200 characters apart, with the relation that a table of rules gives for their kinds:
+    cells of that size and their neighbours are joined."""
+    kind = F.coalesce(*[F.when(F.length("value") == n, k) for n, k in NUMBER_KINDS.items()], F.lit("amount"))
+    e = entities(table(spark, sf, "documents")).withColumn("cell", F.floor(F.col("pos") / within)).withColumn("kind", kind)
+    a = e.select("doc_id", F.col("nth").alias("i"), F.col("pos").alias("p"), F.col("kind").alias("k"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+    b = e.select("doc_id", F.col("nth").alias("j"), F.col("pos").alias("q"), F.col("kind").alias("m"), "cell")
     p = a.join(b, ["doc_id", "cell"]).filter((F.col("i") < F.col("j")) & (F.abs(F.col("q") - F.col("p")) < within))
-    return p.select("doc_id", "i", "j", F.when(F.length("v") == F.length("w"), "SAME_KIND").otherwise("NEAR").alias("relation"))
+    rules = F.create_map(*[F.lit(x) for (k, m), r in PAIR_RULES.items() for x in (f"{k} {m}", r)])
+    pair = F.concat_ws(" ", F.least("k", "m"), F.greatest("k", "m"))
+    return p.select("doc_id", "i", "j", F.coalesce(F.try_element_at(rules, pair), F.lit("NEAR")).alias("relation"))
 
 
 @query("jn_10_first_containing", f"WITH {CHUNKS}, e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents) SELECT e.doc_id, e.value, coalesce(min(c.chunk_index), 0) AS chunk_index FROM e LEFT JOIN chunks c ON c.doc_id = e.doc_id AND contains(c.text, e.value) GROUP BY e.doc_id, e.value")

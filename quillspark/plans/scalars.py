@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +74,32 @@ def context_query(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", context(F.col("text"), "license").alias("context"))
 
 
+#: References that stay one token, with what joins their parts: a law's number, an article with and without a part. A point within a
+#: reference is put aside as a private character while marks are dropped.
+_POINT = "\ue000"
+REFERENCE_TOKENS = [
+    (r"([0-9]+)(-?) ?(фз|act)", r"\1\2\3"), (r"(статья|article|section|version)\s+([0-9]+)[.]([0-9]+)", rf"\1_\2{_POINT}\3"), (r"(статья|article|section|version)\s+([0-9]+)", r"\1_\2"),
+]
+
+
 def protected_tokens(text: Column, phrases: list[str]) -> Column:
-    """Lower-cased white-space tokens longer than two, without marks; phrases stay one token (joined by an underscore)."""
+    """Lower-cased white-space tokens longer than two, without marks; phrases, law numbers and articles stay one token each."""
     t = F.lower(text)
     for p in phrases:
         t = F.replace(t, F.lit(p), F.lit(p.replace(" ", "_")))
+    for p, r in REFERENCE_TOKENS:
+        t = F.regexp_replace(t, p, re.sub(r"\\([0-9])", r"$\1", r))
     long_ = F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 2)
-    return F.filter(F.transform(long_, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")), lambda w: w != "")
+    clean = F.transform(long_, lambda w: F.replace(F.regexp_replace(w, rf"[^\p{{L}}\p{{N}}_{_POINT}-]", ""), F.lit(_POINT), F.lit(".")))
+    return F.filter(clean, lambda w: w != "")
+
+
+_PROTECTED = "replace(replace(lower(text), 'public license', 'public_license'), 'of the', 'of_the')"
+for _p, _r in REFERENCE_TOKENS:
+    _PROTECTED = f"regexp_replace({_PROTECTED}, '{_p}', '{_r}', 'g')"
 
 
-@query("str_04_tokenizer", r"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(replace(replace(lower(text), 'public license', 'public_license'), 'of the', 'of_the'), '\s+'), lambda w: length(w) > 2), lambda w: regexp_replace(w, '[^\p{L}\p{N}_-]', '', 'g')), lambda w: w <> ''), ' ') AS tokens FROM documents")
+@query("str_04_tokenizer", rf"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array({_PROTECTED}, '\s+'), lambda w: length(w) > 2), lambda w: replace(regexp_replace(w, '[^\p{{L}}\p{{N}}_{_POINT}-]', '', 'g'), '{_POINT}', '.')), lambda w: w <> ''), ' ') AS tokens FROM documents")
 def tokenizer(spark, sf) -> DataFrame:
     t = protected_tokens(F.col("text"), ["public license", "of the"])
     return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("tokens"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import registry
 from quillspark.functions import lexicons, numbers, stemmer
 from quillspark.operators import hierarchy
-from quillspark.plans import chunking, retrieval, sinks
+from quillspark.plans import chunking, retrieval, scalars, sinks
 from quillspark.sources import formats
 from quillspark.streaming import tasks
 
@@ -231,3 +231,9 @@ def test_russian_stems(spark):
     got = spark.createDataFrame([(w,) for w in pairs], "w string").select("w", stemmer.russian_stem(F.col("w")).alias("s")).collect()
     assert {r["w"]: r["s"] for r in got} == pairs
 
+
+def test_references_stay_one_token(spark):
+    rows = {"По статье: Статья 7.1, закон 44 - нет, 115-ФЗ и 44 ФЗ!": ["статье", "статья_7.1", "закон", "нет", "115-фз", "44фз"], "see Article  12 of the public license, version 2.0.": ["see", "article_12", "of_the", "public_license", "version_2.0"]}
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", scalars.protected_tokens(F.col("t"), ["public license", "of the"]).alias("w")).collect()
+    assert {r["t"]: r["w"] for r in got} == rows
+
