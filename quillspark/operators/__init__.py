@@ -8,6 +8,7 @@ _HOME = {
     "quillspark.operators.hierarchy": ("depths", "on_cycles"),
     "quillspark.plans.chunking": ("boundaries", "cascade", "recursive_split", "sized"),
     "quillspark.plans.extraction": ("modality", "numbered", "suppress_overlaps"),
+    "quillspark.operators.periods": ("between", "daily", "retention", "rolling"),
     "quillspark.operators.search_index": ("build", "kept", "open_index"),
     "quillspark.operators.traversal": ("inner_edges", "traverse", "within"),
     "quillspark.plans.graph": ("find_nodes",),

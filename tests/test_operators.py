@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dictionary, search_index, traversal
+from quillspark.operators import dictionary, periods, search_index, traversal
 from quillspark.plans import chunking, extraction, graph, joins, relational, retrieval, scalars, sinks, windows
 from quillspark.sources import formats
 from quillspark.streaming import tasks
@@ -144,6 +144,22 @@ def test_dictionary_of_ten_thousand_terms(spark, sf, monkeypatch):
     assert tuple(r) == ("k", "aa", 0, 3) and dictionary.find_terms(docs, ["doc_id"], F.col("text"), d.limit(0)).count() == 0
 
 
+def test_distinct_counts_from_daily_sketches(spark):
+    """Thirty days of overlapping users, far more than a sketch holds: any range within the stated error of exact counts."""
+    e = spark.range(600_000).select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 30).cast("int"))).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(60_000) + (F.col("id") % 30) * 1000).alias("user"))
+    days = periods.daily(e, F.col("ts"), F.col("user")).cache()
+    assert days.count() == 30 and max(len(r["keys"]) for r in days.collect()) < 40_000
+    users = {d.day: set(u) for d, u in e.groupBy(F.to_date("ts").alias("d")).agg(F.collect_set("user").alias("u")).collect()}
+    for first, last in ((1, 30), (3, 9), (7, 7)):
+        exact = len(set().union(*[users[d] for d in range(first, last + 1)]))
+        r = periods.between(days, f"2024-01-{first:02d}", f"2024-01-{last:02d}").select("n", periods.count(F.col("keys")).alias("k")).first()
+        assert abs(r["k"] - exact) < 0.05 * exact and r["n"] == 20_000 * (last - first + 1)
+    for r in periods.retention(days, 7).filter("dayofmonth(day) in (14, 28)").collect():
+        d = r["day"].day
+        now, old = (set().union(*[users[k] for k in range(a, a + 7)]) for a in (d - 6, d - 13))
+        assert all(abs(x - len(y)) < 0.05 * len(now | old) for x, y in ((r["keys"], now), (r["new_keys"], now - old), (r["returning"], now & old)))
+
+
 def test_filter_or_all(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert [r.x for r in relational.filter_or_all(df, F.col("x") == 2).collect()] == [2]
