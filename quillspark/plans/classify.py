@@ -97,13 +97,38 @@ def query_scores(spark, sf) -> DataFrame:
     )
 
 
-BOOSTS = {"definition": ("has_definition", 1.5), "procedure": ("has_steps", 1.3), "numeric": ("has_numbers", 1.4), "comparison": ("is_table", 1.2)}
+#: What a type of query asks of a chunk, as filters and as factors of its rank, and what numbers or definitions in the query add to
+#: both; fixed values.
+FILTERS = {"numeric": ["has_numerical_constraints"], "definition": ["has_definitions"], "procedure": ["has_procedure_steps"], "authority": ["has_authority_modals"]}
+BOOSTS = {
+    "numeric": {"numerical_constraints": 2.0, "chunk_priority_critical": 1.5}, "definition": {"definitions": 2.0, "chunk_priority_critical": 1.3}, "procedure": {"procedure_steps": 1.8, "chunk_priority_high": 1.2},
+    "authority": {"authority_modals": 1.7, "chunk_priority_high": 1.2}, "reference": {"document_references": 1.5},
+}
+BY_NUMBERS = [("filter", "numerical_priority", None), ("boost", "exact_numerical_match", 2.5), ("boost", "partial_numerical_match", 1.5), ("boost", "constraint_match", 2.0)]
+BY_DEFINITIONS = [("filter", "definition_priority", None), ("boost", "definition_match", 1.8)]
+_NUMBER, _DEFINITION = "[0-9]", " (means|is called|hereinafter) "
+_BY_TYPE = [(t, "filter", f, None) for t, fs in FILTERS.items() for f in fs] + [(t, "boost", f, v) for t, fs in BOOSTS.items() for f, v in fs.items()]
+
+
+def query_rules(text: Column, kind: Column) -> Column:
+    """Filters and boosts (rule, field, value) that a query of a type brings with it; the rules are part of the expression."""
+    row = lambda r, f, v: F.struct(F.lit(r).alias("rule"), F.lit(f).alias("field"), F.lit(v).cast("double").alias("value"))
+    low, none = F.lower(text), F.array().cast("array<struct<rule:string,field:string,value:double>>")
+    own = [F.when(kind == t, F.array(*[row(*x[1:]) for x in _BY_TYPE if x[0] == t])) for t in dict.fromkeys(x[0] for x in _BY_TYPE)]
+    more = [F.when(low.rlike(p), F.array(*[row(*x) for x in rules])).otherwise(none) for p, rules in ((_NUMBER, BY_NUMBERS), (_DEFINITION, BY_DEFINITIONS))]
+    return F.concat(F.coalesce(*own, none), *more)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL::DOUBLE" if x is None else f"{x}::DOUBLE" if isinstance(x, float) else f"'{x}'" for x in r) + ")" for r in rows)
 
 
-@query("cls_07_boosts", f"WITH {_TYPED}, r(type, field, boost) AS (VALUES " + ", ".join(f"('{k}', '{f}', {v}::DOUBLE)" for k, (f, v) in BOOSTS.items()) + ") SELECT item_id, field, boost FROM b JOIN r ON b.b.name = r.type AND b.b.hits > 0")
+@query("cls_07_boosts", f"""WITH {_TYPED}, r(type, rule, field, value) AS (VALUES {_values(_BY_TYPE)}), m(p, rule, field, value) AS (VALUES {_values([(_NUMBER, *x) for x in BY_NUMBERS] + [(_DEFINITION, *x) for x in BY_DEFINITIONS])})
+SELECT item_id, rule, field, value FROM b JOIN r ON b.b.name = r.type AND b.b.hits > 0 UNION ALL SELECT item_id, rule, field, value FROM b JOIN m ON regexp_matches(lower(text), p)""")
 def boosts(spark, sf) -> DataFrame:
-    rules = F.create_map(*[x for k, (f, v) in BOOSTS.items() for x in (F.lit(k), F.struct(F.lit(f).alias("field"), F.lit(v).alias("boost")))])
-    return typed(spark, sf).filter("b.hits > 0").select("item_id", rules[F.col("b.name")].alias("r")).select("item_id", "r.field", "r.boost")
+    """Filters and boosts of each query by its type, its numbers and its definitions."""
+    kind = F.when(F.col("b.hits") > 0, F.col("b.name"))
+    return typed(spark, sf).select("item_id", F.inline(query_rules(F.col("text"), kind)))
 
 
 #: Words of each intent (the one with most hits wins, the first of equals), of levels of difficulty beyond the number of words, of
