@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ MAX_L = 4
 BLOCK, COLUMNS = 1 << 17, 1 << 12
 #: Documents that a list is expected to hold before it is dealt to several tasks, so many in each.
 HOT = 1 << 12
-#: Bits of the filter that keeps texts of candidates: eight a candidate within these bounds (8 MB at most).
+#: Bits of the filters that keep texts of candidates and of the first of equal texts: eight each within these bounds (8 MB at most).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -141,14 +141,20 @@ def prefix(s: np.ndarray, seen: np.ndarray, similarity: int = SIMILARITY) -> tup
     return s[own], min(n, n - -(-2 * similarity * n // (100 + similarity)) + pick), pick, seen[own]
 
 
-def _prefixes(docs: DataFrame, given: Broadcast, words: int, similarity: int) -> DataFrame:
+def _prefixes(docs: DataFrame, reps: DataFrame, given: Broadcast, words: int, similarity: int) -> DataFrame:
+    """(doc_id, n, k, l, prefix, hot) of the sets of reps(doc_id), and of those others that its bit filter lets through."""
+    bits, place = _filter_of(reps)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = given.value
+        seen, field = given.value, bits.value
         for b in batches:
             ids, ns, ks, ls, parts, hot = [], [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(text.as_py(), words)
-                if doc is not None and len(s):
+            at = b.column(2).to_numpy()
+            rows = np.flatnonzero((field[at >> 6] >> (at & 63)) & 1).tolist()
+            for i in rows:
+                doc = b.column(0)[i].as_py()
+                s = shingles(b.column(1)[i].as_py(), words)
+                if len(s):
                     p, k, l_, often = prefix(s, seen[_cells(s)], similarity)
                     hot.append((1 + often[np.searchsorted(often, HOT) :] // HOT).tolist())
                     ids.append(doc)
@@ -158,7 +164,8 @@ def _prefixes(docs: DataFrame, given: Broadcast, words: int, similarity: int) ->
                     parts.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ks, pa.int32()), pa.array(ls, pa.int32()), _lists(parts), pa.array(hot, pa.list_(pa.int32()))], ["doc_id", "n", "k", "l", "prefix", "hot"])
 
-    return docs.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>, hot array<int>")
+    near = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place"))
+    return near.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>, hot array<int>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -167,19 +174,23 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids(doc_id), stored. A bit filter of bounded size spares the other texts the work,
-    an exact join follows."""
-    spark = docs.sparkSession
+def _filter_of(ids: DataFrame) -> tuple[Broadcast, Column]:
+    """(bits, place): a bit filter of bounded size of ids(doc_id), and the place of a doc_id in it."""
     bits = MIN_BITS
     while bits < min(MAX_BITS, 8 * ids.count()):
         bits *= 2
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words_ = ids.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words_.toPandas()  # bits / 64 rows at most
+    words = ids.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = words.toPandas()  # bits / 64 rows at most
     field = np.zeros(bits // 64, np.int64)
     field[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    given = spark.sparkContext.broadcast(field)
+    return ids.sparkSession.sparkContext.broadcast(field), place
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ids(doc_id), stored. A bit filter of bounded size spares the other texts the work,
+    an exact join follows."""
+    given, place = _filter_of(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = given.value
@@ -367,13 +378,12 @@ def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     again by shingle and salt.
     """
     size = F.size("prefix") - F.size("hot")  # shingles before the frequent ones
-    at = F.posexplode("prefix").alias("at", "token")
-    rows = prefixes.select(at, F.struct("n", "doc_id").alias("doc"), "k", size.alias("light"), "hot")
+    rows = prefixes.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n", size.alias("light"), "hot", "k")
     parts = F.when(F.col("at") < F.col("light"), F.lit(1)).otherwise(F.get("hot", F.col("at") - F.col("light")))
-    rows = rows.select("token", F.pmod(F.xxhash64("doc.doc_id"), parts).cast("int").alias("salt"), parts.alias("parts"), "doc", (F.col("at") < F.col("k")).alias("short"))
+    rows = rows.select("token", "doc_id", "n", (2 * parts + (F.col("at") < F.col("k")).cast("int")).alias("how"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("salt"))  # narrow, as all are shuffled
     own = W.partitionBy("token", "salt")
-    rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).filter("parts > 1 or held > 1").drop("held")
-    rows = rows.join(reps.select(F.col("doc_id").alias("rep")), F.col("doc.doc_id") == F.col("rep"), "left_semi")
+    rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).filter("how > 3 or held > 1").drop("held")
+    rows = rows.join(reps, "doc_id", "left_semi").select("token", "salt", F.shiftright("how", 1).alias("parts"), F.struct("n", "doc_id").alias("doc"), (F.col("how") % 2 == 1).alias("short"))
     rows = rows.repartition("token", "salt").withColumn("held", F.count("*").over(own)).withColumn("hub", F.min(F.when(F.col("short"), F.col("doc"))).over(own))
     rows = rows.filter("parts > 1 or (held > 1 and hub is not null and doc > hub)")
     near = work.cut(rows.select("token", "salt", "parts", "doc", "short", "hub"), "lists")
@@ -408,7 +418,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     given = docs.sparkSession.sparkContext.broadcast(np.maximum(sketch - floor, 0).astype(np.int32))
     classes = work.cut(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    prefixes = work.cut(_prefixes(docs, given, words, similarity), "prefixes")
+    prefixes = work.cut(_prefixes(docs, reps, given, words, similarity), "prefixes")
 
     # In a list, sets are met in the order of their size; the smaller of a pair must hold the shingle in its short prefix.
     active = _postings(prefixes, reps)
