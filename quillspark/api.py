@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import r6
+from quillspark.operators.search_index import Index
 from quillspark.plans.joins import bulk_duplicates
 from quillspark.plans.relational import page
 from quillspark.plans.retrieval import bm25, nearest, normalized, rerank, rrf, top
@@ -20,15 +21,16 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     return read_files(files).withColumn("hash", F.sha2("text", 256))
 
 
-def search(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, mode: str = "hybrid", k: int = 10, weight: float = 0.5, scorer=None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, mode: str = "hybrid", k: int = 10, weight: float = 0.5, scorer=None, index: Index | None = None) -> DataFrame:
     """queries(item_id, text[, vector]), docs(doc_id, text), embeddings(doc_id, embedding) -> item_id, doc_id, score, rank.
 
     Terms of queries are broadcast up to a counted bound, query vectors in blocks of a bounded number. ``scorer`` is a Column function of query
-    and text that reranks the best four times k.
+    and text that reranks the best four times k, such as ``functions.scorers.model_scorer`` gives. With an ``index`` of the documents
+    (see ``operators.search_index``) their texts are not read but for reranking.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    lexical = normalized(bm25(docs, queries)) if mode != "vector" else None
+    lexical = normalized(index.scores(queries) if index else bm25(docs, queries)) if mode != "vector" else None
     vector = None
     if embeddings is not None and mode in ("vector", "hybrid", "fusion"):
         vectors = embeddings.select(F.col("doc_id").alias("vec_id"), "embedding")

@@ -253,6 +253,7 @@ def semantic_hash(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.md5(F.regexp_replace(F.lower(F.trim("text")), r"[^\p{L}\p{N}_\s]", "")), 1, 16).alias("hash"))
 
 
+#: Formats of dates in the order in which they are tried; fixed values.
 DATE_FORMATS = ["yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy"]
 
 
@@ -277,6 +278,7 @@ def _age(as_of: str = "1998-12-31") -> Column:
 
 
 def recency_a(age: Column, most: float = 0.1) -> Column:
+    """The bonus of an age in days, falling in steps; the steps of this and the next query are fixed values."""
     return F.when(age <= 30, most).when(age <= 365, most * (1 - age / 365) * 0.8).when(age <= 1095, 0.02).otherwise(0.0)
 
 

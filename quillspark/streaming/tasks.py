@@ -60,11 +60,12 @@ def sliding_limit(events: DataFrame, most: int, seconds: float, late: str = "1 h
 def _in_order(batches: Iterator):
     import pandas as pd
 
-    return pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+    rows = pd.concat(list(batches))
+    return rows.sort_values(["ts", *(["event_id"] if "event_id" in rows else [])], kind="stable")
 
 
 def retries(events: DataFrame, most: int = 3, ttl: str = "1 hour", keep_seconds: float = 3600.0) -> DataFrame:
-    """events(task, event_id, failed, ts) -> (task, attempts, status): a failed attempt goes back to the queue until it has failed ``most``
+    """events(task, failed, ts[, event_id]) -> (task, attempts, status): a failed attempt goes back to the queue until it has failed ``most``
     times; what comes after a success or the last failure is no attempt. A task is forgotten when the watermark has passed its last event
     by ``keep_seconds``."""
 

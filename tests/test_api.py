@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillspark import api
 from quillspark.functions.register import register
 from quillspark.functions.scorers import model_scorer
+from quillspark.operators import search_index
 from quillspark.sources.tables import table
 
 
@@ -24,6 +25,9 @@ def test_search(spark, sf, mode):
     q = docs.filter("doc_id in (3, 5)").select(F.col("doc_id").alias("item_id"), "text").join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id")
     got = api.search(q, docs, e, mode, 4).collect()
     assert {r["item_id"] for r in got} == {3, 5} and max(r["rank"] for r in got) == 4
+    if mode in ("lexical", "hybrid"):
+        again = api.search(q, docs, e, mode, 4, index=search_index.kept(spark, sf, docs)).collect()
+        assert sorted((r["item_id"], r["rank"], r["doc_id"]) for r in again) == sorted((r["item_id"], r["rank"], r["doc_id"]) for r in got)
     assert all(r["doc_id"] == r["item_id"] or mode in ("lexical", "rerank", "fusion", "hybrid") for r in got if r["rank"] == 1)
 
 
