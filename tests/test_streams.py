@@ -103,3 +103,14 @@ def test_attempts_end_with_success_or_the_last_failure(spark, tmp_path):
     stream = files(spark, f"{tmp_path}/in", [[r for r in rows if r[1] % 10 < 2], [r for r in rows if r[1] % 10 >= 2]], schema)
     got = tasks.drain(tasks.retries(stream.withColumn("task", F.ascii("task").cast("long"))), "r", "update", ("task",))
     assert {chr(r["task"]): (r["attempts"], r["status"]) for r in got.collect()} == {"a": (2, "completed"), "b": (3, "failed"), "c": (2, "queued"), "d": (1, "completed"), "e": (3, "failed")}
+
+
+def test_registered_queue_equals_the_simulation(spark, sf):
+    from quillspark import registry
+
+    ops = []
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        op = "add" if r["value"] < 50 else "next" if r["value"] < 75 else "complete" if r["value"] < 90 else "fail"
+        ops.append((str(r["user_id"] % 8), r["event_id"], r["ts"], op, f"{r['event_id']:012d}", r["event_id"] % 4, str(r["event_id"] % 3)))
+    got = registry.queries()["stm_01_queue"](spark, sf).filter("event_id is not null").select("queue", "event_id", "task", "status", "worker", "attempt").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(simulated(ops), key=lambda r: r[1]) and len(got) > 500
