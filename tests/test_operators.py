@@ -262,3 +262,18 @@ def test_leaves_of_many_starts_are_joined_not_stored(spark, monkeypatch):
             wrote.append(spark.read.parquet(folders[0]).count())
         assert got[0] == got[1] and not any(r[1] is None for r in got[0])
         assert len(got[0]) == len({r[:2] for r in got[0]}) and wrote[1] < wrote[0] == len(got[0])
+
+
+def test_weekly_users_are_exact_beyond_a_sketch(spark):
+    """As many users as no sketch holds, with gaps of six to eight days, a null user and a null time, against sets."""
+    e = spark.range(20_000).select(F.explode(F.array(*[F.col("id") % n + F.lit(k) for n, k in ((9, 0), (3, 9), (11, 18))])).alias("d"), F.col("id").alias("user"))
+    e = e.filter("(user + d) % 3 > 0").unionByName(spark.createDataFrame([(2, None), (9, None), (None, 1)], "d int, user long"))
+    rows = [(r["d"], r["user"]) for r in e.collect() if r["d"] is not None]
+    got = {r["day"].day - 1: (r["keys"], r["new_keys"], r["returning"]) for r in periods.returning(e, F.date_add(F.lit("2024-01-01").cast("date"), F.col("d").cast("int")), F.col("user"), 7).collect()}
+    want = {}
+    for d in range(max(d for d, _ in rows) + 1):
+        now, old = ({u for k, u in rows if x - 6 <= k <= x} for x in (d, d - 7))
+        back = now & old - {None}
+        if now:
+            want[d] = (len(now), len(now) - len(back), len(back))
+    assert got == want and max(x[0] for x in got.values()) > 1 << periods.LG_K
