@@ -45,4 +45,4 @@ def counted(ts: Column) -> Column:
         made = F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(x, i).alias("term"), (j - i).alias("tf"))))
         return F.when(n > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
-    return F.get(F.transform(F.array(F.array_sort(ts)), runs), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(ts)), runs), F.lit(0))

@@ -1,7 +1,7 @@
 """Retrieval: inverted index, BM25, vector top-k, hybrid and rank fusion, reranking, answers.
 
-Searches go by the stored index of ``operators.search_index``; ``bm25`` ranks documents that have none. Queries meet vectors in blocks
-of a bounded number. Rankings are top-k or per-query windows with the document id as last key.
+Searches go by the stored index of ``operators.search_index``; ``bm25`` ranks documents that have none. Queries meet documents and
+vectors in blocks of a bounded number, as products of matrices. Rankings are top-k or per-query windows with the document id as last key.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from quillspark.operators.search_index import BROADCAST_TERMS, FLOOR, K1, B
 from quillspark.plans.relational import NEAREST, TERMS, nearest_to_one, sentence_score, sentences
 from quillspark.plans.scalars import query_variants
 from quillspark.registry import query
-from quillspark.sources.tables import spread, table
+from quillspark.sources.tables import spread, stored, table
 
 _TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2)"
 
@@ -84,14 +84,15 @@ def index_of(spark, sf) -> search_index.Index:
     return search_index.kept(spark, sf, table(spark, sf, "documents"))
 
 
-def _scores(spark, sf) -> DataFrame:
-    return normalized(index_of(spark, sf).scores(table(spark, sf, "benchmark")))
+def _best(spark, sf, k: int) -> DataFrame:
+    """item_id, doc_id, s, rank of the k best documents of each item."""
+    return index_of(spark, sf).best(table(spark, sf, "benchmark"), k).select("item_id", "doc_id", "s", "rank")
 
 
 @query("ret_01_bm25", f"WITH {BM25} SELECT doc_id, s AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM norm WHERE item_id = 0 QUALIFY rank <= 10")
 def bm25_query(spark, sf) -> DataFrame:
-    s = normalized(index_of(spark, sf).scores(table(spark, sf, "benchmark").filter("item_id = 0")))
-    return top(s, 10).select("doc_id", F.col("s").alias("score"), "rank")
+    best = index_of(spark, sf).best(table(spark, sf, "benchmark").filter("item_id = 0"), 10)
+    return best.select("doc_id", F.col("s").alias("score"), "rank")
 
 
 @query("ret_02_knn", f"WITH {NEAREST} SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 10")
@@ -151,20 +152,27 @@ def vector_candidates(spark, sf, k: int = 50) -> DataFrame:
     return nearest(q, e, k).drop("rank")
 
 
-def hybrid(spark, sf, w: float = 0.5) -> DataFrame:
-    j = _scores(spark, sf).join(vector_candidates(spark, sf), ["item_id", "doc_id"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    return j.withColumn("h", F.round(w * F.col("s") + (1 - w) * F.col("c"), 8))
+def hybrid(spark, sf, k: int, w: float = 0.5) -> DataFrame:
+    """item_id, doc_id, s, c, h, rank of the k documents of each item that are best by both scores."""
+    def blend(s, c, _):
+        import numpy as np
+
+        return np.round(w * s + (1 - w) * c, 8)
+
+    v = vector_candidates(spark, sf).select("item_id", "doc_id", F.col("c").alias("given"))
+    best = index_of(spark, sf).best(table(spark, sf, "benchmark"), k, (blend,), given=v)
+    return best.select("item_id", "doc_id", "s", F.col("given").alias("c"), F.col("final").alias("h"), "rank")
 
 
 @query("ret_03_hybrid", f"WITH {_HYBRID} SELECT item_id, doc_id, s, c, h, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM hy QUALIFY rank <= 5")
 def hybrid_query(spark, sf) -> DataFrame:
-    return top(hybrid(spark, sf), 5, "h").select("item_id", "doc_id", "s", "c", "h", "rank")
+    return hybrid(spark, sf, 5)
 
 
 @query("top_01_hybrid", f"WITH {_HYBRID} SELECT item_id, doc_id, h, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM hy QUALIFY rank <= 10")
 def top_hybrid(spark, sf, k: int = 10) -> DataFrame:
     """The best k of each query by the hybrid score, equals in the order of the corpus."""
-    return top(hybrid(spark, sf), k, "h").select("item_id", "doc_id", "h", "rank")
+    return hybrid(spark, sf, k).select("item_id", "doc_id", "h", "rank")
 
 
 #: Endings that a stem goes without, a generic pack.
@@ -219,11 +227,6 @@ def multi_strategy(spark, sf) -> DataFrame:
     """Branches for meaning, exact id, the question before (the context) and synonyms, each with its bonus; the best of each
     document, lifted by the rank of its type (language stands for it), its age in days (from n_chars), words of the intent and
     numbers, capped at 1."""
-    s, d, b = _scores(spark, sf), table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id")
-    exact = b.join(d.select("doc_id"), F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", F.lit(0.95 + BRANCH["exact"]).alias("s"))
-    context = s.select((F.col("item_id") + 1).alias("item_id"), "doc_id", (F.col("s") + BRANCH["contextual"]).alias("s")).join(b, "item_id")
-    terms = s.select("item_id", "doc_id", (r6(F.col("s") * 0.9) + BRANCH["terms"]).alias("s"))
-    u = s.withColumn("s", F.col("s") + BRANCH["semantic"]).unionByName(exact).unionByName(context).unionByName(terms).groupBy("item_id", "doc_id").agg(F.max("s").alias("s"))
     rank, age = F.lit(0.0), F.lit(0.0)
     for lang, x in RANKS.items():
         rank = F.when(F.col("lang") == lang, x).otherwise(rank)
@@ -231,8 +234,26 @@ def multi_strategy(spark, sf) -> DataFrame:
         age = F.when(F.col("n_chars") % 4000 < days, x).otherwise(age)
     words = F.size(F.filter(F.array(*map(F.lit, INTENT)), lambda w: F.contains(F.lower("text"), w)))
     bonus = rank + age + F.least(0.05 * words, F.lit(0.2)) + F.when(F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0)
-    best = u.join(d.select("doc_id", bonus.alias("bonus")), "doc_id")
-    return top(best.select("item_id", "doc_id", r6(F.least(F.col("s") + F.col("bonus"), F.lit(1.0))).alias("score")), 10, "score").drop("rank")
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    lifted = d.select("doc_id", bonus.alias("extra"))
+
+    def semantic(s, _, extra):
+        import numpy as np
+
+        u = np.fmax(s + BRANCH["semantic"], np.round(s * 0.9, 6) + BRANCH["terms"])
+        return np.round(np.fmin(u + extra, 1.0), 6)
+
+    def contextual(s, _, extra):
+        import numpy as np
+
+        return np.round(np.fmin(s + BRANCH["contextual"] + extra, 1.0), 6)
+
+    # the best ten of the maximum are among the best ten of each branch
+    found = index_of(spark, sf).best(b, 10, (semantic, contextual), lifted)
+    item = F.col("item_id") + F.col("form")  # the context of an item is the one before
+    found = found.select(item.alias("item_id"), "doc_id", F.col("final").alias("score")).join(F.broadcast(b.select("item_id").distinct()), "item_id", "left_semi")
+    exact = lifted.join(b.select(F.col("item_id").alias("doc_id"), "item_id"), "doc_id").select("item_id", "doc_id", r6(F.least(0.95 + BRANCH["exact"] + F.col("extra"), F.lit(1.0))).alias("score"))
+    return top(found.unionByName(exact).groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), 10, "score").drop("rank")
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
@@ -245,7 +266,7 @@ fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf,
 
 
 def _lists(spark, sf, k: int = 20) -> DataFrame:
-    a = top(_scores(spark, sf), k).select("item_id", "doc_id", "rank")
+    a = _best(spark, sf, k).select("item_id", "doc_id", "rank")
     return a.unionByName(top(vector_candidates(spark, sf), k, "c").select("item_id", "doc_id", "rank"))
 
 
@@ -263,15 +284,16 @@ fu AS (SELECT item_id // 10 AS item_id, doc_id, round(sum(1.0::DOUBLE / (60 + ra
 def fusion_search(spark, sf, k: int = 10, variants: int = 3) -> DataFrame:
     """The first three forms of each query are searched for twice as many hits as asked for, without a threshold, and their ranks fused."""
     v = query_variants(spark, sf).filter(F.col("n") < variants)
-    lists = top(normalized(index_of(spark, sf).scores(v.select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), F.col("variant").alias("text")))), 2 * k)
+    lists = index_of(spark, sf).best(v.select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), F.col("variant").alias("text")), 2 * k)
     fused = rrf(lists.select(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id", "rank"))
     return top(fused, k, "rrf").select("item_id", "doc_id", "rrf", "rank")
 
 
 @query("jn_22_multi_query", f"WITH {BM25} SELECT item_id, count(*) AS candidates, max(s) AS best FROM norm GROUP BY item_id")
 def multi_query(spark, sf) -> DataFrame:
-    """All queries against the corpus in one pass over its postings."""
-    return _scores(spark, sf).groupBy("item_id").agg(F.count("*").alias("candidates"), F.max("s").alias("best"))
+    """All queries against the corpus in one pass; the best of scores brought to 0..1 is 1, unless all are equal."""
+    best = F.when(F.col("hi") - F.col("lo") <= 1e-12 * F.abs("hi"), 0.0).otherwise(1.0)
+    return index_of(spark, sf).hits(table(spark, sf, "benchmark")).select("item_id", F.col("n").alias("candidates"), best.alias("best"))
 
 
 @query("ret_09_expansion", "SELECT item_id, concat_ws(' | ', text, lower(text), substr(text, 1, 40)) AS query FROM benchmark")
@@ -298,14 +320,15 @@ _SET = _TOK.replace("text", "{0}")
 j AS (SELECT c.item_id, c.doc_id, s, {_SET.replace('{0}', 'b.text')} AS q, {_SET.replace('{0}', 'substr(d.text, 1, 4000)')} AS t FROM c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
 k AS (SELECT item_id, doc_id, round(0.6 / (1 + exp(-(4 * (len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t)))::DOUBLE) - 2))) + 0.4 * s, 6) AS score FROM j) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 5""")
 def rerank_query(spark, sf) -> DataFrame:
-    c = top(_scores(spark, sf), 20).drop("rank")
+    c = _best(spark, sf, 20).drop("rank")
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
-    return rerank(c.join(b, "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
+    c = stored(c.join(b, "item_id"), "best")
+    return rerank(table(spark, sf, "documents").select("doc_id", "text").join(bounded(c, BROADCAST_TERMS), "doc_id"))
 
 
 @query("ret_11_no_rerank", f"WITH {BM25} SELECT item_id, doc_id, s AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM norm QUALIFY rank <= 5")
 def no_rerank(spark, sf) -> DataFrame:
-    return top(_scores(spark, sf), 5).select("item_id", "doc_id", F.col("s").alias("score"), "rank")
+    return _best(spark, sf, 5).withColumnRenamed("s", "score")
 
 
 #: Gates on the similarity and on the boosted score, fixed values.
@@ -333,10 +356,17 @@ def key_sentences_of(text: Column, n: int = 2) -> Column:
 @query("ret_13_post_process", f"WITH {BM25}, p AS (SELECT item_id, doc_id, round(least(1, s + CASE WHEN d.n_chars > 1000 THEN 0.1 WHEN d.n_chars > 500 THEN 0.02 ELSE 0 END), 6)::DOUBLE AS final, 'source ' || source AS ref FROM norm JOIN documents d USING (doc_id)), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) <= 5) SELECT item_id, b.doc_id, final, ref, array_to_string({_KEY}, '. ') AS key_sentences FROM b JOIN documents d ON b.doc_id = d.doc_id")
 def post_process(spark, sf) -> DataFrame:
     """The score with the bonus of recency (length stands for it) capped at 1, a reference and two key sentences, ranked anew."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.concat(F.lit("source "), "source").alias("ref"))
+    d = table(spark, sf, "documents")
     bonus = F.when(F.col("n_chars") > 1000, 0.1).when(F.col("n_chars") > 500, 0.02).otherwise(0.0)
-    best = top(_scores(spark, sf).join(d, "doc_id").select("item_id", "doc_id", r6(F.least(F.lit(1.0), F.col("s") + bonus)).alias("final"), "ref"), 5, "final").drop("rank")
-    return best.join(table(spark, sf, "documents").select("doc_id", key_sentences_of(F.col("text")).alias("key_sentences")), "doc_id")
+
+    def lifted(s, _, extra):
+        import numpy as np
+
+        return np.round(np.fmin(1.0, s + extra), 6)
+
+    best = stored(index_of(spark, sf).best(table(spark, sf, "benchmark"), 5, (lifted,), d.select("doc_id", bonus.alias("extra"))).select("item_id", "doc_id", "final"), "best")
+    texts = d.join(bounded(best, BROADCAST_TERMS), "doc_id")
+    return texts.select("item_id", "doc_id", "final", F.concat(F.lit("source "), "source").alias("ref"), key_sentences_of(F.col("text")).alias("key_sentences"))
 
 
 @query("ret_14_type_bonus", "SELECT page_id, (CASE WHEN contains(html, '<table') THEN 0.03 WHEN contains(html, '<img') THEN 0.02 ELSE 0.01 END + CASE WHEN page_id % 5 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS bonus FROM pages")
@@ -351,8 +381,8 @@ v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS r, fir
 SELECT item_id, string_agg(s, chr(10) ORDER BY r) AS answer FROM v WHERE r = 1 OR r <= 3 AND s <> '' AND s <> best GROUP BY item_id""")
 def answer(spark, sf) -> DataFrame:
     """Of the five best texts the distinct ones with two key sentences each: those of the best, and of the next two where they differ."""
-    d = table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("text"), key_sentences_of(F.col("text")).alias("key"))
-    c = top(_scores(spark, sf), 5).join(d, "doc_id")
+    met = table(spark, sf, "documents").join(bounded(stored(_best(spark, sf, 5), "best"), BROADCAST_TERMS), "doc_id")
+    c = met.select("item_id", "rank", F.xxhash64("text").alias("text"), key_sentences_of(F.col("text")).alias("key"))
     t = c.groupBy("item_id", "text").agg(F.min_by(F.struct("rank", F.col("key").alias("s")), "rank").alias("x")).groupBy("item_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # five at most
     best = F.get("xs", F.lit(0))["s"]
     more = F.filter(F.transform(F.slice("xs", 2, 2), lambda x: x["s"]), lambda s: (s != "") & (s != best))
@@ -374,7 +404,7 @@ def definition_lookup(spark, sf, k: int = 20) -> DataFrame:
     forms = [F.concat(F.lit(x), F.col("term"), F.lit(y)) for x, y in (f.split("{}") for f in DEFINITION_FORMS)]
     q = table(spark, sf, "benchmark").select("item_id", term.alias("term")).filter("term is not null")
     q = q.select("item_id", F.posexplode(F.array(*forms)).alias("n", "text")).select((F.col("item_id") * 10 + F.col("n")).alias("item_id"), "text")
-    lists = top(normalized(index_of(spark, sf).scores(q)), k)
+    lists = index_of(spark, sf).best(q, k)
     best = lists.groupBy(F.floor(F.col("item_id") / 10).alias("item_id"), "doc_id").agg(F.max("s").alias("score"))
     return top(best, 15, "score").drop("rank")
 

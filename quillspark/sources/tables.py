@@ -42,6 +42,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that go to a Python worker at once; Spark's own default holds many times as much, in several copies.
+ROWS, BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once the Arrow batches of its session's Python operators are bounded to ``ROWS`` rows and ``BYTES`` bytes, if they are not smaller."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        value = conf.get(key).lower().rstrip("b")
+        number = int(value.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(value[-1:], 0)
+        if not 0 < number <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Non-blank lines of each document in order: doc_id, chunk_index, text, lang, source."""
     split = docs.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_index", "text"))

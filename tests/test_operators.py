@@ -4,10 +4,11 @@ import datetime
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dictionary, periods, search_index, traversal
+from quillspark.operators import dictionary, periods, products, search_index, traversal
 from quillspark.plans import chunking, extraction, graph, joins, relational, retrieval, scalars, sinks, windows
 from quillspark.sources import formats
 from quillspark.sources.tables import new_folder
@@ -277,3 +278,42 @@ def test_weekly_users_are_exact_beyond_a_sketch(spark):
         if now:
             want[d] = (len(now), len(now) - len(back), len(back))
     assert got == want and max(x[0] for x in got.values()) > 1 << periods.LG_K
+
+
+def test_products_rank_as_pairs_do(spark, sf, monkeypatch):
+    """Best documents by products of matrices, in several passes and blocks, equal those of all pairs: copies, repeated ids, a term in
+    half of the documents (a weight of nothing), queries of which all scores are equal or that meet nothing."""
+    monkeypatch.setattr(search_index, "PASS_QUERIES", 9)
+    monkeypatch.setattr(products, "PRODUCT_QUERIES", 4)
+    some = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    copies = some.filter("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 10_000)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").filter("item_id < 12")
+    items = items.unionByName(spark.createDataFrame([(500, "halfway"), (501, "halfway onlyhere"), (502, "nowhere"), (503, None)], "item_id long, text string"))
+    for docs in (some.unionByName(copies), some.unionByName(some.filter("doc_id % 9 = 0"))):
+        n = docs.count()
+        half = docs.limit(n - n % 2).select("doc_id", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(" onlyhere"))).otherwise(F.col("text")).alias("text"))
+        half = half.withColumn("text", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" halfway"))).otherwise(F.col("text")))
+        index = search_index.Index(spark, new_folder(spark, "index"), inverted=False)._segment(half, None)
+        scores = index.scores(items).cache()  # by postings, which are made now
+        pairs = {}
+        for r in retrieval.normalized(scores).collect():
+            pairs.setdefault(r["item_id"], {})[r["doc_id"]] = r["s"]
+        hits = {r["item_id"]: r for r in index.hits(items).collect()}
+        assert {i: len(v) for i, v in pairs.items()} == {i: r["n"] for i, r in hits.items()}
+        for r in scores.groupBy("item_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect():
+            assert (hits[r["item_id"]]["lo"], hits[r["item_id"]]["hi"]) == pytest.approx((r["lo"], r["hi"]))
+        extra = {d: d % 7 / 10 for d in {r["doc_id"] for r in half.collect()} if d % 11}
+        given = {(i, d): 0.5 + i % 3 / 8 for i in pairs for d in sorted(pairs[i])[::9]} | {(-1, 3): 1.0}
+        finals = (lambda s, g, x: s, lambda s, g, x: np.round(np.fmin(s + x, 1.0), 6), lambda s, g, x: np.round(0.5 * s + 0.5 * g, 8))
+        frame = spark.createDataFrame([(*k, v) for k, v in given.items()], "item_id long, doc_id long, given double")
+        for lifts in (spark.createDataFrame(list(extra.items()), "doc_id long, extra double"),) if n > some.count() + 30 else (None,):
+            got = {}
+            for r in index.best(items, 6, finals, lifts, frame).orderBy("rank").collect():
+                got.setdefault((r["form"], r["item_id"]), []).append((-r["final"], r["doc_id"]))
+            for i, ds in pairs.items():
+                for form, final in enumerate(finals):
+                    want = sorted((-float(final(s, given.get((i, d), 0.0), extra.get(d, 0.0) if lifts else 0.0)), d) for d, s in ds.items() if not lifts or d in extra)[:6]
+                    assert got[form, i] == want
+            assert {i for _, i in got} == set(pairs)
+    plan = index.best(items, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in plan and plan.count("Exchange hashpartitioning") <= 4
