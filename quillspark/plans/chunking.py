@@ -14,20 +14,47 @@ from quillspark.functions.text import r6, tokens
 from quillspark.operators.hierarchy import depths
 from quillspark.plans.joins import WINDOWS, fixed_windows
 from quillspark.registry import query
-from quillspark.sources.tables import CHUNKS, chunks, table
+from quillspark.sources.tables import CHUNKS, chunks, small_batches, table
+
+
+#: Rows and characters that a task gives back at once.
+ROWS, CHARS = 5_000, 2_000_000
 
 
 def per_document(docs: DataFrame, split, schema: str) -> DataFrame:
-    """split(text) -> rows, run on Arrow batches; a document is never divided between tasks."""
+    """split(text) -> rows, run on small Arrow batches and given back in parts; a document is never divided between tasks."""
+    fields = [c.split() for c in schema.split(", ")]
 
     def run(batches):
-        import pandas as pd
+        import ctypes
+
+        import pyarrow as pa
+
+        types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        made = pa.schema([(name, types[kind]) for name, kind in fields])
 
-        for pdf in batches:
-            rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in split(t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        def part(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), made.types, strict=True)], schema=made)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+        rows, held = [], 0
+        for b in batches:
+            for d, t in zip(b.column(0), b.column(1), strict=True):
+                for r in split(t.as_py() or ""):
+                    rows.append((d.as_py(), *r))
+                    held += sum(len(x) for x in r if isinstance(x, str))
+                    if len(rows) >= ROWS or held >= CHARS:
+                        yield part(rows)
+                        rows, held = [], 0
+        if rows:
+            yield part(rows)
+        rows = None
+        pa.default_memory_pool().release_unused()
+        try:  # freed memory goes back to the system
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def recursive_split(text: str, size: int = 1000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
@@ -75,10 +102,13 @@ def cascade(text: str, pack: str = "generic") -> list[tuple]:
     levels = LEVELS[pack]
     heads = sorted({(m.start(), k) for k, (_, p) in enumerate(levels) for m in re.finditer(p, text)})
     out, path = [], [0] * len(levels)
-    for i, (at, k) in enumerate(heads):
+    ends, following = [], [len(text)] * len(levels)
+    for at, k in reversed(heads):
+        ends.append(min(following[: k + 1]))
+        following[k] = at
+    for (at, k), end in zip(heads, reversed(ends), strict=True):
         path[k] += 1
         path[k + 1 :] = [0] * (len(levels) - k - 1)
-        end = next((a for a, j in heads[i + 1 :] if j <= k), len(text))
         out.append((levels[k][0], ".".join(map(str, path[: k + 1])), at, end))
     return out or ([("document", "0", 0, len(text))] if text else [])
 
@@ -195,7 +225,7 @@ def line_structure(spark, sf) -> DataFrame:
 @query("chk_06_segments")
 def segments(spark, sf) -> DataFrame:
     """The line-structure chunks with their neighbours, and whether they go on under the same header, as relations."""
-    c = line_structure(spark, sf)
+    c = per_document(table(spark, sf, "documents"), lambda t: [(i, n, h) for i, _, n, h in structured(t)], "doc_id long, chunk_index int, n long, header string")
     w = W.partitionBy("doc_id").orderBy("chunk_index")
     goes_on = F.coalesce(F.col("header").eqNullSafe(F.lag("header").over(w)) & F.lag("chunk_index").over(w).isNotNull(), F.lit(False))
     return c.select("doc_id", "chunk_index", "n", F.lag("chunk_index").over(w).alias("previous"), F.lead("chunk_index").over(w).alias("next"), goes_on.alias("goes_on"))
@@ -225,10 +255,12 @@ def article_aware(spark, sf) -> DataFrame:
 @query("chk_08_rechunk")
 def rechunk(spark, sf) -> DataFrame:
     """Chunks above 500 characters that hold a number are chunked again; the others stay."""
-    c = article_aware(spark, sf).select("doc_id", "chunk_index", "text", "n")
-    big = (F.length("text") > 500) & F.col("text").rlike("[0-9]")
-    again = per_document(c.filter(big).select(F.col("doc_id"), "text"), lambda t: [(i, p, n) for i, p, n in sized(t, 50, 400, 500)], "doc_id long, chunk_index int, text string, n long")
-    return c.filter(~big).unionByName(again)
+
+    def again(text: str):
+        for i, p, n, *_ in tagged(text):
+            yield from sized(p, 50, 400, 500) if len(p) > 500 and re.search("[0-9]", p) else [(i, p, n)]
+
+    return per_document(table(spark, sf, "documents"), again, "doc_id long, chunk_index int, text string, n long")
 
 
 #: Names of the levels below a root.

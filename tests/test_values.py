@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -237,3 +238,26 @@ def test_references_stay_one_token(spark):
     got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", scalars.protected_tokens(F.col("t"), ["public license", "of the"]).alias("w")).collect()
     assert {r["t"]: r["w"] for r in got} == rows
 
+
+
+def test_chunkers_get_small_batches_and_give_parts(spark, monkeypatch):
+    """Documents go to a worker a thousand at a time, and their rows come back in parts, in order."""
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    monkeypatch.setattr(chunking, "ROWS", 7)
+    docs = spark.range(2_500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, F.repeat(F.lit("ab "), (F.col("id") % 5).cast("int"))).alias("text")).coalesce(1)
+    got = chunking.per_document(docs, lambda t: list(enumerate(t.split())), "doc_id long, n int, word string").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert [tuple(r) for r in got] == [(d, n, "ab") for d in range(2_500) for n in range(d % 5)]
+
+
+def test_cascade_of_very_many_headers():
+    levels = chunking.LEVELS["generic"]
+    text = "\n".join(f"{'#' * (1 + i * 7 % 3)} Part {i}\nCHAPTER {i}\n{i}. one\n{i}.{i % 9} two" for i in range(40_000))
+    start = time.perf_counter()
+    out = chunking.cascade(text)
+    assert len(out) > 40_000 and time.perf_counter() - start < 20  # every pair of headers was looked at before
+    rank = {k: i for i, (k, _) in enumerate(levels)}
+    few = chunking.cascade(text[:5_000])
+    for i, (level, _, _, end) in enumerate(few):
+        assert end == next((a for k, _, a, _ in few[i + 1 :] if rank[k] <= rank[level]), 5_000)
