@@ -31,9 +31,21 @@ REWRITES = [
 ]
 
 
+#: The same for Java where a rewrite would try every start in a word or a run of blanks: the character before is looked back at, and must
+#: not be of the match before, which has consumed it (``\\G``); runs are taken whole.
+LINEAR = {
+    0: (r"(?=[ \t\r\f\n-])(?<=[\p{L}\p{N}_])(?!\G)[ \t\r\f\n]*+-[ \t\r\f]*+\n[ \t\r\f\n]*+([\p{L}\p{N}_])", " \\1"),
+    1: (r"(?=[ \t\r\f\n])(?<=\p{Ll})(?!\G)[ \t\r\f]*+\n[ \t\r\f\n]*+(\p{Ll}\p{Ll}+)", " \\1"),
+    2: (r"(?<![ \t\r\f\n])([ \t\r\f]*+)\n[ \t\r\f\n]*+-[ \t\r\f\n]++([\p{L}\p{N}_])", "\\1 \\2"),
+    3: (r"(?=-)(?<=\p{Ll})(?!\G)-[ \t\r\f]*+\n[ \t\r\f\n]*+(\p{Ll}+)", "\\1"),
+    5: (r"(?<![ \t\r\f\n])[ \t\r\f\n]++([,.;:!?)])", "\\1"),
+}
+
+
 def normalize(text: Column) -> Column:
     """The ordered rewrites, and lines stripped."""
-    for pattern, instead in REWRITES:
+    for i, rewrite in enumerate(REWRITES):
+        pattern, instead = LINEAR.get(i, rewrite)
         text = F.regexp_replace(text, pattern, instead.replace("\\1", "$1").replace("\\2", "$2"))
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n")
 

@@ -261,3 +261,18 @@ def test_cascade_of_very_many_headers():
     few = chunking.cascade(text[:5_000])
     for i, (level, _, _, end) in enumerate(few):
         assert end == next((a for k, _, a, _ in few[i + 1 :] if rank[k] <= rank[level]), 5_000)
+
+
+def test_linear_rewrites_equal_the_plain_ones(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "bé", "Z", "7", "_", "-", "\n", "\n", " ", "\t", "(", ")", ".", "-\n"]) for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "ab-\ncd-\nef", "a-\nb-\nc", "ab\ncd\nef gh\nij"]], "text string").repartition(4)
+    plain = F.col("text")
+    for pattern, instead in scalars.REWRITES:
+        plain = F.regexp_replace(plain, pattern, instead.replace("\\1", "$1").replace("\\2", "$2"))
+    plain = F.array_join(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "\n")
+    assert df.filter(~scalars.normalize(F.col("text")).eqNullSafe(plain)).count() == 0
+    long = spark.createDataFrame([("a" * 60_000,), ("\n " * 60_000,)], "text string")  # every start in a run was tried before
+    start = time.perf_counter()
+    assert [r[0] for r in long.select(F.length(scalars.normalize(F.col("text")))).collect()] == [60_000, 60_000]
+    assert time.perf_counter() - start < 10
