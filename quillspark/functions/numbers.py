@@ -35,20 +35,21 @@ def _map(values: dict[str, float]) -> Column:
 
 def number_of(words: Column, pack: str = "en") -> Column:
     """The number that an array of words says, as double; null if a word is not part of a number, or there is none."""
-    value, magnitude = _map(VALUES[pack]), _map(MAGNITUDES[pack])
-    own = F.filter(words, lambda w: ~w.isin(BETWEEN[pack]))
-    digits = r"^[0-9]+(\.[0-9]+)?$"
-
-    def step(s: Column, w: Column) -> Column:
-        v, m = F.try_element_at(value, w), F.try_element_at(magnitude, w)
-        v = F.coalesce(v, F.when(w.rlike(digits), w.try_cast("double")))
-        hundred = w.isin(HUNDRED[pack]) if HUNDRED[pack] else F.lit(False)
+    value, magnitude, digits = _map(VALUES[pack]), _map(MAGNITUDES[pack]), r"^[0-9]+(\.[0-9]+)?$"
+
+    def read(w: Column) -> Column:  # a word is looked up once
+        v = F.coalesce(F.try_element_at(value, w), F.when(w.rlike(digits), w.try_cast("double")))
+        return F.struct(v.alias("v"), F.try_element_at(magnitude, w).alias("m"), (w.isin(HUNDRED[pack]) if HUNDRED[pack] else F.lit(False)).alias("hundred"))
+
+    def step(s: Column, x: Column) -> Column:
+        v, m, hundred = x["v"], x["m"], x["hundred"]
         group = F.when(hundred, F.greatest(s["open"], F.lit(1.0)) * 100).when(v.isNotNull(), s["open"] + v).when(m.isNotNull(), F.lit(0.0)).otherwise(s["open"])
         closed = F.when(m.isNotNull(), s["closed"] + F.when(s["seen"], s["open"]).otherwise(F.lit(1.0)) * m).otherwise(s["closed"])
-        return F.struct(group.alias("open"), closed.alias("closed"), (hundred | v.isNotNull()).alias("seen"), (s["good"] & (hundred | v.isNotNull() | m.isNotNull())).alias("good"))
+        return F.struct(group.alias("open"), closed.alias("closed"), (hundred | v.isNotNull()).alias("seen"), (s["good"] & (hundred | v.isNotNull() | m.isNotNull())).alias("good"), F.lit(True).alias("any"))
 
-    start = F.struct(F.lit(0.0).alias("open"), F.lit(0.0).alias("closed"), F.lit(False).alias("seen"), F.lit(True).alias("good"))
-    return F.aggregate(own, start, step, lambda s: F.when(s["good"] & (F.size(own) > 0), s["open"] + s["closed"]))
+    start = F.struct(F.lit(0.0).alias("open"), F.lit(0.0).alias("closed"), F.lit(False).alias("seen"), F.lit(True).alias("good"), F.lit(False).alias("any"))
+    own = F.transform(F.filter(words, lambda w: ~w.isin(BETWEEN[pack])), read)
+    return F.aggregate(own, start, step, lambda s: F.when(s["good"] & s["any"], s["open"] + s["closed"]))
 
 
 def amount(text: Column, pack: str = "en") -> Column:
@@ -57,9 +58,14 @@ def amount(text: Column, pack: str = "en") -> Column:
     low = F.regexp_replace(low, r"(?<=[0-9]),(?=[0-9])", ".")
     known = "|".join(sorted([*VALUES[pack], *HUNDRED[pack], *BETWEEN[pack], *MAGNITUDES[pack]], key=len, reverse=True))
     word = rf"(?:[0-9]+(?:\.[0-9]+)?|(?<!\p{{L}})(?:{known})(?!\p{{L}}))"
-    run = F.regexp_extract(low, rf"({word}(?:[\s.-]*{word})*)\s*({PERCENT[pack]})?", 1)
-    share = F.regexp_extract(low, rf"({word}(?:[\s.-]*{word})*)\s*({PERCENT[pack]})?", 2) != ""
-    return F.struct(number_of(F.regexp_extract_all(run, F.lit(rf"([0-9]+(?:\.[0-9]+)?|\p{{L}}+)"), 1), pack).alias("value"), share.alias("share"))
+    whole = F.regexp_extract(low, rf"{word}(?:[\s.-]*{word})*\s*(?:{PERCENT[pack]})?", 0)  # searched for once; no word of a number ends like a share
+
+    def read(found: Column) -> Column:
+        run = F.regexp_replace(found, rf"\s*(?:{PERCENT[pack]})$", "")
+        words = F.regexp_extract_all(run, F.lit(r"([0-9]+(?:\.[0-9]+)?|\p{L}+)"), 1)
+        return F.struct(number_of(words, pack).alias("value"), found.rlike(rf"(?:{PERCENT[pack]})$").alias("share"))
+
+    return F.get(F.transform(F.array(whole), read), F.lit(0))
 
 
 def spelled(n: Column) -> Column:

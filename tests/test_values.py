@@ -276,3 +276,10 @@ def test_linear_rewrites_equal_the_plain_ones(spark):
     start = time.perf_counter()
     assert [r[0] for r in long.select(F.length(scalars.normalize(F.col("text")))).collect()] == [60_000, 60_000]
     assert time.perf_counter() - start < 10
+
+
+def test_number_words_are_searched_for_once(spark):
+    df = spark.createDataFrame([("at least two hundred and five thousand percent",), ("12,5% or 7",), ("3.5 million \n",), ("none",), ("seven -\n percent",), (None,)], "t string")
+    got = df.select(numbers.amount(F.col("t")).alias("a"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("|eighteen") == 2  # twice in one pattern
+    assert [tuple(r["a"]) for r in got.collect()] == [(205_000.0, True), (12.5, True), (3.5e6, False), (None, False), (7.0, False), (None, None)]
