@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,12 +18,39 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quillspark.streaming import tasks
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Operations that are turned into Python objects, and changes that are given back, at once.
+PART = 50_000
 OUT = "queue string, event_id long, task string, status string, worker string, attempt int"
 
 
+class _Operation(NamedTuple):
+    event_id: int
+    ts: datetime
+    op: str
+    task: str | None
+    priority: int | None
+    worker: str | None
+
+
+def _in_time(rows: Iterator) -> Iterator[_Operation]:
+    """The operations of frames in the order of their time and id. They are held as Arrow columns, some fifty bytes each, and are
+    Python objects a part at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("ns")), ("op", pa.string()), ("task", pa.string()), ("priority", pa.int32()), ("worker", pa.string())])
+    held = pa.Table.from_batches([pa.RecordBatch.from_pandas(r[schema.names], schema, preserve_index=False) for r in rows], schema)
+    order = pc.sort_indices(held.select(["ts", "event_id"]), sort_keys=[("ts", "ascending"), ("event_id", "ascending")])
+    for at in range(0, len(order), PART):
+        part = held.take(order.slice(at, PART))
+        yield from map(_Operation._make, zip(*[c.to_pylist() for c in part.columns], strict=True))
+
+
 class _Largest(str):
     """Text that sorts the other way round: of equal priorities the largest id is popped."""
 
+    __slots__ = ()
+
     def __lt__(self, other: str) -> bool:
         return str.__gt__(self, other)
 
@@ -39,9 +68,6 @@ class TaskQueue(StatefulProcessor):
         self.running = handle.getMapState("running", "worker string", "task string, priority int, failed int, until long")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        ops = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         waiting = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
         heap = [(-v[0], _Largest(t)) for t, v in waiting.items()]
         heapq.heapify(heap)
@@ -53,8 +79,11 @@ class TaskQueue(StatefulProcessor):
             waiting[task] = (priority, failed, now + self.wait_ms)
             heapq.heappush(heap, (-priority, _Largest(task)))
 
-        for r in ops.itertuples():
-            now = int(pd.Timestamp(r.ts).timestamp() * 1000)
+        for r in _in_time(rows):
+            if len(out) >= PART:
+                yield self._rows(key, out)
+                out = []
+            now = int(r.ts.timestamp() * 1000)
             if r.op == "add" and r.task not in waiting:
                 put(r.task, int(r.priority), 0, now)
                 out.append((r.event_id, r.task, "pending", None, 0))

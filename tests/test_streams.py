@@ -114,3 +114,22 @@ def test_registered_queue_equals_the_simulation(spark, sf):
         ops.append((str(r["user_id"] % 8), r["event_id"], r["ts"], op, f"{r['event_id']:012d}", r["event_id"] % 4, str(r["event_id"] % 3)))
     got = registry.queries()["stm_01_queue"](spark, sf).filter("event_id is not null").select("queue", "event_id", "task", "status", "worker", "attempt").collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(simulated(ops), key=lambda r: r[1]) and len(got) > 500
+
+
+def test_operations_of_a_queue_are_held_as_columns():
+    """Half a million operations in frames out of order: sorted by time and id, in a small part of what a frame of objects takes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 400_000
+    frame = lambda ids: pd.DataFrame({"queue": "q", "event_id": ids, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta([i // 2 for i in ids], unit="s"), "op": "add", "task": [f"{i:012d}" for i in ids], "priority": 1, "worker": None})
+    frames = (frame(range(n - 1 - k, -1, -40)) for k in range(40))
+    tracemalloc.start()
+    at = 0
+    for r in task_queue._in_time(frames):
+        assert r.event_id == at and r.task == f"{at:012d}" and r.worker is None
+        at += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and most < 60_000_000  # 12-digit ids alone are 61 bytes each as objects, before frames are joined and sorted
