@@ -3,40 +3,58 @@
 Pointers double: each node knows an ancestor and its distance, and each round takes the ancestor's ancestor. A pointer ends at a root
 or at a junction, a node with several parents; one that never ends runs into a ring. Junctions, which sound data does not have, form
 a graph of their own, on which depths and cycles are worked out; marks of cycles then go back along the stored jumps. All rounds are
-joins of stored tables; only numbers of rows reach the driver.
+joins of stored tables; only numbers of rows reach the driver. A round goes over the nodes that are not at an end, so there are as
+many rounds over large tables as the depth has binary digits; rings take more, over their own nodes and those that lead to them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.sources.tables import stored
 
+#: Rows up to which a table of nodes is broadcast.
+FEW = 100_000
+
 
 def _some(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def jumps(single: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """single(node, up): one parent a node -> (ended: node, top, dist; jumps by round: node, up; ring: nodes of rings of such nodes).
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df of so many rows, to be broadcast if they are few."""
+    return F.broadcast(df) if rows <= FEW else df
+
 
-    Round k holds the 2**k-th ancestors of all nodes that are not at an end before.
+def jumps(single: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame, int]:
+    """single(node, up): one parent a node -> (ended: node, parent, top, dist; jumps by round: node, up; lost: node, parent, up of the
+    nodes that lead to rings of such nodes, up all of the ring; their number).
+
+    Round k holds the 2**k-th ancestors of all nodes that are not at an end before. A round writes what it moves, and no node again
+    that has ended. One that ends none says that the rest runs in rings, as above a node at any depth there is one at half of it.
     """
-    every = stored(single.select("node", "up", F.lit(1).cast("long").alias("dist")), "jumps")
-    inside = every.select(F.col("node").alias("up"))
-    ended = stored(every.join(inside, "up", "left_anti").select("node", F.col("up").alias("top"), "dist"), "ended")
-    live = stored(every.join(inside, "up", "left_semi").select("node", "up", "dist"), "jumps")
-    rounds, most = [every], every.count()
-    while _some(live) and 1 << len(rounds) <= 2 * most:  # every pointer leads to a node that is live or has ended
-        told = ended.select(F.col("node").alias("up"), "top", F.col("dist").alias("rest"))
-        ahead = live.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
-        step = stored(live.join(told, "up", "left").join(ahead, "up", "left"), "jumps")
-        ended = stored(ended.unionByName(step.filter("top is not null").select("node", "top", (F.col("dist") + F.col("rest")).alias("dist"))), "ended")
-        live = step.filter("top is null").select("node", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"))
+    pointers = lambda df, up, over: df.select("node", F.col(up).alias("next"), F.col("dist").alias("more"), F.lit(over).alias("over"))
+    live = single.select("node", F.col("up").alias("parent"), "up", F.lit(1).cast("long").alias("dist"))
+    rounds, done, n, new = [live], [], None, 1
+    while n is None or (n and (new or 1 << (len(rounds) - 1) < n)):
+        at = reduce(DataFrame.unionByName, [pointers(live, "up", False), *([pointers(x, "top", True) for x in done] if new else [])])
+        if n is not None and n <= FEW:
+            at = at.join(F.broadcast(live.select(F.col("up").alias("node")).distinct()), "node", "left_semi")
+        step = live.join(at.withColumnRenamed("node", "up"), "up", "left")
+        step = step.select("node", "parent", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.coalesce("over", F.lit(True)).alias("over"))
+        step = stored(step, "jumps")
+        new, n = step.agg(F.count_if("over"), F.count_if(~F.col("over"))).first()
+        if new:
+            done.append(step.filter("over").select("node", "parent", F.col("up").alias("top"), "dist"))
+        live = step.filter("not over").select("node", "parent", "up", "dist")
         rounds.append(live)
-    # what has not ended after more steps than there are nodes runs in a ring, and where it stands then is all of the ring
-    return ended, rounds, live.select(F.col("up").alias("node")).distinct()
+    ended = reduce(DataFrame.unionByName, done) if done else live.select("node", "parent", F.col("up").alias("top"), "dist").limit(0)
+    # what has not ended after as many steps as there are such nodes stands in its ring, on all nodes of it
+    return ended, rounds, live.select("node", "parent", "up"), n
 
 
 def _marked(start: DataFrame, rounds: list[DataFrame]) -> DataFrame:
@@ -99,33 +117,43 @@ def depths(e: DataFrame) -> DataFrame:
     depth: steps from the nearest root down to the child by this parent, null where no root leads to it; cyclic: whether the link
     lies on a cycle. Rows with a null are dropped, repeated rows count once; no rows give none.
     """
-    e = stored(e.select("child", "parent").filter("child is not null and parent is not null").distinct(), "hierarchy")
-    parents = e.groupBy("child").agg(F.count("*").alias("n"))
-    junction = stored(parents.filter("n > 1").select(F.col("child").alias("node")), "junctions")
-    single = e.join(junction.withColumnRenamed("node", "child"), "child", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    ended, rounds, ring = jumps(single)
-    children = e.select(F.col("child").alias("top")).distinct()
-    depth = ended.join(children, "top", "left_anti").select("node", F.col("dist").alias("d"))
-    roots = e.select(F.col("parent").alias("node")).distinct().join(children.withColumnRenamed("top", "node"), "node", "left_anti").select("node", F.lit(0).cast("long").alias("d"))
-    depth = depth.unionByName(roots)
-    cyclic = e.join(ring.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent")
-    if _some(junction):
-        links = e.join(junction.withColumnRenamed("node", "child"), "child", "left_semi")
-        via = links.join(ended.withColumnRenamed("node", "parent"), "parent", "left")  # a parent that is a root, a junction or on a ring has no end of its own
+    own = e.select("child", "parent").filter("child is not null and parent is not null").repartition("child").distinct()
+    own = stored(own.withColumn("parents", F.count("*").over(W.partitionBy("child"))), "hierarchy")
+    ended, rounds, lost, n_lost = jumps(own.filter("parents = 1").select(F.col("child").alias("node"), F.col("parent").alias("up")))
+    ring = lost.select(F.col("up").alias("node")).distinct()
+    depth, none = F.col("dist"), F.lit(None).cast("long")
+    links = stored(own.filter("parents > 1").select("child", "parent"), "junction-links")
+    n_links, more = links.count(), None
+    if n_links:
+        above = links.select(F.col("parent").alias("node")).distinct()
+        end = ended.join(_few(above, n_links), "node", "left_semi").select(F.col("node").alias("parent"), "top", "dist")
+        via = links.join(end, "parent", "left")  # a parent that is a root, a junction or on the way to a ring has no end of its own
         links = stored(via.select("child", "parent", F.coalesce("top", "parent").alias("top"), (F.coalesce("dist", F.lit(0)) + 1).alias("w")), "junction-links")
-        depth = _relaxed(depth, links, ended)
+        junction = stored(links.select(F.col("child").alias("node")).distinct(), "junctions")
+        known = _relaxed(links, junction.unionByName(lost.select("node")))
         held = on_cycles(links.select(F.col("child").alias("a"), F.col("top").alias("b")))
         inner = stored(links.join(held.toDF("child", "top"), ["child", "top"], "left_semi").select("child", "parent"), "junction-cycles")
-        above = _marked(inner.select(F.col("parent").alias("node")), rounds)
-        cyclic = cyclic.unionByName(inner).unionByName(e.join(above.withColumnRenamed("node", "child"), "child", "left_semi").join(junction.withColumnRenamed("node", "child"), "child", "left_anti").select("child", "parent"))
-    cyclic = cyclic.distinct().withColumn("cyclic", F.lit(True))
-    out = e.join(depth.select(F.col("node").alias("parent"), "d"), "parent", "left").join(cyclic, ["child", "parent"], "left")
-    return out.select("child", "parent", (F.col("d") + 1).cast("int").alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-
-
-def _relaxed(depth: DataFrame, links: DataFrame, ended: DataFrame) -> DataFrame:
-    """depth(node, d) with junctions, the nearest root first, and with the nodes whose pointers end at them."""
-    known = stored(links.join(depth.withColumnRenamed("node", "top"), "top").groupBy(F.col("child").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("d")), "junction-depths")
+        ring = ring.unionByName(_marked(inner.select(F.col("parent").alias("node")), rounds)).distinct()
+        told = links.join(known.select(F.col("node").alias("top"), "d"), "top", "left").join(inner.withColumn("cyclic", F.lit(True)), ["child", "parent"], "left")
+        more = told.select("child", "parent", (F.col("d") + F.col("w")).alias("depth"), "cyclic")
+        ends = junction.join(known, "node", "left").select(F.col("node").alias("top"), "d", F.lit(True).alias("joined"))
+        ended = ended.join(_few(ends, n_links), "top", "left")  # every other end is a root
+        depth = F.when(F.col("joined"), F.col("d") + F.col("dist")).otherwise(F.col("dist"))
+    out = ended.select(F.col("node").alias("child"), "parent", depth.alias("depth"))
+    out = out.unionByName(lost.select(F.col("node").alias("child"), "parent", none.alias("depth")))
+    if n_lost or n_links:
+        ring = stored(ring, "cycles")
+        out = out.join(_few(ring.select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), ring.count()), "child", "left")
+    else:
+        out = out.withColumn("cyclic", F.lit(False))
+    out = out if more is None else out.unionByName(more)
+    return out.select("child", "parent", F.col("depth").cast("int").alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _relaxed(links: DataFrame, inside: DataFrame) -> DataFrame:
+    """(node, d) of the junctions and roots that links(child, top, w) hold, the nearest root first; of what is inside(node), none is a root."""
+    roots = links.select(F.col("top").alias("node")).distinct().join(inside, "node", "left_anti").select("node", F.lit(0).cast("long").alias("d"))
+    known = stored(roots, "junction-depths")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum("d")).first())
     before = mark(known)
     while before[0]:
@@ -135,5 +163,4 @@ def _relaxed(depth: DataFrame, links: DataFrame, ended: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    below = ended.join(known.select(F.col("node").alias("top"), "d"), "top").select("node", (F.col("d") + F.col("dist")).alias("d"))
-    return depth.unionByName(known).unionByName(below)
+    return known

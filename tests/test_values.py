@@ -158,6 +158,22 @@ def test_depths_of_chains_forests_and_cycles(spark):
     assert hierarchy.depths(e.limit(0)).count() == 0
 
 
+def test_depths_write_no_node_again_that_has_ended(spark, monkeypatch):
+    """A ring beside wide and shallow trees: rounds go by their depth, not by the number of nodes."""
+    rows = [(f"a{i}", f"r{i % 10}") for i in range(500)] + [(f"b{i}", f"a{i}") for i in range(500)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x")]
+    written, plain = [], hierarchy.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "stored", counted)
+    got = {(r["child"], r["parent"]): (r["depth"], r["cyclic"]) for r in hierarchy.depths(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    assert got == depths_brute(rows)
+    assert sum(written) < 4 * len(rows)  # the links, a round over all nodes, one over those below the first level
+
+
 def test_merge_is_idempotent(spark):
     old = spark.createDataFrame([("a", "one", None, 0), ("b", "two", "x", 0)], "id string, name string, more string, version int")
     new = spark.createDataFrame([("a", None, "y", 1), ("c", "three", None, 1)], "id string, name string, more string, version int")
