@@ -187,6 +187,21 @@ def _filter_of(ids: DataFrame) -> tuple[Broadcast, Column]:
     return ids.sparkSession.sparkContext.broadcast(field), place
 
 
+def _prefixes_of(prefixes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n, k, l, prefix) of the documents in ids(doc_id) and of those others that a bit filter of bounded size lets through,
+    stored: what is joined is shuffled, and most documents are in no pair."""
+    given, place = _filter_of(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = given.value
+        for b in batches:
+            at = b.column(5).to_numpy()
+            yield b.select(range(5)).filter(pa.array(((field[at >> 6] >> (at & 63)) & 1).astype(bool)))
+
+    near = prefixes.select("doc_id", "n", "k", "l", "prefix", place.alias("place"))
+    return work.cut(near.mapInArrow(work.task(run), "doc_id long, n long, k int, l int, prefix array<long>"), "near-prefixes")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles) of the documents in ids(doc_id), stored. A bit filter of bounded size spares the other texts the work,
     an exact join follows."""
@@ -326,8 +341,8 @@ def _sides(key: tuple, rows, similarity: int) -> tuple[_Block, _Block, np.ndarra
     return (one, two, x[x < y], y[x < y]) if alone else (one, two, x, y)
 
 
-def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Links between different components among the sets of open lists, stored.
+def _in_groups(left: DataFrame, lengths: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links between different components among the sets of open lists, stored. lengths: doc_id, k, l.
 
     Lists whose members are mostly the same have the same member of smallest hash and are met as one group. Members bring the
     tokens of their open lists first; the whole sets are fetched for those only that some other one is a candidate for.
@@ -337,7 +352,7 @@ def _in_groups(left: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     tokens = F.sort_array(F.collect_list(F.struct((~F.col("short")).alias("long"), "token")))
     own = left.groupBy("doc.doc_id").agg(F.first("doc.n").alias("n"), F.first("component").alias("component"), tokens.alias("t"), F.count_if("short").alias("shorts"))
     own = own.select("doc_id", "n", "component", F.col("t.token").alias("tokens"), "shorts", F.size("t").alias("weight"))
-    members = work.cut(groups.join(own, "doc_id").join(prefixes.select("doc_id", "k", "l"), "doc_id"), "members")
+    members = work.cut(groups.join(own, "doc_id").join(lengths, "doc_id"), "members")
     by = ["group", "r1", "i1", "r2", "i2"]
 
     def meet(key, rows):
@@ -424,16 +439,20 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     active = _postings(prefixes, reps)
     fits = F.col("hub.n") * 100 >= F.col("doc.n") * similarity
     met = work.cut(active.filter(fits).select(F.col("hub.doc_id").alias("a"), F.col("doc.doc_id").alias("b")).distinct(), "met")
-    links = _verify(met, prefixes, docs, words, similarity)
+    near = _prefixes_of(prefixes, met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    lengths = work.cut(prefixes.select("doc_id", "k", "l"), "lengths")
+    work.drop(prefixes)  # most of the disk in use
+    links = _verify(met, near, docs, words, similarity)
+    work.drop(near)
     labels = components(links)
     left = _open(active, labels)
     work.drop(active)
     if not _empty(left):
-        more = _in_groups(left, prefixes, docs, words, similarity)
+        more = _in_groups(left, lengths, docs, words, similarity)
         if not _empty(more):
             labels = components(links.unionByName(more))
         work.drop(more)
-    work.drop(prefixes, met, links, left)
+    work.drop(lengths, met, links, left)
 
     label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("label"))
     out = sets.join(label, "digest", "left")

@@ -73,6 +73,28 @@ def test_ngram_join_is_exact(spark, corpus, block, monkeypatch):
     assert want[11] == 10 and want[4] == 3 and want[5] == 5
 
 
+def test_ngram_join_joins_prefixes_of_pairs_only(spark, monkeypatch):
+    """Of many texts without a like, hardly any go into the join of candidates, and the prefixes of all are gone by then."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*t.split()[:-1], "other"])) for i, t in rows[:5]]
+    seen, dropped, verify, drop = [], [], ngram_join._verify, ngram_join.work.drop
+
+    def watched(pairs, prefixes, *more):
+        seen.append((prefixes.count(), sum("/prefixes-" in x for x in dropped)))
+        return verify(pairs, prefixes, *more)
+
+    def noted(*tables):
+        dropped.extend(getattr(t, "_quill_path", "") for t in tables)
+        drop(*tables)
+
+    monkeypatch.setattr(ngram_join, "_verify", watched)
+    monkeypatch.setattr(ngram_join.work, "drop", noted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(docs_of(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert len(seen) == 1 and 10 <= seen[0][0] < 40 and seen[0][1] == 1
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar(docs_of(spark, [])).count() == 0
     kept = ngram_join.keep_first(docs_of(spark, [(3, "a b c"), (1, "a B c"), (2, None), (None, "a b c")]))
